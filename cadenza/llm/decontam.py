@@ -8,7 +8,7 @@ item of its size; the exact similarity then verifies each candidate.
 Windows are taken where they can matter: a window of s shingles needs 2 s t / (1 + t) shingles in common with an item
 to reach similarity t, so windows with fewer shingles known to any item are not fingerprinted. That bound is exact.
 
-Edge cases: words are runs of letters and digits, A-Z lower-cased; null texts are empty and never match, nor do items
+Edge cases: words are runs of letters and digits, lower-cased; null texts are empty and never match, nor do items
 without words. Repeated rows and items each count; ids may be null. Texts are read whole. Only doc_id, text, item_id
 are read. An empty benchmark or document table gives an empty result.
 """
@@ -52,7 +52,7 @@ def describe_items(items: DataFrame) -> DataFrame:
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            w, out = split_words(list(b["text"])), []
+            w, out = split_words([(t or "").lower() for t in b["text"]]), []
             for i, item in enumerate(b["item_id"]):
                 m = int(w.first[i + 1] - w.first[i])
                 if m:
@@ -88,7 +88,7 @@ def windows(docs: DataFrame, shingles: np.ndarray, sizes: list[int], similarity:
             by_k.setdefault(min(K, m), []).append(m)
         for b in batches:
             for lo, hi in slices(list(b["text"])):
-                w = split_words(list(b["text"].iloc[lo:hi]))
+                w = split_words([(t or "").lower() for t in b["text"].iloc[lo:hi]])
                 ids = b["doc_id"].iloc[lo:hi].to_numpy()
                 out: list[tuple] = []
                 for k, ms in by_k.items():

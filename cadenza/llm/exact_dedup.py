@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import ascii_lower, scratch, stored
+from cadenza.llm.filters import KeyFilter
 
 
 def sha256(text: Column) -> Column:
@@ -53,30 +54,6 @@ class MergeIndex:
         return self.level[0]
 
 
-class HitFilter:
-    """A Bloom filter of fixed size over digests, one row with one array of longs: its size never follows the data."""
-
-    def __init__(self, digests: DataFrame, log_bits: int = 23, hashes: int = 3):
-        self.log_bits, self.hashes = log_bits, hashes
-        spark = digests.sparkSession
-        slots = digests.select(F.explode(F.array(*self._slots(F.col("digest")))).alias("slot"))
-        bits = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
-        filled = spark.range(1 << (log_bits - 6)).withColumnRenamed("id", "word").join(bits, "word", "left")
-        rows = F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
-        self.table = stored(filled.agg(F.transform(rows, lambda x: x["bits"]).alias("words")), "filter")
-
-    def _slots(self, digest: Column) -> list[Column]:
-        mask = (1 << self.log_bits) - 1
-        return [F.xxhash64(F.lit(j), digest).bitwiseAND(F.lit(mask)) for j in range(self.hashes)]
-
-    def might_hold(self, digest: Column) -> Column:
-        words, found = self.table.scalar(), F.lit(True)
-        for slot in self._slots(digest):
-            bit = F.call_function("shiftright", F.get(words, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int"))
-            found = found & (bit.bitwiseAND(F.lit(1)) == 1)
-        return found
-
-
 def deduplicate(docs: DataFrame, keep: str = "min", digest=sha256) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row per input row, dropped ones too.
 
@@ -89,7 +66,7 @@ def deduplicate(docs: DataFrame, keep: str = "min", digest=sha256) -> DataFrame:
     level = index.compact()
     hits = level.where("n > 1").select("digest")
     texts = docs.select("doc_id", ascii_lower("text").alias("norm")).withColumn("digest", digest(F.col("norm")))
-    suspects = texts.where(HitFilter(hits).might_hold(F.col("digest")))
+    suspects = texts.where(KeyFilter(hits).might_hold(F.col("digest")))
     groups = suspects.groupBy("digest", "norm").agg(index.keep("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
     groups = groups.join(hits, "digest", "left_semi")
     clash = stored(groups.groupBy("digest").agg(F.count(F.lit(1)).alias("v")).where("v > 1").select("digest"), "clash")

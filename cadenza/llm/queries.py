@@ -57,7 +57,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = simhash.assign_groups(table(spark, sf_dir, "documents"), shingle=3, radius=2)
+    groups = simhash.assign_groups(table(spark, sf_dir, "documents"), shingle=3)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

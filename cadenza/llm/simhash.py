@@ -1,5 +1,11 @@
 """SimHash near-duplicates by multi-index hashing.
 
+Two forms share the method. ``near_duplicates`` links 64-bit fingerprints of word shingles within two bits, exactly.
+``similar_groups`` finds texts with a similarity of about 0.8 and more over five-word shingles: at 0.8 five-word
+fingerprints differ in 10 to 14 of 64 bits, too many for small balls, while two-word fingerprints, of which a changed word
+breaks fewer shingles, differ in about 12 of 128. So the index has 128 bits of two-word shingles in four segments, and
+the complete distances of both the two-word and the five-word fingerprint verify each match.
+
 Edge cases: null and empty texts have no words and share fingerprint zero, so they form one group. Rows that repeat a
 doc_id are the same document. A null doc_id never becomes a component's label unless all ids in it are null. Only
 ``doc_id`` and ``text`` are read, so other columns may have any name. Empty tables give empty results.
@@ -7,7 +13,8 @@ doc_id are the same document. A null doc_id never becomes a component's label un
 
 from __future__ import annotations
 
-from itertools import combinations, repeat
+from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -16,9 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import components, stored
+from cadenza.llm.filters import KeyFilter
+from cadenza.llm.words import mix, slices, split_words
 
 SEED = 42
 BITS = 64
+SEGMENTS, SEGMENT_BITS = 4, 32
+FAR_TWO, FAR_FIVE = 18, 16  # most bits by which two-word (of 128) and five-word (of 64) fingerprints may differ
 
 
 def _fingerprint(text: str | None, k: int) -> int:
@@ -59,59 +70,116 @@ def ball_links(fps: DataFrame) -> DataFrame:
     return linked.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).distinct()
 
 
-def block_links(fps: DataFrame, classes: DataFrame, radius: int, blocks: int = 8) -> DataFrame:
-    """Further links up to ``radius`` bits, between the classes that ``ball_links`` made: (a, b).
-
-    The fingerprint is cut into ``blocks`` blocks; ``blocks - radius`` of them are untouched in any pair within the
-    radius, so every such choice of blocks keys one table. A bucket with one class has nothing to add. In others only
-    members outside the bucket's commonest class are paired, with members of other classes, and verified in full.
-    """
-    width, free = BITS // blocks, blocks - radius
-    masks = [sum(((1 << width) - 1) << (width * b) for b in c) for c in combinations(range(blocks), free)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    tables = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).cast("long").alias("m")) for i, m in enumerate(signed)])
-    known = fps.join(classes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("comp", "fp").alias("cls"))
-    rows = known.select("fp", "cls", F.explode(tables).alias("t")).select("fp", "cls", F.col("t.i").alias("i"), F.col("fp").bitwiseAND(F.col("t.m")).alias("key"))
-    mixed = rows.groupBy("i", "key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("i", "key")
-    members = stored(rows.join(mixed, ["i", "key"]), "buckets")
-    counts = members.groupBy("i", "key", "cls").agg(F.count(F.lit(1)).alias("n"))
-    common = counts.groupBy("i", "key").agg(F.max(F.struct("n", "cls"))["cls"].alias("main"))
-    few = members.join(common, ["i", "key"]).where("cls <> main").select("i", "key", F.col("fp").alias("a"), F.col("cls").alias("ca"))
-    pairs = few.join(members, ["i", "key"]).where(F.col("ca") != F.col("cls"))
-    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= radius).select("a", F.col("fp").alias("b")).distinct()
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 5) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(docs: DataFrame, shingle: int = 3) -> tuple[DataFrame, DataFrame]:
     """``(prints, groups)``: (doc_id, fp) for every row, and (fp, component_id, group_rows) for every fingerprint.
 
-    ``component_id`` is the smallest doc_id that links reach. Fingerprints are grouped before they are linked, so
-    copies, however many, count once. A radius of 2 is exact by ``ball_links`` alone; more, up to 7, adds
-    ``block_links``. With five-word shingles a radius of 5 stands for a similarity of about 0.8 and more.
+    ``component_id`` is the smallest doc_id that links of two bits or less reach. Fingerprints are grouped before they
+    are linked, so copies, however many, count once.
     """
-    if not 2 <= radius <= 7:
-        raise ValueError("radius must be 2 to 7")
     prints = stored(docs.select("doc_id", fingerprint(F.col("text"), shingle).alias("fp")), "prints")
-    fps = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    fps = stored(fps, "fps")
-    links = ball_links(fps)
-    comps = stored(components(links), "comps")
-    if radius > 2:
-        more = block_links(fps, comps, radius)
-        chain = comps.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
-        comps = stored(components(more.unionByName(chain)), "comps")
-    known = fps.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "n", F.coalesce("comp", "fp").alias("comp"))
+    fps = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "fps")
+    return prints, labelled(fps, "fp", stored(components(ball_links(fps)), "comps")).select("fp", "component_id", "group_rows")
+
+
+def labelled(fps: DataFrame, node: str, comps: DataFrame) -> DataFrame:
+    """``fps`` with ``component_id`` (smallest ``first`` of the component) and ``group_rows``."""
+    known = fps.join(comps.withColumnRenamed("node", node), node, "left").withColumn("comp", F.coalesce("comp", node))
     tops = known.groupBy("comp").agg(F.min("first").alias("component_id"), F.sum("n").alias("group_rows"))
-    return prints, known.join(tops, "comp").select("fp", "component_id", "group_rows")
+    return known.join(tops, "comp").drop("comp")
 
 
-def assign_groups(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
+def wide_prints(docs: DataFrame) -> DataFrame:
+    """(doc_id, f1, f2, f5): 128 bits of two-word and 64 bits of five-word shingles; zero for texts without words.
+
+    Words are runs of letters and digits. A text with fewer words than a shingle has one shingle, the whole of it.
+    """
+
+    def votes(h: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(n), np.int64)
+        some = np.flatnonzero(n > 0)
+        if len(some):
+            keep = np.concatenate([np.arange(a, a + c) for a, c in zip(first[some], n[some], strict=True)])
+            bits = np.unpackbits(h[keep].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            sums = np.add.reduceat(bits, np.concatenate([[0], np.cumsum(n[some])[:-1]]), axis=0, dtype=np.int32)
+            out[some] = np.packbits(sums * 2 > n[some, None], axis=1).view(">u8").ravel().astype(np.uint64).view(np.int64)
+        return out
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lo, hi in slices(list(b["text"]), 1_000_000):
+                w = split_words([(t or "").lower() for t in b["text"].iloc[lo:hi]])
+                words, out = np.diff(w.first), {}
+                for k in (2, 5):
+                    h, n = w.shingles(k)[0], np.maximum(words - k + 1, 0)
+                    short = np.flatnonzero((words > 0) & (words < k))
+                    at = w.first[:-1].copy()
+                    if len(short):  # one shingle of all words, appended
+                        whole = [mix(np.bitwise_xor.reduce(mix(w.hash[w.first[i] : w.first[i + 1]] + np.arange(words[i], dtype=np.uint64)), keepdims=True))[0] for i in short]
+                        at[short], n[short] = len(h) + np.arange(len(short)), 1
+                        h = np.concatenate([h, np.array(whole, np.uint64)])
+                    out[k] = votes(h, at, n), votes(mix(h + np.uint64(SEED)), at, n) if k == 2 else None
+                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[lo:hi].array, "f1": out[2][0], "f2": out[2][1], "f5": out[5][0]})
+
+    return docs.select("doc_id", "text").mapInPandas(task, "doc_id long, f1 long, f2 long, f5 long")
+
+
+def segment_keys() -> Column:
+    """Keys of a 128-bit fingerprint: the ball of radius one in each 32-bit segment, tagged with the segment's number."""
+    low = F.lit((1 << SEGMENT_BITS) - 1)
+    parts = [F.shiftrightunsigned(f, s).bitwiseAND(low) for f in ("f1", "f2") for s in (0, SEGMENT_BITS)]
+    flips = [0, *[1 << i for i in range(SEGMENT_BITS)]]
+    return F.array(*[p.bitwiseXOR(F.lit(x).cast("long")) + F.lit(i << SEGMENT_BITS).cast("long") for i, p in enumerate(parts) for x in flips])
+
+
+def verified(x: str, y: str) -> Column:
+    """Whether two fingerprints, columns f1, f2, f5 with these prefixes, are near enough in all their bits."""
+    far = lambda f: F.bit_count(F.col(x + f).bitwiseXOR(F.col(y + f)))
+    return (far("f1") + far("f2") <= FAR_TWO) & (far("f5") <= FAR_FIVE)
+
+
+def segment_links(fps: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes of ``fps`` (node, f1, f2, f5) that meet in a table and are near in all bits.
+
+    Two fingerprints within two bits in a segment meet at a midpoint key; so all pairs within 11 of the 128 bits meet,
+    and most of those further apart. Each member of a bucket is first compared with the bucket's smallest and largest
+    node; the classes that follow leave few buckets with several, and in these the members outside the commonest class
+    are compared with all members of other classes. No link between classes is lost, and no bucket is paired in full.
+    """
+    probes = fps.select("*", F.explode(segment_keys()).alias("key"))
+    shared = probes.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    shared = stored(shared, "shared")
+    might = KeyFilter(shared.select("key")).might_hold(F.col("key"))
+    members = stored(probes.where(might).join(shared, "key").select("key", "node", "lo", "hi", "f1", "f2", "f5"), "members")
+    ends = members.select("node", F.explode(F.array("lo", "hi")).alias("b")).where("node <> b").distinct()
+    other = fps.select(F.col("node").alias("b"), *[F.col(f).alias(f"b_{f}") for f in ("f1", "f2", "f5")])
+    star = ends.join(fps.select("node", "f1", "f2", "f5"), "node").join(other, "b").where(verified("", "b_")).select(F.col("node").alias("a"), "b")
+    star = stored(star, "star")
+    classes = stored(components(star), "classes")
+    known = members.join(classes, "node", "left").withColumn("cls", F.coalesce("comp", "node")).drop("comp", "lo", "hi")
+    mixed = known.groupBy("key", "cls").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "cls"))["cls"].alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    known = stored(known.join(mixed.drop("k"), "key"), "mixed")
+    few = known.where("cls <> main").select("key", F.col("node").alias("a"), F.col("cls").alias("ca"), *[F.col(f).alias(f"a_{f}") for f in ("f1", "f2", "f5")])
+    more = few.join(known, "key").where((F.col("ca") != F.col("cls")) & verified("a_", "")).select("a", F.col("node").alias("b"))
+    return star.unionByName(more).distinct()
+
+
+def similar_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(prints, groups)`` as ``near_duplicates`` gives, by similarity: (doc_id, f1, f2, f5), (f1, f2, f5, component_id, group_rows)."""
+    prints = stored(wide_prints(docs), "prints")
+    fps = prints.groupBy("f1", "f2", "f5").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    fps = stored(fps.withColumn("node", F.xxhash64("f1", "f2", "f5")), "fps")
+    comps = stored(components(segment_links(fps.select("node", "f1", "f2", "f5"))), "comps")
+    return prints, labelled(fps, "node", comps).select("f1", "f2", "f5", "component_id", "group_rows")
+
+
+def assign_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp, component_id, group_rows), one row per input row."""
-    prints, groups = near_duplicates(docs, shingle, radius)
+    prints, groups = near_duplicates(docs, shingle)
     return prints.join(groups, "fp").select("doc_id", "fp", "component_id", "group_rows")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 5) -> DataFrame:
-    """The rows of ``docs`` whose doc_id labels its group; all columns kept, one shuffle by the unique doc_id."""
-    _, groups = near_duplicates(docs, shingle, radius)
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id labels its group of similar texts; all columns kept, one join by doc_id."""
+    _, groups = similar_groups(docs)
     labels = groups.select(F.col("component_id").alias("_cz_id")).distinct()
     return docs.join(labels, docs["doc_id"].eqNullSafe(labels["_cz_id"]), "left_semi")
