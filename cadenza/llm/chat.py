@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import stored
+from cadenza.llm.common import small_batches, stored
 
 # States (nothing yet, after system, after user, after assistant), roles, legal steps, costs.
 STATES = 4
@@ -105,6 +105,7 @@ def repair(turns: DataFrame, per_range: int = 20_000) -> DataFrame:
     are its rendered text; ``render_chats`` does that. Ranges hold about ``per_range`` turns, so no task meets a whole
     conversation unless it is short.
     """
+    small_batches(turns.sparkSession)
     rows = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     n = rows.count()
     order = ["conv_id", "turn", "role", "text"]

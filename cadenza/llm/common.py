@@ -21,6 +21,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds of a table of texts at a time: rows go to it in batches of about 4 MB.
+
+    A longer text is a batch of its own. Sets the session's Arrow limits, which Spark reads when a query runs.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/cadenza-{label}-{uuid.uuid4().hex}"
 

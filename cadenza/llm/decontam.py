@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import stored
+from cadenza.llm.common import small_batches, stored
 from cadenza.llm.words import mix, slices, split_words
 
 K = 5
@@ -141,6 +141,7 @@ def candidates(contents: DataFrame, items: DataFrame) -> DataFrame:
     keys = index.select("item_id", "im", "ifp", F.explode(near).alias("flip"))
     keys = keys.select("item_id", "im", "ifp", F.posexplode(F.array(*[block(F.col("ifp"), i).bitwiseXOR(F.col("flip")) for i in range(BLOCKS)])).alias("i", "v"))
     probe = contents.select("m", "wkey", "fp", F.posexplode(F.array(*[block(F.col("fp"), i) for i in range(BLOCKS)])).alias("i", "v"))
+    keys = keys.hint("merge")  # the balls are many rows more than Spark expects of so few items
     met = probe.join(keys, (probe["m"] == keys["im"]) & (probe["i"] == keys["i"]) & (probe["v"] == keys["v"]))
     met = met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS).select("m", "wkey", "item_id").distinct()
     pairs = met.join(contents.select("m", "wkey", F.col("shingles").alias("a")), ["m", "wkey"])
@@ -171,6 +172,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, most_s
     Windows with equal contents are compared once, however many documents share a passage.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     items = stored(describe_items(benchmark), "items")
     total = items.agg(F.sum(F.size("shingles"))).first()[0] or 0
     n_blocks = -(-total // most_shingles) if total else 0

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cadenza.llm.common import stored
+from cadenza.llm.common import small_batches, stored
 
 WORDS = regex.compile(r"\p{L}+(?:\p{M}+\p{L}*)*")
 LONGEST = 5
@@ -88,6 +88,7 @@ def fit(labelled: DataFrame, docs_per_lang: int = 4000, most_words: int = 40_000
     of each length and language, so what reaches the driver has a fixed bound; more than ``most_langs`` labels raise.
     """
     spark = labelled.sparkSession
+    small_batches(spark)
     rows = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most_langs + 1).collect()}
     if len(sizes) > most_langs:
@@ -136,6 +137,7 @@ def fit(labelled: DataFrame, docs_per_lang: int = 4000, most_words: int = 40_000
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (0 to 1) of each text; one pass, no shuffle."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import components, stored
+from cadenza.llm.common import components, small_batches, stored
 from cadenza.llm.filters import KeyFilter
 from cadenza.llm.words import mix, slices, split_words
 
@@ -76,6 +76,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> tuple[DataFrame, DataF
     ``component_id`` is the smallest doc_id that links of two bits or less reach. Fingerprints are grouped before they
     are linked, so copies, however many, count once.
     """
+    small_batches(docs.sparkSession)
     prints = stored(docs.select("doc_id", fingerprint(F.col("text"), shingle).alias("fp")), "prints")
     fps = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "fps")
     return prints, labelled(fps, "fp", stored(components(ball_links(fps)), "comps")).select("fp", "component_id", "group_rows")
@@ -165,6 +166,7 @@ def segment_links(fps: DataFrame) -> DataFrame:
 
 def similar_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(prints, groups)`` as ``near_duplicates`` gives, by similarity: (doc_id, f1, f2, f5), (f1, f2, f5, component_id, group_rows)."""
+    small_batches(docs.sparkSession)
     prints = stored(wide_prints(docs), "prints")
     fps = prints.groupBy("f1", "f2", "f5").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
     fps = stored(fps.withColumn("node", F.xxhash64("f1", "f2", "f5")), "fps")

@@ -24,7 +24,7 @@ from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import scratch, stored
+from cadenza.llm.common import scratch, small_batches, stored
 
 MOST_BYTES = 1 << 30
 CHUNK = 1 << 16
@@ -75,6 +75,7 @@ def plan_records(pages: DataFrame, least: int = 0) -> DataFrame:
 
 def write(pages: DataFrame, folder: str, least: int = 0, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Write archives into ``folder``; returns the stored manifest (path, records, bytes)."""
+    small_batches(pages.sparkSession)
     fs, root = open_store(folder)
     fs.create_dir(root, recursive=True)
 
@@ -157,6 +158,7 @@ def read(manifest: DataFrame) -> DataFrame:
                             rows, size = [], 0
                 yield pd.DataFrame(rows, columns=cols).astype({"page_id": "Int64", "refers_to": "Int64"})
 
+    small_batches(manifest.sparkSession)
     paths = manifest.select("path").repartition(F.col("path"))
     return paths.mapInPandas(task, "page_id long, url string, record_type string, payload_digest string, refers_to long, html string, valid boolean")
 
