@@ -1 +1 @@
-"""Part of the cadenza package."""
+"""Analytics of multichannel, multi-subject time series as Spark DataFrame transformations."""

@@ -1 +1 @@
-"""Part of the cadenza package."""
+"""Column expressions and numpy kernels."""

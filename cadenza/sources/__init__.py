@@ -1 +1 @@
-"""Part of the cadenza package."""
+"""Readers, adapters and keyed result tables."""
