@@ -87,7 +87,7 @@ def windows(docs: DataFrame, shingles: np.ndarray, sizes: list[int], similarity:
         for m in shared.value[2]:
             by_k.setdefault(min(K, m), []).append(m)
         for b in batches:
-            for lo, hi in slices(list(b["text"])):
+            for lo, hi in slices(list(b["text"]), 500_000):
                 w = split_words([(t or "").lower() for t in b["text"].iloc[lo:hi]])
                 ids = b["doc_id"].iloc[lo:hi].to_numpy()
                 out: list[tuple] = []

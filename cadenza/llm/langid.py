@@ -17,6 +17,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -27,7 +28,7 @@ from cadenza.llm.common import small_batches, stored
 
 WORDS = regex.compile(r"\p{L}+(?:\p{M}+\p{L}*)*")
 LONGEST = 5
-CACHE = 200_000
+CACHE = 20_000  # unseen words whose votes a task remembers
 
 
 def words(text: str | None) -> list[str]:
@@ -42,23 +43,23 @@ def grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
-    """Log frequencies by language: of words, and of n-grams by their length. Its size is bounded by the fit."""
+    """Log frequencies by language, one row of ``logs`` per term: words, and n-grams by length. Bounded by the fit."""
 
     langs: list[str]
-    words: dict[str, tuple[float, ...]]
-    grams: dict[int, dict[str, tuple[float, ...]]]
-    cache: dict[str, tuple[float, ...] | None] = field(default_factory=dict)
+    words: dict[str, int]
+    grams: dict[int, dict[str, int]]
+    logs: np.ndarray
+    cache: dict[str, np.ndarray | None] = field(default_factory=dict)
 
-    def vote(self, word: str) -> tuple[float, ...] | None:
-        if (known := self.words.get(word)) is not None:
-            return known
+    def back_off(self, word: str) -> np.ndarray | None:
+        """The vote of a word that training did not see."""
         if word in self.cache:
             return self.cache[word]
         found = None
         for n in range(LONGEST, 0, -1):
             table = self.grams.get(n, {})
             if hits := [table[g] for g in grams(word, n) if g in table]:
-                found = tuple(sum(x) / len(hits) for x in zip(*hits, strict=True))
+                found = self.logs[hits].mean(axis=0)
                 break
         if len(self.cache) < CACHE:
             self.cache[word] = found
@@ -66,18 +67,24 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language, and its softmax share of the mean log score per voting word."""
-        total, n = [0.0] * len(self.langs), 0
-        for w, c in Counter(words(text)).items():
-            if v := self.vote(w):
-                n += c
-                for i, x in enumerate(v):
-                    total[i] += c * x
-        if not self.langs or not WORDS.search(text or ""):
+        found = words(text)
+        if not self.langs or not found:
             return "und", 0.0
+        rows, times, total, n = [], [], np.zeros(len(self.langs)), 0
+        for w, c in Counter(found).items():
+            if (row := self.words.get(w)) is not None:
+                rows.append(row)
+                times.append(c)
+            elif (v := self.back_off(w)) is not None:
+                total += c * v
+                n += c
+        if rows:
+            total += np.array(times, float) @ self.logs[rows]
+            n += sum(times)
         if not n:
             return self.langs[0], 1 / len(self.langs)
-        best = max(range(len(total)), key=lambda i: (total[i], -i))
-        return self.langs[best], 1 / sum(math.exp((t - total[best]) / n) for t in total)
+        best = int(total.argmax())
+        return self.langs[best], float(1 / np.exp((total - total[best]) / n).sum())
 
 
 def fit(labelled: DataFrame, docs_per_lang: int = 4000, most_words: int = 40_000, most_grams: int = 20_000, most_langs: int = 200) -> Model:
@@ -95,7 +102,7 @@ def fit(labelled: DataFrame, docs_per_lang: int = 4000, most_words: int = 40_000
         raise ValueError(f"more than {most_langs} languages")
     langs = sorted(sizes)
     if not langs:
-        return Model([], {}, {})
+        return Model([], {}, {}, np.zeros((0, 0), np.float32))
     share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, docs_per_lang / n))) for x, n in sizes.items()])
     sample = rows.where(F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1_000_000)) < share * 1_000_000)
 
@@ -129,10 +136,12 @@ def fit(labelled: DataFrame, docs_per_lang: int = 4000, most_words: int = 40_000
     at = {x: i for i, x in enumerate(langs)}
     for r in chosen.select("size", "term", "lang", "n").toLocalIterator():
         counts.setdefault((r["size"], r["term"]), [0] * len(langs))[at[r["lang"]]] = r["n"]
-    tables: dict[int, dict[str, tuple[float, ...]]] = {n: {} for n in range(LONGEST + 1)}
-    for (size, term), c in counts.items():
-        tables[size][term] = tuple(math.log((x + 0.1) / (totals.get((lang, size), 0) + 1)) for x, lang in zip(c, langs, strict=True))
-    return Model(langs, tables.pop(0), tables)
+    tables: dict[int, dict[str, int]] = {n: {} for n in range(LONGEST + 1)}
+    logs = np.empty((len(counts), len(langs)), np.float32)
+    for i, ((size, term), c) in enumerate(sorted(counts.items())):
+        tables[size][term] = i
+        logs[i] = [math.log((x + 0.1) / (totals.get((lang, size), 0) + 1)) for x, lang in zip(c, langs, strict=True)]
+    return Model(langs, tables.pop(0), tables, logs)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

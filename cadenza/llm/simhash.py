@@ -55,6 +55,11 @@ def fingerprint(text: Column, shingle: int) -> Column:
     return udf(text)
 
 
+def dealt(fps: DataFrame, per_task: int = 10_000) -> DataFrame:
+    """``fps`` in tasks of about ``per_task`` rows: each row is about to become many."""
+    return fps.repartition(max(1, fps.count() // per_task))
+
+
 def ball_links(fps: DataFrame) -> DataFrame:
     """Links that join all fingerprints within two bits: (a, b), each pair at a complete distance of 2 or less.
 
@@ -64,7 +69,7 @@ def ball_links(fps: DataFrame) -> DataFrame:
     member of a key needs only a link to the key's smallest member: no pairs are enumerated, however large a bucket is.
     """
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(BITS)])
-    probes = fps.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("key"))
+    probes = dealt(fps).select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("key"))
     least = probes.groupBy("key").agg(F.min("fp").alias("b"), F.max("fp").alias("most")).where("b <> most")
     linked = probes.join(least, "key").select(F.col("fp").alias("a"), "b").where("a <> b")
     return linked.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).distinct()
@@ -107,7 +112,7 @@ def wide_prints(docs: DataFrame) -> DataFrame:
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for lo, hi in slices(list(b["text"]), 1_000_000):
+            for lo, hi in slices(list(b["text"]), 250_000):
                 w = split_words([(t or "").lower() for t in b["text"].iloc[lo:hi]])
                 words, out = np.diff(w.first), {}
                 for k in (2, 5):
@@ -146,7 +151,7 @@ def segment_links(fps: DataFrame) -> DataFrame:
     node; the classes that follow leave few buckets with several, and in these the members outside the commonest class
     are compared with all members of other classes. No link between classes is lost, and no bucket is paired in full.
     """
-    probes = fps.select("*", F.explode(segment_keys()).alias("key"))
+    probes = dealt(fps).select("*", F.explode(segment_keys()).alias("key"))
     shared = probes.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
     shared = stored(shared, "shared")
     might = KeyFilter(shared.select("key")).might_hold(F.col("key"))
