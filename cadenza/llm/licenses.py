@@ -3,7 +3,7 @@
 All rolling two-word grams of a text are joined, in Spark, to the positions of the same grams in the templates. A hit
 votes for the diagonal (text position minus template position) of its template. Neighbouring diagonals, as an inserted
 or missing word makes them, are merged into one span, and a span is verified by the share of the template's words that
-it covers; the join compares the words themselves besides their hash. Short fixed phrases are templates as well: those
+it covers; of spans that begin or end at one word the best covered stay; the join compares the words themselves besides their hash. Short fixed phrases are templates as well: those
 need all their words in place on a single diagonal.
 
 Edge cases: null counts as empty text; texts with fewer than two words have no grams. Repeated rows get equal results
@@ -79,7 +79,8 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
     # Words covered: each gram at j holds words j and j+1.
     covered = F.size(F.array_distinct(F.flatten(F.transform("js", lambda j: F.array(j, j + 1)))))
     spans = merged.withColumn("score", covered / F.col("n")).where((F.col("score") >= cover) & (F.col("last") - F.col("first") < F.col("n") + drift * 2))
-    spans = spans.select("doc_id", "rid", "tid", "label", "exact", "first", "last", "score")
+    best = [F.max("score").over(Window.partitionBy("doc_id", "rid", end)) for end in ("first", "last")]
+    spans = spans.withColumn("best", F.greatest(*best)).where("score = best").select("doc_id", "rid", "tid", "label", "exact", "first", "last", "score")
     return size, whole.unionByName(spans)
 
 

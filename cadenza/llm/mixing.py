@@ -48,13 +48,14 @@ def cells(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_cz_src": F.coalesce("source", F.lit("?")), "_cz_lng": F.coalesce("lang", F.lit("?")), "_cz_top": topic(F.col("text")), "_cz_tok": tokens(F.col("text"))})
 
 
-def marginal(table: DataFrame, axis: str, targets: dict[str, float] | None) -> DataFrame:
-    """(axis, target) shares over the categories present: the given ones, or, with None, equal shares."""
+def marginal(table: DataFrame, axis: str, targets: dict[str, float] | None, flatten: float) -> DataFrame:
+    """(axis, target) shares over the categories present: the given ones, or, with None, present ones to the power ``flatten``."""
     present = table.groupBy(axis).agg(F.sum("tok").alias("t")).where("t > 0")
+    everywhere = Window.partitionBy(F.lit(0))
     if targets is None:
-        return present.select(axis, (1 / F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))).alias("target"))
+        flat = F.pow("t", F.lit(flatten))
+        return present.select(axis, (flat / F.sum(flat).over(everywhere)).alias("target"))
     given = F.create_map(*[F.lit(x) for kv in targets.items() for x in kv])[F.col(axis)]
-    everywhere = Window.partitionBy(F.lit(0))
     rest = max(0.0, 1.0 - sum(targets.values()))
     other = F.sum(F.when(given.isNull(), F.col("t")).otherwise(0)).over(everywhere)
     raw = F.coalesce(given, F.lit(rest) * F.col("t") / F.greatest(other, F.lit(1)))
@@ -62,15 +63,16 @@ def marginal(table: DataFrame, axis: str, targets: dict[str, float] | None) -> D
     return out.select(axis, (F.col("raw") / F.sum("raw").over(everywhere)).alias("target"))
 
 
-def rake(table: DataFrame, targets: dict[str, dict[str, float] | None], steps: int = 6, most_rounds: int = 10, tolerance: float = 1e-6) -> DataFrame:
+def rake(table: DataFrame, targets: dict[str, dict[str, float] | None], flatten: float = 0.5, steps: int = 4, most_rounds: int = 12, tolerance: float = 1e-6) -> DataFrame:
     """(src, lng, top, tok, w): calibrated shares ``w`` of the cells, raked over every axis until sums meet targets.
 
     The cell table has one row per combination of categories, whatever the number of documents. ``steps`` passes run
-    as one Spark job; then the table is written and the largest error of any marginal decides whether to go on.
+    as one Spark job; then the table is written and the largest error of any marginal decides whether to go on. Targets
+    that no weights can meet, as combinations are missing from the data, end it once a job gains less than a tenth.
     """
-    goal = table
+    goal, before = table, 1.0
     for axis in AXES:
-        goal = goal.join(marginal(table, axis, targets.get(axis)).withColumnRenamed("target", f"to_{axis}"), axis)
+        goal = goal.join(marginal(table, axis, targets.get(axis), flatten).withColumnRenamed("target", f"to_{axis}"), axis)
     goal = stored(goal.withColumn("w", F.col("tok") / F.sum("tok").over(Window.partitionBy(F.lit(0)))), "cells")
     for _ in range(most_rounds):
         for _ in range(steps):
@@ -79,8 +81,10 @@ def rake(table: DataFrame, targets: dict[str, dict[str, float] | None], steps: i
                 goal = goal.withColumn("w", F.when(total > 0, F.col("w") * F.col(f"to_{axis}") / total).otherwise(0.0))
         goal = stored(goal, "cells")
         off = F.greatest(*[F.abs(F.sum("w").over(Window.partitionBy(a)) - F.col(f"to_{a}")) for a in AXES])
-        if (goal.select(off.alias("off")).agg(F.max("off")).first()[0] or 0.0) <= tolerance:
+        error = goal.select(off.alias("off")).agg(F.max("off")).first()[0] or 0.0
+        if error <= tolerance or error > 0.9 * before:
             break
+        before = error
     return goal.select("src", "lng", "top", "tok", "w")
 
 
@@ -99,15 +103,16 @@ def probabilities(raked: DataFrame, keep: float) -> DataFrame:
     return r.withColumn("p", F.least(F.lit(1.0), F.coalesce(best, F.lit(float("inf"))) * F.col("ratio")))
 
 
-def mix(docs: DataFrame, source: dict[str, float] | None = None, lang: dict[str, float] | None = None, topics: dict[str, float] | None = None, keep: float = 0.9, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, source: dict[str, float] | None = None, lang: dict[str, float] | None = None, topics: dict[str, float] | None = None, keep: float = 0.9, seed: int = 7, flatten: float = 0.5) -> DataFrame:
     """``docs`` with ``_cz_``-named topic, tokens, weight (share of the mix), p (probability) and kept.
 
-    Targets are shares by category; None means equal shares. ``keep`` is the share of all tokens wanted in the sample.
+    Targets are shares by category; None means the present shares to the power ``flatten`` (1: as they are, 0: equal).
+    ``keep`` is the share of all tokens wanted in the sample.
     """
     tagged = cells(docs)
     table = tagged.where("_cz_tok > 0").groupBy(F.col("_cz_src").alias("src"), F.col("_cz_lng").alias("lng"), F.col("_cz_top").alias("top")).agg(F.sum("_cz_tok").alias("tok"))
     table = stored(table.coalesce(1), "table")
-    p = stored(probabilities(rake(table, {"src": source, "lng": lang, "top": topics}), keep).coalesce(1), "p")
+    p = stored(probabilities(rake(table, {"src": source, "lng": lang, "top": topics}, flatten), keep).coalesce(1), "p")
     p = p.select(F.col("src").alias("_cz_a"), F.col("lng").alias("_cz_b"), F.col("top").alias("_cz_c"), F.col("w").alias("_cz_w"), F.col("tok").alias("_cz_all"), F.col("p").alias("_cz_p"))
     out = tagged.join(p, (F.col("_cz_src") == F.col("_cz_a")) & (F.col("_cz_lng") == F.col("_cz_b")) & (F.col("_cz_top") == F.col("_cz_c")), "left")
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) / float(1 << 52)
