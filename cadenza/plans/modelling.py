@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cadenza.functions import kernels
 from cadenza.functions.expr import rounded, safe_corr
 from cadenza.operators import clean, decide, folds, lag, masks, models, report, segment, signif
+from cadenza.plans import experiments
 from cadenza.plans.registry import EMB, SIG, query, rd
 from cadenza.sources.adapters import array_signal, signal
 
@@ -273,3 +274,53 @@ def perm_test_corr(spark: SparkSession, d: str) -> DataFrame:
 def wilcoxon_pvalue(spark: SparkSession, d: str) -> DataFrame:
     s = models.correlate(segment.tumbling(signal(spark, d), K, "t", 10), ["u", "trial"], {"a": ("x", "y"), "b": ("x", "z")})
     return signif.wilcoxon_p(signif.wilcoxon(s, K, "a", "b")).select("u", "n", rounded("w").alias("w"), rounded("p").alias("p"))
+
+
+SETUP = experiments.Setup(width=2, lags_x=2, offset_x=1, lags_s=3, components=2, before=0, after=1)
+
+
+def recordings(spark: SparkSession, d: str) -> DataFrame:
+    """Two channels and two objects' features over recordings of ten samples."""
+    rival = F.pmod(F.col("y") * 37 + 11, F.lit(97.0))
+    return signal(spark, d).select("u", "vid", "t", F.array("x", "z").alias("x"), F.array("y").alias("att"), F.array(rival).alias("unatt"), F.col("sacc").alias("event"))
+
+
+@query()
+def experiment_correlations(spark: SparkSession, d: str) -> DataFrame:
+    r = experiments.correlations(recordings(spark, d), SETUP, permutations=20)
+    return r.select("u", "fold", "component", *[rounded(c).alias(c) for c in ("r_train", "att", "unatt", "level")])
+
+
+@query()
+def experiment_partial(spark: SparkSession, d: str) -> DataFrame:
+    from dataclasses import replace
+
+    r = experiments.correlations(recordings(spark, d), replace(SETUP, partial=True, lags_s=1), masked=True)
+    return r.select("u", "fold", "component", *[rounded(c).alias(c) for c in ("r_train", "att", "unatt")])
+
+
+@query()
+def experiment_decoding(spark: SparkSession, d: str) -> DataFrame:
+    acc = experiments.decoding(recordings(spark, d), SETUP, [5, 8], margin=1)
+    return acc.select("u", "task", "trial_len", "n", "n_correct", *[rounded(c).alias(c) for c in ("acc", "p_value", "acc_sig")])
+
+
+@query()
+def experiment_single_object(spark: SparkSession, d: str) -> DataFrame:
+    rec = recordings(spark, d)
+    w = experiments.single_object(rec.where("vid % 2 = 0"), SETUP)
+    r = experiments.correlations(rec.where("vid % 2 = 1"), SETUP, weights=w)
+    return r.select("u", "fold", "component", *[rounded(c).alias(c) for c in ("r_train", "att", "unatt")])
+
+
+@query()
+def experiment_saccade(spark: SparkSession, d: str) -> DataFrame:
+    rec = recordings(spark, d)
+    acc = experiments.saccade_study(rec.where("u % 2 = 0"), rec.where("u % 2 = 1"), SETUP, [5])
+    return acc.select("u", "task", "trial_len", "n", "n_correct", rounded("acc").alias("acc"), rounded("loss").alias("loss"))
+
+
+@query()
+def experiment_isc(spark: SparkSession, d: str) -> DataFrame:
+    r = experiments.intersubject(recordings(spark, d), 2, [1, 2, 3, 4], SETUP, "signal")
+    return r.select("modality", "fold", "component", rounded("isc").alias("isc"), rounded("iscov").alias("iscov"), "n_views")

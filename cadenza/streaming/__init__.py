@@ -1 +1 @@
-"""Part of the cadenza package."""
+"""Structured Streaming forms of the trial operators."""
