@@ -57,12 +57,12 @@ def shard(docs: DataFrame, shards: int = 16, rounds: int = 3) -> DataFrame:
     Texts are read once and never shuffled: rounds work on (number, unit, shard) rows.
     """
     text = F.coalesce("text", F.lit("")).cast("binary")
-    base = docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("crc"), F.sha2(text, 256).alias("g"), F.monotonically_increasing_id().alias("uid"))
+    base = docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("crc"), F.unhex(F.sha2(text, 256)).alias("g"), F.monotonically_increasing_id().alias("uid"))
     base = stored(base, "rows")
     n = base.count()
     piece = max(1, min(PIECE, n // (4 * shards)))
-    groups = base.groupBy("g").agg(F.count(F.lit(1)).alias("rows"))
-    rows = base.join(groups, "g")
+    groups = stored(base.groupBy("g").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "groups")  # so that the join can split a hot text
+    rows = base.join(groups, "g", "left").withColumn("rows", F.coalesce("rows", F.lit(1)))
     pieces = F.ceil(F.col("rows") / piece).cast("long")
     unit = F.xxhash64("g", F.pmod(F.xxhash64("uid"), pieces))
     rows = rows.select("uid", "doc_id", "size", "crc", unit.alias("unit"), (F.col("rows") > 1).alias("linked"))
