@@ -2,14 +2,60 @@
 
 from __future__ import annotations
 
-# Same columns as op6_exact_dedup.
-OP6 = """
-WITH d AS (
-  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents
-)
+from cadenza.llm.licenses import PHRASES, TEMPLATES
+
+FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def grams_sql() -> str:
+    """The two-word grams of phrases and templates as VALUES."""
+    rows = []
+    for exact, table in ((True, PHRASES), (False, TEMPLATES)):
+        for text, label in table.items():
+            w = text.split()
+            rows += [f"('{text}', '{label}', {exact}, {len(w)}, {j}, '{w[j]}', '{w[j + 1]}')" for j in range(len(w) - 1)]
+    return f"t(tid, label, exact, n, j, a, b) AS (VALUES {', '.join(rows)})"
+
+
+OP4 = rf"""
+WITH {grams_sql()},
+d AS (SELECT doc_id, regexp_extract_all({FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT doc_id, i - 1 AS i, w[i] AS a, w[i + 1] AS b FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d)),
+hits AS (SELECT doc_id, tid, label, exact, n, i, j, i - j AS diag FROM g JOIN t ON g.a = t.a AND g.b = t.b),
+whole AS (SELECT doc_id, label, diag AS first FROM hits WHERE exact GROUP BY doc_id, tid, label, n, diag HAVING count(DISTINCT j) = max(n) - 1),
+loose AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, tid ORDER BY diag) AS run FROM (
+  SELECT doc_id, tid, diag, CASE WHEN diag - lag(diag) OVER (PARTITION BY doc_id, tid ORDER BY diag) > 1 THEN 1 ELSE 0 END AS new
+  FROM (SELECT DISTINCT doc_id, tid, diag FROM hits WHERE NOT exact))),
+merged AS (SELECT doc_id, tid, label, n, run, count(DISTINCT word) / n AS score, min(i) AS first, max(i) + 1 AS last FROM (
+  SELECT h.*, l.run, unnest([h.j, h.j + 1]) AS word FROM hits h JOIN loose l ON h.doc_id = l.doc_id AND h.tid = l.tid AND h.diag = l.diag)
+  GROUP BY doc_id, tid, label, n, run),
+near AS (SELECT doc_id, label, score, greatest(max(score) OVER (PARTITION BY doc_id, first), max(score) OVER (PARTITION BY doc_id, last)) AS best
+  FROM merged WHERE score >= 0.8 AND last - first < n + 6),
+spans AS (SELECT doc_id, label, true AS exact, first, 1.0::DOUBLE AS score FROM whole UNION ALL SELECT doc_id, label, false, NULL, score FROM near WHERE score = best),
+per AS (SELECT doc_id, count(*) FILTER (WHERE exact) AS n_base, min(first) AS first_word, max(first) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE exact) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score, count(*) AS n_spans
+  FROM spans GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score, coalesce(n_spans, 0) AS n_spans
+FROM d LEFT JOIN per ON d.doc_id = per.doc_id
+"""
+
+OP6 = f"""
+WITH d AS (SELECT doc_id, {FOLDED} AS norm FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
 FROM d WINDOW g AS (PARTITION BY norm)
 """
 
-ORACLES: dict[str, str] = {"op6_exact_dedup": OP6}
+# Base 32 of 160 bits: four times ten hexadecimal digits make eight digits of base 32.
+OP8 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+       translate(array_to_string(list_transform([1, 11, 21, 31], lambda i: lpad(to_base(CAST(concat('0x', substr(hex, i, 10)) AS BIGINT), 32), 8, '0')), ''),
+                 '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to, true AS valid
+FROM f
+"""
+
+ORACLES: dict[str, str] = {"op4_license_scan": OP4, "op6_exact_dedup": OP6, "op8_warc": OP8}
