@@ -69,3 +69,18 @@ def draw_distractor(pool: DataFrame, keys: list[str], length: int, seed: int = 0
     cut = pool.withColumn("_n", F.count(F.lit(1)).over(w)).where(F.col("_n") >= length)
     first = F.pmod(F.xxhash64(F.lit(seed), *keys, "trial"), F.greatest(F.col("_n") - length, F.lit(1)))
     return cut.withColumn("_at", first).where((F.col("pos") >= F.col("_at")) & (F.col("pos") < F.col("_at") + length)).withColumn("pos", F.col("pos") - F.col("_at")).drop("_n", "_at")
+
+
+def random_subset(items: DataFrame, keys: list[str], item: str, n: int, seed: int = 0) -> DataFrame:
+    """``n`` of the distinct items per ``keys``, by a seeded hash: the same draw wherever and whenever it runs."""
+    drawn = items.select(*keys, item).distinct().withColumn("_h", F.xxhash64(F.lit(seed), *keys, item))
+    order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_h", item)
+    return drawn.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n).drop("_h", "_k")
+
+
+def random_rotation(df: DataFrame, keys: list[str], t: str, least: int, seed: int = 0, out: str = "pos") -> DataFrame:
+    """Circular shift of each sequence by a seeded amount of at least ``least`` samples either way, where it is long enough."""
+    df = with_length(df, keys, "_n")
+    room = F.greatest(F.col("_n") - 2 * least + 1, F.lit(1))
+    by = F.least(F.lit(least), F.col("_n")) + F.pmod(F.xxhash64(F.lit(seed), *keys), room)
+    return rotate(df.withColumn("_by", by), keys, t, F.col("_by"), out).drop("_n", "_by")

@@ -260,6 +260,19 @@ def distractor_draw(spark: SparkSession, d: str) -> DataFrame:
     return drawn.groupBy("u", "trial").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
 
 
+@query()
+def random_channel_subset(spark: SparkSession, d: str) -> DataFrame:
+    """Four channels drawn per label, and their mean."""
+    e = array_signal(spark, d).select("grp", F.posexplode("ch").alias("channel", "v"))
+    drawn = segment.random_subset(e, ["grp"], "channel", 4, seed=2)
+    return e.join(drawn, ["grp", "channel"]).groupBy("grp", F.col("channel").cast("long").alias("channel")).agg(rounded(F.avg("v")).alias("mean"))
+
+
+@query()
+def random_shift(spark: SparkSession, d: str) -> DataFrame:
+    return segment.random_rotation(signal(spark, d), K, "t", least=5, seed=4).select("u", "pos", rounded("x").alias("x"))
+
+
 @query()
 def perm_test_corr(spark: SparkSession, d: str) -> DataFrame:
     """Each subject's correlation, its phase-scrambled null's level at 5 %, and whether it passes."""

@@ -185,3 +185,12 @@ def test_empty_tables(spark):
     assert clean.fill_linear(empty, ["u"], "t", "x").count() == 0
     assert models.intersubject(empty, ["u"], "t", "t", "x").count() == 0
     assert signif.pooled_level(empty, ["u"], "x", 0.05).count() == 0
+
+
+def test_seeded_draws(spark):
+    df = series(spark, range(40))
+    a, b = (sorted(r.t for r in segment.random_subset(df, ["u"], "t", 4, seed=s).collect()) for s in (1, 1))
+    assert a == b and len(set(a)) == 4
+    moved = segment.random_rotation(df, ["u"], "t", 5, seed=3).collect()
+    shift = {(r.pos - r.t) % 40 for r in moved}
+    assert len(shift) == 1 and 5 <= shift.pop() <= 35 and {r.pos for r in moved} == set(range(40))
