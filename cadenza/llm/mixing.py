@@ -103,13 +103,12 @@ def probabilities(raked: DataFrame, keep: float) -> DataFrame:
     return r.withColumn("p", F.least(F.lit(1.0), F.coalesce(best, F.lit(float("inf"))) * F.col("ratio")))
 
 
-def mix(docs: DataFrame, source: dict[str, float] | None = None, lang: dict[str, float] | None = None, topics: dict[str, float] | None = None, keep: float = 0.9, seed: int = 7, flatten: float = 0.5) -> DataFrame:
-    """``docs`` with ``_cz_``-named topic, tokens, weight (share of the mix), p (probability) and kept.
+def weigh(tagged: DataFrame, source: dict[str, float] | None = None, lang: dict[str, float] | None = None, topics: dict[str, float] | None = None, keep: float = 0.9, seed: int = 7, flatten: float = 0.5) -> DataFrame:
+    """``tagged``, as ``cells`` gives it, with _cz_weight (share of the mix), _cz_p (probability) and _cz_kept.
 
     Targets are shares by category; None means the present shares to the power ``flatten`` (1: as they are, 0: equal).
     ``keep`` is the share of all tokens wanted in the sample.
     """
-    tagged = cells(docs)
     table = tagged.where("_cz_tok > 0").groupBy(F.col("_cz_src").alias("src"), F.col("_cz_lng").alias("lng"), F.col("_cz_top").alias("top")).agg(F.sum("_cz_tok").alias("tok"))
     table = stored(table.coalesce(1), "table")
     p = stored(probabilities(rake(table, {"src": source, "lng": lang, "top": topics}, flatten), keep).coalesce(1), "p")
@@ -118,3 +117,8 @@ def mix(docs: DataFrame, source: dict[str, float] | None = None, lang: dict[str,
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) / float(1 << 52)
     p_doc = F.when(F.col("_cz_tok") == 0, F.lit(1.0)).otherwise(F.coalesce("_cz_p", F.lit(0.0)))
     return out.withColumns({"_cz_p": p_doc, "_cz_weight": F.coalesce(F.col("_cz_w") * F.col("_cz_tok") / F.col("_cz_all"), F.lit(0.0)), "_cz_kept": draw < p_doc}).drop("_cz_a", "_cz_b", "_cz_c", "_cz_w", "_cz_all")
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with their cells and what ``weigh`` adds. Texts are read twice rather than written or shuffled."""
+    return weigh(cells(docs), **options)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import chat, decontam, exact_dedup, langid, licenses, mixing, secrets, sharding, simhash, warc
+from cadenza.llm.common import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +26,8 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    cells = mixing.cells(table(spark, sf_dir, "documents")).select("doc_id", "_cz_src", "_cz_lng", "_cz_top", "_cz_tok")
+    mixed = mixing.weigh(stored(cells, "cells"))
     return mixed.select("doc_id", F.col("_cz_top").alias("topic"), F.col("_cz_tok").alias("n_tokens"), F.col("_cz_weight").alias("weight"), F.col("_cz_p").alias("p"), F.col("_cz_kept").alias("kept"))
 
 

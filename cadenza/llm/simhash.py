@@ -91,7 +91,7 @@ def labelled(fps: DataFrame, node: str, comps: DataFrame) -> DataFrame:
     """``fps`` with ``component_id`` (smallest ``first`` of the component) and ``group_rows``."""
     known = fps.join(comps.withColumnRenamed("node", node), node, "left").withColumn("comp", F.coalesce("comp", node))
     tops = known.groupBy("comp").agg(F.min("first").alias("component_id"), F.sum("n").alias("group_rows"))
-    return known.join(tops, "comp").drop("comp")
+    return known.join(stored(tops, "tops"), "comp").drop("comp")  # stored, so that the join can split a hot component
 
 
 def wide_prints(docs: DataFrame) -> DataFrame:
@@ -143,30 +143,46 @@ def verified(x: str, y: str) -> Column:
     return (far("f1") + far("f2") <= FAR_TWO) & (far("f5") <= FAR_FIVE)
 
 
-def segment_links(fps: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes of ``fps`` (node, f1, f2, f5) that meet in a table and are near in all bits.
+def several(known: DataFrame, cls: str) -> DataFrame:
+    """The rows of buckets that hold more than one class, with ``main``, the bucket's commonest class."""
+    each = known.groupBy("key", cls).agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", cls))[cls].alias("main"), F.count(F.lit(1)).alias("k"))
+    return known.join(each.where("k > 1").drop("k"), "key")
+
+
+def relabelled(df: DataFrame, cls: str, edges: DataFrame, out: str) -> DataFrame:
+    """``df`` with ``out``: the component of its class under edges (a, b) between classes."""
+    joined = stored(components(edges), "classes").withColumnsRenamed({"node": cls, "comp": out})
+    return df.join(joined, cls, "left").withColumn(out, F.coalesce(out, cls))
+
+
+def segment_classes(fps: DataFrame) -> DataFrame:
+    """(node, comp): classes of fingerprints (node, f1, f2, f5) that links join; a link meets in a table and is near in all bits.
 
     Two fingerprints within two bits in a segment meet at a midpoint key; so all pairs within 11 of the 128 bits meet,
-    and most of those further apart. Each member of a bucket is first compared with the bucket's smallest and largest
-    node; the classes that follow leave few buckets with several, and in these the members outside the commonest class
+    and most of those further apart. First each member of a bucket is compared with its smallest node; then, in the
+    buckets that still hold several classes, with its largest; in what is left the members outside the commonest class
     are compared with all members of other classes. No link between classes is lost, and no bucket is paired in full.
     """
+    prints = ("f1", "f2", "f5")
     probes = dealt(fps).select("*", F.explode(segment_keys()).alias("key"))
     shared = probes.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
     shared = stored(shared, "shared")
     might = KeyFilter(shared.select("key")).might_hold(F.col("key"))
-    members = stored(probes.where(might).join(shared, "key").select("key", "node", "lo", "hi", "f1", "f2", "f5"), "members")
-    ends = members.select("node", F.explode(F.array("lo", "hi")).alias("b")).where("node <> b").distinct()
-    other = fps.select(F.col("node").alias("b"), *[F.col(f).alias(f"b_{f}") for f in ("f1", "f2", "f5")])
-    star = ends.join(fps.select("node", "f1", "f2", "f5"), "node").join(other, "b").where(verified("", "b_")).select(F.col("node").alias("a"), "b")
-    star = stored(star, "star")
-    classes = stored(components(star), "classes")
-    known = members.join(classes, "node", "left").withColumn("cls", F.coalesce("comp", "node")).drop("comp", "lo", "hi")
-    mixed = known.groupBy("key", "cls").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "cls"))["cls"].alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    known = stored(known.join(mixed.drop("k"), "key"), "mixed")
-    few = known.where("cls <> main").select("key", F.col("node").alias("a"), F.col("cls").alias("ca"), *[F.col(f).alias(f"a_{f}") for f in ("f1", "f2", "f5")])
-    more = few.join(known, "key").where((F.col("ca") != F.col("cls")) & verified("a_", "")).select("a", F.col("node").alias("b"))
-    return star.unionByName(more).distinct()
+    members = stored(probes.where(might).join(shared, "key").select("key", "node", "lo", "hi", *prints), "members")
+    ends = members.select("node", F.col("lo").alias("b")).where("node <> b").distinct()
+    other = fps.select(F.col("node").alias("b"), *[F.col(f).alias(f"b_{f}") for f in prints])
+    star = ends.join(fps, "node").join(other, "b").where(verified("", "b_")).select(F.col("node").alias("a"), "b")
+    nodes = stored(relabelled(fps.select("node"), "node", star, "c1"), "nodes")
+
+    mixed = stored(several(members.join(nodes, "node").drop("lo"), "c1").drop("main"), "mixed")
+    last = mixed.where("node = hi").select("key", F.col("c1").alias("b"), *[F.col(f).alias(f"b_{f}") for f in prints])
+    edges = mixed.join(last, "key").where((F.col("c1") != F.col("b")) & verified("", "b_")).select(F.col("c1").alias("a"), "b")
+    nodes = stored(relabelled(nodes, "c1", edges, "c2"), "nodes")
+
+    mixed = stored(several(mixed.drop("hi", "c1").join(nodes.select("node", "c2"), "node"), "c2"), "mixed")
+    few = mixed.where("c2 <> main").select("key", F.col("c2").alias("a"), *[F.col(f).alias(f"a_{f}") for f in prints])
+    edges = few.join(mixed, "key").where((F.col("a") != F.col("c2")) & verified("a_", "")).select("a", F.col("c2").alias("b"))
+    return relabelled(nodes, "c2", edges, "comp").select("node", "comp")
 
 
 def similar_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -175,7 +191,7 @@ def similar_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     prints = stored(wide_prints(docs), "prints")
     fps = prints.groupBy("f1", "f2", "f5").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
     fps = stored(fps.withColumn("node", F.xxhash64("f1", "f2", "f5")), "fps")
-    comps = stored(components(segment_links(fps.select("node", "f1", "f2", "f5"))), "comps")
+    comps = stored(segment_classes(fps.select("node", "f1", "f2", "f5")), "comps")
     return prints, labelled(fps, "node", comps).select("f1", "f2", "f5", "component_id", "group_rows")
 
 
