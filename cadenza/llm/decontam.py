@@ -6,7 +6,8 @@ multi-index over four 16-bit blocks with Hamming balls of radius three guarantee
 item of its size; the exact similarity then verifies each candidate.
 
 Windows are taken where they can matter: a window of s shingles needs 2 s t / (1 + t) shingles in common with an item
-to reach similarity t, so windows with fewer shingles known to any item are not fingerprinted. That bound is exact.
+to reach similarity t, so windows with fewer shingles known to items of their size are not fingerprinted. That bound
+is exact.
 
 Edge cases: words are runs of letters and digits, lower-cased; null texts are empty and never match, nor do items
 without words. Repeated rows and items each count; ids may be null. Texts are read whole. Only doc_id, text, item_id
@@ -66,26 +67,32 @@ def describe_items(items: DataFrame) -> DataFrame:
     return items.select("item_id", "text").mapInPandas(task, "item_id long, m int, fp long, shingles array<long>")
 
 
-def windows(docs: DataFrame, shingles: np.ndarray, sizes: list[int], similarity: float) -> DataFrame:
-    """(doc_id, start, m, fp, wkey, shingles): windows of the sizes that hold enough of the given shingles."""
+def windows(docs: DataFrame, shingles: np.ndarray, masks: np.ndarray, sizes: list[int], similarity: float) -> DataFrame:
+    """(doc_id, start, m, fp, wkey, shingles): windows of the sizes that hold enough of the shingles of items of that size.
+
+    ``shingles`` is sorted; bit i % 64 of its mask says that an item of ``sizes[i]`` words holds a shingle. With more
+    than 64 sizes a bit stands for several, which only lets more windows pass.
+    """
     table = np.zeros(1 << TABLE_BITS >> 3, np.uint8)
     slot = (shingles & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)
     np.bitwise_or.at(table, slot >> 3, np.uint8(1) << (slot & 7).astype(np.uint8))
-    shared = docs.sparkSession.sparkContext.broadcast((np.sort(shingles), table, sorted(sizes)))
+    shared = docs.sparkSession.sparkContext.broadcast((shingles, masks, table, sizes))
 
     def known(h: np.ndarray) -> np.ndarray:
-        every, bits, _ = shared.value
+        """Masks of the shingles; 0 for those that no item holds."""
+        every, mask, bits, _ = shared.value
         at = (h & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)
         maybe = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
         pos = np.minimum(np.searchsorted(every, h[maybe]), len(every) - 1)
-        out = np.zeros(len(h), bool)
-        out[maybe[every[pos] == h[maybe]]] = True
+        out = np.zeros(len(h), np.uint64)
+        out[maybe] = np.where(every[pos] == h[maybe], mask[pos], np.uint64(0))
         return out
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by_k: dict[int, list[int]] = {}
-        for m in shared.value[2]:
-            by_k.setdefault(min(K, m), []).append(m)
+        by_k: dict[int, list[tuple[int, int]]] = {}
+        for i, m in enumerate(shared.value[3]):
+            by_k.setdefault(min(K, m), []).append((m, i % 64))
+        places = np.arange(64, dtype=np.uint64)
         for b in batches:
             for lo, hi in slices(list(b["text"]), 500_000):
                 w = split_words([(t or "").lower() for t in b["text"].iloc[lo:hi]])
@@ -93,15 +100,20 @@ def windows(docs: DataFrame, shingles: np.ndarray, sizes: list[int], similarity:
                 out: list[tuple] = []
                 for k, ms in by_k.items():
                     h, same = w.shingles(k)
-                    hit = known(h) & same
-                    per = np.bincount(w.doc[: len(h)][hit], minlength=hi - lo) if len(h) else np.zeros(hi - lo, np.int64)
-                    for d in np.flatnonzero(per >= need(ms[0] - k + 1, similarity)):
+                    mask = np.where(same, known(h), np.uint64(0))
+                    hits = np.flatnonzero(mask)
+                    per = np.bincount(w.doc[hits], minlength=hi - lo)
+                    for d in np.flatnonzero(per >= need(ms[0][0] - k + 1, similarity)):
                         first, n = w.first[d], w.first[d + 1] - w.first[d] - k + 1
-                        g, c = h[first : first + n], np.concatenate([[0], np.cumsum(hit[first : first + n])])
-                        for m in ms:
+                        g, own = h[first : first + n], mask[first : first + n]
+                        count = (own[own > 0][:, None] >> places & np.uint64(1)).sum(axis=0)
+                        for m, bit in ms:
                             s = m - k + 1
                             if s > n:
                                 break
+                            if count[bit] < need(s, similarity):
+                                continue
+                            c = np.concatenate([[0], np.cumsum((own >> np.uint64(bit) & np.uint64(1)).astype(np.int64))])
                             for at in np.flatnonzero(c[s:] - c[:-s] >= need(s, similarity)):
                                 x = g[at : at + s]
                                 fp = simhash(np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)[None], s)[0]
@@ -179,11 +191,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, most_s
     found = None
     for i in range(n_blocks):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == i)
-        known = part.select(F.explode("shingles").alias("h")).distinct().toPandas()["h"].to_numpy(np.int64).view(np.uint64)
-        sizes = [r["m"] for r in part.select("m").distinct().collect()]
-        if not len(known):
+        sizes = sorted(r["m"] for r in part.select("m").distinct().collect())
+        if not sizes:
             continue
-        wins = stored(windows(docs, known, sizes, similarity), "windows")
+        bit = F.create_map(*[F.lit(x) for i, m in enumerate(sizes) for x in (m, (1 << i % 64) - (1 << 64 if i % 64 == 63 else 0))])
+        known = part.select(F.explode("shingles").alias("h"), bit[F.col("m")].cast("long").alias("bit")).groupBy("h").agg(F.bit_or("bit").alias("mask")).toPandas()
+        h, mask = (known[c].to_numpy(np.int64).view(np.uint64) for c in ("h", "mask"))
+        order = np.argsort(h)
+        wins = stored(windows(docs, h[order], mask[order], sizes, similarity), "windows")
         contents = stored(wins.groupBy("m", "wkey").agg(F.first("fp").alias("fp"), F.first("shingles").alias("shingles")), "contents")
         pairs = candidates(contents, part).withColumn("similarity", weighted_jaccard("a", "b")).where(F.col("similarity") >= similarity)
         pairs = stored(pairs.select("m", "wkey", "item_id", "similarity"), "matches")
