@@ -12,7 +12,6 @@ Only the named columns are read, so others may have any name.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -135,15 +134,13 @@ def fit(labelled: DataFrame, docs_per_lang: int = 4000, most_words: int = 40_000
     best = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "term")
     top = terms.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= F.when(F.col("size") == 0, most_words).otherwise(most_grams))
     chosen = terms.join(top.select("size", "term").distinct(), ["size", "term"])
-    counts: dict[tuple[int, str], list[int]] = {}
-    at = {x: i for i, x in enumerate(langs)}
-    for r in chosen.select("size", "term", "lang", "n").toLocalIterator():
-        counts.setdefault((r["size"], r["term"]), [0] * len(langs))[at[r["lang"]]] = r["n"]
+    wide = stored(chosen.groupBy("size", "term").agg(F.array(*[F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)) for x in langs]).alias("n")), "model")
     tables: dict[int, dict[str, int]] = {n: {} for n in range(LONGEST + 1)}
-    logs = np.empty((len(counts), len(langs)), np.float32)
-    for i, ((size, term), c) in enumerate(sorted(counts.items())):
-        tables[size][term] = i
-        logs[i] = [math.log((x + 0.1) / (totals.get((lang, size), 0) + 1)) for x, lang in zip(c, langs, strict=True)]
+    logs = np.empty((wide.count(), len(langs)), np.float32)
+    floors = {size: np.array([totals.get((x, size), 0) + 1 for x in langs], float) for size in tables}
+    for i, r in enumerate(wide.toLocalIterator()):
+        tables[r["size"]][r["term"]] = i
+        logs[i] = np.log((np.array(r["n"]) + 0.1) / floors[r["size"]])
     return Model(langs, tables.pop(0), tables, logs)
 
 
