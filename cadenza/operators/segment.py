@@ -74,7 +74,9 @@ def draw_distractor(pool: DataFrame, keys: list[str], length: int, seed: int = 0
 def random_subset(items: DataFrame, keys: list[str], item: str, n: int, seed: int = 0) -> DataFrame:
     """``n`` of the distinct items per ``keys``, by a seeded hash: the same draw wherever and whenever it runs."""
     drawn = items.select(*keys, item).distinct().withColumn("_h", F.xxhash64(F.lit(seed), *keys, item))
-    order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_h", item)
+    if not keys:
+        return drawn.orderBy("_h", item).limit(n).drop("_h")
+    order = Window.partitionBy(*keys).orderBy("_h", item)
     return drawn.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n).drop("_h", "_k")
 
 
