@@ -4,7 +4,8 @@ Two forms share the method. ``near_duplicates`` links 64-bit fingerprints of wor
 ``similar_groups`` finds texts with a similarity of about 0.8 and more over five-word shingles: at 0.8 five-word
 fingerprints differ in 10 to 14 of 64 bits, too many for small balls, while two-word fingerprints, of which a changed word
 breaks fewer shingles, differ in about 12 of 128. So the index has 128 bits of two-word shingles in four segments, and
-the complete distances of both the two-word and the five-word fingerprint verify each match.
+pairs that meet and are near in all bits are candidates. Each link is then verified by the exact Jaccard similarity of
+the whole texts' sets of five-word shingles, 0.8 at least, before components are built.
 
 Edge cases: null and empty texts have no words and share fingerprint zero, so they form one group. Rows that repeat a
 doc_id are the same document. A null doc_id never becomes a component's label unless all ids in it are null. Only
@@ -94,8 +95,32 @@ def labelled(fps: DataFrame, node: str, comps: DataFrame) -> DataFrame:
     return known.join(stored(tops, "tops"), "comp").drop("comp")  # stored, so that the join can split a hot component
 
 
+def row_id() -> Column:
+    """A row's number in the near-copy search, from its id and its text."""
+    return F.xxhash64("doc_id", "text").alias("rid")
+
+
+def five_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct five-word shingles of each text, one text after the other, and how many each has.
+
+    Words are runs of letters and digits. A text with fewer than five words has one shingle, the whole of it.
+    """
+    w = split_words([(t or "").lower() for t in texts])
+    words = np.diff(w.first)
+    h, inside = w.shingles(5)
+    h, doc = h[inside], w.doc[: len(inside)][inside]
+    short = np.flatnonzero((words > 0) & (words < 5))
+    whole = [mix(np.bitwise_xor.reduce(mix(w.hash[w.first[i] : w.first[i + 1]] + np.arange(words[i], dtype=np.uint64)), keepdims=True))[0] for i in short]
+    h, doc = np.concatenate([h, np.array(whole, np.uint64)]), np.concatenate([doc, short])
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return h[new], np.bincount(doc[new], minlength=len(texts))
+
+
 def wide_prints(docs: DataFrame) -> DataFrame:
-    """(doc_id, f1, f2, f5): 128 bits of two-word and 64 bits of five-word shingles; zero for texts without words.
+    """(doc_id, rid, f1, f2, f5): 128 bits of two-word and 64 bits of five-word shingles; zero for texts without words.
 
     Words are runs of letters and digits. A text with fewer words than a shingle has one shingle, the whole of it.
     """
@@ -124,9 +149,9 @@ def wide_prints(docs: DataFrame) -> DataFrame:
                         at[short], n[short] = len(h) + np.arange(len(short)), 1
                         h = np.concatenate([h, np.array(whole, np.uint64)])
                     out[k] = votes(h, at, n), votes(mix(h + np.uint64(SEED)), at, n) if k == 2 else None
-                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[lo:hi].array, "f1": out[2][0], "f2": out[2][1], "f5": out[5][0]})
+                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[lo:hi].array, "rid": b["rid"].iloc[lo:hi].array, "f1": out[2][0], "f2": out[2][1], "f5": out[5][0]})
 
-    return docs.select("doc_id", "text").mapInPandas(task, "doc_id long, f1 long, f2 long, f5 long")
+    return docs.select("doc_id", row_id(), "text").mapInPandas(task, "doc_id long, rid long, f1 long, f2 long, f5 long")
 
 
 def segment_keys() -> Column:
@@ -155,8 +180,32 @@ def relabelled(df: DataFrame, cls: str, edges: DataFrame, out: str) -> DataFrame
     return df.join(joined, cls, "left").withColumn(out, F.coalesce(out, cls))
 
 
-def segment_classes(fps: DataFrame) -> DataFrame:
-    """(node, comp): classes of fingerprints (node, f1, f2, f5) that links join; a link meets in a table and is near in all bits.
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b, ...) of nodes whose whole shingle sets have a Jaccard similarity of 0.8 or more, exactly."""
+    one, two = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"_s{c}")) for c in ("a", "b"))
+    both = pairs.join(one, "a").join(two, "b").withColumn("_n", F.size(F.array_intersect("_sa", "_sb")))
+    return both.where(F.col("_n") * 9 >= (F.size("_sa") + F.size("_sb")) * 4).select(*pairs.columns)  # n / (a + b - n) >= 4 / 5
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, shingles): the distinct five-word shingles of the text of each row that ``wanted`` (rid, node) names.
+
+    Texts are read again, and only those wanted are shuffled. A text with fewer words than five has one shingle.
+    """
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lo, hi in slices(list(b["text"]), 250_000):
+                h, n = five_words(list(b["text"].iloc[lo:hi]))
+                yield pd.DataFrame({"node": b["node"].iloc[lo:hi].array, "shingles": np.split(h.view(np.int64), np.cumsum(n)[:-1])})
+
+    texts = docs.select(row_id(), "text").where(KeyFilter(wanted.select("rid")).might_hold(F.col("rid")))
+    found = texts.join(wanted, "rid").select("node", "text").mapInPandas(task, "node long, shingles array<long>")
+    return stored(found, "sets").groupBy("node").agg(F.first("shingles").alias("shingles"))  # a row may be repeated
+
+
+def segment_classes(fps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, comp): classes of fingerprints (node, rid, f1, f2, f5) that links join; a link meets in a table and is ``alike``.
 
     Two fingerprints within two bits in a segment meet at a midpoint key; so all pairs within 11 of the 128 bits meet,
     and most of those further apart. First each member of a bucket is compared with its smallest node; then, in the
@@ -168,30 +217,33 @@ def segment_classes(fps: DataFrame) -> DataFrame:
     shared = probes.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
     shared = stored(shared, "shared")
     might = KeyFilter(shared.select("key")).might_hold(F.col("key"))
-    members = stored(probes.where(might).join(shared, "key").select("key", "node", "lo", "hi", *prints), "members")
+    members = stored(probes.where(might).join(shared, "key").select("key", "node", "rid", "lo", "hi", *prints), "members")
+    sets = stored(shingle_sets(docs, members.select("rid", "node").distinct()), "sets")
     ends = members.select("node", F.col("lo").alias("b")).where("node <> b").distinct()
     other = fps.select(F.col("node").alias("b"), *[F.col(f).alias(f"b_{f}") for f in prints])
-    star = ends.join(fps, "node").join(other, "b").where(verified("", "b_")).select(F.col("node").alias("a"), "b")
-    nodes = stored(relabelled(fps.select("node"), "node", star, "c1"), "nodes")
+    star = stored(ends.join(fps, "node").join(other, "b").where(verified("", "b_")).select(F.col("node").alias("a"), "b"), "star")
+    nodes = stored(relabelled(fps.select("node"), "node", alike(star, sets), "c1"), "nodes")
 
-    mixed = stored(several(members.join(nodes, "node").drop("lo"), "c1").drop("main"), "mixed")
-    last = mixed.where("node = hi").select("key", F.col("c1").alias("b"), *[F.col(f).alias(f"b_{f}") for f in prints])
-    edges = mixed.join(last, "key").where((F.col("c1") != F.col("b")) & verified("", "b_")).select(F.col("c1").alias("a"), "b")
+    mixed = stored(several(members.join(nodes, "node").drop("lo", "rid"), "c1").drop("main"), "mixed")
+    last = mixed.where("node = hi").select("key", F.col("node").alias("b"), F.col("c1").alias("cb"), *[F.col(f).alias(f"b_{f}") for f in prints])
+    edges = mixed.join(last, "key").where((F.col("c1") != F.col("cb")) & verified("", "b_")).select(F.col("node").alias("a"), "b", F.col("c1").alias("ca"), "cb")
+    edges = alike(stored(edges.distinct(), "last"), sets).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     nodes = stored(relabelled(nodes, "c1", edges, "c2"), "nodes")
 
     mixed = stored(several(mixed.drop("hi", "c1").join(nodes.select("node", "c2"), "node"), "c2"), "mixed")
-    few = mixed.where("c2 <> main").select("key", F.col("c2").alias("a"), *[F.col(f).alias(f"a_{f}") for f in prints])
-    edges = few.join(mixed, "key").where((F.col("a") != F.col("c2")) & verified("a_", "")).select("a", F.col("c2").alias("b"))
+    few = mixed.where("c2 <> main").select("key", F.col("node").alias("a"), F.col("c2").alias("ca"), *[F.col(f).alias(f"a_{f}") for f in prints])
+    edges = few.join(mixed, "key").where((F.col("ca") != F.col("c2")) & verified("a_", "")).select("a", F.col("node").alias("b"), "ca", F.col("c2").alias("cb"))
+    edges = alike(stored(edges.distinct(), "few"), sets).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     return relabelled(nodes, "c2", edges, "comp").select("node", "comp")
 
 
 def similar_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(prints, groups)`` as ``near_duplicates`` gives, by similarity: (doc_id, f1, f2, f5), (f1, f2, f5, component_id, group_rows)."""
+    """``(prints, groups)`` as ``near_duplicates`` gives, by similarity: (doc_id, rid, f1, f2, f5), (f1, f2, f5, component_id, group_rows)."""
     small_batches(docs.sparkSession)
     prints = stored(wide_prints(docs), "prints")
-    fps = prints.groupBy("f1", "f2", "f5").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    fps = prints.groupBy("f1", "f2", "f5").agg(F.min("doc_id").alias("first"), F.min("rid").alias("rid"), F.count(F.lit(1)).alias("n"))
     fps = stored(fps.withColumn("node", F.xxhash64("f1", "f2", "f5")), "fps")
-    comps = stored(segment_classes(fps.select("node", "f1", "f2", "f5")), "comps")
+    comps = stored(segment_classes(fps.select("node", "rid", "f1", "f2", "f5"), docs), "comps")
     return prints, labelled(fps, "node", comps).select("f1", "f2", "f5", "component_id", "group_rows")
 
 

@@ -100,3 +100,32 @@ def test_keep_one_keeps_the_columns(spark):
 def test_odd_rows(spark):
     df, n = odd(spark)
     assert simhash.assign_groups(df).count() == n and simhash.assign_groups(df.limit(0)).count() == 0
+
+
+def jaccard(a, b):
+    s, t = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(s & t) / len(s | t)
+
+
+def edited(rnd, n, edit, share):
+    """A text of ``n`` words and a copy of which ``share`` is scattered changes, appended, cut off or a block replaced."""
+    w, m = [f"v{rnd.randrange(10**9)}" for _ in range(n)], max(1, round(share * n))
+    new = [f"x{rnd.randrange(10**9)}" for _ in range(m)]
+    if edit == "scattered":
+        v = w.copy()
+        for i, x in zip(rnd.sample(range(n), m), new, strict=True):
+            v[i] = x
+    else:
+        at = rnd.randrange(n - m)
+        v = {"appended": w + new, "cut": w[:-m], "block": w[:at] + new + w[at + m :]}[edit]
+    return " ".join(w), " ".join(v)
+
+
+def test_only_pairs_of_the_similarity_are_linked(spark):
+    rnd = random.Random(8)
+    pairs = [edited(rnd, 300, "scattered", share) for share in (0.003, 0.01, 0.02, 0.03, 0.04, 0.05, 0.06) for _ in range(30)]
+    got = similar(spark, [t for p in pairs for t in p])
+    low = [got[2 * i] == got[2 * i + 1] for i, p in enumerate(pairs) if jaccard(*p) < 0.8]
+    high = [got[2 * i] == got[2 * i + 1] for i, p in enumerate(pairs) if jaccard(*p) >= 0.8]
+    assert len(low) > 100 and not any(low) and sum(high) >= 0.9 * len(high)
+    assert 0.5 < min(jaccard(*p) for p in pairs) < 0.6
