@@ -1,11 +1,12 @@
 """SimHash near-duplicates by multi-index hashing.
 
-Two forms share the method. ``near_duplicates`` links 64-bit fingerprints of word shingles within two bits, exactly.
-``similar_groups`` finds texts with a similarity of about 0.8 and more over five-word shingles: at 0.8 five-word
-fingerprints differ in 10 to 14 of 64 bits, too many for small balls, while two-word fingerprints, of which a changed word
-breaks fewer shingles, differ in about 12 of 128. So the index has 128 bits of two-word shingles in four segments, and
-pairs that meet and are near in all bits are candidates. Each link is then verified by the exact Jaccard similarity of
-the whole texts' sets of five-word shingles, 0.8 at least, before components are built.
+``near_duplicates`` links 64-bit fingerprints of word shingles within two bits, exactly.
+
+``similar_groups`` finds texts with a Jaccard similarity of 0.8 and more over their sets of five-word shingles. At 0.8,
+five-word SimHashes differ in about 10 of 64 bits whatever the edit, and two-word ones do so for appended, cut or
+replaced passages: too many for small balls. So its candidates come from tables of minima: equal least hashes of the set
+in all four places of any of 20 bands. A pair at 0.8 meets with a chance of 1 - (1 - 0.8^4)^20, or 99.997 %, whatever was
+edited. Each link is then verified by the exact similarity of the whole sets before components are built.
 
 Edge cases: null and empty texts have no words and share fingerprint zero, so they form one group. Rows that repeat a
 doc_id are the same document. A null doc_id never becomes a component's label unless all ids in it are null. Only
@@ -25,12 +26,11 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.common import components, small_batches, stored
 from cadenza.llm.filters import KeyFilter
-from cadenza.llm.words import mix, slices, split_words
+from cadenza.llm.words import BASE, mix, slices, split_words
 
 SEED = 42
 BITS = 64
-SEGMENTS, SEGMENT_BITS = 4, 32
-FAR_TWO, FAR_FIVE = 18, 16  # most bits by which two-word (of 128) and five-word (of 64) fingerprints may differ
+BANDS, PLACES = 20, 4  # tables of similar_groups, and the minima that a key of each holds
 
 
 def _fingerprint(text: str | None, k: int) -> int:
@@ -120,52 +120,32 @@ def five_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def wide_prints(docs: DataFrame) -> DataFrame:
-    """(doc_id, rid, f1, f2, f5): 128 bits of two-word and 64 bits of five-word shingles; zero for texts without words.
+    """(doc_id, rid, f1, f2, f5, keys): a row's shingle set by 128 bits and its size, all zero without words, and its keys.
 
-    Words are runs of letters and digits. A text with fewer words than a shingle has one shingle, the whole of it.
+    Equal ``f1``, ``f2`` (order-free hashes of the set) and ``f5`` (its number of five-word shingles) are equal sets.
     """
-
-    def votes(h: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(n), np.int64)
-        some = np.flatnonzero(n > 0)
-        if len(some):
-            keep = np.concatenate([np.arange(a, a + c) for a, c in zip(first[some], n[some], strict=True)])
-            bits = np.unpackbits(h[keep].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            sums = np.add.reduceat(bits, np.concatenate([[0], np.cumsum(n[some])[:-1]]), axis=0, dtype=np.int32)
-            out[some] = np.packbits(sums * 2 > n[some, None], axis=1).view(">u8").ravel().astype(np.uint64).view(np.int64)
-        return out
+    odd = mix(np.arange(1, BANDS * PLACES + 1, dtype=np.uint64) * np.uint64(SEED)) | np.uint64(1)
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for lo, hi in slices(list(b["text"]), 250_000):
-                w = split_words([(t or "").lower() for t in b["text"].iloc[lo:hi]])
-                words, out = np.diff(w.first), {}
-                for k in (2, 5):
-                    h, n = w.shingles(k)[0], np.maximum(words - k + 1, 0)
-                    short = np.flatnonzero((words > 0) & (words < k))
-                    at = w.first[:-1].copy()
-                    if len(short):  # one shingle of all words, appended
-                        whole = [mix(np.bitwise_xor.reduce(mix(w.hash[w.first[i] : w.first[i + 1]] + np.arange(words[i], dtype=np.uint64)), keepdims=True))[0] for i in short]
-                        at[short], n[short] = len(h) + np.arange(len(short)), 1
-                        h = np.concatenate([h, np.array(whole, np.uint64)])
-                    out[k] = votes(h, at, n), votes(mix(h + np.uint64(SEED)), at, n) if k == 2 else None
-                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[lo:hi].array, "rid": b["rid"].iloc[lo:hi].array, "f1": out[2][0], "f2": out[2][1], "f5": out[5][0]})
-
-    return docs.select("doc_id", row_id(), "text").mapInPandas(task, "doc_id long, rid long, f1 long, f2 long, f5 long")
-
-
-def segment_keys() -> Column:
-    """Keys of a 128-bit fingerprint: the ball of radius one in each 32-bit segment, tagged with the segment's number."""
-    low = F.lit((1 << SEGMENT_BITS) - 1)
-    parts = [F.shiftrightunsigned(f, s).bitwiseAND(low) for f in ("f1", "f2") for s in (0, SEGMENT_BITS)]
-    flips = [0, *[1 << i for i in range(SEGMENT_BITS)]]
-    return F.array(*[p.bitwiseXOR(F.lit(x).cast("long")) + F.lit(i << SEGMENT_BITS).cast("long") for i, p in enumerate(parts) for x in flips])
-
-
-def verified(x: str, y: str) -> Column:
-    """Whether two fingerprints, columns f1, f2, f5 with these prefixes, are near enough in all their bits."""
-    far = lambda f: F.bit_count(F.col(x + f).bitwiseXOR(F.col(y + f)))
-    return (far("f1") + far("f2") <= FAR_TWO) & (far("f5") <= FAR_FIVE)
+                h, n = five_words(list(b["text"].iloc[lo:hi]))
+                some = np.flatnonzero(n)
+                at = (np.cumsum(n) - n)[some]
+                out = {c: np.zeros(hi - lo, np.uint64) for c in ("f1", "f2")}
+                keys = np.zeros((hi - lo, BANDS), np.uint64)
+                if len(some):
+                    for i, c in enumerate(out):
+                        out[c][some] = mix(np.add.reduceat(mix(h + np.uint64(SEED + i)), at))
+                    for i in range(BANDS):
+                        key = np.full(len(some), i, np.uint64)
+                        for m in odd[i * PLACES : (i + 1) * PLACES]:
+                            key = mix(key * BASE + np.minimum.reduceat(h * m, at))
+                        keys[some, i] = key
+                rows = [k if c else k[:0] for k, c in zip(keys.view(np.int64), n, strict=True)]
+                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[lo:hi].array, "rid": b["rid"].iloc[lo:hi].array, "f1": out["f1"].view(np.int64), "f2": out["f2"].view(np.int64), "f5": n, "keys": rows})
+
+    return docs.select("doc_id", row_id(), "text").mapInPandas(task, "doc_id long, rid long, f1 long, f2 long, f5 long, keys array<long>")
 
 
 def several(known: DataFrame, cls: str) -> DataFrame:
@@ -204,46 +184,46 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return stored(found, "sets").groupBy("node").agg(F.first("shingles").alias("shingles"))  # a row may be repeated
 
 
-def segment_classes(fps: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, comp): classes of fingerprints (node, rid, f1, f2, f5) that links join; a link meets in a table and is ``alike``.
+def band_classes(fps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, comp): classes of shingle sets (node, rid, f5, keys) that links join; a link shares a key and is ``alike``.
 
-    Two fingerprints within two bits in a segment meet at a midpoint key; so all pairs within 11 of the 128 bits meet,
-    and most of those further apart. First each member of a bucket is compared with its smallest node; then, in the
-    buckets that still hold several classes, with its largest; in what is left the members outside the commonest class
-    are compared with all members of other classes. No link between classes is lost, and no bucket is paired in full.
+    First each member of a bucket is compared with its smallest node; then, in the buckets that still hold several
+    classes, with its largest; in what is left the members outside the commonest class are compared with all members
+    of other classes. No link between classes is lost, and no bucket of one class is paired in full.
     """
-    prints = ("f1", "f2", "f5")
-    probes = dealt(fps).select("*", F.explode(segment_keys()).alias("key"))
+    probes = dealt(fps).select("node", "rid", "f5", F.explode("keys").alias("key"))
     shared = probes.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
     shared = stored(shared, "shared")
     might = KeyFilter(shared.select("key")).might_hold(F.col("key"))
-    members = stored(probes.where(might).join(shared, "key").select("key", "node", "rid", "lo", "hi", *prints), "members")
+    members = stored(probes.where(might).join(shared, "key"), "members")
     sets = stored(shingle_sets(docs, members.select("rid", "node").distinct()), "sets")
-    ends = members.select("node", F.col("lo").alias("b")).where("node <> b").distinct()
-    other = fps.select(F.col("node").alias("b"), *[F.col(f).alias(f"b_{f}") for f in prints])
-    star = stored(ends.join(fps, "node").join(other, "b").where(verified("", "b_")).select(F.col("node").alias("a"), "b"), "star")
+    star = stored(members.where("node <> lo").select(F.col("node").alias("a"), F.col("lo").alias("b")).distinct(), "star")
     nodes = stored(relabelled(fps.select("node"), "node", alike(star, sets), "c1"), "nodes")
 
+    def between(pairs: DataFrame, tag: str) -> DataFrame:
+        """Links (a, b) between classes, of ``pairs`` of nodes (a, b) in classes (ca, cb); sizes na, nb apart can't be alike."""
+        near = pairs.where("ca <> cb and least(na, nb) * 5 >= greatest(na, nb) * 4").select("a", "b", "ca", "cb").distinct()
+        return alike(stored(near, tag), sets).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+
     mixed = stored(several(members.join(nodes, "node").drop("lo", "rid"), "c1").drop("main"), "mixed")
-    last = mixed.where("node = hi").select("key", F.col("node").alias("b"), F.col("c1").alias("cb"), *[F.col(f).alias(f"b_{f}") for f in prints])
-    edges = mixed.join(last, "key").where((F.col("c1") != F.col("cb")) & verified("", "b_")).select(F.col("node").alias("a"), "b", F.col("c1").alias("ca"), "cb")
-    edges = alike(stored(edges.distinct(), "last"), sets).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    nodes = stored(relabelled(nodes, "c1", edges, "c2"), "nodes")
+    last = mixed.where("node = hi").select("key", F.col("node").alias("b"), F.col("c1").alias("cb"), F.col("f5").alias("nb"))
+    pairs = mixed.withColumnsRenamed({"node": "a", "c1": "ca", "f5": "na"}).join(last, "key")
+    nodes = stored(relabelled(nodes, "c1", between(pairs, "last"), "c2"), "nodes")
 
     mixed = stored(several(mixed.drop("hi", "c1").join(nodes.select("node", "c2"), "node"), "c2"), "mixed")
-    few = mixed.where("c2 <> main").select("key", F.col("node").alias("a"), F.col("c2").alias("ca"), *[F.col(f).alias(f"a_{f}") for f in prints])
-    edges = few.join(mixed, "key").where((F.col("ca") != F.col("c2")) & verified("a_", "")).select("a", F.col("node").alias("b"), "ca", F.col("c2").alias("cb"))
-    edges = alike(stored(edges.distinct(), "few"), sets).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    return relabelled(nodes, "c2", edges, "comp").select("node", "comp")
+    few = mixed.where("c2 <> main").select("key", F.col("node").alias("a"), F.col("c2").alias("ca"), F.col("f5").alias("na"))
+    pairs = few.join(mixed.withColumnsRenamed({"node": "b", "c2": "cb", "f5": "nb"}), "key")
+    return relabelled(nodes, "c2", between(pairs, "few"), "comp").select("node", "comp")
 
 
 def similar_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(prints, groups)`` as ``near_duplicates`` gives, by similarity: (doc_id, rid, f1, f2, f5), (f1, f2, f5, component_id, group_rows)."""
+    """``(prints, groups)`` as ``near_duplicates`` gives, by similarity: ``wide_prints``, (f1, f2, f5, component_id, group_rows)."""
     small_batches(docs.sparkSession)
     prints = stored(wide_prints(docs), "prints")
     fps = prints.groupBy("f1", "f2", "f5").agg(F.min("doc_id").alias("first"), F.min("rid").alias("rid"), F.count(F.lit(1)).alias("n"))
     fps = stored(fps.withColumn("node", F.xxhash64("f1", "f2", "f5")), "fps")
-    comps = stored(segment_classes(fps.select("node", "rid", "f1", "f2", "f5"), docs), "comps")
+    named = prints.select("rid", "f5", "keys").join(fps.select("node", "rid"), "rid").dropDuplicates(["node"])
+    comps = stored(band_classes(stored(named, "named"), docs), "comps")
     return prints, labelled(fps, "node", comps).select("f1", "f2", "f5", "component_id", "group_rows")
 
 

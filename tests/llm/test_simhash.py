@@ -129,3 +129,18 @@ def test_only_pairs_of_the_similarity_are_linked(spark):
     high = [got[2 * i] == got[2 * i + 1] for i, p in enumerate(pairs) if jaccard(*p) >= 0.8]
     assert len(low) > 100 and not any(low) and sum(high) >= 0.9 * len(high)
     assert 0.5 < min(jaccard(*p) for p in pairs) < 0.6
+
+
+def test_near_copies_are_found_whatever_the_edit(spark):
+    rnd = random.Random(9)
+    kinds = [("appended", 0.1), ("appended", 0.24), ("cut", 0.1), ("cut", 0.19), ("block", 0.05), ("block", 0.09), ("scattered", 0.02)]
+    pairs = [edited(rnd, n, edit, share) for edit, share in kinds for n in (100, 250, 600) for _ in range(10)]
+    pairs = [p for p in pairs if jaccard(*p) >= 0.8]
+    got = similar(spark, [t for p in pairs for t in p])
+    assert len(pairs) > 150 and sum(got[2 * i] != got[2 * i + 1] for i in range(len(pairs))) <= 1
+
+
+def test_a_repeated_line_does_not_join_texts(spark):
+    line = "the very same line of eight words again "
+    own = [" ".join(f"{c}{i}" for i in range(200)) for c in "ab"]
+    assert similar(spark, [line * 100 + own[0], line * 100 + own[1], line * 90 + own[0]]) == [0, 1, 0]
