@@ -2,7 +2,8 @@
 
 A word that training saw is scored by its log frequency in each language. An unseen word falls back to its character
 n-grams, longest first: the first length of which any n-gram is known decides, by the mean of their log frequencies;
-with none known down to single characters the word has no vote. A document's language has the largest total, the first
+with none known down to single characters the word has no vote. A term that a language lacks costs the same in every
+language, however little text that language had. A document's language has the largest total, the first
 in alphabetical order on ties.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0. Texts of any length are read whole. Ids and
@@ -137,10 +138,11 @@ def fit(labelled: DataFrame, docs_per_lang: int = 4000, most_words: int = 40_000
     wide = stored(chosen.groupBy("size", "term").agg(F.array(*[F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)) for x in langs]).alias("n")), "model")
     tables: dict[int, dict[str, int]] = {n: {} for n in range(LONGEST + 1)}
     logs = np.empty((wide.count(), len(langs)), np.float32)
-    floors = {size: np.array([totals.get((x, size), 0) + 1 for x in langs], float) for size in tables}
+    sums = {size: np.array([totals.get((x, size), 0) + 1 for x in langs], float) for size in tables}
     for i, r in enumerate(wide.toLocalIterator()):
         tables[r["size"]][r["term"]] = i
-        logs[i] = np.log((np.array(r["n"]) + 0.1) / floors[r["size"]])
+        n = sums[r["size"]]
+        logs[i] = np.log(np.array(r["n"]) / n + 0.1 / n.max())
     return Model(langs, tables.pop(0), tables, logs)
 
 

@@ -34,3 +34,10 @@ def test_without_training_rows(spark):
     df = docs(spark, ["some text"])
     assert rows(langid.identify(df, langid.fit(df.limit(0))), "lang_pred", "score") == [("und", 0.0)]
     assert langid.identify(df.limit(0), langid.fit(df)).count() == 0
+
+
+def test_a_label_with_one_short_document_takes_no_others(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en'")
+    odd_one = docs(spark, [(-1, " ".join(f"zq{chr(97 + i)}" for i in range(26)))], "xx")
+    got = langid.identify(d, langid.fit(d.unionByName(odd_one))).where("lang_pred <> 'und'")
+    assert got.count() > 100 and got.where("lang_pred = 'xx'").count() == 0
