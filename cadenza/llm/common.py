@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where unset (local tests) one of our own."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset a local session gets one
+    of its own; on a cluster that is an error, as no folder of one machine serves the others."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="cadenza-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -68,6 +72,11 @@ def numbered(df: DataFrame, part: list[str], order: list[str], bucket: Column, o
     return ranked.join(offsets, cond).select(*kept, (ranked["_cz_rn"] + offsets["_cz_off"]).cast("long").alias(out))
 
 
+def row_id(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """A number that tells rows apart by id and text, nulls included; rows equal in both share it."""
+    return F.xxhash64(doc_id, text, F.col(doc_id).isNull(), F.col(text).isNull())
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star steps; (a, b) longs in, (node, comp) out.
 

@@ -9,7 +9,8 @@ in all four places of any of 20 bands. A pair at 0.8 meets with a chance of 1 -
 edited. Each link is then verified by the exact similarity of the whole sets before components are built.
 
 Edge cases: null and empty texts have no words and share fingerprint zero, so they form one group. Rows that repeat a
-doc_id are the same document. A null doc_id never becomes a component's label unless all ids in it are null. Only
+doc_id are rows of their own, whose group may differ if their texts do. A null doc_id never becomes a component's label
+unless all ids in it are null. ``keep_one`` keeps one row of each group, also where rows are equal in every column. Only
 ``doc_id`` and ``text`` are read, so other columns may have any name. Empty tables give empty results.
 """
 
@@ -24,13 +25,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import components, small_batches, stored
+from cadenza.llm.common import components, row_id, small_batches, stored
 from cadenza.llm.filters import KeyFilter
 from cadenza.llm.words import BASE, mix, slices, split_words
 
 SEED = 42
 BITS = 64
+SEGMENTS, WIDTH, RADIUS = 4, 16, 2
 BANDS, PLACES = 20, 4  # tables of similar_groups, and the minima that a key of each holds
+FIRST = 4  # bands that are compared before all others
+
+
+def signed(x: int) -> int:
+    """An unsigned 64-bit number as a long."""
+    return x - (1 << 64) if x >> 63 else x
 
 
 def _fingerprint(text: str | None, k: int) -> int:
@@ -61,19 +69,35 @@ def dealt(fps: DataFrame, per_task: int = 10_000) -> DataFrame:
     return fps.repartition(max(1, fps.count() // per_task))
 
 
+def probes(fps: DataFrame) -> DataFrame:
+    """(fp, key): the keys under which each fingerprint looks for others in the segment tables.
+
+    In the table of segment j these are its own key there and, for the segments before j, the Hamming ball of radius
+    one: the key with one bit changed. Only bits that the fingerprint lacks are set, as of two fingerprints that differ
+    in a bit one lacks it and looks for the other.
+    """
+    flips = F.array(*[F.struct(F.lit(1 << i).alias("flip"), F.lit(j).alias("j")) for j in range(SEGMENTS) for i in range(j * WIDTH)], *[F.struct(F.lit(0).cast("long").alias("flip"), F.lit(j).alias("j")) for j in range(SEGMENTS)])
+    each = dealt(fps).select("fp", F.explode(flips).alias("x")).where(F.col("fp").bitwiseAND(F.col("x.flip")) == 0)
+    masks = F.array(*[F.lit(signed(((1 << BITS) - 1) ^ ((1 << WIDTH) - 1) << j * WIDTH)) for j in range(SEGMENTS)])
+    return each.select("fp", F.col("fp").bitwiseXOR(F.col("x.flip")).bitwiseAND(F.get(masks, F.col("x.j"))).alias("key"))
+
+
+def tables(fps: DataFrame) -> DataFrame:
+    """(other, key): the segment tables. Table j holds each fingerprint under its other three segments, 48 bits."""
+    keys = F.array(*[F.col("fp").bitwiseAND(F.lit(signed(((1 << BITS) - 1) ^ ((1 << WIDTH) - 1) << j * WIDTH))) for j in range(SEGMENTS)])
+    return fps.select(F.col("fp").alias("other"), F.explode(keys).alias("key"))
+
+
 def ball_links(fps: DataFrame) -> DataFrame:
-    """Links that join all fingerprints within two bits: (a, b), each pair at a complete distance of 2 or less.
+    """Links (a, b) of all fingerprints within two bits, by a multi-index over four segments of 16 bits.
 
-    The fingerprint has two 32-bit segments. The Hamming ball of radius one is enumerated inside each segment, the
-    other kept, and the table is looked up by each of the 65 results. Two fingerprints that differ in two bits meet at
-    both their midpoints, wherever the bits lie; those that share a looked-up key differ in two bits at most. So each
-    member of a key needs only a link to the key's smallest member: no pairs are enumerated, however large a bucket is.
+    Two such fingerprints differ in two segments at most. Let j be the last of them: in the segments before j they
+    differ in one bit at most, after it in none, so one finds the other in table j by a ball of radius one. What a look-up
+    fetches may differ in any of the 16 bits of segment j; the join's condition is the complete distance. A bucket holds at most
+    65,536 fingerprints, all different, however many rows have one of them.
     """
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(BITS)])
-    probes = dealt(fps).select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("key"))
-    least = probes.groupBy("key").agg(F.min("fp").alias("b"), F.max("fp").alias("most")).where("b <> most")
-    linked = probes.join(least, "key").select(F.col("fp").alias("a"), "b").where("a <> b")
-    return linked.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).distinct()
+    found = probes(fps).join(tables(fps), "key").where("fp <> other")
+    return found.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= RADIUS).select(F.col("fp").alias("a"), F.col("other").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -95,11 +119,6 @@ def labelled(fps: DataFrame, node: str, comps: DataFrame) -> DataFrame:
     return known.join(stored(tops, "tops"), "comp").drop("comp")  # stored, so that the join can split a hot component
 
 
-def row_id() -> Column:
-    """A row's number in the near-copy search, from its id and its text."""
-    return F.xxhash64("doc_id", "text").alias("rid")
-
-
 def five_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct five-word shingles of each text, one text after the other, and how many each has.
 
@@ -145,13 +164,7 @@ def wide_prints(docs: DataFrame) -> DataFrame:
                 rows = [k if c else k[:0] for k, c in zip(keys.view(np.int64), n, strict=True)]
                 yield pd.DataFrame({"doc_id": b["doc_id"].iloc[lo:hi].array, "rid": b["rid"].iloc[lo:hi].array, "f1": out["f1"].view(np.int64), "f2": out["f2"].view(np.int64), "f5": n, "keys": rows})
 
-    return docs.select("doc_id", row_id(), "text").mapInPandas(task, "doc_id long, rid long, f1 long, f2 long, f5 long, keys array<long>")
-
-
-def several(known: DataFrame, cls: str) -> DataFrame:
-    """The rows of buckets that hold more than one class, with ``main``, the bucket's commonest class."""
-    each = known.groupBy("key", cls).agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", cls))[cls].alias("main"), F.count(F.lit(1)).alias("k"))
-    return known.join(each.where("k > 1").drop("k"), "key")
+    return docs.select("doc_id", row_id().alias("rid"), "text").mapInPandas(task, "doc_id long, rid long, f1 long, f2 long, f5 long, keys array<long>")
 
 
 def relabelled(df: DataFrame, cls: str, edges: DataFrame, out: str) -> DataFrame:
@@ -160,15 +173,19 @@ def relabelled(df: DataFrame, cls: str, edges: DataFrame, out: str) -> DataFrame
     return df.join(joined, cls, "left").withColumn(out, F.coalesce(out, cls))
 
 
-def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b, ...) of nodes whose whole shingle sets have a Jaccard similarity of 0.8 or more, exactly."""
-    one, two = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"_s{c}")) for c in ("a", "b"))
-    both = pairs.join(one, "a").join(two, "b").withColumn("_n", F.size(F.array_intersect("_sa", "_sb")))
-    return both.where(F.col("_n") * 9 >= (F.size("_sa") + F.size("_sb")) * 4).select(*pairs.columns)  # n / (a + b - n) >= 4 / 5
+def overlaps(pairs: DataFrame, sets: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """``pairs`` (a, b, ...) of nodes with their shingles ``_sa`` and ``_sb``, how many they share (``both``), and whether ``linked``.
+
+    ``sets`` has the sets of a, and of b as well unless ``others`` does.
+    Linked are sets with an exact Jaccard similarity of 0.8 or more: n / (a + b - n) >= 4 / 5.
+    """
+    one, two = (x.select(F.col("node").alias(c), F.col("shingles").alias(f"_s{c}")) for x, c in ((sets, "a"), (others or sets, "b")))
+    met = pairs.join(one, "a").join(two, "b").withColumn("both", F.size(F.array_intersect("_sa", "_sb")))
+    return met.withColumn("linked", F.col("both") * 9 >= (F.size("_sa") + F.size("_sb")) * 4)
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, shingles): the distinct five-word shingles of the text of each row that ``wanted`` (rid, node) names.
+    """(node, shingles), stored: the distinct five-word shingles of the text of each row that ``wanted`` (rid, node) names.
 
     Texts are read again, and only those wanted are shuffled. A text with fewer words than five has one shingle.
     """
@@ -179,52 +196,109 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 h, n = five_words(list(b["text"].iloc[lo:hi]))
                 yield pd.DataFrame({"node": b["node"].iloc[lo:hi].array, "shingles": np.split(h.view(np.int64), np.cumsum(n)[:-1])})
 
-    texts = docs.select(row_id(), "text").where(KeyFilter(wanted.select("rid")).might_hold(F.col("rid")))
-    found = texts.join(wanted, "rid").select("node", "text").mapInPandas(task, "node long, shingles array<long>")
-    return stored(found, "sets").groupBy("node").agg(F.first("shingles").alias("shingles"))  # a row may be repeated
+    texts = docs.select(row_id().alias("rid"), "text").where(KeyFilter(wanted.select("rid")).might_hold(F.col("rid")))
+    found = stored(texts.join(wanted, "rid").select("node", "text").mapInPandas(task, "node long, shingles array<long>"), "shingles")
+    return stored(found.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")  # a row may be repeated
 
 
-def band_classes(fps: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, comp): classes of shingle sets (node, rid, f5, keys) that links join; a link shares a key and is ``alike``.
+def centres(around: DataFrame, sets: DataFrame) -> DataFrame:
+    """(p, centre): of the members (p, a, na) of each group the one closest to the shingles that over half of the group hold."""
+    sizes = stored(around.groupBy("p").agg(F.count(F.lit(1)).alias("m")), "sizes")
+    held = around.join(sets, F.col("a") == F.col("node")).select("p", F.explode("shingles").alias("s")).groupBy("p", "s").agg(F.count(F.lit(1)).alias("c"))
+    core = held.join(sizes, "p").where("c * 2 > m").groupBy(F.col("p").alias("node")).agg(F.collect_list("s").alias("shingles"))
+    met = overlaps(around.withColumn("b", F.col("p")), sets, stored(core, "core"))
+    return met.groupBy("p").agg(F.max(F.struct(F.col("both") * 2 - F.col("na"), "a"))["a"].alias("centre"))
 
-    First each member of a bucket is compared with its smallest node; then, in the buckets that still hold several
-    classes, with its largest; in what is left the members outside the commonest class are compared with all members
-    of other classes. No link between classes is lost, and no bucket of one class is paired in full.
-    """
-    probes = dealt(fps).select("node", "rid", "f5", F.explode("keys").alias("key"))
-    shared = probes.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    shared = stored(shared, "shared")
-    might = KeyFilter(shared.select("key")).might_hold(F.col("key"))
-    members = stored(probes.where(might).join(shared, "key"), "members")
-    sets = stored(shingle_sets(docs, members.select("rid", "node").distinct()), "sets")
-    star = stored(members.where("node <> lo").select(F.col("node").alias("a"), F.col("lo").alias("b")).distinct(), "star")
-    nodes = stored(relabelled(fps.select("node"), "node", alike(star, sets), "c1"), "nodes")
 
-    def between(pairs: DataFrame, tag: str) -> DataFrame:
-        """Links (a, b) between classes, of ``pairs`` of nodes (a, b) in classes (ca, cb); sizes na, nb apart can't be alike."""
-        near = pairs.where("ca <> cb and least(na, nb) * 5 >= greatest(na, nb) * 4").select("a", "b", "ca", "cb").distinct()
-        return alike(stored(near, tag), sets).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+NEAR = "least(na, nb) * 5 >= greatest(na, nb) * 4"  # sets of other sizes can't be alike
 
-    mixed = stored(several(members.join(nodes, "node").drop("lo", "rid"), "c1").drop("main"), "mixed")
-    last = mixed.where("node = hi").select("key", F.col("node").alias("b"), F.col("c1").alias("cb"), F.col("f5").alias("nb"))
-    pairs = mixed.withColumnsRenamed({"node": "a", "c1": "ca", "f5": "na"}).join(last, "key")
-    nodes = stored(relabelled(nodes, "c1", between(pairs, "last"), "c2"), "nodes")
 
-    mixed = stored(several(mixed.drop("hi", "c1").join(nodes.select("node", "c2"), "node"), "c2"), "mixed")
-    few = mixed.where("c2 <> main").select("key", F.col("node").alias("a"), F.col("c2").alias("ca"), F.col("f5").alias("na"))
-    pairs = few.join(mixed.withColumnsRenamed({"node": "b", "c2": "cb", "f5": "nb"}), "key")
-    return relabelled(nodes, "c2", between(pairs, "few"), "comp").select("node", "comp")
+def band_classes(fps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, comp): classes of shingle sets (node, rid, f5, keys) that links join; a link shares a key and has 0.8.
+
+    Buckets are joined to their members only where that can add a link, and no bucket is paired with itself:
+
+    * In the first few bands each member is compared with the smallest of its bucket. That makes one class of most of a
+      group of copies. Of all bands only buckets that still mix classes go on; the others, however large, are just counted.
+    * There each member is compared with a pivot, the member with the most bucket neighbours. Buckets whose members share
+      most with the same pivot form a group; all members are compared with its centre, which is the group's pivot from then on.
+    * Of two members x, y of different classes one, x, is not linked to the pivot p. Let r = 4/9 (|x| + |y|) - |x & p|. A link
+      needs r shingles in common beyond p. So either x and y share a shingle that p lacks; or r <= 0 and, of the shingles
+      of p that y has lost, x has at most -r: then y has lost -r at most, or one of the first 1 - r that y has lost is
+      lost to x too. Each case is a join, on shingles or sizes; what it gives is verified on the whole sets. No link is lost.
+    """
+    body = F.struct("node", "f5")
+    opening = dealt(fps, 50_000).select("node", "rid", "f5", F.explode(F.slice("keys", 1, FIRST)).alias("key"))
+    shared = opening.groupBy("key").agg(F.min(body).alias("lo"), F.max("node").alias("hi")).where("lo.node <> hi").select("key", "lo")
+    members = stored(opening.join(stored(shared, "shared"), "key"), "members")
+    sets = shingle_sets(docs, members.select("rid", "node").distinct())
+    star = members.select(F.col("node").alias("a"), F.col("lo.node").alias("b"), F.col("f5").alias("na"), F.col("lo.f5").alias("nb"))
+    star = stored(star.where(f"a <> b and {NEAR}").select("a", "b").distinct(), "star")
+    nodes = stored(relabelled(fps, "node", overlaps(star, sets).where("linked").select("a", "b"), "c1"), "nodes")
+
+    every = dealt(nodes).select("node", "rid", "f5", "c1", F.explode("keys").alias("key"))
+    shared = every.groupBy("key").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", "n")
+    shared = stored(shared, "shared")
+    mixed = stored(every.where(KeyFilter(shared.select("key")).might_hold(F.col("key"))).join(shared, "key"), "mixed")
+    near = stored(mixed.groupBy("node").agg(F.sum("n").alias("near")), "near")
+    pivots = stored(mixed.join(near, "node").groupBy("key").agg(F.max(F.struct("near", "node"))["node"].alias("p")), "pivots")
+    more = mixed.select("rid", "node").distinct().join(members.select("node").distinct(), "node", "left_anti")
+    sets = sets.unionByName(shingle_sets(docs, stored(more, "more")))
+    around = stored(mixed.join(pivots, "key").select("key", "p", F.col("node").alias("a"), F.col("f5").alias("na")), "around")
+    pairs = around.where("p <> a").select("a", F.col("p").alias("b"), "na").distinct()
+    met = stored(overlaps(pairs, sets).select("a", F.col("b").alias("p"), "both", "linked"), "met")
+    classes = stored(nodes.select("node", "c1").join(mixed.select("node").distinct(), "node", "left_semi"), "some")
+
+    def joined(classes: DataFrame, links: DataFrame, cls: str, out: str) -> DataFrame:
+        """``classes`` (node, ``cls``) with ``out``, after links (a, p) of nodes."""
+        one, two = (classes.select(F.col("node").alias(k), F.col(cls).alias(f"c{k}")) for k in ("a", "p"))
+        edges = links.join(one, "a").join(two, "p").select(F.col("ca").alias("a"), F.col("cp").alias("b"))
+        return stored(relabelled(classes, cls, edges, out), out)
+
+    best = met.groupBy("a").agg(F.max(F.struct("both", "p"))["p"].alias("best"))
+    mode = around.select("key", "a", "na").join(stored(best, "best"), "a", "left").withColumn("best", F.coalesce("best", "a"))
+    mode = mode.groupBy("key", "best").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "best"))["best"].alias("p"))
+    around = stored(around.select("key", "a", "na").join(stored(mode, "mode"), "key").select("p", "a", "na").distinct(), "around")
+    middle = stored(centres(around, sets), "middle")
+    around = stored(around.join(middle, "p", "left").select(F.coalesce("centre", "p").alias("p"), "a", "na").distinct(), "around")
+    more = overlaps(around.withColumn("b", F.col("p")), sets)
+    more = more.withColumns({"np": F.size("_sb"), "beyond": F.array_except("_sa", "_sb"), "less": F.array_except("_sb", "_sa")})
+    links, met = met.where("linked").select("a", "p"), stored(more.select("a", "p", "na", "np", "both", "linked", "beyond", "less"), "met")
+    classes = joined(classes, links.unionByName(met.where("linked and a <> p").select("a", "p")), "c1", "c2")
+
+    known = met.join(classes.select(F.col("node").alias("a"), F.col("c2").alias("ca")), "a")
+    still = known.groupBy("p").agg(F.min("ca").alias("lo"), F.max("ca").alias("hi")).where("lo <> hi").select("p")
+    known = stored(known.join(stored(still, "still"), "p"), "known")
+    far = known.where("not linked").select("p", "a", "ca", "na", "both", "beyond", "less")
+    other = known.select("p", F.col("a").alias("b"), F.col("ca").alias("cb"), F.col("na").alias("nb"), "np", F.col("beyond").alias("more"), F.col("less").alias("lost"))
+    unlike = f"ca <> cb and {NEAR}"
+    had = far.select("p", "a", "ca", "na", "both", F.explode("beyond").alias("s")).join(other.select("p", "b", "cb", "nb", F.explode("more").alias("s")), ["p", "s"]).where(unlike)
+    had = had.groupBy("p", "a", "b", "ca", "cb", "na", "nb", "both").agg(F.count(F.lit(1)).alias("n")).where("9 * (n + both) >= 4 * (na + nb)").select("a", "b", "ca", "cb")
+    large, small = far.where("45 * both >= 36 * na"), other.where("nb < np")
+    few = large.select("p", "a", "ca", "na", "both").join(small.select("p", "b", "cb", "nb", F.size("lost").alias("gone")), "p").where(f"{unlike} and 9 * gone <= 9 * both - 4 * (na + nb)")
+    lost = large.select("p", "a", "ca", "na", "both", F.explode("less").alias("s")).join(small.select("p", "b", "cb", "nb", F.posexplode("lost").alias("at", "s")), ["p", "s"])
+    lost = lost.where(f"{unlike} and 9 * at <= 9 * both - 4 * (na + nb)")
+    small = few.select("a", "b", "ca", "cb").unionByName(lost.select("a", "b", "ca", "cb"))
+    pairs = stored(small.unionByName(had).distinct(), "pairs")
+    last = overlaps(pairs, sets).where("linked").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    ends = stored(relabelled(classes.select("c1", "c2").distinct(), "c2", last, "comp"), "ends")
+    return nodes.select("node", "c1").join(ends.select("c1", "comp"), "c1", "left").select("node", F.coalesce("comp", "c1").alias("comp"))
 
 
 def similar_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(prints, groups)`` as ``near_duplicates`` gives, by similarity: ``wide_prints``, (f1, f2, f5, component_id, group_rows)."""
+    """``(prints, groups)``: (doc_id, rid, f1, f2, f5) of every row, and (f1, f2, f5, component_id, best, group_rows).
+
+    ``best`` is the rid of the component's first row: the smallest doc_id, nulls last, then the smallest rid.
+    """
     small_batches(docs.sparkSession)
     prints = stored(wide_prints(docs), "prints")
-    fps = prints.groupBy("f1", "f2", "f5").agg(F.min("doc_id").alias("first"), F.min("rid").alias("rid"), F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
+    fps = prints.groupBy("f1", "f2", "f5").agg(first, F.count(F.lit(1)).alias("n"))
     fps = stored(fps.withColumn("node", F.xxhash64("f1", "f2", "f5")), "fps")
-    named = prints.select("rid", "f5", "keys").join(fps.select("node", "rid"), "rid").dropDuplicates(["node"])
+    named = prints.select("rid", "f5", "keys").join(fps.select("node", F.col("first.rid").alias("rid")), "rid").dropDuplicates(["node"])
     comps = stored(band_classes(stored(named, "named"), docs), "comps")
-    return prints, labelled(fps, "node", comps).select("f1", "f2", "f5", "component_id", "group_rows")
+    groups = labelled(fps, "node", comps)
+    return prints, groups.select("f1", "f2", "f5", F.col("component_id.doc_id").alias("component_id"), F.col("component_id.rid").alias("best"), "group_rows")
 
 
 def assign_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -234,7 +308,17 @@ def assign_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id labels its group of similar texts; all columns kept, one join by doc_id."""
-    _, groups = similar_groups(docs)
-    labels = groups.select(F.col("component_id").alias("_cz_id")).distinct()
-    return docs.join(labels, docs["doc_id"].eqNullSafe(labels["_cz_id"]), "left_semi")
+    """One row of each group of similar texts, all columns kept: that of the smallest doc_id, nulls last.
+
+    Of rows with one doc_id in a group the smallest hash of the text stays, and of rows equal in both one row. Only rows that
+    may have to go are shuffled, after a Bloom filter.
+    """
+    prints, groups = similar_groups(docs)
+    rids = prints.groupBy("rid").agg(F.count(F.lit(1)).alias("times"))
+    known = stored(rids.join(groups.select(F.col("best").alias("rid"), F.lit(True).alias("stays")), "rid", "left"), "known")
+    drop = stored(known.where("stays is null").select(F.col("rid").alias("_cz_drop")), "drop")
+    doubt = KeyFilter(known.where("stays is null or times > 1").select("rid")).might_hold(row_id())
+    rows = docs.where(doubt).select(row_id().alias("_cz_rid"), F.struct(*docs.columns).alias("_cz_row"))
+    left = rows.join(drop, F.col("_cz_rid") == F.col("_cz_drop"), "left_anti")
+    one = left.groupBy("_cz_rid").agg(F.min_by("_cz_row", F.xxhash64(F.to_json("_cz_row"))).alias("_cz_row")).select("_cz_row.*")
+    return docs.where(~doubt).unionByName(one)

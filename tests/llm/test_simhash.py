@@ -59,6 +59,15 @@ def test_links_reach_every_pair_within_two_bits(spark):
     assert {s: got.get(s, s) for s in signed.values()} == want
 
 
+def test_look_ups_are_verified_by_the_complete_distance(spark):
+    fps = [0, 0xFFFF << 48, 0x7, 0x3, (1 << 63) | 1]  # the second and third share three segments with the first
+    df = spark.createDataFrame([(simhash.signed(x),) for x in fps], "fp long")
+    met = {(r.fp, r.other) for r in simhash.probes(df).join(simhash.tables(df), "key").where("fp <> other").collect()}
+    assert (0, simhash.signed(fps[1])) in met and (0, 7) in met
+    links = {tuple(sorted((r.a, r.b))) for r in simhash.ball_links(df).collect()}
+    assert links == {tuple(sorted(map(simhash.signed, p))) for p in ((0, 3), (7, 3), (0, fps[4]), (3, fps[4])) if bin(p[0] ^ p[1]).count("1") <= 2}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.comp for r in components(edges).collect()} == {0}
@@ -91,15 +100,49 @@ def test_short_and_empty_texts(spark):
     assert similar(spark, ["one", "One!", "two", "", None, "a b c", "a b c", "a b d"]) == [0, 0, 2, 3, 3, 5, 5, 7]
 
 
-def test_keep_one_keeps_the_columns(spark):
+def test_keep_one_keeps_one_row_of_a_group(spark):
     df, n = odd(spark)
     out = simhash.keep_one(df)
-    assert out.columns == df.columns and n - 4 <= out.count() <= n and simhash.keep_one(df.limit(0)).count() == 0
+    # 1 copies 0 (no words), 4 copies 3, and one of the two equal rows of 6 goes; both texts of 5 stay
+    assert out.columns == df.columns and rows(out, "doc_id") == sorted([(0,), (3,), (5,), (5,), (6,), (7,), (8,), (None,)], key=str)
+    assert simhash.keep_one(df.limit(0)).count() == 0
+    a, b, c = ("one text of some words that others copy", "a second text that has its own words", "third words of somebody else here")
+    more = [(1, a), (1, a), (11, b), (5, b), (5, "another text of id five"), (20, c), (None, c), (None, "own words of a null id")]
+    assert rows(simhash.keep_one(docs(spark, more)), "doc_id", "text") == sorted([(1, a), (5, b), (5, "another text of id five"), (20, c), (None, "own words of a null id")], key=str)
 
 
 def test_odd_rows(spark):
-    df, n = odd(spark)
-    assert simhash.assign_groups(df).count() == n and simhash.assign_groups(df.limit(0)).count() == 0
+    df, _ = odd(spark)
+    got = simhash.assign_groups(df)
+    assert rows(got, "doc_id", "component_id") == sorted([(0, 0), (1, 0), (None, None), (3, 3), (4, 3), (5, 5), (5, 5), (6, 6), (6, 6), (7, 7), (8, 8)], key=str)
+    assert {r.fp for r in got.where("doc_id < 2").collect()} == {0} and simhash.assign_groups(df.limit(0)).count() == 0
+
+
+def test_a_large_group_of_near_copies_equals_brute_force(spark):
+    """Copies of one text from hardly to much changed: exact links decide, also between copies that the original lacks."""
+    rnd = random.Random(2)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(120)]
+    texts = [" ".join(base)]
+    for i in range(220):
+        w = base.copy() if i % 3 else texts[-1].split()
+        for _ in range(rnd.randrange(1, 7)):
+            w[rnd.randrange(len(w))] = f"x{rnd.randrange(10**6)}"
+        texts.append(" ".join(w[: rnd.choice((len(w), len(w) - 4))]))
+    comp = list(range(len(texts)))
+
+    def root(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    for b in range(len(texts)):
+        for a in range(b):
+            if root(a) != root(b) and jaccard(texts[a], texts[b]) >= 0.8:
+                x, y = sorted((root(a), root(b)))
+                comp[y] = x
+    got = similar(spark, texts)
+    want = {i: root(i) for i in range(len(texts))}
+    assert len(set(want.values())) > 20 and sum(got[i] != want[i] for i in want) <= 1
 
 
 def jaccard(a, b):
