@@ -25,10 +25,11 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]{12,}", 16, 0),  # as AKIA[A-Z0-9]+ of 16 and more: a run's first match is its longest
     ("hex", r"[0-9a-f]{32,}", 32, 0),  # as [0-9a-f]+ of 32 and more: matches are whole runs
 )
+# Runs begin where no character of theirs stands before and are taken whole (possessive): each is read once, however long.
 WEAK = (
-    ("user", r"""(?i:(?:user(?:name)?|login|account|client_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@+-]{3,64})|[A-Za-z0-9_.+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,4}""", 5, 0),
-    ("key", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,80}[0-9])(?=[A-Z0-9+/_-]{0,80}[a-z])[A-Za-z0-9+/_-]{20,80}={0,2}(?![A-Za-z0-9+/_=-])", 20, 0),
-    ("host", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{2,5})?(?![0-9.])|\b[a-z][a-z0-9+]{1,15}://[A-Za-z0-9.:@/_-]{4,200}", 7, 0),
+    ("user", r"""(?i:(?:user(?:name)?|login|account|client_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@+-]{3,}+)|(?<![A-Za-z0-9_.+-])[A-Za-z0-9_.+-]++@(?=[A-Za-z0-9-]++\.[A-Za-z0-9])[A-Za-z0-9.-]*[A-Za-z0-9]""", 5, 0),
+    ("key", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])", 20, 0),
+    ("host", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{2,5})?(?![0-9.])|(?<![A-Za-z0-9+_])[a-z][a-z0-9+]++://[A-Za-z0-9.:@/_-]{4,}+", 7, 0),
 )
 ROLE = {"assign": "secret", "access": "id", "hex": "secret", "user": "id", "key": "secret", "host": "end"}
 ORDER = [k for k, *_ in (*BASE, *WEAK)]
@@ -38,23 +39,33 @@ def spans(text: Column, kind: str, pattern: str, least: int, group: int) -> Colu
     """Array of (start, kind index, end, kind) of a pattern's matches, leftmost and non-overlapping, in code points.
 
     The pieces between matches give the positions: a match starts after all pieces and matches before it. Matches
-    shorter than ``least`` take part in that and are dropped afterwards.
+    shorter than ``least`` take part in that and are dropped afterwards. Growing an array copies it, so n matches are
+    summed in about the square root of n blocks: each block from zero, then the blocks' own starts.
     """
     pat = F.lit(pattern)
-    sized = F.arrays_zip(
-        F.transform(F.split(text, pattern, -1), F.length).alias("gap"),
-        F.transform(F.regexp_extract_all(text, pat, F.lit(0)), F.length).alias("len"),
-        F.transform(F.regexp_extract_all(text, pat, F.lit(group)), F.length).alias("part"),
-    )
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,k:int,end:int,kind:string>>)").alias("found"))
+    lengths = lambda g: F.transform(F.regexp_extract_all(text, pat, F.lit(g)), F.length)
+    sized = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("gap"), lengths(0).alias("len"), *([lengths(group).alias("part")] if group else []))
+    none = F.expr("cast(array() as array<struct<start:int,k:int,end:int,kind:string>>)")
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         end = start + F.coalesce(x["len"], F.lit(0))
         one = F.array(F.struct(start.alias("start"), F.lit(ORDER.index(kind)).alias("k"), end.alias("end"), F.lit(kind).alias("kind")))
-        return F.struct(end.alias("at"), F.when(x["part"] >= least, F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
+        return F.struct(end.alias("at"), F.when(x["part" if group else "len"] >= least, F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
+
+    def blocks(z: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(z))).cast("int")
+        return F.transform(F.sequence(F.lit(1), F.size(z), size), lambda at: F.aggregate(F.slice(z, at, size), F.struct(F.lit(0).alias("at"), none.alias("found")), step))
+
+    def shifted(parts: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts"))
+        starts = F.aggregate(parts, zero, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")), lambda acc: acc["starts"])
+        moved = lambda x, by: F.struct((x["start"] + by).alias("start"), x["k"].alias("k"), (x["end"] + by).alias("end"), x["kind"].alias("kind"))
+        pairs = F.arrays_zip(parts.alias("part"), starts.alias("by"))
+        return F.flatten(F.transform(pairs, lambda p: F.transform(p["part"]["found"], lambda x: moved(x, p["by"]))))
 
-    return F.when(F.regexp_like(text, pat), F.aggregate(sized, zero, step, lambda acc: acc["found"])).otherwise(zero["found"])
+    bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  a value computed once and used twice
+    return F.when(F.regexp_like(text, pat), bound(sized, lambda z: bound(blocks(z), shifted))).otherwise(none)
 
 
 def joined(found: Column) -> Column:

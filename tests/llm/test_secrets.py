@@ -69,9 +69,27 @@ def test_linking_equals_brute_force(spark, scope):
     assert {(x.start, x.kind) for x in secrets.scan(docs(spark, [text]), scope).first().found} == want
 
 
+def test_long_parts_are_whole(spark):
+    key, url = "Ab1" * 31 + "x", "https://" + "a/" * 150
+    got = {x.kind: (x.start, x.end) for x in secrets.scan(docs(spark, [f"user=alice1 {key} {url}"])).first().found}
+    assert got == {"user": (0, 11), "key": (12, 106), "host": (107, 107 + len(url))}
+
+
+def test_many_matches_in_one_text(spark):
+    import time
+
+    text = " ".join(f"{i:032x}" for i in range(32_000))
+    began = time.perf_counter()
+    found = secrets.scan(docs(spark, [text])).first().base
+    assert [(x.start, x.end) for x in found] == [(33 * i, 33 * i + 32) for i in range(32_000)] and time.perf_counter() - began < 20
+
+
 def test_odd_rows(spark):
     df, n = odd(spark)
-    assert secrets.scan(df).count() == n and secrets.scan(df.limit(0)).count() == 0
+    out = secrets.scan(df)
+    assert out.count() == n and {(tuple(r.base), tuple(r.found)) for r in out.collect()} == {((), ())} and secrets.scan(df.limit(0)).count() == 0
+    twice = secrets.scan(docs(spark, [(1, "token=abcdefgh1"), (1, "token=abcdefgh1"), (None, "x token=abcdefgh1"), (1, None)]))
+    assert rows(twice.selectExpr("doc_id", "base.start as s"), "doc_id", "s") == sorted([(1, [0]), (1, [0]), (None, [2]), (1, [])], key=str)
 
 
 def test_no_python_in_the_plan(spark, small):
