@@ -22,12 +22,23 @@ def test_keeps_one_and_checks_bytes(spark):
 
 
 def test_runs_merge(spark):
-    index = exact_dedup.MergeIndex(spark, "min")
-    index.flush(docs(spark, [(5, "x"), (6, "y")]))
-    assert rows(index.compact(), "keep_id", "n") == [(5, 1), (6, 1)]
-    index.flush(docs(spark, [(2, "X"), (9, "z")]))
-    index.flush(docs(spark, [(7, "y")]))
-    assert rows(index.compact(), "keep_id", "n") == [(2, 2), (6, 2), (9, 1)]
+    rows_of = lambda *r: spark.createDataFrame([(i, t.encode()) for i, t in r], "doc_id long, digest binary")
+    index = exact_dedup.MergeIndex(spark, "min", fan_in=3)
+    index.flush(rows_of((5, "x"), (6, "y"), (8, "w"), (4, "w")))
+    index.flush(rows_of((2, "x"), (9, "z")))
+    assert len(index.runs) == 2 and index.runs[0][1].log_bits < 20
+    index.flush(rows_of((7, "y")))
+    assert len(index.runs) == 1  # compacted
+    assert rows(index.compact(), "keep_id", "n") == [(2, 2), (4, 2), (6, 2), (9, 1)]
+    assert rows(index.hits(), "digest") == [(b"w",), (b"x",), (b"y",)]
+    digests = [r.digest for f in index.runs[0][0].inputFiles() for r in spark.read.parquet(f).collect()]
+    assert sorted(digests) == [b"w", b"x", b"y", b"z"]
+
+
+def test_several_flushes_and_compactions_change_nothing(spark, small):
+    d = spark.read.parquet(f"{small}/documents.parquet")
+    cols = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    assert rows(exact_dedup.deduplicate(d, "max", flushes=1), *cols) == rows(exact_dedup.deduplicate(d, "max", flushes=5, fan_in=2), *cols)
 
 
 def test_odd_rows(spark):
