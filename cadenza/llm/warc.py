@@ -159,7 +159,7 @@ def read(manifest: DataFrame) -> DataFrame:
                 yield pd.DataFrame(rows, columns=cols).astype({"page_id": "Int64", "refers_to": "Int64"})
 
     small_batches(manifest.sparkSession)
-    paths = manifest.select("path").repartition(F.col("path"))
+    paths = manifest.select("path").coalesce(1).repartition(max(1, manifest.count()))  # in turn, from one task: one archive each
     return paths.mapInPandas(task, "page_id long, url string, record_type string, payload_digest string, refers_to long, html string, valid boolean")
 
 
