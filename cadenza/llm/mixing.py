@@ -1,23 +1,28 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Token counts are grouped into cells (source, language, topic). Raking scales the cells until their sums by source, by
-language and by topic meet the targets; a document's sampling probability follows from its cell's calibrated weight
-over its present tokens, and a hash of its id decides.
+language and by topic meet the targets, never beyond a cell's capacity: documents are drawn once at most, so a sample of
+a share ``keep`` of the tokens can take no more than all of a cell. A document's probability follows from its cell's
+calibrated weight over its present tokens, and a hash of its id and text decides; the expected sample has the raked shares.
 
 Edge cases: null source or language is a category of its own (``?``); null and empty texts have no tokens and are
 kept, as they carry no weight. Targets name any categories; those absent from the data are left out and the rest
-rescaled, and categories without a target share what remains by their present weight. Rows that repeat a doc_id get
-the same decision. Clashing column names are safe: only doc_id, text, lang and source are read, and results are joined
-back under reserved names. Empty tables give empty results.
+rescaled, and categories without a target share what remains by their present weight. A target above what a sample without
+repeats can hold is lowered to that, and the others take up the rest. Where combinations are missing from the data so that
+no weights meet all targets, raking ends when it stops gaining and says by how much in a warning. Rows equal in
+id and text get the same decision. Clashing column names are safe: only doc_id, text, lang and source are read, and
+results are joined back under reserved names. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import warnings
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from cadenza.llm.common import stored
+from cadenza.llm.common import row_id, stored
 
 AXES = ("src", "lng", "top")
 
@@ -44,63 +49,65 @@ def topic(text: Column) -> Column:
 
 
 def cells(docs: DataFrame) -> DataFrame:
-    """``docs`` with _cz_src, _cz_lng, _cz_top and _cz_tok."""
-    return docs.withColumns({"_cz_src": F.coalesce("source", F.lit("?")), "_cz_lng": F.coalesce("lang", F.lit("?")), "_cz_top": topic(F.col("text")), "_cz_tok": tokens(F.col("text"))})
+    """``docs`` with _cz_src, _cz_lng, _cz_top, _cz_tok and _cz_rid."""
+    return docs.withColumns({"_cz_src": F.coalesce("source", F.lit("?")), "_cz_lng": F.coalesce("lang", F.lit("?")), "_cz_top": topic(F.col("text")), "_cz_tok": tokens(F.col("text")), "_cz_rid": row_id()})
+
 
+def marginal(table: DataFrame, axis: str, targets: dict[str, float] | None, flatten: float, keep: float) -> DataFrame:
+    """(axis, target), stored: shares over the categories present, each within what the sample can hold of it.
 
-def marginal(table: DataFrame, axis: str, targets: dict[str, float] | None, flatten: float) -> DataFrame:
-    """(axis, target) shares over the categories present: the given ones, or, with None, present ones to the power ``flatten``."""
+    Given shares, or with None the present ones to the power ``flatten``. Shares above capacity are cut to it and the
+    rest is scaled up, until none is above.
+    """
     present = table.groupBy(axis).agg(F.sum("tok").alias("t")).where("t > 0")
-    everywhere = Window.partitionBy(F.lit(0))
+    total = present.agg(F.sum("t")).first()[0] or 0
     if targets is None:
-        flat = F.pow("t", F.lit(flatten))
-        return present.select(axis, (flat / F.sum(flat).over(everywhere)).alias("target"))
-    given = F.create_map(*[F.lit(x) for kv in targets.items() for x in kv])[F.col(axis)]
-    rest = max(0.0, 1.0 - sum(targets.values()))
-    other = F.sum(F.when(given.isNull(), F.col("t")).otherwise(0)).over(everywhere)
-    raw = F.coalesce(given, F.lit(rest) * F.col("t") / F.greatest(other, F.lit(1)))
-    out = present.select(axis, raw.alias("raw"))
-    return out.select(axis, (F.col("raw") / F.sum("raw").over(everywhere)).alias("target"))
-
-
-def rake(table: DataFrame, targets: dict[str, dict[str, float] | None], flatten: float = 0.5, steps: int = 4, most_rounds: int = 12, tolerance: float = 1e-6) -> DataFrame:
-    """(src, lng, top, tok, w): calibrated shares ``w`` of the cells, raked over every axis until sums meet targets.
-
-    The cell table has one row per combination of categories, whatever the number of documents. ``steps`` passes run
-    as one Spark job; then the table is written and the largest error of any marginal decides whether to go on. Targets
-    that no weights can meet, as combinations are missing from the data, end it once a job gains less than a tenth.
+        raw = F.pow(F.col("t") / F.lit(float(max(1, total))), F.lit(flatten))
+    else:
+        given = F.create_map(*[F.lit(x) for kv in targets.items() for x in kv])[F.col(axis)] if targets else F.lit(None).cast("double")
+        other = present.where(given.isNull()).agg(F.sum("t")).first()[0] or 1
+        raw = F.coalesce(given, F.lit(max(0.0, 1.0 - sum(targets.values())) / other) * F.col("t"))
+    held = stored(present.select(axis, raw.alias("raw"), (F.col("t") / F.lit(keep * max(1, total))).alias("cap")), "marginal")
+    scale, full = 1.0, F.lit(False)
+    while True:
+        sums = held.agg(F.sum(F.when(full, F.col("cap"))).alias("c"), F.sum(F.when(~full, F.col("raw"))).alias("r")).first()
+        scale = (1.0 - (sums["c"] or 0.0)) / sums["r"] if sums["r"] else scale
+        above = held.where(~full & (F.col("raw") * scale > F.col("cap") * (1 + 1e-12))).agg(F.count(F.lit(1))).first()[0]
+        full = full | (F.col("raw") * scale > F.col("cap") * (1 + 1e-12))
+        if not above:
+            return stored(held.select(axis, F.when(full, F.col("cap")).otherwise(F.col("raw") * scale).alias("target")), "target")
+
+
+def rake(table: DataFrame, targets: dict[str, dict[str, float] | None], flatten: float = 0.5, keep: float = 0.9, tolerance: float = 5e-4) -> tuple[DataFrame, float]:
+    """``((src, lng, top, tok, w), error)``: shares ``w`` of the cells, raked over every axis, and the largest error of a marginal.
+
+    ``w`` is the present share times one factor an axis, or the cell's capacity tok / (keep * total) where that is less. Only
+    factors are kept between steps, one row a category; sums combine before the shuffle, so no task meets all cells. Ends once
+    sums meet targets or, with targets that no weights can meet, once three passes gain less than a tenth.
     """
-    goal, before = table, 1.0
-    for axis in AXES:
-        goal = goal.join(marginal(table, axis, targets.get(axis), flatten).withColumnRenamed("target", f"to_{axis}"), axis)
-    goal = stored(goal.withColumn("w", F.col("tok") / F.sum("tok").over(Window.partitionBy(F.lit(0)))), "cells")
-    for _ in range(most_rounds):
-        for _ in range(steps):
-            for axis in AXES:
-                total = F.sum("w").over(Window.partitionBy(axis))
-                goal = goal.withColumn("w", F.when(total > 0, F.col("w") * F.col(f"to_{axis}") / total).otherwise(0.0))
-        goal = stored(goal, "cells")
-        off = F.greatest(*[F.abs(F.sum("w").over(Window.partitionBy(a)) - F.col(f"to_{a}")) for a in AXES])
-        error = goal.select(off.alias("off")).agg(F.max("off")).first()[0] or 0.0
-        if error <= tolerance or error > 0.9 * before:
+    table = stored(table, "cells")
+    total = table.agg(F.sum("tok")).first()[0] or 0
+    aims = {a: marginal(table, a, targets.get(a), flatten, keep) for a in AXES}
+    factors = {a: aims[a].select(a, "target", F.lit(1.0).alias(f"f_{a}")) for a in AXES}
+
+    def weighted() -> DataFrame:
+        out = table
+        for a in AXES:
+            out = out.join(factors[a].select(a, f"f_{a}"), a)
+        free = F.col("tok") / F.lit(float(max(1, total)))
+        return out.withColumn("w", F.least(free * F.col("f_src") * F.col("f_lng") * F.col("f_top"), free / F.lit(keep)))
+
+    errors: list[float] = []
+    while total:
+        for a in AXES:
+            sums = weighted().groupBy(a).agg(F.sum("w").alias("s"))
+            step = factors[a].join(sums, a).select(a, "target", F.when(F.col("s") > 0, F.col(f"f_{a}") * F.col("target") / F.col("s")).otherwise(0.0).alias(f"f_{a}"), F.abs(F.col("s") - F.col("target")).alias("off"))
+            factors[a] = stored(step, "factors")
+        error = reduce(DataFrame.unionByName, [factors[a].select("off") for a in AXES]).agg(F.max("off")).first()[0] or 0.0
+        errors.append(error)
+        if error <= tolerance or (len(errors) > 3 and error > 0.9 * errors[-4]):
             break
-        before = error
-    return goal.select("src", "lng", "top", "tok", "w")
-
-
-def probabilities(raked: DataFrame, keep: float) -> DataFrame:
-    """Adds ``p``: min(1, c * w / tok), where c makes the expected tokens a share ``keep`` of all, if that can be.
-
-    With cells in falling order of w / tok the saturated ones are a prefix; c is exact from running sums.
-    """
-    r = raked.withColumn("ratio", F.col("w") / F.col("tok")).where("ratio > 0")
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("ratio"), "src", "lng", "top")
-    above = order.rowsBetween(Window.unboundedPreceding, -1)
-    from_here = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    c = (F.lit(keep) * F.sum("tok").over(Window.partitionBy(F.lit(0))) - F.coalesce(F.sum("tok").over(above), F.lit(0))) / F.sum("w").over(from_here)
-    r = r.withColumn("c", c).withColumn("fits", F.col("c") * F.col("ratio") <= 1)
-    best = F.min(F.when(F.col("fits"), F.struct((-F.col("ratio")).alias("x"), "c"))).over(Window.partitionBy(F.lit(0)))["c"]
-    return r.withColumn("p", F.least(F.lit(1.0), F.coalesce(best, F.lit(float("inf"))) * F.col("ratio")))
+    return weighted().select(*AXES, "tok", "w"), errors[-1] if errors else 0.0
 
 
 def weigh(tagged: DataFrame, source: dict[str, float] | None = None, lang: dict[str, float] | None = None, topics: dict[str, float] | None = None, keep: float = 0.9, seed: int = 7, flatten: float = 0.5) -> DataFrame:
@@ -110,13 +117,26 @@ def weigh(tagged: DataFrame, source: dict[str, float] | None = None, lang: dict[
     ``keep`` is the share of all tokens wanted in the sample.
     """
     table = tagged.where("_cz_tok > 0").groupBy(F.col("_cz_src").alias("src"), F.col("_cz_lng").alias("lng"), F.col("_cz_top").alias("top")).agg(F.sum("_cz_tok").alias("tok"))
-    table = stored(table.coalesce(1), "table")
-    p = stored(probabilities(rake(table, {"src": source, "lng": lang, "top": topics}, flatten), keep).coalesce(1), "p")
-    p = p.select(F.col("src").alias("_cz_a"), F.col("lng").alias("_cz_b"), F.col("top").alias("_cz_c"), F.col("w").alias("_cz_w"), F.col("tok").alias("_cz_all"), F.col("p").alias("_cz_p"))
+    raked, error = rake(table, {"src": source, "lng": lang, "top": topics}, flatten, keep)
+    if error > 0.01:
+        warnings.warn(f"no weights meet all targets: the largest error of a share is {error:.4f}", stacklevel=2)
+    raked = stored(raked, "raked")
+    total = float(max(1, raked.agg(F.sum("tok")).first()[0] or 0))
+    p = raked.select(F.col("src").alias("_cz_a"), F.col("lng").alias("_cz_b"), F.col("top").alias("_cz_c"), F.col("w").alias("_cz_w"), F.col("tok").alias("_cz_all"), F.least(F.lit(1.0), F.col("w") * keep * total / F.col("tok")).alias("_cz_p"))
     out = tagged.join(p, (F.col("_cz_src") == F.col("_cz_a")) & (F.col("_cz_lng") == F.col("_cz_b")) & (F.col("_cz_top") == F.col("_cz_c")), "left")
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) / float(1 << 52)
+    draw = F.pmod(F.xxhash64(F.lit(seed), "_cz_rid"), F.lit(1 << 52)) / float(1 << 52)
     p_doc = F.when(F.col("_cz_tok") == 0, F.lit(1.0)).otherwise(F.coalesce("_cz_p", F.lit(0.0)))
-    return out.withColumns({"_cz_p": p_doc, "_cz_weight": F.coalesce(F.col("_cz_w") * F.col("_cz_tok") / F.col("_cz_all"), F.lit(0.0)), "_cz_kept": draw < p_doc}).drop("_cz_a", "_cz_b", "_cz_c", "_cz_w", "_cz_all")
+    return out.withColumns({"_cz_p": p_doc, "_cz_weight": F.coalesce(F.col("_cz_w") * F.col("_cz_tok") / F.col("_cz_all"), F.lit(0.0)), "_cz_kept": draw < p_doc}).drop("_cz_a", "_cz_b", "_cz_c", "_cz_w", "_cz_all", "_cz_rid")
+
+
+def shares(mixed: DataFrame) -> DataFrame:
+    """(axis, category, present, raked, expected, drawn): token shares by category of what ``weigh`` gives."""
+    axis = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(f"_cz_{a}").alias("category")) for a in AXES])).alias("x")
+    rows = mixed.select(axis, F.col("_cz_tok").alias("present"), F.col("_cz_weight").alias("raked"), (F.col("_cz_p") * F.col("_cz_tok")).alias("expected"), F.when(F.col("_cz_kept"), F.col("_cz_tok")).otherwise(0).alias("drawn"))
+    names = ("present", "raked", "expected", "drawn")
+    sums = stored(rows.groupBy("x.axis", "x.category").agg(*[F.sum(c).cast("double").alias(c) for c in names]), "shares")
+    whole = sums.groupBy("axis").agg(*[F.sum(c).alias(f"all_{c}") for c in names])
+    return sums.join(whole, "axis").select("axis", "category", *[(F.col(c) / F.col(f"all_{c}")).alias(c) for c in names])
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

@@ -26,7 +26,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = mixing.cells(table(spark, sf_dir, "documents")).select("doc_id", "_cz_src", "_cz_lng", "_cz_top", "_cz_tok")
+    cells = mixing.cells(table(spark, sf_dir, "documents")).select("doc_id", "_cz_src", "_cz_lng", "_cz_top", "_cz_tok", "_cz_rid")
     mixed = mixing.weigh(stored(cells, "cells"))
     return mixed.select("doc_id", F.col("_cz_top").alias("topic"), F.col("_cz_tok").alias("n_tokens"), F.col("_cz_weight").alias("weight"), F.col("_cz_p").alias("p"), F.col("_cz_kept").alias("kept"))
 
