@@ -3,8 +3,8 @@
 Documents with equal texts are linked; an edge is cut when linked documents lie in different shards. Each round every
 group's label is the shard that most of its members are in; members move there as far as quotas allow. A shard admits
 its stayers and arrivals first and documents without links last; who does not fit fills the gaps of other shards. Every
-round ends with counts at most one apart (law ``rows``). A group larger than a quarter of a quota is cut into pieces
-first, so that no shard has to hold it.
+round ends with counts at most one apart (law ``rows``). Rounds end once no fewer rows lie outside their group's main
+shard. A group larger than a quota is cut into parts of a quota, since no shard can hold it.
 
 Edge cases: null text counts as empty (size 1). Repeated rows and ids are rows of their own, told apart by a number
 given once and stored. Ids may be null. Fewer documents than shards leave shards empty. Only ``doc_id`` and ``text``
@@ -19,13 +19,13 @@ from pyspark.sql.window import Window
 
 from cadenza.llm.common import numbered, stored
 
-PIECE = 100_000  # rows of a group that move together at most
 BUCKET = 50_000  # rows that one task ranks, about
 
 
 def spread(n: int):
-    """Hash buckets of about ``BUCKET`` rows, by piece of a group so that its members stay together."""
-    return F.pmod(F.xxhash64("unit"), F.lit(max(1, n // BUCKET))).cast("int")
+    """Numbers of buckets of about ``BUCKET`` rows. Groups follow one another; one larger than a bucket has several in a row."""
+    place = F.pmod(F.xxhash64("unit"), F.lit(max(1, n // BUCKET)))
+    return place * F.lit(n // BUCKET + 2) + F.when(F.col("parts") > 1, F.pmod(F.xxhash64("uid"), F.col("parts"))).otherwise(0)
 
 
 def fit_quotas(wanted: DataFrame, shards: int, n: int, tag: str) -> DataFrame:
@@ -47,32 +47,46 @@ def fit_quotas(wanted: DataFrame, shards: int, n: int, tag: str) -> DataFrame:
     extra = numbered(extra.withColumn("one", F.lit(0)), ["one"], ["unit", "uid"], spread(n), "place").drop("one", "want")
     ranges = F.broadcast(free.select(F.col("shard").alias("to"), "lo", "hi"))  # one row per shard
     moved = extra.join(ranges, (F.col("place") >= F.col("lo")) & (F.col("place") < F.col("hi"))).withColumnRenamed("to", "shard")
-    cols = ["uid", "doc_id", "size", "crc", "unit", "linked", "shard"]
+    cols = ["uid", "doc_id", "size", "crc", "unit", "parts", "linked", "shard"]
     return stored(keep.select(*cols).unionByName(moved.select(*cols)), tag)
 
 
-def shard(docs: DataFrame, shards: int = 16, rounds: int = 3) -> DataFrame:
+def apart(state: DataFrame) -> int:
+    """Rows that lie outside the shard that holds most of their group, where fewer mean fewer cut edges."""
+    held = state.where("linked").groupBy("unit", "shard").agg(F.count(F.lit(1)).alias("c"))
+    return held.groupBy("unit").agg((F.sum("c") - F.max("c")).alias("out")).agg(F.sum("out")).first()[0] or 0
+
+
+def shard(docs: DataFrame, shards: int = 16, most_rounds: int = 10) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, linked), one row per input row.
 
-    Texts are read once and never shuffled: rounds work on (number, unit, shard) rows.
+    Texts are read once and never shuffled: rounds work on (number, unit, shard) rows. The round with the fewest rows
+    ``apart`` counts; ``most_rounds`` bounds rounds that gain little, not their result's law.
     """
     text = F.coalesce("text", F.lit("")).cast("binary")
     base = docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("crc"), F.unhex(F.sha2(text, 256)).alias("g"), F.monotonically_increasing_id().alias("uid"))
     base = stored(base, "rows")
     n = base.count()
-    piece = max(1, min(PIECE, n // (4 * shards)))
+    quota = max(1, n // shards)
     groups = stored(base.groupBy("g").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "groups")  # so that the join can split a hot text
     rows = base.join(groups, "g", "left").withColumn("rows", F.coalesce("rows", F.lit(1)))
-    pieces = F.ceil(F.col("rows") / piece).cast("long")
+    pieces = F.ceil(F.col("rows") / quota).cast("long")
     unit = F.xxhash64("g", F.pmod(F.xxhash64("uid"), pieces))
-    rows = rows.select("uid", "doc_id", "size", "crc", unit.alias("unit"), (F.col("rows") > 1).alias("linked"))
-    start = rows.withColumn("want", F.pmod(F.xxhash64("unit", "uid"), F.lit(shards)).cast("int")).withColumn("rank", F.lit(0))
+    rows = rows.select("uid", "doc_id", "size", "crc", unit.alias("unit"), F.ceil(F.least("rows", F.lit(quota)) / BUCKET).cast("long").alias("parts"), (F.col("rows") > 1).alias("linked"))
+    start = rows.withColumn("want", F.pmod(F.xxhash64("unit"), F.lit(shards)).cast("int")).withColumn("rank", F.when(F.col("linked"), 0).otherwise(2))
     state = fit_quotas(start, shards, n, "state")
-    for _ in range(rounds):
+    off = apart(state)
+    for _ in range(most_rounds):
+        if not off:
+            break
         held = state.where("linked").groupBy("unit", "shard").agg(F.count(F.lit(1)).alias("c"))
         labels = held.groupBy("unit").agg(F.max(F.struct("c", F.xxhash64("unit", "shard").alias("tie"), "shard"))["shard"].alias("label"))
-        wanted = state.join(labels, "unit", "left").withColumn("want", F.coalesce("label", "shard"))
+        wanted = state.join(stored(labels, "labels"), "unit", "left").withColumn("want", F.coalesce("label", "shard"))
         rank = F.when(~F.col("linked"), 2).when(F.col("want") != F.col("shard"), 1).otherwise(0)
-        state = fit_quotas(wanted.withColumn("rank", rank).drop("label", "shard"), shards, n, "state")
+        moved = fit_quotas(wanted.withColumn("rank", rank).drop("label", "shard"), shards, n, "state")
+        now = apart(moved)
+        if now >= off:
+            break
+        state, off = moved, now
     out = numbered(state, ["shard"], ["unit", "uid"], spread(n), "slot")
     return out.select("doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "linked")
