@@ -6,12 +6,12 @@ before it; the cheapest repair is rendered. Costs: merge 2, relabel 5, insertion
 role is always relabelled. Ties go to the earlier of keep, merge, insert, relabel.
 
 A step of the automaton is a (min, +) matrix over its four states and such matrices multiply associatively, so a
-conversation of any length is cut into ranges: each range gets its matrix, the ranges' border states follow from those
-few matrices, and each range is repaired on its own.
+conversation of any length is cut into ranges of a fixed number of turns: each range gets its matrix, the ranges' border
+states follow from those few matrices, and each range is repaired on its own.
 
-Edge cases: turns are ordered by turn, role, text, nulls first; repeated rows are turns of their own and thus merged or
-relabelled. Null text counts as empty. Rows with a null conv_id form one conversation. Only the named columns are read.
-Empty tables give empty results.
+Edge cases: turns are ordered by turn, role, hash of the text and text, nulls first; repeated rows are turns of their own
+and thus merged or relabelled. Null text counts as empty. Rows with a null conv_id form one conversation. Only the named
+columns are read. Empty tables give empty results. Results do not depend on how rows lie in files.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cadenza.llm.common import small_batches, stored
 
@@ -92,28 +93,41 @@ def path(roles: list[str | None], entry: int, leave: int | None) -> list[tuple]:
     return chosen[::-1]
 
 
-def render(role: str, text: str, merged: bool, inserted: tuple[str, ...]) -> str:
+def render(role: str, text: str, merged: bool, inserted: tuple[str, ...], first: bool = False, last: bool = False) -> str:
     """A turn's part of the chat: closed turns of ChatML form; a merged turn continues the open one."""
     empties = "".join(f"<|im_end|>\n<|im_start|>{r}\n" for r in inserted)
-    return f"\n{text}" if merged else f"{empties}<|im_end|>\n<|im_start|>{role}\n{text}"
+    piece = f"\n{text}" if merged else f"{empties}<|im_end|>\n<|im_start|>{role}\n{text}"
+    return (piece.removeprefix("<|im_end|>\n") if first else piece) + ("<|im_end|>\n" if last else "")
+
+
+def in_ranges(turns: DataFrame, per_range: int) -> DataFrame:
+    """(conv_id, turn, role, text, th, seq, last, rng), stored: turns numbered from 0 in their order; ranges have ``per_range`` turns.
+
+    Spark cuts the order into parts; turns are numbered inside their part and conversation and shifted by the parts
+    before, so no task sorts a whole conversation unless it is short.
+    """
+    rows = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    parts = max(1, -(-rows.count() // 20_000))
+    cut = stored(rows.repartitionByRange(parts, "conv_id", "turn", "role", "th").withColumn("part", F.spark_partition_id()), "turns")
+    sizes = cut.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("k"))
+    whole = Window.partitionBy("conv_id")
+    sizes = sizes.withColumns({"off": F.coalesce(F.sum("k").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "all": F.sum("k").over(whole)})
+    sizes = stored(sizes.select(F.col("conv_id").alias("id_"), F.col("part").alias("part_"), "off", "all"), "sizes")
+    ranked = cut.withColumn("rn", F.row_number().over(Window.partitionBy("conv_id", "part").orderBy("turn", "role", "th", "text")))
+    out = ranked.join(sizes, ranked["conv_id"].eqNullSafe(sizes["id_"]) & (ranked["part"] == sizes["part_"])).withColumn("seq", F.col("off") + F.col("rn") - 1)
+    return stored(out.select("conv_id", "turn", "role", "text", "seq", (F.col("seq") == F.col("all") - 1).alias("last"), F.floor(F.col("seq") / per_range).cast("int").alias("rng")), "turns")
 
 
 def repair(turns: DataFrame, per_range: int = 20_000) -> DataFrame:
-    """(conv_id, rng, seq, turn, role, role_out, action, inserted, cost, piece), one row per input turn.
+    """(conv_id, seq, turn, role, role_out, action, inserted, cost, piece), one row per input turn.
 
-    Pieces of a conversation by (rng, seq), joined, without the first turn's leading end mark and with one at the end,
-    are its rendered text; ``render_chats`` does that. Ranges hold about ``per_range`` turns, so no task meets a whole
-    conversation unless it is short.
+    The pieces of a conversation by ``seq``, joined, are its rendered text; ``render_chats`` does that.
     """
     small_batches(turns.sparkSession)
-    rows = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
-    n = rows.count()
-    order = ["conv_id", "turn", "role", "text"]
-    parts = max(1, -(-n // per_range))
-    cut = stored(rows.repartitionByRange(parts, "conv_id", "turn", "role", F.xxhash64("text")).withColumn("rng", F.spark_partition_id()), "turns")
+    cut = in_ranges(turns, per_range)
 
     def measure(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["turn", "role", "text"], na_position="first", kind="stable")
+        pdf = pdf.sort_values("seq")
         m = matrix([None if pd.isna(r) else r for r in pdf["role"]])
         return pd.DataFrame({"conv_id": pdf["conv_id"].iloc[:1].astype("Int64"), "rng": pdf["rng"].iloc[:1], "m": [m.ravel()]})
 
@@ -134,10 +148,10 @@ def repair(turns: DataFrame, per_range: int = 20_000) -> DataFrame:
 
     spans = cut.select("conv_id", "rng").distinct().groupBy("conv_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("conv_id").alias("long_id"))
     long = cut.join(spans, cut["conv_id"].eqNullSafe(spans["long_id"]), "left_semi")
-    sums = long.select("conv_id", "rng", "turn", "role", "text").groupBy("conv_id", "rng").applyInPandas(measure, "conv_id long, rng int, m array<long>")
+    sums = long.select("conv_id", "rng", "seq", "role").groupBy("conv_id", "rng").applyInPandas(measure, "conv_id long, rng int, m array<long>")
     ends = stored(sums.groupBy("conv_id").applyInPandas(borders, "conv_id long, rng int, entry int, leave int"), "ends")
     ends = ends.withColumnsRenamed({"conv_id": "end_id", "rng": "end_rng"})
-    known = cut.join(ends, cut["conv_id"].eqNullSafe(ends["end_id"]) & (cut["rng"] == ends["end_rng"]), "left").select(*order, "rng", "entry", "leave")
+    known = cut.join(ends, cut["conv_id"].eqNullSafe(ends["end_id"]) & (cut["rng"] == ends["end_rng"]), "left").select("conv_id", "turn", "role", "text", "seq", "last", "rng", "entry", "leave")
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -149,10 +163,10 @@ def repair(turns: DataFrame, per_range: int = 20_000) -> DataFrame:
                 roles = [None if pd.isna(r) else r for r in g["role"]]
                 entry, leave = g["entry"].iloc[0], g["leave"].iloc[0]
                 chosen = path(roles, 0 if pd.isna(entry) else int(entry), None if pd.isna(leave) else int(leave))
-                for i, (o, turn, role, text, conv, rng) in enumerate(zip(chosen, g["turn"], roles, g["text"], g["conv_id"], g["rng"], strict=True)):
+                for o, turn, role, text, conv, seq, last in zip(chosen, g["turn"], roles, g["text"], g["conv_id"], g["seq"], g["last"], strict=True):
                     cost, _, action, _, role_out, inserted = o
-                    out.append((conv, rng, i, turn, role, role_out, action, ",".join(inserted), cost, render(role_out, text, action == "merge", inserted)))
-            return pd.DataFrame(out, columns=["conv_id", "rng", "seq", "turn", "role", "role_out", "action", "inserted", "cost", "piece"]).astype({"conv_id": "Int64", "turn": "Int64"})
+                    out.append((conv, seq, turn, role, role_out, action, ",".join(inserted), cost, render(role_out, text, action == "merge", inserted, seq == 0, last)))
+            return pd.DataFrame(out, columns=["conv_id", "seq", "turn", "role", "role_out", "action", "inserted", "cost", "piece"]).astype({"conv_id": "Int64", "turn": "Int64"})
 
         for b in batches:  # rows come sorted; the last conversation of a batch may go on in the next
             if held and len(b):
@@ -173,13 +187,11 @@ def repair(turns: DataFrame, per_range: int = 20_000) -> DataFrame:
         if held:
             yield flush()
 
-    dealt = known.repartition(F.col("conv_id"), F.col("rng")).sortWithinPartitions("conv_id", "rng", "turn", "role", "text")
-    return dealt.mapInPandas(choose, "conv_id long, rng int, seq int, turn long, role string, role_out string, action string, inserted string, cost int, piece string")
+    dealt = known.repartition(F.col("conv_id"), F.col("rng")).sortWithinPartitions("conv_id", "rng", "seq")
+    return dealt.mapInPandas(choose, "conv_id long, seq long, turn long, role string, role_out string, action string, inserted string, cost int, piece string")
 
 
 def render_chats(repaired: DataFrame) -> DataFrame:
     """(conv_id, chat, cost): the rendered text of each conversation, one training sample and so one row each."""
-    pieces = F.array_sort(F.collect_list(F.struct("rng", "seq", "piece")))
-    text = F.array_join(F.transform(pieces, lambda x: x["piece"]), "")
-    whole = repaired.groupBy("conv_id").agg(text.alias("c"), F.sum("cost").alias("cost"))
-    return whole.select("conv_id", F.concat(F.regexp_replace("c", r"^<\|im_end\|>\n", ""), F.lit("<|im_end|>\n")).alias("chat"), "cost")
+    pieces = F.array_sort(F.collect_list(F.struct("seq", "piece")))
+    return repaired.groupBy("conv_id").agg(F.array_join(F.transform(pieces, lambda x: x["piece"]), "").alias("chat"), F.sum("cost").alias("cost"))
