@@ -1,6 +1,6 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
-An item of m words is compared with windows of m words. Both are bags of five-word shingles (the whole item where it
+An item of m words is compared with windows of m words, and with the whole of a text that is shorter. Both are bags of five-word shingles (the whole item where it
 has fewer words) weighted by their counts; similarity is the weighted Jaccard of the bags. Windows get a SimHash; a
 multi-index over four 16-bit blocks with Hamming balls of radius three guarantees every window within 15 bits of an
 item of its size; the exact similarity then verifies each candidate.
@@ -10,7 +10,8 @@ to reach similarity t, so windows with fewer shingles known to items of their si
 is exact.
 
 Edge cases: words are runs of letters and digits, lower-cased; null texts are empty and never match, nor do items
-without words. Repeated rows and items each count; ids may be null. Texts are read whole. Only doc_id, text, item_id
+without words. Rows equal in id and text are one document, others that repeat an id each count; items and rows with a null
+id are compared like any other. Texts are read whole. Only doc_id, text, item_id
 are read. An empty benchmark or document table gives an empty result.
 """
 
@@ -23,7 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import small_batches, stored
+from cadenza.llm.common import row_id, small_batches, stored
+from cadenza.llm.filters import KeyFilter
 from cadenza.llm.words import mix, slices, split_words
 
 K = 5
@@ -44,31 +46,33 @@ def bit_sums(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def need(s: int, similarity: float) -> int:
-    return max(1, int(np.ceil(2 * s * similarity / (1 + similarity) - 1e-9)))
+def need(s: int, similarity: float, n: int | None = None) -> int:
+    """Shingles that a window of n (s unless given) and an item of s need in common."""
+    return max(1, int(np.ceil((s + (s if n is None else n)) * similarity / (1 + similarity) - 1e-9)))
 
 
 def describe_items(items: DataFrame) -> DataFrame:
-    """(item_id, m, fp, shingles): size in words, SimHash and sorted shingle hashes of each item with words."""
+    """(item_id, ik, m, fp, shingles): the item's number, size in words, SimHash and sorted shingle hashes of each item with words."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             w, out = split_words([(t or "").lower() for t in b["text"]]), []
-            for i, item in enumerate(b["item_id"]):
+            for i, (item, ik) in enumerate(zip(b["item_id"], b["ik"], strict=True)):
                 m = int(w.first[i + 1] - w.first[i])
                 if m:
                     k = min(K, m)
                     h, _ = w.shingles(k)
                     h = h[w.first[i] : w.first[i] + m - k + 1]
                     fp = simhash(bit_sums(h)[-1:], len(h))[0]
-                    out.append((item, m, fp, np.sort(h.view(np.int64))))
-            yield pd.DataFrame(out, columns=["item_id", "m", "fp", "shingles"]).astype({"item_id": "Int64"})
+                    out.append((item, ik, m, fp, np.sort(h.view(np.int64))))
+            yield pd.DataFrame(out, columns=["item_id", "ik", "m", "fp", "shingles"]).astype({"item_id": "Int64"})
 
-    return items.select("item_id", "text").mapInPandas(task, "item_id long, m int, fp long, shingles array<long>")
+    numbered = items.select("item_id", F.monotonically_increasing_id().alias("ik"), "text")
+    return numbered.mapInPandas(task, "item_id long, ik long, m int, fp long, shingles array<long>")
 
 
 def windows(docs: DataFrame, shingles: np.ndarray, masks: np.ndarray, sizes: list[int], similarity: float) -> DataFrame:
-    """(doc_id, start, m, fp, wkey, shingles): windows of the sizes that hold enough of the shingles of items of that size.
+    """(doc_id, rid, start, m, fp, wkey, shingles): windows of the sizes that hold enough of the shingles of items of that size.
 
     ``shingles`` is sorted; bit i % 64 of its mask says that an item of ``sizes[i]`` words holds a shingle. With more
     than 64 sizes a bit stands for several, which only lets more windows pass.
@@ -96,31 +100,33 @@ def windows(docs: DataFrame, shingles: np.ndarray, masks: np.ndarray, sizes: lis
         for b in batches:
             for lo, hi in slices(list(b["text"]), 500_000):
                 w = split_words([(t or "").lower() for t in b["text"].iloc[lo:hi]])
-                ids = b["doc_id"].iloc[lo:hi].to_numpy()
+                ids, rids = b["doc_id"].iloc[lo:hi].to_numpy(), b["rid"].iloc[lo:hi].to_numpy()
                 out: list[tuple] = []
                 for k, ms in by_k.items():
                     h, same = w.shingles(k)
                     mask = np.where(same, known(h), np.uint64(0))
                     hits = np.flatnonzero(mask)
                     per = np.bincount(w.doc[hits], minlength=hi - lo)
-                    for d in np.flatnonzero(per >= need(ms[0][0] - k + 1, similarity)):
+                    for d in np.flatnonzero(per >= need(ms[0][0] - k + 1, similarity, 0)):
                         first, n = w.first[d], w.first[d + 1] - w.first[d] - k + 1
                         g, own = h[first : first + n], mask[first : first + n]
                         count = (own[own > 0][:, None] >> places & np.uint64(1)).sum(axis=0)
                         for m, bit in ms:
                             s = m - k + 1
-                            if s > n:
+                            if n < s * similarity:
                                 break
-                            if count[bit] < need(s, similarity):
+                            least = need(s, similarity, min(n, s))
+                            if count[bit] < least:
                                 continue
+                            s = min(n, s)  # a shorter text is one window
                             c = np.concatenate([[0], np.cumsum((own >> np.uint64(bit) & np.uint64(1)).astype(np.int64))])
-                            for at in np.flatnonzero(c[s:] - c[:-s] >= need(s, similarity)):
+                            for at in np.flatnonzero(c[s:] - c[:-s] >= least):
                                 x = g[at : at + s]
                                 fp = simhash(np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)[None], s)[0]
                                 x = np.sort(x)
                                 with np.errstate(over="ignore"):
                                     key = mix(np.add.reduce(mix(x + np.arange(s, dtype=np.uint64)), keepdims=True)).view(np.int64)[0]
-                                out.append((ids[d], int(at), m, fp, key, x.view(np.int64)))
+                                out.append((ids[d], rids[d], int(at), m, fp, key, x.view(np.int64)))
                                 if len(out) >= 20_000:
                                     yield frame(out)
                                     out = []
@@ -128,9 +134,9 @@ def windows(docs: DataFrame, shingles: np.ndarray, masks: np.ndarray, sizes: lis
                     yield frame(out)
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["doc_id", "start", "m", "fp", "wkey", "shingles"]).astype({"doc_id": "Int64"})
+        return pd.DataFrame(rows, columns=["doc_id", "rid", "start", "m", "fp", "wkey", "shingles"]).astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(task, "doc_id long, start int, m int, fp long, wkey long, shingles array<long>")
+    return docs.select("doc_id", row_id().alias("rid"), "text").mapInPandas(task, "doc_id long, rid long, start int, m int, fp long, wkey long, shingles array<long>")
 
 
 def ball(width: int, radius: int) -> list[int]:
@@ -147,17 +153,17 @@ def block(fp: Column, i: int) -> Column:
 
 
 def candidates(contents: DataFrame, items: DataFrame) -> DataFrame:
-    """Pairs of window contents and items of one size within ``RADIUS`` bits: (m, wkey, item_id, a, b)."""
+    """Pairs of window contents and items of one size within ``RADIUS`` bits: (m, wkey, ik, a, b)."""
     near = F.array(*[F.lit(x) for x in ball(WIDTH, BALL)])
-    index = items.select("item_id", F.col("m").alias("im"), F.col("fp").alias("ifp"), F.col("shingles").alias("b"))
-    keys = index.select("item_id", "im", "ifp", F.explode(near).alias("flip"))
-    keys = keys.select("item_id", "im", "ifp", F.posexplode(F.array(*[block(F.col("ifp"), i).bitwiseXOR(F.col("flip")) for i in range(BLOCKS)])).alias("i", "v"))
+    index = items.select("ik", F.col("m").alias("im"), F.col("fp").alias("ifp"), F.col("shingles").alias("b"))
+    keys = index.select("ik", "im", "ifp", F.explode(near).alias("flip"))
+    keys = keys.select("ik", "im", "ifp", F.posexplode(F.array(*[block(F.col("ifp"), i).bitwiseXOR(F.col("flip")) for i in range(BLOCKS)])).alias("i", "v"))
     probe = contents.select("m", "wkey", "fp", F.posexplode(F.array(*[block(F.col("fp"), i) for i in range(BLOCKS)])).alias("i", "v"))
     keys = keys.hint("merge")  # the balls are many rows more than Spark expects of so few items
     met = probe.join(keys, (probe["m"] == keys["im"]) & (probe["i"] == keys["i"]) & (probe["v"] == keys["v"]))
-    met = met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS).select("m", "wkey", "item_id").distinct()
+    met = met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS).select("m", "wkey", "ik").distinct()
     pairs = met.join(contents.select("m", "wkey", F.col("shingles").alias("a")), ["m", "wkey"])
-    return pairs.join(index.select("item_id", F.col("im").alias("m"), "b"), ["item_id", "m"])
+    return pairs.join(index.select("ik", F.col("im").alias("m"), "b"), ["ik", "m"])
 
 
 def bag_similarity(x: np.ndarray, y: np.ndarray) -> float:
@@ -178,8 +184,9 @@ def weighted_jaccard(a: str, b: str) -> Column:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, most_shingles: int = MOST_SHINGLES) -> DataFrame:
-    """(doc_id, item_id, start, n_words, similarity): each window of a document that matches an item of its size.
+    """(doc_id, rid, item_id, ik, start, n_words, similarity): each window of a document that matches an item of its size.
 
+    ``rid`` is the hash of a document's id and text, ``ik`` a number of the item.
     A benchmark with more than ``most_shingles`` shingles is taken in blocks of items, one pass over the texts each.
     Windows with equal contents are compared once, however many documents share a passage.
     """
@@ -190,7 +197,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, most_s
     n_blocks = -(-total // most_shingles) if total else 0
     found = None
     for i in range(n_blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == i)
+        part = items.where(F.pmod(F.xxhash64("ik"), F.lit(n_blocks)) == i)
         sizes = sorted(r["m"] for r in part.select("m").distinct().collect())
         if not sizes:
             continue
@@ -201,21 +208,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, most_s
         wins = stored(windows(docs, h[order], mask[order], sizes, similarity), "windows")
         contents = stored(wins.groupBy("m", "wkey").agg(F.first("fp").alias("fp"), F.first("shingles").alias("shingles")), "contents")
         pairs = candidates(contents, part).withColumn("similarity", weighted_jaccard("a", "b")).where(F.col("similarity") >= similarity)
-        pairs = stored(pairs.select("m", "wkey", "item_id", "similarity"), "matches")
-        got = wins.select("doc_id", "start", "m", "wkey").join(pairs, ["m", "wkey"]).select("doc_id", "item_id", "start", F.col("m").alias("n_words"), "similarity")
+        pairs = stored(pairs.select("m", "wkey", "ik", "similarity"), "matches").join(part.select("ik", "item_id"), "ik")
+        got = wins.select("doc_id", "rid", "start", "m", "wkey").join(pairs, ["m", "wkey"]).select("doc_id", "rid", "item_id", "ik", "start", F.col("m").alias("n_words"), "similarity")
         found = got if found is None else found.unionByName(got)
-    return found if found is not None else spark.createDataFrame([], "doc_id long, item_id long, start int, n_words int, similarity double")
+    return found if found is not None else spark.createDataFrame([], "doc_id long, rid long, item_id long, ik long, start int, n_words int, similarity double")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """One row per contaminated document: doc_id, item_ids (sorted), n_items, max_similarity, first_word."""
-    per_item = leaks(docs, benchmark, similarity).groupBy("doc_id", "item_id").agg(F.max("similarity").alias("s"), F.min("start").alias("f"))
-    return per_item.groupBy("doc_id").agg(
+    """One row per contaminated document: doc_id, rid, item_ids (sorted, without nulls), n_items, max_similarity, first_word."""
+    per_item = leaks(docs, benchmark, similarity).groupBy("doc_id", "rid", "ik").agg(F.first("item_id").alias("item_id"), F.max("similarity").alias("s"), F.min("start").alias("f"))
+    return per_item.groupBy("doc_id", "rid").agg(
         F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.count(F.lit(1)).alias("n_items"), F.max("s").alias("max_similarity"), F.min("f").alias("first_word")
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """``docs`` without the rows whose doc_id is contaminated; all columns kept."""
-    bad = contaminated(docs, benchmark, similarity).select(F.col("doc_id").alias("_cz_id"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_cz_id"]), "left_anti")
+    """``docs`` without the contaminated rows; all columns kept. Only rows that a Bloom filter can't clear are shuffled."""
+    bad = stored(contaminated(docs, benchmark, similarity).select(F.col("rid").alias("_cz_bad")), "bad")
+    doubt = KeyFilter(bad).might_hold(row_id())
+    return docs.where(~doubt).unionByName(docs.where(doubt).join(bad, row_id() == F.col("_cz_bad"), "left_anti"))

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -27,10 +28,10 @@ def brute(documents, items, similarity=0.8):
             w = words(t)
             if not bag(w, k).keys() & b.keys():
                 continue
-            for i in range(len(w) - len(m) + 1):
+            for i in range(max(1, len(w) - len(m) + 1)):
                 a = bag(w[i : i + len(m)], k)
                 both = sum((a & b).values())
-                if both / (2 * (len(m) - k + 1) - both) >= similarity:
+                if both / (sum(a.values()) + sum(b.values()) - both) >= similarity:
                     found.add((doc, item))
                     break
     return found
@@ -61,6 +62,23 @@ def test_planted_cases(spark, bench):
     assert got[1].first_word <= 1 and got[0].max_similarity == 1.0
 
 
+def test_near_copies_of_items_are_found(spark):
+    """Items of 20 to 60 words with words changed, as wholes, inside texts and cut short, against brute force."""
+    rnd = random.Random(6)
+    items = [(i, " ".join(f"v{rnd.randrange(400)}" for _ in range(rnd.randrange(20, 60)))) for i in range(40)]
+    texts = []
+    for _, t in items:
+        for edits in range(4):
+            w = t.split()
+            for _ in range(edits):
+                w[rnd.randrange(len(w))] = f"y{rnd.randrange(999)}"
+            around = [" ".join(f"o{rnd.randrange(999)}" for _ in range(30)) for _ in range(2)]
+            texts += [" ".join([around[0], *w, around[1]]), " ".join(w[: len(w) - edits])]
+    got = {(r.doc_id, i) for r in decontam.contaminated(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect() for i in r.item_ids}
+    want = brute(list(enumerate(texts)), items)
+    assert got <= want and len(want) > 100 and len(got) >= 0.98 * len(want)
+
+
 def test_blocks_of_items_change_nothing(spark, bench):
     d = docs(spark, [ITEM, "only three words", "clean"])
     one, many = decontam.leaks(d, bench), decontam.leaks(d, bench, most_shingles=10)
@@ -71,4 +89,7 @@ def test_odd_rows(spark, bench):
     df, n = odd(spark)
     assert decontam.clean(df, bench).count() == n and decontam.clean(df, bench).columns == df.columns
     assert decontam.clean(df.limit(0), bench).count() == 0 and decontam.clean(df, bench.limit(0)).count() == n
-    assert decontam.clean(docs(spark, [(None, ITEM), (1, "x")]), bench).count() == 1
+    extra = bench.unionByName(spark.createDataFrame([(None, "an item whose id is null stands here in full")], bench.schema))
+    d = docs(spark, [(None, ITEM), (None, "clean words"), (1, "x"), (2, ITEM), (2, "clean"), (2, ITEM), (3, "so an item whose id is null stands here in full text")])
+    assert rows(decontam.clean(d, extra), "doc_id", "text") == [(1, "x"), (2, "clean"), (None, "clean words")]
+    assert sorted((str(r.doc_id), r.item_ids, r.n_items) for r in decontam.contaminated(d, extra).collect()) == [("2", [1], 1), ("3", [], 1), ("None", [1], 1)]
