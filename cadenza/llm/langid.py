@@ -3,7 +3,7 @@
 A word that training saw is scored by its log frequency in each language. An unseen word falls back to its character
 n-grams, longest first: the first length of which any n-gram is known decides, by the mean of their log frequencies;
 with none known down to single characters the word has no vote. A term that a language lacks costs the same in every
-language, however little text that language had. A document's language has the largest total, the first
+language, however little text that language had. The model has every term of the sample of labelled rows that it is fitted on. A document's language has the largest total, the first
 in alphabetical order on ties.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0. Texts of any length are read whole. Ids and
@@ -23,7 +23,6 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from cadenza.llm.common import small_batches, stored
 
@@ -90,24 +89,21 @@ class Model:
         return self.langs[best], float(1 / np.exp((total - total[best]) / n).sum())
 
 
-def fit(labelled: DataFrame, docs_per_lang: int = 4000, most_words: int = 40_000, most_grams: int = 20_000, most_langs: int = 200) -> Model:
+def fit(labelled: DataFrame, docs_per_lang: int = 2000) -> Model:
     """Learn from (doc_id, text, lang).
 
-    Counts come from a bounded sample of labelled rows: about ``docs_per_lang`` of each language, by hash of doc_id,
-    all of them where there are fewer. The model keeps the commonest ``most_words`` words and ``most_grams`` n-grams
-    of each length and language, so what reaches the driver has a fixed bound; more than ``most_langs`` labels raise.
+    Counts come from a bounded sample of labelled rows: about ``docs_per_lang`` of each language, by hash of id and text,
+    all of them where there are fewer. That bound is the only one: all words and n-grams of the sample are in the model.
     """
     spark = labelled.sparkSession
     small_batches(spark)
     rows = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most_langs + 1).collect()}
-    if len(sizes) > most_langs:
-        raise ValueError(f"more than {most_langs} languages")
-    langs = sorted(sizes)
+    sizes = stored(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    langs = sorted(r["lang"] for r in sizes.collect())
     if not langs:
         return Model([], {}, {}, np.zeros((0, 0), np.float32))
-    share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, docs_per_lang / n))) for x, n in sizes.items()])
-    sample = rows.where(F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1_000_000)) < share * 1_000_000)
+    chance = F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "text"), F.lit(1_000_000)) * F.col("n") < F.lit(docs_per_lang * 1_000_000)
+    sample = rows.join(F.broadcast(sizes), "lang").where(chance)  # one row a language
 
     def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -132,17 +128,17 @@ def fit(labelled: DataFrame, docs_per_lang: int = 4000, most_words: int = 40_000
     pieces = seen.mapInPandas(count_grams, "lang string, size int, term string, n long").groupBy("lang", "size", "term").agg(F.sum("n").alias("n"))
     terms = stored(seen.select("lang", F.lit(0).alias("size"), "term", "n").unionByName(pieces), "terms")
     totals = {(r["lang"], r["size"]): r["n"] for r in terms.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
-    best = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "term")
-    top = terms.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= F.when(F.col("size") == 0, most_words).otherwise(most_grams))
-    chosen = terms.join(top.select("size", "term").distinct(), ["size", "term"])
-    wide = stored(chosen.groupBy("size", "term").agg(F.array(*[F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)) for x in langs]).alias("n")), "model")
+    wide = terms.groupBy("size", "term").agg(F.collect_list(F.struct("lang", "n")).alias("n"))  # one entry a language at most
+    wide = stored(wide, "model")
+    place = {x: i for i, x in enumerate(langs)}
     tables: dict[int, dict[str, int]] = {n: {} for n in range(LONGEST + 1)}
     logs = np.empty((wide.count(), len(langs)), np.float32)
     sums = {size: np.array([totals.get((x, size), 0) + 1 for x in langs], float) for size in tables}
     for i, r in enumerate(wide.toLocalIterator()):
         tables[r["size"]][r["term"]] = i
-        n = sums[r["size"]]
-        logs[i] = np.log(np.array(r["n"]) / n + 0.1 / n.max())
+        n, seen_in = sums[r["size"]], np.zeros(len(langs))
+        seen_in[[place[x["lang"]] for x in r["n"]]] = [x["n"] for x in r["n"]]
+        logs[i] = np.log(seen_in / n + 0.1 / n.max())
     return Model(langs, tables.pop(0), tables, logs)
 
 
