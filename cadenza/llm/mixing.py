@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import row_id, stored
 
 AXES = ("src", "lng", "top")
+WHOLE = 1e12  # the first factor of a category that is taken whole: its cells are at capacity from the start
 
 
 def tokens(text: Column) -> Column:
@@ -54,10 +55,10 @@ def cells(docs: DataFrame) -> DataFrame:
 
 
 def marginal(table: DataFrame, axis: str, targets: dict[str, float] | None, flatten: float, keep: float) -> DataFrame:
-    """(axis, target), stored: shares over the categories present, each within what the sample can hold of it.
+    """(axis, target, full), stored: shares over the categories present, each within what the sample can hold of it.
 
     Given shares, or with None the present ones to the power ``flatten``. Shares above capacity are cut to it and the
-    rest is scaled up, until none is above.
+    rest is scaled up, until none is above. ``full`` are those that the sample takes whole.
     """
     present = table.groupBy(axis).agg(F.sum("tok").alias("t")).where("t > 0")
     total = present.agg(F.sum("t")).first()[0] or 0
@@ -75,7 +76,7 @@ def marginal(table: DataFrame, axis: str, targets: dict[str, float] | None, flat
         above = held.where(~full & (F.col("raw") * scale > F.col("cap") * (1 + 1e-12))).agg(F.count(F.lit(1))).first()[0]
         full = full | (F.col("raw") * scale > F.col("cap") * (1 + 1e-12))
         if not above:
-            return stored(held.select(axis, F.when(full, F.col("cap")).otherwise(F.col("raw") * scale).alias("target")), "target")
+            return stored(held.select(axis, F.when(full, F.col("cap")).otherwise(F.col("raw") * scale).alias("target"), full.alias("full")), "target")
 
 
 def rake(table: DataFrame, targets: dict[str, dict[str, float] | None], flatten: float = 0.5, keep: float = 0.9, tolerance: float = 5e-4) -> tuple[DataFrame, float]:
@@ -88,20 +89,21 @@ def rake(table: DataFrame, targets: dict[str, dict[str, float] | None], flatten:
     table = stored(table, "cells")
     total = table.agg(F.sum("tok")).first()[0] or 0
     aims = {a: marginal(table, a, targets.get(a), flatten, keep) for a in AXES}
-    factors = {a: aims[a].select(a, "target", F.lit(1.0).alias(f"f_{a}")) for a in AXES}
+    factors = {a: aims[a].select(a, F.col("target").alias(f"to_{a}"), F.when(F.col("full"), WHOLE).otherwise(1.0).alias(f"f_{a}")) for a in AXES}
 
     def weighted() -> DataFrame:
         out = table
         for a in AXES:
-            out = out.join(factors[a].select(a, f"f_{a}"), a)
+            out = out.join(factors[a].select(a, f"to_{a}", f"f_{a}"), a)
         free = F.col("tok") / F.lit(float(max(1, total)))
         return out.withColumn("w", F.least(free * F.col("f_src") * F.col("f_lng") * F.col("f_top"), free / F.lit(keep)))
 
     errors: list[float] = []
     while total:
         for a in AXES:
-            sums = weighted().groupBy(a).agg(F.sum("w").alias("s"))
-            step = factors[a].join(sums, a).select(a, "target", F.when(F.col("s") > 0, F.col(f"f_{a}") * F.col("target") / F.col("s")).otherwise(0.0).alias(f"f_{a}"), F.abs(F.col("s") - F.col("target")).alias("off"))
+            f, to = F.first(f"f_{a}"), F.first(f"to_{a}")  # one value a category
+            step = weighted().groupBy(a).agg(to.alias(f"to_{a}"), f.alias("f"), F.sum("w").alias("s"))
+            step = step.select(a, f"to_{a}", F.when(F.col("s") > 0, F.col("f") * F.col(f"to_{a}") / F.col("s")).otherwise(0.0).alias(f"f_{a}"), F.abs(F.col("s") - F.col(f"to_{a}")).alias("off"))
             factors[a] = stored(step, "factors")
         error = reduce(DataFrame.unionByName, [factors[a].select("off") for a in AXES]).agg(F.max("off")).first()[0] or 0.0
         errors.append(error)
