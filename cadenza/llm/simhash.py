@@ -221,9 +221,11 @@ def band_classes(fps: DataFrame, docs: DataFrame) -> DataFrame:
     * In the first few bands each member is compared with the smallest of its bucket. That makes one class of most of a
       group of copies. Of all bands only buckets that still mix classes go on; the others, however large, are just counted.
     * There each member is compared with a pivot, the member with the most bucket neighbours. Buckets whose members share
-      most with the same pivot form a group; all members are compared with its centre, which is the group's pivot from then on.
+      most with the same pivot form a group; all members are compared with its centre, and groups whose members share more with
+      another group's centre join that. The centre is the pivot from then on.
     * Of two members x, y of different classes one, x, is not linked to the pivot p. Let r = 4/9 (|x| + |y|) - |x & p|. A link
-      needs r shingles in common beyond p. So either x and y share a shingle that p lacks; or r <= 0 and, of the shingles
+      needs r shingles in common beyond p. So either x and y share a shingle that p lacks, and as all sets have one order, one
+      of the first |x - p| - r + 1 and |y - p| - r + 1 of them; or r <= 0 and, of the shingles
       of p that y has lost, x has at most -r: then y has lost -r at most, or one of the first 1 - r that y has lost is
       lost to x too. Each case is a join, on shingles or sizes; what it gives is verified on the whole sets. No link is lost.
     """
@@ -261,6 +263,10 @@ def band_classes(fps: DataFrame, docs: DataFrame) -> DataFrame:
     around = stored(around.select("key", "a", "na").join(stored(mode, "mode"), "key").select("p", "a", "na").distinct(), "around")
     middle = stored(centres(around, sets), "middle")
     around = stored(around.join(middle, "p", "left").select(F.coalesce("centre", "p").alias("p"), "a", "na").distinct(), "around")
+    close = stored(overlaps(around.withColumn("b", F.col("p")), sets).select("a", "p", (F.col("both") * 2 - F.col("na")).alias("both")), "close")
+    best = close.groupBy("a").agg(F.max(F.struct("both", "p"))["p"].alias("best"))  # centres of one group of copies give way to the best
+    mode = around.join(stored(best, "best"), "a").groupBy("p", "best").agg(F.count(F.lit(1)).alias("n")).groupBy("p").agg(F.max(F.struct("n", "best"))["best"].alias("to"))
+    around = stored(around.join(stored(mode, "mode"), "p").select(F.col("to").alias("p"), "a", "na").distinct(), "around")
     more = overlaps(around.withColumn("b", F.col("p")), sets)
     more = more.withColumns({"np": F.size("_sb"), "beyond": F.array_except("_sa", "_sb"), "less": F.array_except("_sb", "_sa")})
     links, met = met.where("linked").select("a", "p"), stored(more.select("a", "p", "na", "np", "both", "linked", "beyond", "less"), "met")
@@ -270,10 +276,12 @@ def band_classes(fps: DataFrame, docs: DataFrame) -> DataFrame:
     still = known.groupBy("p").agg(F.min("ca").alias("lo"), F.max("ca").alias("hi")).where("lo <> hi").select("p")
     known = stored(known.join(stored(still, "still"), "p"), "known")
     far = known.where("not linked").select("p", "a", "ca", "na", "both", "beyond", "less")
-    other = known.select("p", F.col("a").alias("b"), F.col("ca").alias("cb"), F.col("na").alias("nb"), "np", F.col("beyond").alias("more"), F.col("less").alias("lost"))
+    other = known.select("p", F.col("a").alias("b"), F.col("ca").alias("cb"), F.col("na").alias("nb"), F.col("both").alias("both_b"), "np", F.col("beyond").alias("more"), F.col("less").alias("lost"))
     unlike = f"ca <> cb and {NEAR}"
-    had = far.select("p", "a", "ca", "na", "both", F.explode("beyond").alias("s")).join(other.select("p", "b", "cb", "nb", F.explode("more").alias("s")), ["p", "s"]).where(unlike)
-    had = had.groupBy("p", "a", "b", "ca", "cb", "na", "nb", "both").agg(F.count(F.lit(1)).alias("n")).where("9 * (n + both) >= 4 * (na + nb)").select("a", "b", "ca", "cb")
+    rest = "4 * (na + nb) - 9 * least(both, both_b)"  # nine times r, of either side
+    ax = far.select("p", "a", "ca", "na", "both", F.size("beyond").alias("ga"), F.posexplode("beyond").alias("ia", "s"))
+    bx = other.select("p", "b", "cb", "nb", "both_b", F.size("more").alias("gb"), F.posexplode("more").alias("ib", "s"))
+    had = ax.join(bx, ["p", "s"]).where(f"{unlike} and 9 * (ga - ia) >= {rest} and 9 * (gb - ib) >= {rest}").select("a", "b", "ca", "cb")
     large, small = far.where("45 * both >= 36 * na"), other.where("nb < np")
     few = large.select("p", "a", "ca", "na", "both").join(small.select("p", "b", "cb", "nb", F.size("lost").alias("gone")), "p").where(f"{unlike} and 9 * gone <= 9 * both - 4 * (na + nb)")
     lost = large.select("p", "a", "ca", "na", "both", F.explode("less").alias("s")).join(small.select("p", "b", "cb", "nb", F.posexplode("lost").alias("at", "s")), ["p", "s"])
