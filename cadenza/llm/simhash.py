@@ -94,9 +94,10 @@ def ball_links(fps: DataFrame) -> DataFrame:
     Two such fingerprints differ in two segments at most. Let j be the last of them: in the segments before j they
     differ in one bit at most, after it in none, so one finds the other in table j by a ball of radius one. What a look-up
     fetches may differ in any of the 16 bits of segment j; the join's condition is the complete distance. A bucket holds at most
-    65,536 fingerprints, all different, however many rows have one of them.
+    65,536 fingerprints, all different, however many rows have one of them. Spark takes exploded tables for smaller than
+    they are, so the join is told not to broadcast.
     """
-    found = probes(fps).join(tables(fps), "key").where("fp <> other")
+    found = probes(fps).join(tables(fps).hint("merge"), "key").where("fp <> other")
     return found.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= RADIUS).select(F.col("fp").alias("a"), F.col("other").alias("b"))
 
 
@@ -281,10 +282,10 @@ def band_classes(fps: DataFrame, docs: DataFrame) -> DataFrame:
     rest = "4 * (na + nb) - 9 * least(both, both_b)"  # nine times r, of either side
     ax = far.select("p", "a", "ca", "na", "both", F.size("beyond").alias("ga"), F.posexplode("beyond").alias("ia", "s"))
     bx = other.select("p", "b", "cb", "nb", "both_b", F.size("more").alias("gb"), F.posexplode("more").alias("ib", "s"))
-    had = ax.join(bx, ["p", "s"]).where(f"{unlike} and 9 * (ga - ia) >= {rest} and 9 * (gb - ib) >= {rest}").select("a", "b", "ca", "cb")
+    had = ax.join(bx.hint("merge"), ["p", "s"]).where(f"{unlike} and 9 * (ga - ia) >= {rest} and 9 * (gb - ib) >= {rest}").select("a", "b", "ca", "cb")
     large, small = far.where("45 * both >= 36 * na"), other.where("nb < np")
     few = large.select("p", "a", "ca", "na", "both").join(small.select("p", "b", "cb", "nb", F.size("lost").alias("gone")), "p").where(f"{unlike} and 9 * gone <= 9 * both - 4 * (na + nb)")
-    lost = large.select("p", "a", "ca", "na", "both", F.explode("less").alias("s")).join(small.select("p", "b", "cb", "nb", F.posexplode("lost").alias("at", "s")), ["p", "s"])
+    lost = large.select("p", "a", "ca", "na", "both", F.explode("less").alias("s")).join(small.select("p", "b", "cb", "nb", F.posexplode("lost").alias("at", "s")).hint("merge"), ["p", "s"])
     lost = lost.where(f"{unlike} and 9 * at <= 9 * both - 4 * (na + nb)")
     small = few.select("a", "b", "ca", "cb").unionByName(lost.select("a", "b", "ca", "cb"))
     pairs = stored(small.unionByName(had).distinct(), "pairs")
