@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cadenza.functions.expr import rounded
 from cadenza.operators import report, signif
@@ -75,10 +76,14 @@ def parse_recording_name(spark: SparkSession, d: str) -> DataFrame:
     return j.select(F.col("n_nationkey").cast("long").alias("id"), *[c.alias(k) for k, c in parse_recording(name).items()])
 
 
-@query("""SELECT c_custkey AS id, CAST(regexp_extract(c_name, '([0-9]+)', 1) AS INTEGER) AS number, CAST(row_number() OVER (ORDER BY CAST(regexp_extract(c_name, '([0-9]+)', 1) AS INTEGER), c_custkey) - 1 AS BIGINT) AS pos FROM customer WHERE c_nationkey < 5""")
+@query("""SELECT c_custkey AS id, CAST(regexp_extract(c_name, '([0-9]+)', 1) AS INTEGER) AS number, CAST(row_number() OVER (ORDER BY CAST(regexp_extract(c_name, '([0-9]+)', 1) AS INTEGER), c_custkey) - 1 AS BIGINT) AS pos FROM customer""")
 def natural_sort_extract(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").where("c_nationkey < 5").select(F.col("c_custkey").alias("id"), report.natural_key(F.col("c_name")).alias("number"))
-    return report.ranked(c.withColumn("all", F.lit(0)), ["all"], ["number", "id"]).drop("all")
+    """All customers in natural order. Ranges of 10,000 numbers are ranked apart and shifted by the ranges before."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), report.natural_key(F.col("c_name")).alias("number")).withColumn("b", F.floor(F.col("number") / 10_000))
+    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = c.groupBy("b").agg(F.count(F.lit(1)).alias("n")).select(F.col("b").alias("to"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
+    inside = report.ranked(c, ["b"], ["number", "id"])
+    return inside.join(offsets, inside["b"].eqNullSafe(offsets["to"])).select("id", "number", (F.col("pos") + F.col("off")).cast("long").alias("pos"))
 
 
 @query(f"""WITH {RES}, g AS (SELECT modality, subject % 9 AS grid, round(avg(value), 1) AS metric FROM res GROUP BY modality, subject % 9),
