@@ -37,7 +37,7 @@ class MergeIndex:
 
     def write(self, table: DataFrame) -> DataFrame:
         to = f"{self.path}/run={self.written}"
-        table.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").parquet(to)
+        table.sortWithinPartitions("digest").write.parquet(to)
         self.written += 1
         return self.spark.read.schema(table.schema).parquet(to)
 
