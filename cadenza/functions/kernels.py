@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 Array = np.ndarray
+NOISE = 1e-10  # eigenvalues below this share of the largest are rounding: fewer samples than channels leave such directions
 
 
 def powered(m: Array, power: float, rank: int | None = None) -> Array:
@@ -54,6 +55,11 @@ def fix_signs(w: Array) -> Array:
     return w * np.where(top < 0, -1.0, 1.0)
 
 
+def without_noise(w: Array) -> Array:
+    """Columns with entries of rounding size 0, so that a side which has no part in a filter has no series either."""
+    return np.where(np.abs(w) < NOISE * np.abs(w).max(axis=0), 0.0, w)
+
+
 def cca(cov: Array, dx: int, k: int, rank: int | None = None) -> tuple[Array, Array, Array]:
     """(wa, wb, r): ``k`` pairs of filters, unit variance each, and their correlations under ``cov``.
 
@@ -72,11 +78,14 @@ def cca(cov: Array, dx: int, k: int, rank: int | None = None) -> tuple[Array, Ar
 
 
 def smallest_pencil(a: Array, b: Array, k: int) -> tuple[Array, Array]:
-    """(lam, w): the k smallest of a w = lam b w with b positive definite, by whitening."""
-    half = powered(b, -0.5)
-    lam, v = np.linalg.eigh(half @ a @ half)
-    some = np.flatnonzero(lam > 1e-12)[:k]  # directions outside b's range count as 0
-    return lam[some], half @ v[:, some]
+    """(lam, w): the k smallest positive of a w = lam b w, as the k largest of b against a.
+
+    ``a``, block diagonal, is whitened: it stays positive where ``b``, whose diagonal blocks alone are shrunk, need not be.
+    """
+    half = powered(a, -0.5)
+    mu, v = np.linalg.eigh(half @ b @ half)
+    some = np.flatnonzero(mu > 1e-12)[::-1][:k]
+    return 1 / mu[some], half @ v[:, some]
 
 
 def gcca(cov: Array, dims: list[int], k: int, n: float) -> tuple[Array, Array]:
@@ -110,18 +119,42 @@ def discriminative(signal: Array, compete: Array, target: Array, cross: Array, k
     full[:d, d:] = cross[:, d:]
     full[d:, :d] = cross[:, d:].T
     base[:d, :d], base[d:, d:] = signal - compete, target
-    lam, w = np.linalg.eig(np.linalg.pinv(base) @ full)
+    lam, w = np.linalg.eig(np.linalg.pinv(base, rcond=NOISE, hermitian=True) @ full)
     order = np.argsort(-lam.real)[:k]
-    w = fix_signs(w[:, order].real)
+    w = fix_signs(without_noise(w[:, order].real))
     return lam[order].real, w[:d], w[d:]
 
 
+def discriminative_apart(cov: Array, dims: list[int], k: int, n: float) -> tuple[Array, Array]:
+    """(lam, w): largest of the full covariance of [signal, -competitor, target] against its blocks, the competitor's negative.
+
+    Filters are scaled so that w' base w is lam / n in size.
+    """
+    ds, dc, _ = dims
+    sign = np.ones(len(cov))
+    sign[ds : ds + dc] = -1
+    base = block_diagonal(cov, dims) * sign[:, None]
+    lam, w = np.linalg.eig(np.linalg.pinv(base, rcond=NOISE, hermitian=True) @ (cov * sign[:, None] * sign[None]))
+    order = np.argsort(-lam.real)[:k]
+    lam, w = lam[order].real, without_noise(w[:, order].real)
+    norm = np.abs(np.einsum("ik,ij,jk->k", w, base, w)) * n
+    return lam, fix_signs(w * np.sqrt(np.abs(lam) / np.where(norm > 0, norm, 1.0)))
+
+
+def mean_correlation(x: Array) -> float:
+    """Mean correlation over all pairs of columns; NaN where a column is constant."""
+    if len(x) < 2 or x.shape[1] < 2 or (np.ptp(x, axis=0) == 0).any():
+        return float("nan")
+    r = np.corrcoef(x, rowvar=False)
+    return float(r[np.triu_indices(len(r), 1)].mean())
+
+
 def haufe(cov: Array, w: Array) -> Array:
     """Forward model: how each latent series shows in the channels."""
     return cov @ w @ np.linalg.pinv(w.T @ cov @ w)
 
 
-def phase_scramble(x: Array, seed: int) -> Array:
+def phase_scramble(x: Array, seed: int | list[int]) -> Array:
     """Series (samples x channels) with their amplitude spectra and new random phases, channel by channel."""
     rng, spectrum = np.random.default_rng(seed), np.abs(np.fft.rfft(x, axis=0))
     phase = np.exp(2j * np.pi * rng.random(spectrum.shape))
@@ -131,7 +164,7 @@ def phase_scramble(x: Array, seed: int) -> Array:
     return np.fft.irfft(spectrum * phase, n=len(x), axis=0)
 
 
-def shuffle_blocks(x: Array, size: int, seed: int) -> Array:
+def shuffle_blocks(x: Array, size: int, seed: int | list[int]) -> Array:
     """Blocks of ``size`` samples in a random order; the end is padded with zeros to a whole block."""
     blocks = -(-len(x) // size)
     padded = np.concatenate([x, np.zeros((blocks * size - len(x), *x.shape[1:]))])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -11,19 +11,20 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import kernels
 from cadenza.functions.expr import safe_corr
-from cadenza.operators.moments import Moments, fit_by
+from cadenza.operators.moments import Moments, fit_by, head_of
 
 CCA_SCHEMA = "component long, r double, wa array<double>, wb array<double>, fa array<double>"
+GCCA_SCHEMA = "view long, component long, lam double, w array<double>, f array<double>"
 
 
-def cca_fit(df: DataFrame, key: str, x: str, y: str, dims_x: list[int], dims_y: list[int], components: int, shrink: bool = True, rank: int | None = None) -> DataFrame:
-    """(key, component, r, wa, wb, fa): filters of both sides, correlation on these samples, forward model of side x.
+def cca_fit(df: DataFrame, keys: list[str], x: str, y: str, dims_x: list[int], dims_y: list[int], components: int, shrink: bool = True, rank: int | None = None, without: str | None = None) -> DataFrame:
+    """(keys, component, r, wa, wb, fa): filters of both sides, correlation on these samples, forward model of side x.
 
-    ``dims_x`` and ``dims_y`` are the widths of stacked modalities, each shrunk by itself.
+    ``dims_x`` and ``dims_y`` are the widths of stacked modalities, each shrunk by itself. ``without`` as in ``fit_by``.
     """
     dx, dims = sum(dims_x), [*dims_x, *dims_y]
 
-    def kernel(k: int, m: Moments) -> pd.DataFrame:
+    def kernel(m: Moments) -> list[tuple]:
         cov = kernels.shrink_blocks(m.cov, m.n, dims, m.fourths) if shrink else m.cov
         wa, wb, _ = kernels.cca(cov, dx, components, rank)
         va, vb = (np.einsum("ik,ij,jk->k", w, c, w) for w, c in ((wa, m.cov[:dx, :dx]), (wb, m.cov[dx:, dx:])))
@@ -31,53 +32,76 @@ def cca_fit(df: DataFrame, key: str, x: str, y: str, dims_x: list[int], dims_y:
             r = np.einsum("ik,ij,jk->k", wa, m.cov[:dx, dx:], wb) / np.sqrt(va * vb)
         wa = wa * np.where(r < 0, -1.0, 1.0)
         fa = kernels.haufe(m.cov[:dx, :dx], wa)
-        return pd.DataFrame({key: k, "component": np.arange(1, len(r) + 1), "r": np.abs(r), "wa": list(wa.T), "wb": list(wb.T), "fa": list(fa.T)})
+        return [(c + 1, abs(r[c]), wa[:, c], wb[:, c], fa[:, c]) for c in range(len(r))]
 
-    return fit_by(df.withColumn("_z", F.concat(x, y)), key, "_z", dims, kernel, f"{key} long, {CCA_SCHEMA}")
+    return fit_by(df.withColumn("_z", F.concat(x, y)), keys, "_z", dims, kernel, CCA_SCHEMA, without)
 
 
-def gcca_fit(df: DataFrame, key: str, z: str, dims: list[int], components: int, shrink: bool = True, rho: float | None = None) -> DataFrame:
-    """(key, view, component, lam, w, f): GCCA filters of each view of stacked arrays, and forward models.
+def gcca_rows(m: Moments, components: int, shrink: bool, rho: float | None) -> list[tuple]:
+    cov = kernels.shrink_blocks(m.cov, m.n, m.dims, m.fourths) if shrink else m.cov
+    lam, w = kernels.gcca(cov, m.dims, components, m.n) if rho is None else kernels.stimulus_gcca(cov, m.dims, rho, components, m.n)
+    f, rows, at = m.n * kernels.block_diagonal(cov, m.dims) @ w, [], 0
+    for view, d in enumerate(m.dims):
+        rows += [(view, c + 1, lam[c], w[at : at + d, c], f[at : at + d, c]) for c in range(w.shape[1])]
+        at += d
+    return rows
 
-    With ``rho`` the last view is a stimulus of that weight. Views are subjects, modalities or both; their total width
-    bounds the kernel's memory.
+
+def gcca_fit(df: DataFrame, keys: list[str], z: str, dims: list[int] | int, components: int, shrink: bool = True, rho: float | None = None, without: str | None = None) -> DataFrame:
+    """(keys, view, component, lam, w, f): GCCA filters of each view of stacked arrays, and forward models.
+
+    With ``rho`` the last view is a stimulus of that weight. Views are subjects, modalities or both; ``dims`` has their
+    widths, or the one width of all, as many as a key has. Their total width bounds the kernel's memory.
     """
+    return fit_by(df, keys, z, dims, lambda m: gcca_rows(m, components, shrink, rho), GCCA_SCHEMA, without)
 
-    def kernel(k: int, m: Moments) -> pd.DataFrame:
-        cov = kernels.shrink_blocks(m.cov, m.n, dims, m.fourths) if shrink else m.cov
-        lam, w = kernels.gcca(cov, dims, components, m.n) if rho is None else kernels.stimulus_gcca(cov, dims, rho, components, m.n)
-        f, rows, at = m.n * kernels.block_diagonal(cov, dims) @ w, [], 0
-        for view, d in enumerate(dims):
-            rows += [(k, view, c + 1, lam[c], w[at : at + d, c], f[at : at + d, c]) for c in range(w.shape[1])]
-            at += d
-        return pd.DataFrame(rows, columns=[key, "view", "component", "lam", "w", "f"])
 
-    return fit_by(df, key, z, dims, kernel, f"{key} long, view long, component long, lam double, w array<double>, f array<double>")
+def gcca_sweep(df: DataFrame, keys: list[str], z: str, dims: list[int], components: int, rhos: list[float], shrink: bool = True, without: str | None = None) -> DataFrame:
+    """(keys, rho, view, component, lam, w, f): ``gcca_fit`` for each weight of the stimulus, from one set of moments."""
+
+    def kernel(m: Moments) -> list[tuple]:
+        return [(r, *row) for r in rhos for row in gcca_rows(m, components, shrink, r)]
+
+    return fit_by(df, keys, z, dims, kernel, f"rho double, {GCCA_SCHEMA}", without)
 
 
-def discriminative_fit(df: DataFrame, key: str, signal: str, compete: str, target: str, d: int, dy: int, components: int) -> DataFrame:
-    """(key, component, lam, ws, wy): filters that favour the signal over its competitor against one target."""
+def discriminative_fit(df: DataFrame, keys: list[str], signal: str, compete: str, target: str, d: int, dy: int, components: int, without: str | None = None) -> DataFrame:
+    """(keys, component, lam, ws, wy): filters that favour the signal over its competitor against one target."""
     diff = F.zip_with(F.col(signal), F.col(compete), lambda a, b: a - b)
     both = df.withColumn("_z", F.concat(F.col(signal), F.col(compete), diff, F.col(target)))
 
-    def kernel(k: int, m: Moments) -> pd.DataFrame:
+    def kernel(m: Moments) -> list[tuple]:
         c = m.cov
         lam, ws, wy = kernels.discriminative(c[:d, :d], c[d : 2 * d, d : 2 * d], c[3 * d :, 3 * d :], c[2 * d : 3 * d, 2 * d :], components)
-        return pd.DataFrame({key: k, "component": np.arange(1, len(lam) + 1), "lam": lam, "ws": list(ws.T), "wy": list(wy.T)})
+        return [(k + 1, lam[k], ws[:, k], wy[:, k]) for k in range(len(lam))]
+
+    return fit_by(both, keys, "_z", [d, d, d, dy], kernel, "component long, lam double, ws array<double>, wy array<double>", without)
+
+
+def discriminative_fit_apart(df: DataFrame, keys: list[str], signal: str, compete: str, target: str, dims: tuple[int, int, int], components: int, without: str | None = None) -> DataFrame:
+    """(keys, component, lam, ws, wc, wy): as ``discriminative_fit`` with a filter of the competitor's own.
+
+    ``dims`` are the widths of signal, competitor and target, which may all differ.
+    """
+    ds, dc, dy = dims
+
+    def kernel(m: Moments) -> list[tuple]:
+        lam, w = kernels.discriminative_apart(m.cov, [ds, dc, dy], components, m.n)
+        return [(k + 1, lam[k], w[:ds, k], w[ds : ds + dc, k], w[ds + dc :, k]) for k in range(len(lam))]
 
-    return fit_by(both, key, "_z", [d, d, d, dy], kernel, f"{key} long, component long, lam double, ws array<double>, wy array<double>")
+    both = df.withColumn("_z", F.concat(signal, compete, target))
+    return fit_by(both, keys, "_z", [ds, dc, dy], kernel, "component long, lam double, ws array<double>, wc array<double>, wy array<double>", without)
 
 
-def least_squares_fit(df: DataFrame, key: str, x: str, y: str, dx: int, dy: int) -> DataFrame:
-    """(key, w, mse): weights (dx x dy, row by row) that predict y from x without intercept, and the mean squared error."""
+def least_squares_fit(df: DataFrame, keys: list[str], x: str, y: str, dx: int, dy: int) -> DataFrame:
+    """(keys, w, mse): weights (dx x dy, row by row) that predict y from x without intercept, and the mean squared error."""
 
-    def kernel(k: int, m: Moments) -> pd.DataFrame:
+    def kernel(m: Moments) -> list[tuple]:
         gx, gxy, gy = m.gram[:dx, :dx], m.gram[:dx, dx:], m.gram[dx:, dx:]
         w = np.linalg.lstsq(gx, gxy, rcond=None)[0]
-        mse = (np.trace(gy) - 2 * (w * gxy).sum() + np.trace(w.T @ gx @ w)) / m.n / dy
-        return pd.DataFrame({key: [k], "w": [w.ravel()], "mse": [mse]})
+        return [(w.ravel(), (np.trace(gy) - 2 * (w * gxy).sum() + np.trace(w.T @ gx @ w)) / m.n / dy)]
 
-    return fit_by(df.withColumn("_z", F.concat(x, y)), key, "_z", [dx, dy], kernel, f"{key} long, w array<double>, mse double")
+    return fit_by(df.withColumn("_z", F.concat(x, y)), keys, "_z", [dx, dy], kernel, "w array<double>, mse double")
 
 
 def project(df: DataFrame, weights: DataFrame, keys: list[str], sides: dict[str, tuple[str, str]]) -> DataFrame:
@@ -126,37 +150,37 @@ def per_series(df: DataFrame, keys: list[str], t: str, cols: list[str], apply: C
     return df.select(*keys, t, *cols).groupBy(*keys).applyInPandas(task, schema)
 
 
-def permuted_correlations(df: DataFrame, keys: list[str], t: str, a: str, b: str, permutations: int, chunk: int = 50, block: int | None = None, seed: int = 0) -> DataFrame:
-    """(keys, perm, r): correlations of ``a`` with phase-scrambled (or, with ``block``, block-shuffled) ``b``.
+def permuted(df: DataFrame, keys: list[str], t: str, cols: list[str], statistic: Callable[[np.ndarray], float], permutations: int, chunk: int = 50, block: int | None = None, seed: int = 0) -> DataFrame:
+    """(keys, perm, r): ``statistic`` (samples x columns) of series that are all phase-scrambled (with ``block`` block-shuffled).
 
-    Series are projections, one column each. Permutations are dealt in chunks, so that one key's work spreads over tasks.
+    ``cols`` are columns of numbers, or one array column. Columns are scrambled apart from each other. A key's series fits a
+    task; permutations are dealt in chunks, so that one key's work spreads over tasks.
     """
-    types = dict(df.dtypes)
     chunks = -(-permutations // chunk)
-    spread = df.select(*keys, t, a, b).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    spread = df.select(*keys, t, *cols).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    scramble = kernels.phase_scramble if block is None else lambda x, s: kernels.shuffle_blocks(x, block, s)
 
     def task(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(t)
-        x, y, first = pdf[a].to_numpy(float), pdf[[b]].to_numpy(float), int(pdf["_chunk"].iloc[0]) * chunk
+        x = np.hstack([np.stack(pdf[c]).reshape(len(pdf), -1) for c in cols]).astype(float)
+        first = int(pdf["_chunk"].iloc[0]) * chunk
         own = int(pd.util.hash_pandas_object(pdf[keys].iloc[:1], index=False).iloc[0]) % (1 << 40) if keys else 0
         out = []
         for p in range(first, min(first + chunk, permutations)):
-            s = (seed << 50) ^ (own << 10) ^ p
-            z = (kernels.phase_scramble(y, s) if block is None else kernels.shuffle_blocks(y, block, s)[: len(y)])[:, 0]
-            ok = len(x) > 1 and x.std() > 0 and z.std() > 0
-            out.append((p, np.corrcoef(x, z)[0, 1] if ok else np.nan))
+            z = [scramble(x[:, [i]], [seed, own, p, i])[: len(x)] for i in range(x.shape[1])]
+            out.append((p, statistic(np.hstack(z))))
         res = pd.DataFrame(out, columns=["perm", "r"])
         for k in keys:
             res[k] = pdf[k].iloc[0]
         return res[[*keys, "perm", "r"]]
 
-    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], "perm long", "r double"])
-    return spread.groupBy(*keys, "_chunk").applyInPandas(task, schema)
+    return spread.groupBy(*keys, "_chunk").applyInPandas(task, ", ".join(filter(None, [head_of(df, keys), "perm long, r double"])))
 
 
-def as_array(cols: list[str]) -> Column:
-    return F.array(*[F.col(c).cast("double") for c in cols])
+def permuted_correlations(df: DataFrame, keys: list[str], t: str, a: str, b: str, permutations: int, chunk: int = 50, block: int | None = None, seed: int = 0) -> DataFrame:
+    """(keys, perm, r): correlations of ``a`` with ``b`` after both are scrambled; NaN where one is constant."""
+    return permuted(df, keys, t, [a, b], kernels.mean_correlation, permutations, chunk, block, seed)
 
 
-def batches_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    return (f for f in frames if len(f))
+def as_array(cols: list[str]) -> Column:
+    return F.array(*[F.col(c).cast("double") for c in cols])

@@ -2,80 +2,179 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+Array = np.ndarray
 
-def partial_moments(df: DataFrame, key: str, z: str, dims: list[int]) -> DataFrame:
-    """(key, n, s, g, q, c): per task and key, sums over rows: count, z, z z', and per block |z|^4 and |z|^2 with |z|^2 z.
+HELD = 64 << 20  # bytes of sums that a task holds before it sends them on
+PARTS = "n long, s array<double>, g array<double>, q array<double>, c array<double>"
+SUMS = ["n", "s", "g", "q", "c"]
 
-    Tasks add their rows up, so a key with any number of samples sends one row per task. ``key`` is a long column.
+Kernel = Callable[["Moments"], list[tuple]]
+
+
+def edges_of(dims: list[int] | int, width: int) -> Array:
+    """Block edges of arrays of ``width`` values; a number stands for equal blocks of that width."""
+    return np.arange(0, width + 1, dims) if isinstance(dims, int) else np.cumsum([0, *dims])
+
+
+def head_of(df: DataFrame, keys: list[str]) -> str:
+    types = dict(df.dtypes)
+    return ", ".join(f"`{k}` {types[k]}" for k in keys)
+
+
+def sums_of(x: Array, dims: list[int] | int) -> list:
+    """Count, sum z, the upper triangle of sum z z', and per block sums of |z|^4 and |z|^2, and of |z|^2 z."""
+    edges = edges_of(dims, x.shape[1])
+    q = np.stack([(x[:, i:j] ** 2).sum(axis=1) for i, j in pairwise(edges)], axis=1)
+    cross = [(x[:, i:j] * q[:, m : m + 1]).sum(axis=0) for m, (i, j) in enumerate(pairwise(edges))]
+    return [len(x), x.sum(axis=0), (x.T @ x)[np.triu_indices(x.shape[1])], np.concatenate([(q**2).sum(axis=0), q.sum(axis=0)]), np.concatenate(cross)]
+
+
+def key_rows(frame: pd.DataFrame, keys: list[str]) -> Iterator[tuple]:
+    """The keys of each row as tuples, nulls as None."""
+    return zip(*[[None if v is None or v != v else v for v in frame[k]] for k in keys], strict=True)
+
+
+def partial_moments(df: DataFrame, keys: list[str], z: str, dims: list[int] | int) -> DataFrame:
+    """(keys, n, s, g, q, c): per task and key, the sums that ``sums_of`` names.
+
+    Tasks add their rows up, so a key with any number of samples sends one row per task, or one for each ``HELD`` bytes of
+    sums where a task meets many keys.
     """
-    edges = np.cumsum([0, *dims])
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list] = {}
+        held: dict[tuple, list] = {}
+        size = 0
         for b in batches:
-            if not len(b):
-                continue
-            ids = b[key].to_numpy()
-            order = np.argsort(ids, kind="stable")
-            rows = np.vstack(b[z].to_numpy()[order])
-            cuts = np.flatnonzero(np.diff(ids[order])) + 1
-            for k, x in zip(ids[order][np.concatenate([[0], cuts])], np.split(rows, cuts), strict=True):
-                q = np.stack([(x[:, i:j] ** 2).sum(axis=1) for i, j in zip(edges, edges[1:], strict=False)], axis=1)
-                new = [len(x), x.sum(axis=0), x.T @ x, np.concatenate([(q**2).sum(axis=0), q.sum(axis=0)]), np.concatenate([(x[:, i:j] * q[:, m : m + 1]).sum(axis=0) for m, (i, j) in enumerate(zip(edges, edges[1:], strict=False))])]
-                old = held.get(k)
-                held[k] = new if old is None else [a + c for a, c in zip(old, new, strict=True)]
-            if len(held) > 2_000:
+            values = b[z].to_numpy()
+            heads = list(key_rows(b, keys))
+            at: dict[tuple, list[int]] = {}
+            for i, k in enumerate(heads):
+                at.setdefault(k, []).append(i)
+            for k, rows in at.items():
+                new, old = sums_of(np.stack(values[rows]).astype(float), dims), held.get(k)
+                if old is None:
+                    size += sum(8 * np.size(v) for v in new)
+                held[k] = new if old is None else [x + y for x, y in zip(old, new, strict=True)]
+            if size > HELD:
                 yield frame(held)
-                held = {}
-        yield frame(held)
+                held, size = {}, 0
+        if held:
+            yield frame(held)
 
     def frame(held: dict) -> pd.DataFrame:
-        return pd.DataFrame([(k, n, s, g.ravel(), q, c) for k, (n, s, g, q, c) in held.items()], columns=[key, "n", "s", "g", "q", "c"])
+        return pd.DataFrame([(*k, *v) for k, v in held.items()], columns=[*keys, *SUMS])
 
-    return df.select(F.col(key).cast("long").alias(key), z).mapInPandas(task, f"{key} long, n long, s array<double>, g array<double>, q array<double>, c array<double>")
+    return df.select(*keys, z).mapInPandas(task, f"{head_of(df, keys)}, {PARTS}")
 
 
-class Moments:
-    """The merged moments of one key."""
+def summed(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[list[tuple[tuple, list]]]:
+    """(key, sums) for each run of rows with one key, in lists of about a batch; one key's sums are held at a time."""
+    now, total = None, None
+    for b in batches:
+        done = []
+        for k, *parts in zip(key_rows(b, keys), *[b[c] for c in SUMS], strict=True):
+            if total is not None and k == now:
+                total = [x + y for x, y in zip(total, parts, strict=True)]
+            else:
+                if total is not None:
+                    done.append((now, total))
+                now, total = k, parts
+        yield done
+    if total is not None:
+        yield [(now, total)]
+
+
+def by_key(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of one key side by side in one of a fixed number of partitions.
 
-    def __init__(self, parts: pd.DataFrame, dims: list[int]):
-        total = lambda c: np.sum(np.vstack(parts[c].to_numpy()), axis=0)
-        self.n, self.s, self.dims = float(parts["n"].sum()), total("s"), dims
-        self.gram = total("g").reshape(len(self.s), -1)
+    The number is stated, as sums are few bytes: merging partitions by size would run all kernels in one task.
+    """
+    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return parts.repartition(n, *keys).sortWithinPartitions(*keys)
+
+
+def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of sums for each key."""
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for done in summed(batches, keys):
+            if done:
+                yield pd.DataFrame([(*k, *v) for k, v in done], columns=[*keys, *SUMS])
+
+    return by_key(parts.select(*keys, *SUMS), keys).mapInPandas(task, f"{head_of(parts, keys)}, {PARTS}")
+
+
+class Moments:
+    """What the sums of one key give: count, mean, Gram and covariance matrices, centred fourth moments of each block."""
+
+    def __init__(self, sums: list, dims: list[int] | int):
+        n, s, g, q, c = sums
+        self.n, self.s = float(n), np.asarray(s)
+        width = len(self.s)
+        self.gram = np.zeros((width, width))
+        self.gram[np.triu_indices(width)] = g
+        self.gram += np.triu(self.gram, 1).T
         self.mean = self.s / self.n
         self.cov = (self.gram - np.outer(self.s, self.mean)) / max(1.0, self.n - 1)
-        q, c, at, self.fourths = total("q"), total("c"), 0, []
-        for b, d in enumerate(dims):
-            mu, g, s, cross = (x[at : at + d] for x in (self.mean, self.gram[:, at : at + d], self.s, c))
+        edges, self.fourths = edges_of(dims, width), []
+        self.dims = [int(d) for d in np.diff(edges)]
+        for b, (i, j) in enumerate(pairwise(edges)):
+            mu, own, s, cross = self.mean[i:j], self.gram[i:j, i:j], self.s[i:j], c[i:j]
             m = float(mu @ mu)
-            self.fourths.append(float(q[b] + 4 * mu @ g @ mu + self.n * m * m - 4 * mu @ cross + 2 * m * q[len(dims) + b] - 4 * m * mu @ s))
-            at += d
+            self.fourths.append(float(q[b] + 4 * mu @ own @ mu + self.n * m * m - 4 * mu @ cross + 2 * m * q[len(self.dims) + b] - 4 * m * mu @ s))
 
 
-def fit_by(df: DataFrame, key: str, z: str, dims: list[int], kernel: Callable[[int, Moments], pd.DataFrame], schema: str) -> DataFrame:
-    """Apply ``kernel`` to the merged moments of each key: one row per task and key is shuffled, never samples."""
+def fit_by(df: DataFrame, keys: list[str], z: str, dims: list[int] | int, kernel: Kernel, schema: str, without: str | None = None) -> DataFrame:
+    """(keys, schema): ``kernel`` gives rows from the moments of each key. Sums are shuffled, never samples.
+
+    With ``without`` there is a fit for each value of that column which is not null: on the key's rows of all other
+    values, nulls included. Each row is summed once; a fit's sums are the key's total less the value's own. A value that
+    all rows of a key have gets no fit. A kernel's memory is bounded by the width of ``z``.
+    """
+    all_keys = [*keys, without] if without else keys
+    names = [*all_keys, *[c.strip().split()[0] for c in re.sub(r"<.*?>", "", schema).split(",")]]
+    out = f"{head_of(df, all_keys)}, {schema}"
+    parts = partial_moments(df, all_keys, z, dims)
 
-    def merge(parts: pd.DataFrame) -> pd.DataFrame:
-        return kernel(int(parts[key].iloc[0]), Moments(parts, dims))
+    def rows_of(done: list[tuple[tuple, list]]) -> pd.DataFrame:
+        return pd.DataFrame([(*k, *row) for k, sums in done for row in kernel(Moments(sums, dims))], columns=names)
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return (rows_of(done) for done in summed(batches, keys) if done)
+
+    def fit_rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            pairs = zip(key_rows(b, all_keys), zip(*[b[f"_{c}"] for c in SUMS], strict=True), zip(*[b[c] for c in SUMS], strict=True), strict=True)
+            yield rows_of([(k, [x - y for x, y in zip(whole, own, strict=True)]) for k, whole, own in pairs])
 
-    return partial_moments(df, key, z, dims).groupBy(key).applyInPandas(merge, schema)
+    if not without:
+        return by_key(parts, keys).mapInPandas(fit, out)
+    own = merged(parts, all_keys)
+    whole = merged(own, keys).select(*[F.col(k).alias(f"_{k}") for k in keys], *[F.col(c).alias(f"_{c}") for c in SUMS])
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    both = own.join(whole, same).where(F.col(without).isNotNull() & (F.col("_n") > F.col("n"))).drop(*[f"_{k}" for k in keys])
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.repartition(n, *all_keys).mapInPandas(fit_rest, out)
 
 
-def covariance_long(df: DataFrame, key: str, z: str, width: int) -> DataFrame:
-    """(key, i, j, cov): the sample covariance in long form, i <= j."""
+def covariance_long(df: DataFrame, keys: list[str], z: str, width: int) -> DataFrame:
+    """(keys, i, j, cov): the sample covariance in long form, i <= j."""
 
-    def kernel(k: int, m: Moments) -> pd.DataFrame:
+    def kernel(m: Moments) -> list[tuple]:
         i, j = np.triu_indices(width)
-        return pd.DataFrame({key: k, "i": i, "j": j, "cov": m.cov[i, j]})
+        return list(zip(i, j, m.cov[i, j], strict=True))
 
-    return fit_by(df, key, z, [width], kernel, f"{key} long, i long, j long, cov double")
+    return fit_by(df, keys, z, [width], kernel, "i long, j long, cov double")
 
 
 def slope(x: Column, y: Column) -> Column:
@@ -89,14 +188,13 @@ def regress_out(df: DataFrame, keys: list[str], x: str, confound: str, out: str)
     return df.join(b, keys).withColumn(out, F.col(x) - F.coalesce("_b", F.lit(0.0)) * F.col(confound)).drop("_b")
 
 
-def regress_out_block(df: DataFrame, key: str, x: str, dx: int, confound: str, dc: int, out: str) -> DataFrame:
-    """Residual of an array after an array of confounds, no intercept, per ``key``."""
+def regress_out_block(df: DataFrame, keys: list[str], x: str, dx: int, confound: str, dc: int, out: str) -> DataFrame:
+    """Residual of an array after an array of confounds, no intercept, per ``keys``."""
 
-    def kernel(k: int, m: Moments) -> pd.DataFrame:
-        w = np.linalg.lstsq(m.gram[dx:, dx:], m.gram[dx:, :dx], rcond=None)[0]
-        return pd.DataFrame({key: [k], "_w": [w.T.ravel()]})
+    def kernel(m: Moments) -> list[tuple]:
+        return [(np.linalg.lstsq(m.gram[dx:, dx:], m.gram[dx:, :dx], rcond=None)[0].T.ravel(),)]
 
     both = df.withColumn("_z", F.concat(x, confound))
-    w = fit_by(both, key, "_z", [dx, dc], kernel, f"{key} long, _w array<double>")
+    w = fit_by(both, keys, "_z", [dx, dc], kernel, "_w array<double>")
     fit = F.transform(F.sequence(F.lit(0), F.lit(dx - 1)), lambda i: F.aggregate(F.zip_with(F.slice("_w", i * dc + 1, F.lit(dc)), F.col(confound), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
-    return df.join(w, key).withColumn(out, F.zip_with(F.col(x), fit, lambda a, b: a - b)).drop("_w")
+    return df.join(w, keys).withColumn(out, F.zip_with(F.col(x), fit, lambda a, b: a - b)).drop("_w")

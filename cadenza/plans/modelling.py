@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.functions import kernels
@@ -15,31 +13,31 @@ from cadenza.plans import experiments
 from cadenza.plans.registry import EMB, SIG, query, rd
 from cadenza.sources.adapters import array_signal, signal
 
-K, T = ["u"], ["t"]
+K, T, G = ["u"], ["t"], ["grp"]
 
 
 def arrays(df: DataFrame) -> DataFrame:
     return df.withColumns({"ax": F.array("x"), "ay": F.array("y"), "az": F.array("z")})
 
 
-def fit_1d(df: DataFrame, key: str, x: str = "ax", y: str = "ay") -> DataFrame:
-    return models.cca_fit(df, key, x, y, [1], [1], 1, shrink=False)
+def fit_1d(df: DataFrame, keys: list[str], without: str | None = None) -> DataFrame:
+    return models.cca_fit(df, keys, "ax", "ay", [1], [1], 1, shrink=False, without=without)
 
 
 @query(f"WITH {SIG} SELECT u, {rd('abs(corr(x, y))')} AS r FROM sig GROUP BY u")
 def cca_1x1(spark: SparkSession, d: str) -> DataFrame:
-    return fit_1d(arrays(signal(spark, d)), "u").select("u", rounded("r").alias("r"))
+    return fit_1d(arrays(signal(spark, d)), K).select("u", rounded("r").alias("r"))
 
 
 @query(f"WITH {SIG}, b AS (SELECT u, sum(x * y) / sum(x * x) AS w, sum(y * y) - sum(x * y)^2 / sum(x * x) AS e, count(*) AS n FROM sig GROUP BY u) SELECT u, {rd('w')} AS w, {rd('e / n', 4)} AS mse FROM b")
 def encoder_mse_1d(spark: SparkSession, d: str) -> DataFrame:
-    fit = models.least_squares_fit(arrays(signal(spark, d)), "u", "ax", "ay", 1, 1)
+    fit = models.least_squares_fit(arrays(signal(spark, d)), K, "ax", "ay", 1, 1)
     return fit.select("u", rounded(F.get("w", 0)).alias("w"), rounded("mse", 4).alias("mse"))
 
 
 @query(f"WITH {SIG} SELECT u, {rd('stddev_samp(x)')} AS f FROM sig GROUP BY u")
 def forward_model_1d(spark: SparkSession, d: str) -> DataFrame:
-    return fit_1d(arrays(signal(spark, d)), "u").select("u", rounded(F.abs(F.get("fa", 0))).alias("f"))
+    return fit_1d(arrays(signal(spark, d)), K).select("u", rounded(F.abs(F.get("fa", 0))).alias("f"))
 
 
 @query(f"""WITH {EMB} SELECT grp, vec, {rd("list_sum(list_transform(range(64), lambda i: ch[i + 1] * ((i % 5) - 2)))")} AS s0, {rd("list_sum(list_transform(range(64), lambda i: ch[i + 1] * ((i % 3) - 1)))")} AS s1 FROM emb""")
@@ -59,9 +57,9 @@ test AS (SELECT w.u, w.vid, max(sgn) * corr(x, y) AS a, max(sgn) * corr(x, z) AS
 def leave_two_out(spark: SparkSession, d: str) -> DataFrame:
     """(u, vid, a, b): correlations of test recordings under filters trained on the other folds of the subject."""
     whole = arrays(segment.with_length(signal(spark, d), K, "n").where(F.col("vid") < F.floor(F.col("n") / 10)))
-    rows = folds.leave_out(whole, K, 2).join(whole, ["u", "vid"]).withColumn("key", F.col("u") * 1000 + F.col("fold"))
-    w = fit_1d(rows.where("role = 'train'"), "key").select("key", "wa", "wb")
-    p = models.project(rows.where("role = 'test'"), w, ["key"], {"px": ("ax", "wa"), "py": ("ay", "wb"), "pz": ("az", "wb")})
+    rows = whole.withColumn("fold", F.floor(F.col("vid") / 2))
+    w = fit_1d(rows, K, without="fold").select("u", "fold", "wa", "wb")
+    p = models.project(rows, w, ["u", "fold"], {"px": ("ax", "wa"), "py": ("ay", "wb"), "pz": ("az", "wb")})
     return models.correlate(p, ["u", "vid"], {"a": ("px", "py"), "b": ("px", "pz")})
 
 
@@ -85,14 +83,14 @@ def decode_match_mismatch_1d(spark: SparkSession, d: str) -> DataFrame:
 fit AS (SELECT CASE WHEN corr(x, y) < 0 THEN -1.0 ELSE 1.0 END AS sgn FROM m WHERE keep) SELECT u, count(*) AS n, {rd("max(sgn) * corr(x, y)")} AS a, {rd("max(sgn) * corr(x, z)")} AS b FROM m, fit WHERE keep GROUP BY u""")
 def pooled_train_1d(spark: SparkSession, d: str) -> DataFrame:
     kept = arrays(masks.event_mask(signal(spark, d), K, T, F.col("sacc"), before=0, after=1).where("keep")).withColumn("all", F.lit(0).cast("long"))
-    p = models.project(kept, fit_1d(kept, "all").select("all", "wa", "wb"), ["all"], {"px": ("ax", "wa"), "py": ("ay", "wb"), "pz": ("az", "wb")})
+    p = models.project(kept, fit_1d(kept, ["all"]).select("all", "wa", "wb"), ["all"], {"px": ("ax", "wa"), "py": ("ay", "wb"), "pz": ("az", "wb")})
     return p.groupBy("u").agg(F.count(F.lit(1)).alias("n"), rounded(safe_corr("px", "py")).alias("a"), rounded(safe_corr("px", "pz")).alias("b"))
 
 
 @query(f"""WITH {SIG}, w AS (SELECT u, CASE WHEN corr(x, y) < 0 THEN -1.0 ELSE 1.0 END AS sgn FROM sig WHERE vid % 2 = 0 GROUP BY u) SELECT sig.u, {rd("max(sgn) * corr(x, y)")} AS r FROM sig JOIN w ON sig.u = w.u WHERE vid % 2 = 1 GROUP BY sig.u""")
 def pretrained_weights_1d(spark: SparkSession, d: str) -> DataFrame:
     s = arrays(signal(spark, d))
-    w = fit_1d(s.where("vid % 2 = 0"), "u").select("u", "wa", "wb")
+    w = fit_1d(s.where("vid % 2 = 0"), K).select("u", "wa", "wb")
     p = models.project(s.where("vid % 2 = 1"), w, K, {"px": ("ax", "wa"), "py": ("ay", "wb")})
     return models.correlate(p, K, {"r": ("px", "py")}).select("u", rounded("r").alias("r"))
 
@@ -100,7 +98,7 @@ def pretrained_weights_1d(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {SIG} SELECT u, {rd('1 / (1 + abs(corr(x, y)))')} AS lam FROM sig GROUP BY u")
 def gcca_two_view_1d(spark: SparkSession, d: str) -> DataFrame:
     s = signal(spark, d).withColumn("zz", F.array("x", "y"))
-    return models.gcca_fit(s, "u", "zz", [1, 1], 1, shrink=False).where("view = 0").select("u", rounded("lam").alias("lam"))
+    return models.gcca_fit(s, K, "zz", [1, 1], 1, shrink=False).where("view = 0").select("u", rounded("lam").alias("lam"))
 
 
 RHOS = [0.1, 1.0, 10.0]
@@ -110,8 +108,8 @@ RHOS = [0.1, 1.0, 10.0]
 SELECT u, {rd("min_by(rho, lam)")} AS rho, {rd("min(lam)")} AS lam FROM g GROUP BY u""")
 def rho_grid_1d(spark: SparkSession, d: str) -> DataFrame:
     s = signal(spark, d).withColumn("zz", F.array("x", "y"))
-    fits = [models.gcca_fit(s, "u", "zz", [1, 1], 1, shrink=False, rho=r).where("view = 0").select("u", F.lit(r).alias("rho"), (-F.col("lam")).alias("metric")) for r in RHOS]
-    best = report.best_of_grid(reduce(DataFrame.unionByName, fits), K, "rho", "metric", last_wins=True)
+    fits = models.gcca_sweep(s, K, "zz", [1, 1], 1, RHOS, shrink=False).where("view = 0").select("u", "rho", (-F.col("lam")).alias("metric"))
+    best = report.best_of_grid(fits, K, "rho", "metric", last_wins=True)
     return best.select("u", rounded("rho").alias("rho"), rounded(-F.col("metric")).alias("lam"))
 
 
@@ -124,7 +122,7 @@ def halves(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def cca_fit(spark: SparkSession, d: str) -> DataFrame:
-    fit = models.cca_fit(halves(spark, d), "grp", "eeg", "stim", [32], [2], 2)
+    fit = models.cca_fit(halves(spark, d), G, "eeg", "stim", [32], [2], 2)
     return fit.select("grp", "component", rounded("r").alias("r"))
 
 
@@ -132,7 +130,7 @@ def cca_fit(spark: SparkSession, d: str) -> DataFrame:
 def gcca_isc(spark: SparkSession, d: str) -> DataFrame:
     """Four views of eight channels: GCCA filters per label, the projected views' mean pairwise correlation."""
     h = halves(spark, d)
-    w = models.gcca_fit(h, "grp", "eeg", [8] * 4, 2).select("grp", "view", "component", "w")
+    w = models.gcca_fit(h, G, "eeg", [8] * 4, 2).select("grp", "view", "component", "w")
     views = h.select("grp", "t", F.posexplode(F.array(*[F.slice("eeg", 8 * v + 1, 8) for v in range(4)])).alias("view", "ch")).withColumn("view", F.col("view").cast("long"))
     p = models.project(views, w, ["grp", "view"], {"s": ("ch", "w")})
     return models.intersubject(p, ["grp", "component"], "t", "view", "s").select("grp", "component", rounded("isc").alias("isc"), "n_views")
@@ -141,56 +139,97 @@ def gcca_isc(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def multimod_gcca(spark: SparkSession, d: str) -> DataFrame:
     """Views of unequal width: two subjects by two modalities."""
-    w = models.gcca_fit(halves(spark, d), "grp", "eeg", [12, 12, 4, 4], 2)
+    w = models.gcca_fit(halves(spark, d), G, "eeg", [12, 12, 4, 4], 2)
     split = lag.split_features(w.withColumn("feature", F.col("view")), "feature", [("eeg", 2), ("eog", 2)])
     return split.select("grp", "modality", "view", "component", rounded("lam").alias("lam"), rounded(F.aggregate("w", F.lit(0.0), lambda a, x: a + x * x), 4).alias("energy"))
 
 
+def folded(spark: SparkSession, d: str, n: int = 2) -> DataFrame:
+    """The recordings of ``halves``, numbered, in ``n`` contiguous folds; the remainder has none and only trains."""
+    return folds.contiguous(lag.sequence_number(halves(spark, d), G, ["vec"]), G, "seq", n)
+
+
+def cut(df: DataFrame, length: int) -> DataFrame:
+    """Test rows in whole trials of ``length`` samples of their fold."""
+    inside = lag.sequence_number(df.where("fold is not null"), ["grp", "fold"], ["seq"], "at")
+    return segment.tumbling(inside, ["grp", "fold"], "at", length)
+
+
+def as_views(name: str, *parts: Column) -> Column:
+    """Structs (object, view, ch), one for each view."""
+    return F.array(*[F.struct(F.lit(name).alias("object"), F.lit(v).cast("long").alias("view"), c.alias("ch")) for v, c in enumerate(parts)])
+
+
 @query()
 def multimod_decode(spark: SparkSession, d: str) -> DataFrame:
-    """Attended and competing stimulus as the last view: the smaller eigenvalue wins."""
-    h = halves(spark, d).withColumn("rival", F.concat("eeg", "other"))
-    a = models.gcca_fit(h, "grp", "both", [16, 16, 2], 1).where("view = 0").select("grp", F.col("lam").alias("att"))
-    b = models.gcca_fit(h, "grp", "rival", [16, 16, 2], 1).where("view = 0").select("grp", F.col("lam").alias("unatt"))
-    return a.join(b, "grp").select("grp", rounded("att").alias("att"), rounded("unatt").alias("unatt"), (F.col("att") < F.col("unatt")).alias("attended"))
+    """GCCA of two views and the attended stimulus on the other folds; per held-out trial, either object as the last view.
+
+    The object whose ISC is larger is decided for; views and filters are the same for both.
+    """
+    h = folded(spark, d)
+    w = models.gcca_fit(h, G, "both", [16, 16, 2], 1, without="fold").select("grp", "fold", "view", "w")
+    eeg = [F.slice("eeg", 1, 16), F.slice("eeg", 17, 16)]
+    views = F.concat(as_views("att", *eeg, F.col("stim")), as_views("unatt", *eeg, F.col("other")))
+    rows = cut(h, 10).select("grp", "fold", "trial", "at", F.inline(views))
+    p = models.project(rows, w, ["grp", "fold", "view"], {"p": ("ch", "w")})
+    isc = models.intersubject(p, ["grp", "fold", "trial", "object"], "at", "view", "p")
+    both = isc.groupBy("grp", "fold", "trial").agg(*[F.max(F.when(F.col("object") == o, F.col("isc"))).alias(o) for o in ("att", "unatt")])
+    return both.select("grp", "fold", "trial", rounded("att").alias("att"), rounded("unatt").alias("unatt"), (F.col("att") > F.col("unatt")).alias("correct"))
 
 
 @query()
 def si_gcca(spark: SparkSession, d: str) -> DataFrame:
-    fit = models.gcca_fit(halves(spark, d), "grp", "both", [8, 8, 8, 8, 2], 2, rho=2.0)
+    fit = models.gcca_fit(halves(spark, d), G, "both", [8, 8, 8, 8, 2], 2, rho=2.0)
     return fit.select("grp", "view", "component", rounded("lam").alias("lam"))
 
 
+SWEEP = [10.0**i for i in range(-4, 5)]
+
+
 @query()
 def si_gcca_cv(spark: SparkSession, d: str) -> DataFrame:
-    """Per label: stimulus weights over a grid, the best by the training objective, larger weight on ties."""
-    h = halves(spark, d)
-    fits = [models.gcca_fit(h, "grp", "both", [16, 16, 2], 1, rho=r).where("view = 0").select("grp", F.lit(r).alias("rho"), (-F.col("lam")).alias("metric")) for r in (0.01, 1.0, 100.0)]
-    return report.best_of_grid(reduce(DataFrame.unionByName, fits), ["grp"], "rho", "metric", last_wins=True)
+    """Per label: the stimulus weight whose filters, fitted on nine tenths, correlate best on the first tenth; the larger on ties."""
+    h = folds.nested_validation(lag.sequence_number(halves(spark, d), G, ["vec"]), G, "seq", 10)
+    w = models.gcca_sweep(h.where("part = 'train'"), G, "both", [16, 16, 2], 1, SWEEP).select("grp", "rho", "view", "w")
+    views = as_views("", F.slice("eeg", 1, 16), F.slice("eeg", 17, 16), F.col("stim"))
+    p = models.project(h.where("part = 'val'").select("grp", "seq", F.inline(views)), w, ["grp", "view"], {"p": ("ch", "w")})
+    isc = models.intersubject(p, ["grp", "rho"], "seq", "view", "p")
+    best = report.best_of_grid(isc, G, "rho", "isc", last_wins=True)
+    return best.select("grp", "rho", rounded("isc").alias("isc"))
 
 
 @query()
 def dcca_fit(spark: SparkSession, d: str) -> DataFrame:
-    fit = models.discriminative_fit(halves(spark, d), "grp", "stim", "other", "eeg", 2, 32, 2)
+    fit = models.discriminative_fit(halves(spark, d), G, "stim", "other", "eeg", 2, 32, 2)
+    return fit.select("grp", "component", rounded("lam").alias("lam"))
+
+
+@query()
+def dcca_fit_apart(spark: SparkSession, d: str) -> DataFrame:
+    """The competitor is four channels wide, the signal two: each has filters of its own."""
+    h = array_signal(spark, d).select("grp", *[F.slice("ch", at, n).alias(name) for name, at, n in (("eeg", 1, 32), ("stim", 33, 2), ("rival", 35, 4))])
+    fit = models.discriminative_fit_apart(h, G, "stim", "rival", "eeg", (2, 4, 32), 2)
     return fit.select("grp", "component", rounded("lam").alias("lam"))
 
 
 @query()
 def dcca_decode(spark: SparkSession, d: str) -> DataFrame:
-    h = halves(spark, d)
-    w = models.discriminative_fit(h, "grp", "stim", "other", "eeg", 2, 32, 1).select("grp", "component", "ws", "wy")
-    p = models.project(h, w, ["grp"], {"s": ("stim", "ws"), "c": ("other", "ws"), "y": ("eeg", "wy")})
-    r = models.correlate(p, ["grp", "component"], {"a": ("s", "y"), "b": ("c", "y")})
-    return r.select("grp", rounded("a").alias("att"), rounded("b").alias("unatt"), (F.col("a") > F.col("b")).alias("attended"))
+    """Filters from the other folds; per label, how many held-out trials correlate more with the signal than with its rival."""
+    h = folded(spark, d)
+    w = models.discriminative_fit(h, G, "stim", "other", "eeg", 2, 32, 1, without="fold").select("grp", "fold", "component", "ws", "wy")
+    p = models.project(cut(h, 10), w, ["grp", "fold"], {"s": ("stim", "ws"), "c": ("other", "ws"), "y": ("eeg", "wy")})
+    r = models.correlate(p, ["grp", "fold", "trial"], {"a": ("s", "y"), "b": ("c", "y")})
+    both = r.select("grp", F.array("a").alias("att"), F.array("b").alias("unatt"))
+    return decide.accuracy(decide.label(both, "att", "unatt", 1), G).select("grp", "n", "n_correct", rounded("acc").alias("acc"))
 
 
 @query()
 def gcca_then_cca(spark: SparkSession, d: str) -> DataFrame:
     """GCCA components of each view, then CCA of the first view's components with the stimulus."""
     h = halves(spark, d)
-    w = models.gcca_fit(h, "grp", "eeg", [8] * 4, 3).where("view = 0").groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("component", "w"))).alias("ws"))
+    w = models.gcca_fit(h, G, "eeg", [8] * 4, 3).where("view = 0").groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("component", "w"))).alias("ws"))
     comps = h.join(w, "grp").withColumn("g", F.transform("ws", lambda x: F.aggregate(F.zip_with(F.slice("eeg", 1, 8), x["w"], lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)))
-    return models.cca_fit(comps, "grp", "g", "stim", [3], [2], 2).select("grp", "component", rounded("r").alias("r"))
+    return models.cca_fit(comps, G, "g", "stim", [3], [2], 2).select("grp", "component", rounded("r").alias("r"))
 
 
 @query()
@@ -335,5 +374,7 @@ def experiment_saccade(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def experiment_isc(spark: SparkSession, d: str) -> DataFrame:
-    r = experiments.intersubject(recordings(spark, d), 2, [1, 2, 3, 4], SETUP, "signal")
-    return r.select("modality", "fold", "component", rounded("isc").alias("isc"), rounded("iscov").alias("iscov"), "n_views")
+    """All subjects, in groups of four: a group's width is what a kernel takes, whatever the number of subjects."""
+    rec = recordings(spark, d).withColumn("grp", F.floor(F.col("u") / 4))
+    r = experiments.intersubject(rec, 2, SETUP, "signal", permutations=20)
+    return r.select("modality", "grp", "fold", "component", *[rounded(c).alias(c) for c in ("isc", "iscov", "level")], "n_views")

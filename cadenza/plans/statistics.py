@@ -157,23 +157,21 @@ def mann_whitney_u(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {EMB}, w AS (SELECT grp, vec, i, ch[i + 1] AS v FROM emb, (SELECT unnest(range(64)) AS i))
 SELECT a.grp, a.i, b.i AS j, {rd("covar_samp(a.v, b.v)")} AS cov FROM w a JOIN w b ON a.grp = b.grp AND a.vec = b.vec AND a.i <= b.i GROUP BY ALL""")
 def cov_matrix_long(spark: SparkSession, d: str) -> DataFrame:
-    return moments.covariance_long(array_signal(spark, d), "grp", "ch", 64).select("grp", "i", "j", rounded("cov").alias("cov"))
+    return moments.covariance_long(array_signal(spark, d), ["grp"], "ch", 64).select("grp", "i", "j", rounded("cov").alias("cov"))
 
 
 @query(f"""WITH {NUM} SELECT flag, {rd("covar_samp(q, p)")} AS qp, {rd("covar_samp(d, tax)")} AS dt, {rd("0.0")} AS off, {rd("var_samp(q)")} AS qq, {rd("var_samp(tax)")} AS tt FROM num GROUP BY flag""")
 def cov_block_diagonal(spark: SparkSession, d: str) -> DataFrame:
     from cadenza.functions.kernels import block_diagonal
 
-    rows = numbers(spark, d).select(F.ascii("flag").cast("long").alias("key"), models.as_array(["q", "p", "d", "tax"]).alias("z"))
-
-    def kernel(k, m):
-        import pandas as pd
+    rows = numbers(spark, d).select("flag", models.as_array(["q", "p", "d", "tax"]).alias("z"))
 
+    def kernel(m: moments.Moments) -> list[tuple]:
         c = block_diagonal(m.cov, [2, 2])
-        return pd.DataFrame({"key": [k], "qp": c[0, 1], "dt": c[2, 3], "off": c[0, 2], "qq": c[0, 0], "tt": c[3, 3]})
+        return [(c[0, 1], c[2, 3], c[0, 2], c[0, 0], c[3, 3])]
 
-    out = moments.fit_by(rows, "key", "z", [2, 2], kernel, "key long, qp double, dt double, off double, qq double, tt double")
-    return out.select(F.char("key").alias("flag"), *[rounded(c).alias(c) for c in ("qp", "dt", "off", "qq", "tt")])
+    out = moments.fit_by(rows, ["flag"], "z", [2, 2], kernel, "qp double, dt double, off double, qq double, tt double")
+    return out.select("flag", *[rounded(c).alias(c) for c in ("qp", "dt", "off", "qq", "tt")])
 
 
 LW = ["q", "p", "d", "tax"]
@@ -187,20 +185,17 @@ f AS (SELECT num.flag, sum(((q - mq)^2 + (p - mp)^2 + (d - md)^2 + (tax - mt)^2)
 s AS (SELECT m.*, least(1, greatest(0, (fourth / n - ss) / n / (ss - tr^2 / 4))) AS share FROM m JOIN f ON m.flag = f.flag)
 SELECT flag, {rd("share", 9)} AS share, {rd("(1 - share) * qp", 4)} AS qp, {rd("tr", 4)} AS trace FROM s""")
 def ledoit_wolf_cov(spark: SparkSession, d: str) -> DataFrame:
-    import numpy as np
-    import pandas as pd
-
     from cadenza.functions.kernels import shrink_blocks
 
-    rows = numbers(spark, d).select(F.ascii("flag").cast("long").alias("key"), models.as_array(LW).alias("z"))
+    rows = numbers(spark, d).select("flag", models.as_array(LW).alias("z"))
 
-    def kernel(k, m):
+    def kernel(m: moments.Moments) -> list[tuple]:
         c = shrink_blocks(m.cov, m.n, [4], m.fourths)
         pop = m.cov * (m.n - 1) / m.n
-        return pd.DataFrame({"key": [k], "share": 1 - c[0, 1] / pop[0, 1], "qp": c[0, 1], "trace": np.trace(c)})
+        return [(1 - c[0, 1] / pop[0, 1], c[0, 1], c.trace())]
 
-    out = moments.fit_by(rows, "key", "z", [4], kernel, "key long, share double, qp double, trace double")
-    return out.select(F.char("key").alias("flag"), rounded("share", 9).alias("share"), rounded("qp", 4).alias("qp"), rounded("trace", 4).alias("trace"))
+    out = moments.fit_by(rows, ["flag"], "z", [4], kernel, "share double, qp double, trace double")
+    return out.select("flag", rounded("share", 9).alias("share"), rounded("qp", 4).alias("qp"), rounded("trace", 4).alias("trace"))
 
 
 WHOLE = f"""{SIG}, whole AS (SELECT * FROM sig WHERE vid < n // 10),
@@ -250,14 +245,14 @@ def partial_corr(spark: SparkSession, d: str) -> DataFrame:
     return models.correlate(s, K, {"r": ("rx", "ry")}).select("u", rounded("r").alias("r"))
 
 
-@query(f"""WITH {SIG}, h AS (SELECT u * 1000 + vid AS k, x, lag(x, 1, CAST(0 AS DOUBLE)) OVER (PARTITION BY u, vid ORDER BY t) AS x1, z + 1 AS c FROM sig),
-b AS (SELECT k, sum(x * c) / sum(c * c) AS b0, sum(x1 * c) / sum(c * c) AS b1 FROM h GROUP BY k)
-SELECT h.k, {rd("sum((x - b0 * c) ^ 2)", 4)} AS s0, {rd("sum((x1 - b1 * c) ^ 2)", 4)} AS s1 FROM h JOIN b ON h.k = b.k GROUP BY h.k""")
+@query(f"""WITH {SIG}, h AS (SELECT u, vid, x, lag(x, 1, CAST(0 AS DOUBLE)) OVER (PARTITION BY u, vid ORDER BY t) AS x1, z + 1 AS c FROM sig),
+b AS (SELECT u, vid, sum(x * c) / sum(c * c) AS b0, sum(x1 * c) / sum(c * c) AS b1 FROM h GROUP BY u, vid)
+SELECT h.u, h.vid, {rd("sum((x - b0 * c) ^ 2)", 4)} AS s0, {rd("sum((x1 - b1 * c) ^ 2)", 4)} AS s1 FROM h JOIN b ON h.u = b.u AND h.vid = b.vid GROUP BY h.u, h.vid""")
 def regress_lagged_confound_1d(spark: SparkSession, d: str) -> DataFrame:
     h = lag.hankel(signal(spark, d), ["u", "vid"], T, ["x"], lags=2)
-    h = h.select((F.col("u") * 1000 + F.col("vid")).alias("k"), F.array("x_0", "x_1").alias("h"), F.array(F.col("z") + 1).alias("c"))
-    r = moments.regress_out_block(h, "k", "h", 2, "c", 1, "res")
-    return r.groupBy("k").agg(*[rounded(F.sum(F.pow(F.get("res", i), F.lit(2.0))), 4).alias(f"s{i}") for i in (0, 1)])
+    h = h.select("u", "vid", F.array("x_0", "x_1").alias("h"), F.array(F.col("z") + 1).alias("c"))
+    r = moments.regress_out_block(h, ["u", "vid"], "h", 2, "c", 1, "res")
+    return r.groupBy("u", "vid").agg(*[rounded(F.sum(F.pow(F.get("res", i), F.lit(2.0))), 4).alias(f"s{i}") for i in (0, 1)])
 
 
 @query(f"WITH {SIG} SELECT u, {rd('avg(x)')} AS mx, {rd('avg(y)')} AS my, count(*) AS n FROM sig GROUP BY u")

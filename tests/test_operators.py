@@ -130,7 +130,7 @@ def test_cca_recovers_and_masks_nothing(spark):
     x = np.outer(s, [1, -1, 0.5]) + rng.standard_normal((600, 3))
     y = np.outer(s, [0.7, 0.2]) + rng.standard_normal((600, 2))
     df = spark.createDataFrame([(1, t, x[t].tolist(), y[t].tolist()) for t in range(600)], "u long, t long, x array<double>, y array<double>").repartition(5)
-    fit = models.cca_fit(df, "u", "x", "y", [3], [2], 2, shrink=False).orderBy("component").collect()
+    fit = models.cca_fit(df, ["u"], "x", "y", [3], [2], 2, shrink=False).orderBy("component").collect()
     qx, qy = (np.linalg.qr(v - v.mean(axis=0))[0] for v in (x, y))
     assert [r.r for r in fit] == pytest.approx(np.linalg.svd(qx.T @ qy)[1])
 
@@ -139,7 +139,7 @@ def test_residual_is_orthogonal(spark):
     rng = np.random.default_rng(2)
     rows = [(1, rng.standard_normal(3).tolist(), rng.standard_normal(2).tolist()) for _ in range(50)]
     df = spark.createDataFrame(rows, "u long, x array<double>, c array<double>")
-    res = moments.regress_out_block(df, "u", "x", 3, "c", 2, "r").collect()
+    res = moments.regress_out_block(df, ["u"], "x", 3, "c", 2, "r").collect()
     assert np.abs(np.array([r.r for r in res]).T @ np.array([r.c for r in res])).max() < 1e-9
 
 
