@@ -1,4 +1,4 @@
-"""Queries on fitted models: closed forms with SQL where one exists, else results that tests hold against numpy."""
+"""Queries on fitted models: closed forms with SQL where one exists; tests hold most of the others against numpy."""
 
 from __future__ import annotations
 
