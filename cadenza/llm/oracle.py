@@ -2,36 +2,33 @@
 
 from __future__ import annotations
 
-from cadenza.llm.licenses import PHRASES, TEMPLATES
+from cadenza.llm.licenses import COVER, DRIFT, PHRASES, TEMPLATES, template_grams
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
 def grams_sql() -> str:
-    """The two-word grams of phrases and templates as VALUES."""
-    rows = []
-    for exact, table in ((True, PHRASES), (False, TEMPLATES)):
-        for text, label in table.items():
-            w = text.split()
-            rows += [f"('{text}', '{label}', {exact}, {len(w)}, {j}, '{w[j]}', '{w[j + 1]}')" for j in range(len(w) - 1)]
-    return f"t(tid, label, exact, n, j, a, b) AS (VALUES {', '.join(rows)})"
+    """The grams of phrases and templates as VALUES."""
+    rows = ", ".join(f"({tid}, '{label}', {exact}, {n}, {k}, {j}, '{gram}')" for tid, label, exact, n, k, j, gram in template_grams(PHRASES, TEMPLATES))
+    return f"t(tid, label, exact, n, k, j, gram) AS (VALUES {rows})"
 
 
 OP4 = rf"""
 WITH {grams_sql()},
 d AS (SELECT doc_id, regexp_extract_all({FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-g AS (SELECT doc_id, i - 1 AS i, w[i] AS a, w[i + 1] AS b FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d)),
-hits AS (SELECT doc_id, tid, label, exact, n, i, j, i - j AS diag FROM g JOIN t ON g.a = t.a AND g.b = t.b),
-whole AS (SELECT doc_id, label, diag AS first FROM hits WHERE exact GROUP BY doc_id, tid, label, n, diag HAVING count(DISTINCT j) = max(n) - 1),
-loose AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, tid ORDER BY diag) AS run FROM (
-  SELECT doc_id, tid, diag, CASE WHEN diag - lag(diag) OVER (PARTITION BY doc_id, tid ORDER BY diag) > 1 THEN 1 ELSE 0 END AS new
-  FROM (SELECT DISTINCT doc_id, tid, diag FROM hits WHERE NOT exact))),
-merged AS (SELECT doc_id, tid, label, n, run, count(DISTINCT word) / n AS score, min(i) AS first, max(i) + 1 AS last FROM (
-  SELECT h.*, l.run, unnest([h.j, h.j + 1]) AS word FROM hits h JOIN loose l ON h.doc_id = l.doc_id AND h.tid = l.tid AND h.diag = l.diag)
-  GROUP BY doc_id, tid, label, n, run),
-near AS (SELECT doc_id, label, score, greatest(max(score) OVER (PARTITION BY doc_id, first), max(score) OVER (PARTITION BY doc_id, last)) AS best
-  FROM merged WHERE score >= 0.8 AND last - first < n + 6),
-spans AS (SELECT doc_id, label, true AS exact, first, 1.0::DOUBLE AS score FROM whole UNION ALL SELECT doc_id, label, false, NULL, score FROM near WHERE score = best),
+g AS (SELECT doc_id, x[1] - 1 AS i, x[2] || ' ' || x[3] AS two, x[2] || ' ' || x[3] || ' ' || x[4] || ' ' || x[5] AS four
+  FROM (SELECT doc_id, unnest(list_zip(range(1, len(w) + 1), w, w[2:], w[3:], w[4:])) AS x FROM d)),
+hits AS (SELECT doc_id, t.*, i FROM g JOIN t ON k = 2 AND two = gram UNION ALL SELECT doc_id, t.*, i FROM g JOIN t ON k = 4 AND four = gram),
+votes AS (SELECT doc_id, tid, label, exact, n, k, i - j AS diag, list(DISTINCT j) AS js, min(i) AS lo, max(i) AS hi FROM hits GROUP BY ALL),
+merged AS (SELECT * EXCLUDE (js), flatten(list(js) OVER v) AS js, min(lo) OVER v AS first, max(hi) OVER v + k - 1 AS last FROM votes WHERE NOT exact
+  WINDOW v AS (PARTITION BY doc_id, tid ORDER BY diag RANGE BETWEEN CURRENT ROW AND {DRIFT} FOLLOWING)),
+scored AS (SELECT *, len(list_distinct(flatten([js, list_transform(js, lambda j: j + 1), CASE WHEN k = 4 THEN list_transform(js, lambda j: j + 2) ELSE [] END,
+  CASE WHEN k = 4 THEN list_transform(js, lambda j: j + 3) ELSE [] END]))) / n AS score FROM merged),
+near AS (SELECT *, [score, first - last, -diag] AS rank FROM scored WHERE score >= {COVER}),
+peaks AS (SELECT *, [score, n] AS value FROM (SELECT *, max(rank) OVER (PARTITION BY doc_id, tid ORDER BY diag RANGE BETWEEN {DRIFT} PRECEDING AND {DRIFT} FOLLOWING) AS top FROM near) WHERE rank = top),
+best AS (SELECT *, max(value) OVER (PARTITION BY doc_id, first) AS at_first, max(value) OVER (PARTITION BY doc_id, last) AS at_last FROM peaks),
+spans AS (SELECT doc_id, label, true AS exact, diag AS first, 1.0::DOUBLE AS score FROM votes WHERE exact AND len(js) = n - k + 1
+  UNION ALL SELECT doc_id, label, false, NULL, score FROM best WHERE value >= at_first AND value >= at_last),
 per AS (SELECT doc_id, count(*) FILTER (WHERE exact) AS n_base, min(first) AS first_word, max(first) AS last_word,
   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE exact) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score, count(*) AS n_spans
   FROM spans GROUP BY doc_id)

@@ -37,6 +37,17 @@ def test_crafted(spark):
     assert out[9].labels == "" and out[11].labels == "cc-by,cc-by-4.0"
 
 
+def test_inserted_and_missing_words(spark):
+    body = next(t for t, x in licenses.TEMPLATES.items() if x == "mit" and t.startswith("the software is provided")).split()
+    texts = ["released under the terms of the MIT license", "Released under the very nice MIT license", "x released y y y y the MIT license", " ".join(body), " ".join(body[:20] + body[23:]),
+             " ".join(body[:15] + ["a", "b", "c"] + body[15:]), " ".join(body[:15] + ["z"] * 4 + body[15:]), "licensed under cc by nc 4.0", "licensed under cc by 4.0 licensed under cc by sa 4.0 licensed under cc by 4.0",
+             "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"]
+    labels = ["mit", "mit", "", "mit", "mit", "mit", "", "cc-by,cc-by-nc-4.0", "cc-by,cc-by-4.0,cc-by-sa-4.0", "agpl,gpl"]
+    out = {r.doc_id: r for r in licenses.report(docs(spark, texts)).collect()}
+    assert [out[i].labels for i in range(len(texts))] == labels
+    assert out[8].n_spans == 6 and out[3].score == out[5].score == 1.0
+
+
 def test_odd_rows(spark):
     df, n = odd(spark)
     assert licenses.report(df).count() == n and licenses.report(df.limit(0)).count() == 0
