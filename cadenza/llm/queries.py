@@ -1,4 +1,4 @@
-"""The corpus queries op1 to op10: operators with production parameters over whole tables, in the agreed columns."""
+"""The corpus queries op1 to op13: operators with production parameters over whole tables, in the agreed columns."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import chat, decontam, exact_dedup, langid, licenses, mixing, secrets, sharding, simhash, warc
+from cadenza.llm import audit, chat, decontam, exact_dedup, langid, licenses, mixing, pivots, secrets, sharding, simhash, vptree, warc
 from cadenza.llm.common import stored
 
 
@@ -63,7 +63,24 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    scaled = F.transform("embedding", lambda x: 256 * x.cast("double"))
+    whole = F.transform(scaled, lambda x: F.when(F.abs(x) < 2.0**52, F.floor(x).cast("double")).otherwise(x))  # all larger doubles are whole
+    return pivots.mine(rows.select("vec_id", label.alias("label"), whole.alias("v")), F.col("vec_id") % 100 == 0)
+
+
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    return vptree.search(rows, F.col("vec_id") % 20 == 0, k=20)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_decontamination, op3_mixing, op4_license_scan, op5_secret_scan, op6_exact_dedup, op7_sharding, op8_warc, op9_chat_format, op10_simhash)
+    for f in (op1_language_id, op2_decontamination, op3_mixing, op4_license_scan, op5_secret_scan, op6_exact_dedup, op7_sharding, op8_warc, op9_chat_format, op10_simhash, op11_hard_negatives, op12_nearest, op13_filter_audit)
 }
