@@ -124,12 +124,14 @@ def repair(turns: DataFrame, per_range: int = 20_000) -> DataFrame:
     The pieces of a conversation by ``seq``, joined, are its rendered text; ``render_chats`` does that.
     """
     small_batches(turns.sparkSession)
+    kinds = dict(turns.dtypes)
     cut = in_ranges(turns, per_range)
+    cut = cut.withColumns({c: F.col(c).cast("string") for c in ("conv_id", "turn")})  # exact in pandas, also beside nulls
 
     def measure(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
         m = matrix([None if pd.isna(r) else r for r in pdf["role"]])
-        return pd.DataFrame({"conv_id": pdf["conv_id"].iloc[:1].astype("Int64"), "rng": pdf["rng"].iloc[:1], "m": [m.ravel()]})
+        return pd.DataFrame({"conv_id": pdf["conv_id"].iloc[:1], "rng": pdf["rng"].iloc[:1], "m": [m.ravel()]})
 
     def borders(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rng")
@@ -144,12 +146,12 @@ def repair(turns: DataFrame, per_range: int = 20_000) -> DataFrame:
             out.append((int(b[at]), at))
             at = int(b[at])
         entry, leave = zip(*out[::-1], strict=True)
-        return pd.DataFrame({"conv_id": pdf["conv_id"].astype("Int64"), "rng": pdf["rng"], "entry": entry, "leave": leave})
+        return pd.DataFrame({"conv_id": pdf["conv_id"], "rng": pdf["rng"], "entry": entry, "leave": leave})
 
     spans = cut.select("conv_id", "rng").distinct().groupBy("conv_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("conv_id").alias("long_id"))
     long = cut.join(spans, cut["conv_id"].eqNullSafe(spans["long_id"]), "left_semi")
-    sums = long.select("conv_id", "rng", "seq", "role").groupBy("conv_id", "rng").applyInPandas(measure, "conv_id long, rng int, m array<long>")
-    ends = stored(sums.groupBy("conv_id").applyInPandas(borders, "conv_id long, rng int, entry int, leave int"), "ends")
+    sums = long.select("conv_id", "rng", "seq", "role").groupBy("conv_id", "rng").applyInPandas(measure, "conv_id string, rng int, m array<long>")
+    ends = stored(sums.groupBy("conv_id").applyInPandas(borders, "conv_id string, rng int, entry int, leave int"), "ends")
     ends = ends.withColumnsRenamed({"conv_id": "end_id", "rng": "end_rng"})
     known = cut.join(ends, cut["conv_id"].eqNullSafe(ends["end_id"]) & (cut["rng"] == ends["end_rng"]), "left").select("conv_id", "turn", "role", "text", "seq", "last", "rng", "entry", "leave")
 
@@ -166,7 +168,7 @@ def repair(turns: DataFrame, per_range: int = 20_000) -> DataFrame:
                 for o, turn, role, text, conv, seq, last in zip(chosen, g["turn"], roles, g["text"], g["conv_id"], g["seq"], g["last"], strict=True):
                     cost, _, action, _, role_out, inserted = o
                     out.append((conv, seq, turn, role, role_out, action, ",".join(inserted), cost, render(role_out, text, action == "merge", inserted, seq == 0, last)))
-            return pd.DataFrame(out, columns=["conv_id", "seq", "turn", "role", "role_out", "action", "inserted", "cost", "piece"]).astype({"conv_id": "Int64", "turn": "Int64"})
+            return pd.DataFrame(out, columns=["conv_id", "seq", "turn", "role", "role_out", "action", "inserted", "cost", "piece"])
 
         for b in batches:  # rows come sorted; the last conversation of a batch may go on in the next
             if held and len(b):
@@ -176,7 +178,7 @@ def repair(turns: DataFrame, per_range: int = 20_000) -> DataFrame:
                     yield flush()
                     held = []
             if len(b):
-                ids = b["conv_id"].fillna(-(2**63)).to_numpy()
+                ids = b["conv_id"].fillna("\0").to_numpy()
                 change = np.flatnonzero((ids[1:] != ids[:-1]) | (b["rng"].to_numpy()[1:] != b["rng"].to_numpy()[:-1]))
                 if len(change):
                     held.append(b.iloc[: change[-1] + 1])
@@ -188,7 +190,8 @@ def repair(turns: DataFrame, per_range: int = 20_000) -> DataFrame:
             yield flush()
 
     dealt = known.repartition(F.col("conv_id"), F.col("rng")).sortWithinPartitions("conv_id", "rng", "seq")
-    return dealt.mapInPandas(choose, "conv_id long, seq long, turn long, role string, role_out string, action string, inserted string, cost int, piece string")
+    out = dealt.mapInPandas(choose, "conv_id string, seq long, turn string, role string, role_out string, action string, inserted string, cost int, piece string")
+    return out.withColumns({c: F.col(c).cast(kinds[c]) for c in ("conv_id", "turn")})
 
 
 def render_chats(repaired: DataFrame) -> DataFrame:

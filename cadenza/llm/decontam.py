@@ -10,7 +10,7 @@ to reach similarity t, so windows with fewer shingles known to items of their si
 is exact.
 
 Edge cases: words are runs of letters and digits, lower-cased; null texts are empty and never match, nor do items
-without words. Rows equal in id and text are one document, others that repeat an id each count; items and rows with a null
+without words. Ids go through Python as strings, so they stay exact beside nulls. Rows equal in id and text are one document, others that repeat an id each count; items and rows with a null
 id are compared like any other. Texts are read whole. Only doc_id, text, item_id
 are read. An empty benchmark or document table gives an empty result.
 """
@@ -65,10 +65,11 @@ def describe_items(items: DataFrame) -> DataFrame:
                     h = h[w.first[i] : w.first[i] + m - k + 1]
                     fp = simhash(bit_sums(h)[-1:], len(h))[0]
                     out.append((item, ik, m, fp, np.sort(h.view(np.int64))))
-            yield pd.DataFrame(out, columns=["item_id", "ik", "m", "fp", "shingles"]).astype({"item_id": "Int64"})
+            yield pd.DataFrame(out, columns=["item_id", "ik", "m", "fp", "shingles"])
 
-    numbered = items.select("item_id", F.monotonically_increasing_id().alias("ik"), "text")
-    return numbered.mapInPandas(task, "item_id long, ik long, m int, fp long, shingles array<long>")
+    numbered = items.select(F.col("item_id").cast("string").alias("item_id"), F.monotonically_increasing_id().alias("ik"), "text")
+    found = numbered.mapInPandas(task, "item_id string, ik long, m int, fp long, shingles array<long>")
+    return found.withColumn("item_id", F.col("item_id").cast("long"))
 
 
 def windows(docs: DataFrame, shingles: np.ndarray, masks: np.ndarray, sizes: list[int], similarity: float) -> DataFrame:
@@ -134,9 +135,11 @@ def windows(docs: DataFrame, shingles: np.ndarray, masks: np.ndarray, sizes: lis
                     yield frame(out)
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["doc_id", "rid", "start", "m", "fp", "wkey", "shingles"]).astype({"doc_id": "Int64"})
+        return pd.DataFrame(rows, columns=["doc_id", "rid", "start", "m", "fp", "wkey", "shingles"])
 
-    return docs.select("doc_id", row_id().alias("rid"), "text").mapInPandas(task, "doc_id long, rid long, start int, m int, fp long, wkey long, shingles array<long>")
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), row_id().alias("rid"), "text")
+    found = rows.mapInPandas(task, "doc_id string, rid long, start int, m int, fp long, wkey long, shingles array<long>")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def ball(width: int, radius: int) -> list[int]:
@@ -224,6 +227,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8)
 
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
     """``docs`` without the contaminated rows; all columns kept. Only rows that a Bloom filter can't clear are shuffled."""
-    bad = stored(contaminated(docs, benchmark, similarity).select(F.col("rid").alias("_cz_bad")), "bad")
-    doubt = KeyFilter(bad).might_hold(row_id())
-    return docs.where(~doubt).unionByName(docs.where(doubt).join(bad, row_id() == F.col("_cz_bad"), "left_anti"))
+    bad = stored(contaminated(docs, benchmark, similarity).select(F.col("rid").alias("_cz_bad"), F.col("doc_id").alias("_cz_id")), "bad")
+    doubt = KeyFilter(bad.select("_cz_bad")).might_hold(row_id())
+    return docs.where(~doubt).unionByName(docs.where(doubt).join(bad, (row_id() == F.col("_cz_bad")) & docs["doc_id"].eqNullSafe(F.col("_cz_id")), "left_anti"))

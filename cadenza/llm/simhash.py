@@ -24,6 +24,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cadenza.llm.common import components, row_id, small_batches, stored
 from cadenza.llm.filters import KeyFilter
@@ -34,6 +35,7 @@ BITS = 64
 SEGMENTS, WIDTH, RADIUS = 4, 16, 2
 BANDS, PLACES = 20, 4  # tables of similar_groups, and the minima that a key of each holds
 FIRST = 4  # bands that are compared before all others
+SKETCH = 64  # longs of the sketch of a set at most; larger sets are told apart less before they are compared
 
 
 def signed(x: int) -> int:
@@ -142,30 +144,34 @@ def five_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 def wide_prints(docs: DataFrame) -> DataFrame:
     """(doc_id, rid, f1, f2, f5, keys): a row's shingle set by 128 bits and its size, all zero without words, and its keys.
 
-    Equal ``f1``, ``f2`` (order-free hashes of the set) and ``f5`` (its number of five-word shingles) are equal sets.
+    Equal ``f1``, ``f2`` (order-free hashes of the set) and ``f5`` (its number of five-word shingles) are equal sets. Only texts
+    go to Python, so ids stay exact whatever nulls stand beside them.
     """
     odd = mix(np.arange(1, BANDS * PLACES + 1, dtype=np.uint64) * np.uint64(SEED)) | np.uint64(1)
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for lo, hi in slices(list(b["text"]), 250_000):
-                h, n = five_words(list(b["text"].iloc[lo:hi]))
-                some = np.flatnonzero(n)
-                at = (np.cumsum(n) - n)[some]
-                out = {c: np.zeros(hi - lo, np.uint64) for c in ("f1", "f2")}
-                keys = np.zeros((hi - lo, BANDS), np.uint64)
-                if len(some):
-                    for i, c in enumerate(out):
-                        out[c][some] = mix(np.add.reduceat(mix(h + np.uint64(SEED + i)), at))
-                    for i in range(BANDS):
-                        key = np.full(len(some), i, np.uint64)
-                        for m in odd[i * PLACES : (i + 1) * PLACES]:
-                            key = mix(key * BASE + np.minimum.reduceat(h * m, at))
-                        keys[some, i] = key
-                rows = [k if c else k[:0] for k, c in zip(keys.view(np.int64), n, strict=True)]
-                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[lo:hi].array, "rid": b["rid"].iloc[lo:hi].array, "f1": out["f1"].view(np.int64), "f2": out["f2"].view(np.int64), "f5": n, "keys": rows})
-
-    return docs.select("doc_id", row_id().alias("rid"), "text").mapInPandas(task, "doc_id long, rid long, f1 long, f2 long, f5 long, keys array<long>")
+    def prints(texts: list[str | None]) -> pd.DataFrame:
+        h, n = five_words(texts)
+        some = np.flatnonzero(n)
+        at = (np.cumsum(n) - n)[some]
+        out = {c: np.zeros(len(n), np.uint64) for c in ("f1", "f2")}
+        keys = np.zeros((len(n), BANDS), np.uint64)
+        if len(some):
+            for i, c in enumerate(out):
+                out[c][some] = mix(np.add.reduceat(mix(h + np.uint64(SEED + i)), at))
+            for i in range(BANDS):
+                key = np.full(len(some), i, np.uint64)
+                for m in odd[i * PLACES : (i + 1) * PLACES]:
+                    key = mix(key * BASE + np.minimum.reduceat(h * m, at))
+                keys[some, i] = key
+        rows = [k if c else k[:0] for k, c in zip(keys.view(np.int64), n, strict=True)]
+        return pd.DataFrame({"f1": out["f1"].view(np.int64), "f2": out["f2"].view(np.int64), "f5": n, "keys": rows})
+
+    @F.pandas_udf("f1 long, f2 long, f5 long, keys array<long>")
+    def udf(texts: pd.Series) -> pd.DataFrame:
+        every = list(texts)
+        return pd.concat([prints([]), *(prints(every[lo:hi]) for lo, hi in slices(every, 250_000))], ignore_index=True).astype({"f1": "int64", "f2": "int64", "f5": "int64"})
+
+    return docs.select("doc_id", row_id().alias("rid"), udf("text").alias("_p")).select("doc_id", "rid", "_p.*")
 
 
 def relabelled(df: DataFrame, cls: str, edges: DataFrame, out: str) -> DataFrame:
@@ -214,21 +220,17 @@ def centres(around: DataFrame, sets: DataFrame) -> DataFrame:
 NEAR = "least(na, nb) * 5 >= greatest(na, nb) * 4"  # sets of other sizes can't be alike
 
 
-def band_classes(fps: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, comp): classes of shingle sets (node, rid, f5, keys) that links join; a link shares a key and has 0.8.
+def joined_classes(classes: DataFrame, links: DataFrame, cls: str, out: str) -> DataFrame:
+    """``classes`` (node, ``cls``, ...) with ``out``, after links (a, b) of nodes."""
+    one, two = (classes.select(F.col("node").alias(k), F.col(cls).alias(f"c{k}")) for k in ("a", "b"))
+    edges = links.join(one, "a").join(two, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    return stored(relabelled(classes, cls, edges, out), out)
 
-    Buckets are joined to their members only where that can add a link, and no bucket is paired with itself:
-
-    * In the first few bands each member is compared with the smallest of its bucket. That makes one class of most of a
-      group of copies. Of all bands only buckets that still mix classes go on; the others, however large, are just counted.
-    * There each member is compared with a pivot, the member with the most bucket neighbours. Buckets whose members share
-      most with the same pivot form a group; all members are compared with its centre, and groups whose members share more with
-      another group's centre join that. The centre is the pivot from then on.
-    * Of two members x, y of different classes one, x, is not linked to the pivot p. Let r = 4/9 (|x| + |y|) - |x & p|. A link
-      needs r shingles in common beyond p. So either x and y share a shingle that p lacks, and as all sets have one order, one
-      of the first |x - p| - r + 1 and |y - p| - r + 1 of them; or r <= 0 and, of the shingles
-      of p that y has lost, x has at most -r: then y has lost -r at most, or one of the first 1 - r that y has lost is
-      lost to x too. Each case is a join, on shingles or sizes; what it gives is verified on the whole sets. No link is lost.
+
+def first_classes(fps: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(nodes, sets, members)``: a class ``c1`` for every node, the sets of those that share a bucket of the first bands.
+
+    Each member of a bucket is compared with the smallest of it alone, which makes one class of most of a group of copies.
     """
     body = F.struct("node", "f5")
     opening = dealt(fps, 50_000).select("node", "rid", "f5", F.explode(F.slice("keys", 1, FIRST)).alias("key"))
@@ -238,60 +240,134 @@ def band_classes(fps: DataFrame, docs: DataFrame) -> DataFrame:
     star = members.select(F.col("node").alias("a"), F.col("lo.node").alias("b"), F.col("f5").alias("na"), F.col("lo.f5").alias("nb"))
     star = stored(star.where(f"a <> b and {NEAR}").select("a", "b").distinct(), "star")
     nodes = stored(relabelled(fps, "node", overlaps(star, sets).where("linked").select("a", "b"), "c1"), "nodes")
+    return nodes, sets, members.select("node").distinct()
+
 
+def mixed_buckets(nodes: DataFrame) -> DataFrame:
+    """(key, n, node, rid, f5, c1): the members of the buckets, of all bands, that still mix classes; n rows each."""
     every = dealt(nodes).select("node", "rid", "f5", "c1", F.explode("keys").alias("key"))
     shared = every.groupBy("key").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", "n")
     shared = stored(shared, "shared")
-    mixed = stored(every.where(KeyFilter(shared.select("key")).might_hold(F.col("key"))).join(shared, "key"), "mixed")
+    return stored(every.where(KeyFilter(shared.select("key")).might_hold(F.col("key"))).join(shared, "key"), "mixed")
+
+
+def most_common(rows: DataFrame, by: str, of: str) -> DataFrame:
+    """(``by``, ``of``): the value of ``of`` that most rows of each ``by`` have, the largest on ties."""
+    return rows.groupBy(by, of).agg(F.count(F.lit(1)).alias("n")).groupBy(by).agg(F.max(F.struct("n", of))[of].alias(of))
+
+
+def pivot_groups(mixed: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(around, links)``: groups (p, a, na) of members around a pivot, any two of a bucket in one; links (a, b) found meanwhile.
+
+    A bucket's first pivot is the member with the most bucket neighbours. Buckets whose members share most with the same
+    pivot form a group, whose centre is its pivot from then on; groups whose members share more with another centre join that.
+    """
     near = stored(mixed.groupBy("node").agg(F.sum("n").alias("near")), "near")
     pivots = stored(mixed.join(near, "node").groupBy("key").agg(F.max(F.struct("near", "node"))["node"].alias("p")), "pivots")
-    more = mixed.select("rid", "node").distinct().join(members.select("node").distinct(), "node", "left_anti")
-    sets = sets.unionByName(shingle_sets(docs, stored(more, "more")))
     around = stored(mixed.join(pivots, "key").select("key", "p", F.col("node").alias("a"), F.col("f5").alias("na")), "around")
     pairs = around.where("p <> a").select("a", F.col("p").alias("b"), "na").distinct()
-    met = stored(overlaps(pairs, sets).select("a", F.col("b").alias("p"), "both", "linked"), "met")
-    classes = stored(nodes.select("node", "c1").join(mixed.select("node").distinct(), "node", "left_semi"), "some")
-
-    def joined(classes: DataFrame, links: DataFrame, cls: str, out: str) -> DataFrame:
-        """``classes`` (node, ``cls``) with ``out``, after links (a, p) of nodes."""
-        one, two = (classes.select(F.col("node").alias(k), F.col(cls).alias(f"c{k}")) for k in ("a", "p"))
-        edges = links.join(one, "a").join(two, "p").select(F.col("ca").alias("a"), F.col("cp").alias("b"))
-        return stored(relabelled(classes, cls, edges, out), out)
-
-    best = met.groupBy("a").agg(F.max(F.struct("both", "p"))["p"].alias("best"))
-    mode = around.select("key", "a", "na").join(stored(best, "best"), "a", "left").withColumn("best", F.coalesce("best", "a"))
-    mode = mode.groupBy("key", "best").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "best"))["best"].alias("p"))
-    around = stored(around.select("key", "a", "na").join(stored(mode, "mode"), "key").select("p", "a", "na").distinct(), "around")
+    met = stored(overlaps(pairs, sets).select("a", "b", "both", "linked"), "met")
+    best = stored(met.groupBy("a").agg(F.max(F.struct("both", "b"))["b"].alias("best")), "best")
+    mode = most_common(around.join(best, "a", "left").select("key", F.coalesce("best", "a").alias("p")), "key", "p")
+    around = stored(around.drop("p").join(stored(mode, "mode"), "key").select("p", "a", "na").distinct(), "around")
     middle = stored(centres(around, sets), "middle")
     around = stored(around.join(middle, "p", "left").select(F.coalesce("centre", "p").alias("p"), "a", "na").distinct(), "around")
     close = stored(overlaps(around.withColumn("b", F.col("p")), sets).select("a", "p", (F.col("both") * 2 - F.col("na")).alias("both")), "close")
-    best = close.groupBy("a").agg(F.max(F.struct("both", "p"))["p"].alias("best"))  # centres of one group of copies give way to the best
-    mode = around.join(stored(best, "best"), "a").groupBy("p", "best").agg(F.count(F.lit(1)).alias("n")).groupBy("p").agg(F.max(F.struct("n", "best"))["best"].alias("to"))
+    best = stored(close.groupBy("a").agg(F.max(F.struct("both", "p"))["p"].alias("to")), "best")  # centres of one group of copies give way to the best
+    mode = most_common(around.join(best, "a").select("p", "to"), "p", "to")
     around = stored(around.join(stored(mode, "mode"), "p").select(F.col("to").alias("p"), "a", "na").distinct(), "around")
-    more = overlaps(around.withColumn("b", F.col("p")), sets)
-    more = more.withColumns({"np": F.size("_sb"), "beyond": F.array_except("_sa", "_sb"), "less": F.array_except("_sb", "_sa")})
-    links, met = met.where("linked").select("a", "p"), stored(more.select("a", "p", "na", "np", "both", "linked", "beyond", "less"), "met")
-    classes = joined(classes, links.unionByName(met.where("linked and a <> p").select("a", "p")), "c1", "c2")
+    return around, met.where("linked").select("a", "b")
+
+
+def odd_sketch(items: Column, words: Column) -> Column:
+    """64 ``words`` bits, each the parity of the items that hash to it; ``words`` is a power of two.
+
+    Two sketches differ in no more bits than their sets do in items, as each item turns one bit.
+    """
+
+    @F.pandas_udf("array<long>")
+    def udf(every: pd.Series, many: pd.Series) -> pd.Series:
+        out = []
+        for x, n in zip(every, many, strict=True):
+            bits = mix(np.asarray(x, np.int64).view(np.uint64)) & np.uint64(64 * n - 1)
+            odd = np.bincount(bits.astype(np.int64), minlength=64 * n).astype(np.uint8) & 1
+            out.append(np.packbits(odd).view(np.int64))
+        return pd.Series(out)
+
+    return udf(items, words)
+
+
+def bits_apart(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
+
+
+def differences(around: DataFrame, sets: DataFrame) -> DataFrame:
+    """(p, a, na, linked, d, apart, sketch), stored: the shingles that only one of member and pivot has, ``d`` in number."""
+    met = overlaps(around.withColumn("b", F.col("p")), sets)
+    apart = F.concat(F.array_except("_sa", "_sb"), F.array_except("_sb", "_sa"))
+    words = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.size("_sb") / 24, F.lit(1))))).cast("int")  # over two bits a shingle
+    known = met.select("p", "a", "na", "linked", apart.alias("apart"), F.least(words, F.lit(SKETCH)).alias("words"))
+    return stored(known.withColumns({"d": F.size("apart").cast("long"), "sketch": odd_sketch(F.col("apart"), F.col("words"))}).drop("words"), "apart")
+
+
+def certain_links(known: DataFrame) -> DataFrame:
+    """(a, b): links to the member of each group that is closest to the pivot, of those that no comparison is needed for.
+
+    Members x and y differ by d(x) + d(y) shingles at most, and sets that differ by no more than (|x| + |y|) / 9 are linked. If
+    that holds for any two members it holds for each of them with the member of least 9 d - n, so these links join all such pairs.
+    """
+    low = F.col("d") * 9 - F.col("na")
+    first = stored(known.groupBy("p").agg(F.min(F.struct(low.alias("low"), F.col("a").alias("b"))).alias("first")), "first")
+    return known.join(first, "p").where((low + F.col("first.low") <= 0) & (F.col("a") != F.col("first.b"))).select("a", F.col("first.b").alias("b"))
+
+
+def doubtful_pairs(known: DataFrame) -> DataFrame:
+    """(a, b), stored: pairs of members of different classes (ca) of a group that may be linked and are not by ``certain_links``.
+
+    Let D(x) be the shingles in which x differs from the pivot. Then x and y differ by |D(x)| + |D(y)| - 2 |D(x) & D(y)|, so a link needs
+    o = (|D(x)| + |D(y)| - t) / 2 of them in common, t = (|x| + |y|) / 9. All D are in one order, those first that fewest members
+    have. If the first common one has places i and j, |D(x)| - i and |D(y)| - j are at least o, and with that i + j is at most t. As
+    sizes differ by a quarter at most, one place is within an eighth of its set's size and the other within a quarter.
+    Shingles that many members share, such as an appendix of a part of the group, come late: within an eighth they stand in those
+    sets only that have few others, and such sets are so close to each other that they are linked and of one class. Pairs that share
+    a shingle are left out where their sketches alone differ in more than t bits.
+    """
+    each = known.select("p", "a", "ca", "na", "d", "sketch", F.explode("apart").alias("s"))
+    often = stored(each.groupBy("p", "s").agg(F.count(F.lit(1)).alias("often"), F.min("ca").alias("lo"), F.max("ca").alias("hi")), "often")
+    mixed = each.join(often, ["p", "s"]).where("often > 1")
+    own = Window.partitionBy("p", "a")
+    mixed = mixed.withColumn("at", F.row_number().over(own.orderBy("often", "s")) - 1 + F.col("d") - F.count(F.lit(1)).over(own))
+    mixed = stored(mixed.where("lo <> hi and 4 * at <= na").select("p", "s", "a", "ca", "na", "d", "at", "sketch"), "places")
+    short = mixed.where("8 * at <= na")
+    long = mixed.select("p", "s", F.col("a").alias("b"), F.col("ca").alias("cb"), F.col("na").alias("nb"), F.col("d").alias("db"), F.col("at").alias("bt"), F.col("sketch").alias("other"))
+    least = "9 * (d + db) - na - nb"
+    met = short.join(long.hint("merge"), ["p", "s"]).where(f"ca <> cb and {NEAR} and 18 * (d - at) >= {least} and 18 * (db - bt) >= {least}").where(bits_apart("sketch", "other") * 9 <= F.col("na") + F.col("nb"))
+    return stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+
+
+def band_classes(fps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, comp): classes of shingle sets (node, rid, f5, keys) that links join; a link shares a key and has 0.8.
+
+    Buckets are joined to their members only where that can add a link, and no bucket is paired with itself: members are
+    compared with the smallest of their bucket, then, where buckets still mix classes, with the pivot of a group; what two members
+    share beyond that decides which few pairs are left. Those are verified on the whole sets. No link is lost.
+    """
+    nodes, sets, seen = first_classes(fps, docs)
+    mixed = mixed_buckets(nodes)
+    more = mixed.select("rid", "node").distinct().join(seen, "node", "left_anti")
+    sets = sets.unionByName(shingle_sets(docs, stored(more, "more")))
+    around, links = pivot_groups(mixed, sets)
+    known = differences(around, sets)
+    links = links.unionByName(known.where("linked and a <> p").select("a", F.col("p").alias("b"))).unionByName(certain_links(known))
+    classes = stored(nodes.select("node", "c1").join(mixed.select("node").distinct(), "node", "left_semi"), "some")
+    classes = joined_classes(classes, links, "c1", "c2")
 
-    known = met.join(classes.select(F.col("node").alias("a"), F.col("c2").alias("ca")), "a")
+    known = known.join(classes.select(F.col("node").alias("a"), F.col("c2").alias("ca")), "a")
     still = known.groupBy("p").agg(F.min("ca").alias("lo"), F.max("ca").alias("hi")).where("lo <> hi").select("p")
-    known = stored(known.join(stored(still, "still"), "p"), "known")
-    far = known.where("not linked").select("p", "a", "ca", "na", "both", "beyond", "less")
-    other = known.select("p", F.col("a").alias("b"), F.col("ca").alias("cb"), F.col("na").alias("nb"), F.col("both").alias("both_b"), "np", F.col("beyond").alias("more"), F.col("less").alias("lost"))
-    unlike = f"ca <> cb and {NEAR}"
-    rest = "4 * (na + nb) - 9 * least(both, both_b)"  # nine times r, of either side
-    ax = far.select("p", "a", "ca", "na", "both", F.size("beyond").alias("ga"), F.posexplode("beyond").alias("ia", "s"))
-    bx = other.select("p", "b", "cb", "nb", "both_b", F.size("more").alias("gb"), F.posexplode("more").alias("ib", "s"))
-    had = ax.join(bx.hint("merge"), ["p", "s"]).where(f"{unlike} and 9 * (ga - ia) >= {rest} and 9 * (gb - ib) >= {rest}").select("a", "b", "ca", "cb")
-    large, small = far.where("45 * both >= 36 * na"), other.where("nb < np")
-    few = large.select("p", "a", "ca", "na", "both").join(small.select("p", "b", "cb", "nb", F.size("lost").alias("gone")), "p").where(f"{unlike} and 9 * gone <= 9 * both - 4 * (na + nb)")
-    lost = large.select("p", "a", "ca", "na", "both", F.explode("less").alias("s")).join(small.select("p", "b", "cb", "nb", F.posexplode("lost").alias("at", "s")).hint("merge"), ["p", "s"])
-    lost = lost.where(f"{unlike} and 9 * at <= 9 * both - 4 * (na + nb)")
-    small = few.select("a", "b", "ca", "cb").unionByName(lost.select("a", "b", "ca", "cb"))
-    pairs = stored(small.unionByName(had).distinct(), "pairs")
-    last = overlaps(pairs, sets).where("linked").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    ends = stored(relabelled(classes.select("c1", "c2").distinct(), "c2", last, "comp"), "ends")
-    return nodes.select("node", "c1").join(ends.select("c1", "comp"), "c1", "left").select("node", F.coalesce("comp", "c1").alias("comp"))
+    pairs = doubtful_pairs(stored(known.join(stored(still, "still"), "p"), "known"))
+    classes = joined_classes(classes, overlaps(pairs, sets).where("linked").select("a", "b"), "c2", "comp")
+    ends = stored(classes.select("c1", "comp").distinct(), "ends")
+    return nodes.select("node", "c1").join(ends, "c1", "left").select("node", F.coalesce("comp", "c1").alias("comp"))
 
 
 def similar_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -323,11 +399,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     may have to go are shuffled, after a Bloom filter.
     """
     prints, groups = similar_groups(docs)
-    rids = prints.groupBy("rid").agg(F.count(F.lit(1)).alias("times"))
+    rids = prints.groupBy("rid", "doc_id").agg(F.count(F.lit(1)).alias("times"))
     known = stored(rids.join(groups.select(F.col("best").alias("rid"), F.lit(True).alias("stays")), "rid", "left"), "known")
-    drop = stored(known.where("stays is null").select(F.col("rid").alias("_cz_drop")), "drop")
+    drop = stored(known.where("stays is null").select(F.col("rid").alias("_cz_drop"), F.col("doc_id").alias("_cz_id")), "drop")
     doubt = KeyFilter(known.where("stays is null or times > 1").select("rid")).might_hold(row_id())
     rows = docs.where(doubt).select(row_id().alias("_cz_rid"), F.struct(*docs.columns).alias("_cz_row"))
-    left = rows.join(drop, F.col("_cz_rid") == F.col("_cz_drop"), "left_anti")
-    one = left.groupBy("_cz_rid").agg(F.min_by("_cz_row", F.xxhash64(F.to_json("_cz_row"))).alias("_cz_row")).select("_cz_row.*")
+    left = rows.join(drop, (F.col("_cz_rid") == F.col("_cz_drop")) & F.col("_cz_row.doc_id").eqNullSafe(F.col("_cz_id")), "left_anti")
+    one = left.groupBy("_cz_rid", F.col("_cz_row.doc_id").alias("_cz_id")).agg(F.min_by("_cz_row", F.xxhash64(F.to_json("_cz_row"))).alias("_cz_row")).select("_cz_row.*")
     return docs.where(~doubt).unionByName(one)

@@ -25,9 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import scratch, small_batches, stored
+from cadenza.llm.filters import KeyFilter
 
 MOST_BYTES = 1 << 30
 CHUNK = 1 << 16
+MOST_ROWS = 2000  # that a reading task hands on at a time
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL namespace of RFC 4122
 
 
@@ -39,7 +41,7 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record(page_id: int | None, url: str, payload: bytes, kind: str, refers_to: int | None, digest: str) -> bytes:
+def record(page_id: str | None, url: str, payload: bytes, kind: str, refers_to: str | None, digest: str) -> bytes:
     """One WARC/1.1 record. A revisit carries the HTTP head only, and names the record and payload it repeats."""
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = head + (payload if kind == "response" else b"")
@@ -63,12 +65,16 @@ def record(page_id: int | None, url: str, payload: bytes, kind: str, refers_to:
 def plan_records(pages: DataFrame, least: int = 0) -> DataFrame:
     """(page_id, url, html, payload_digest, record_type, refers_to): which pages are responses and which revisit one.
 
-    Only (digest, page_id) pairs are grouped, combined before the shuffle; the pages then meet the digest table, whose
-    keys are unique, so a hot digest can be split by the join.
+    Only (digest, page_id) pairs are grouped, combined before the shuffle. Digests of several pages are stored; pages whose digest a
+    filter does not find among them are responses and are not moved. The others meet the stored table, whose keys are
+    unique, so the join can split a hot digest.
     """
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html")).withColumn("sha", F.sha1(F.col("html").cast("binary")))
     firsts = rows.where(F.octet_length("html") >= least).groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "first")
-    out = rows.join(firsts, "sha", "left")
+    firsts = stored(firsts, "firsts")
+    doubt = KeyFilter(firsts.select("sha")).might_hold(F.col("sha"))
+    alone = rows.where(~doubt).withColumn("first", F.lit(None).cast(dict(rows.dtypes)["page_id"]))
+    out = alone.unionByName(rows.where(doubt).join(firsts, "sha", "left"))
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return out.select("page_id", "url", "html", "sha", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
 
@@ -89,7 +95,7 @@ def write(pages: DataFrame, folder: str, least: int = 0, most_bytes: int = MOST_
                 if out is None:
                     name, n, size = f"archive-{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = store.open_output_stream(f"{top}/{name}", compression=None)
-                one = record(None if pd.isna(page_id) else int(page_id), url, html.encode("utf-8", "replace"), kind, None if pd.isna(ref) else int(ref), base64.b32encode(bytes.fromhex(sha)).decode())
+                one = record(None if pd.isna(page_id) else page_id, url, html.encode("utf-8", "replace"), kind, None if pd.isna(ref) else ref, base64.b32encode(bytes.fromhex(sha)).decode())
                 z = zlib.compressobj(6, zlib.DEFLATED, 31)
                 data = z.compress(one) + z.flush()
                 out.write(data)
@@ -103,7 +109,8 @@ def write(pages: DataFrame, folder: str, least: int = 0, most_bytes: int = MOST_
             done.append((f"{folder}/{name}", n, size))
         yield pd.DataFrame(done, columns=["path", "records", "bytes"])
 
-    return stored(plan_records(pages, least).mapInPandas(task, "path string, records long, bytes long"), "manifest")
+    ids = {c: F.col(c).cast("string") for c in ("page_id", "refers_to")}  # exact in pandas, also beside nulls
+    return stored(plan_records(pages, least).withColumns(ids).mapInPandas(task, "path string, records long, bytes long"), "manifest")
 
 
 def members(source) -> Iterator[bytes]:
@@ -135,32 +142,38 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[:size]
 
 
+def read_archive(path: str) -> Iterator[pd.DataFrame]:
+    """The records of one archive in order, some thousands or about 4 MB of payload at a time."""
+    cols = ["page_id", "url", "record_type", "payload_digest", "refers_to", "html", "valid"]
+    store, inner = open_store(path)
+    rows, size = [], 0
+    with store.open_input_stream(inner, compression=None) as source:
+        for raw in members(source):
+            f, block = parse(raw)
+            payload = block.partition(b"\r\n\r\n")[2]
+            digest = f["warc-payload-digest"].removeprefix("sha1:")
+            ok = f["warc-block-digest"] == f"sha1:{base32_sha1(block)}" and (f["warc-type"] != "response" or base32_sha1(payload) == digest)
+            ids = [x or None for x in (f["x-page-id"], f.get("x-refers-to-page-id", ""))]
+            rows.append((ids[0], f["warc-target-uri"], f["warc-type"], digest, ids[1], payload.decode("utf-8"), ok))
+            size += len(payload)
+            if size > 4_000_000 or len(rows) == MOST_ROWS:
+                yield pd.DataFrame(rows, columns=cols)
+                rows, size = [], 0
+    yield pd.DataFrame(rows, columns=cols)
+
+
 def read(manifest: DataFrame) -> DataFrame:
     """(page_id, url, record_type, payload_digest, refers_to, html, valid) of every record of the archives."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cols = ["page_id", "url", "record_type", "payload_digest", "refers_to", "html", "valid"]
         for b in batches:
             for path in b["path"]:
-                store, inner = open_store(path)
-                rows, size = [], 0
-                with store.open_input_stream(inner, compression=None) as source:
-                    for raw in members(source):
-                        f, block = parse(raw)
-                        payload = block.partition(b"\r\n\r\n")[2]
-                        digest = f["warc-payload-digest"].removeprefix("sha1:")
-                        ok = f["warc-block-digest"] == f"sha1:{base32_sha1(block)}" and (f["warc-type"] != "response" or base32_sha1(payload) == digest)
-                        ids = [int(x) if x else None for x in (f["x-page-id"], f.get("x-refers-to-page-id", ""))]
-                        rows.append((ids[0], f["warc-target-uri"], f["warc-type"], digest, ids[1], payload.decode("utf-8"), ok))
-                        size += len(payload)
-                        if size > 4_000_000:
-                            yield pd.DataFrame(rows, columns=cols).astype({"page_id": "Int64", "refers_to": "Int64"})
-                            rows, size = [], 0
-                yield pd.DataFrame(rows, columns=cols).astype({"page_id": "Int64", "refers_to": "Int64"})
+                yield from read_archive(path)
 
     small_batches(manifest.sparkSession)
     paths = manifest.select("path").coalesce(1).repartition(max(1, manifest.count()))  # in turn, from one task: one archive each
-    return paths.mapInPandas(task, "page_id long, url string, record_type string, payload_digest string, refers_to long, html string, valid boolean")
+    found = paths.mapInPandas(task, "page_id string, url string, record_type string, payload_digest string, refers_to string, html string, valid boolean")
+    return found.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
@@ -172,6 +185,6 @@ def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     back = read(write(pages, scratch(spark, "warc"), least))
     back = stored(back.select("page_id", F.octet_length("html").cast("long").alias("own"), "payload_digest", "record_type", "refers_to", "valid"), "records")
     full = back.where("record_type = 'response' and valid").groupBy("payload_digest").agg(F.max("own").alias("full"))
-    again = back.where("record_type = 'revisit'").join(full, "payload_digest", "left")
+    again = back.where("record_type = 'revisit'").join(stored(full, "full"), "payload_digest", "left")  # stored, so that the join can split a hot digest
     cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "valid"]
     return back.where("record_type = 'response'").withColumnRenamed("own", "payload_bytes").select(*cols).unionByName(again.select("page_id", F.col("full").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", (F.col("valid") & F.col("full").isNotNull()).alias("valid")))
