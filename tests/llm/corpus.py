@@ -23,5 +23,9 @@ def odd(spark):
     return df.withColumns({c: F.lit(v) for c, v in CLASH.items()}), len(rows)
 
 
+#: Ids that differ as longs and not as doubles.
+WIDE = (2**53, 2**53 + 1, 2**53 + 2)
+
+
 def rows(df, *cols):
     return sorted((tuple(r) for r in df.select(*cols).collect()), key=str)

@@ -2,7 +2,7 @@ import itertools
 import random
 
 import pytest
-from corpus import CLASH, rows
+from corpus import CLASH, WIDE, rows
 from pyspark.sql import functions as F
 
 from cadenza.llm import chat
@@ -87,3 +87,13 @@ def test_ties_do_not_depend_on_the_layout(spark):
     df = spark.createDataFrame([(1, 0, "user", f"text {i}") for i in range(200)], SCHEMA)
     one, other = (chat.repair(x, per_range=9) for x in (df.repartition(1), df.repartition(7)))
     assert rows(one, *one.columns) == rows(other, *one.columns)
+
+
+def test_wide_ids_beside_nulls_stay_apart(spark):
+    turns = [(WIDE[0], 0, "user", "a"), (WIDE[1], 0, "user", "b"), (WIDE[0], 1, "assistant", "c"), (WIDE[1], WIDE[1], "assistant", "d"), (None, 0, "user", "e"), (None, None, "system", "f")]
+    df = spark.createDataFrame(turns, SCHEMA).coalesce(1)
+    for per_range in (1, 20_000):
+        got = chat.repair(df, per_range)
+        assert dict(got.dtypes)["conv_id"] == dict(got.dtypes)["turn"] == "bigint"
+        assert rows(got.where("conv_id is not null"), "conv_id", "seq", "turn", "action") == sorted([(WIDE[0], 0, 0, "keep"), (WIDE[0], 1, 1, "keep"), (WIDE[1], 0, 0, "keep"), (WIDE[1], 1, WIDE[1], "keep")], key=str)
+        assert got.where("conv_id is null").count() == 2

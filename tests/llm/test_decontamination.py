@@ -3,7 +3,7 @@ import re
 from collections import Counter
 
 import pytest
-from corpus import docs, odd, rows
+from corpus import WIDE, docs, odd, rows
 
 from cadenza.llm import decontam
 
@@ -93,3 +93,11 @@ def test_odd_rows(spark, bench):
     d = docs(spark, [(None, ITEM), (None, "clean words"), (1, "x"), (2, ITEM), (2, "clean"), (2, ITEM), (3, "so an item whose id is null stands here in full text")])
     assert rows(decontam.clean(d, extra), "doc_id", "text") == [(1, "x"), (2, "clean"), (None, "clean words")]
     assert sorted((str(r.doc_id), r.item_ids, r.n_items) for r in decontam.contaminated(d, extra).collect()) == [("2", [1], 1), ("3", [], 1), ("None", [1], 1)]
+
+
+def test_wide_ids_beside_nulls(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    d = docs(spark, [(WIDE[1], text), (None, text + " more"), (WIDE[0], "clean words of another text")]).coalesce(1)
+    b = spark.createDataFrame([(WIDE[1], text), (None, "other item of some words here")], "item_id long, text string").coalesce(1)
+    assert sorted(map(str, [(r.doc_id, r.item_ids) for r in decontam.contaminated(d, b).collect()])) == sorted(map(str, [(WIDE[1], [WIDE[1]]), (None, [WIDE[1]])]))
+    assert [r.doc_id for r in decontam.clean(d, b).collect()] == [WIDE[0]]

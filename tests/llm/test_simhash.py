@@ -1,7 +1,8 @@
 import random
 
+import pytest
 import xxhash
-from corpus import docs, odd, rows
+from corpus import WIDE, docs, odd, rows
 from pyspark.sql import functions as F
 
 from cadenza.llm import simhash
@@ -187,3 +188,73 @@ def test_a_repeated_line_does_not_join_texts(spark):
     line = "the very same line of eight words again "
     own = [" ".join(f"{c}{i}" for i in range(200)) for c in "ab"]
     assert similar(spark, [line * 100 + own[0], line * 100 + own[1], line * 90 + own[0]]) == [0, 1, 0]
+
+
+def test_wide_ids_beside_nulls(spark):
+    a, b = ("one text of some words that others copy", "a second text that has its own words")
+    more = [(WIDE[1], a), (WIDE[2], a), (None, b), (WIDE[0], "words of the smallest id of all")]
+    assert rows(simhash.keep_one(docs(spark, more).coalesce(1)), "doc_id") == sorted([(WIDE[1],), (None,), (WIDE[0],)], key=str)
+    assert rows(simhash.assign_groups(docs(spark, more).coalesce(1)), "doc_id", "component_id") == sorted([(WIDE[1], WIDE[1]), (WIDE[2], WIDE[1]), (None, None), (WIDE[0], WIDE[0])], key=str)
+
+
+def family(n, seed, low, high, parts):
+    """``n`` copies of one text with ``low`` to ``high`` words changed; each appendix stands in every second, fourth, ... run of them."""
+    rnd = random.Random(seed)
+    base, out = [f"b{i}" for i in range(200)], []
+    for i in range(n):
+        w = base.copy()
+        for j in rnd.sample(range(200), rnd.randint(low, high)):
+            w[j] = f"x{rnd.randrange(10**9)}"
+        out.append(" ".join(w + [f"{p}{k}" for p in range(parts) if i >> p & 1 for k in range(12)]))
+    return out
+
+
+@pytest.mark.parametrize("seed,low,high,parts", [(1, 4, 13, 1), (2, 1, 6, 3)])
+def test_copies_with_shared_passages_equal_brute_force(spark, seed, low, high, parts):
+    texts = family(240, seed, low, high, parts)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    comp = list(range(len(texts)))
+
+    def root(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    for b in range(len(texts)):
+        for a in range(b):
+            both = len(sets[a] & sets[b])
+            if 9 * both >= 4 * (len(sets[a]) + len(sets[b])):
+                x, y = sorted((root(a), root(b)))
+                comp[y] = x
+    got = similar(spark, texts)
+    assert sum(got[i] != root(i) for i in range(len(texts))) <= 1
+
+
+def test_work_in_a_group_grows_with_its_rows(spark, monkeypatch):
+    """Copies with a shared appendix that are hardly ever linked: few pairs are compared, a copy is in a bounded number of rows.
+
+    A copy is around one pivot for each of its bands at most, and has a row for each shingle in which it differs from that.
+    """
+    real, made = simhash.stored, {}
+
+    def counted(df, label):
+        out = real(df, label)
+        made[label] = max(made.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    for n in (400, 1600):
+        made = {}
+        simhash.similar_groups(docs(spark, family(n, 1, 4, 13, 1)))
+        assert made["pairs"] < n / 20 and made["apart"] <= simhash.BANDS * n
+        assert max(made.pop("often"), made.pop("places")) <= 200 * n and max(made.values()) <= simhash.BANDS * n
+
+
+def test_sketches_differ_in_no_more_bits_than_sets(spark):
+    rnd = random.Random(4)
+    sets = [([rnd.getrandbits(62) for _ in range(40)], [rnd.getrandbits(62) for _ in range(rnd.randrange(60))]) for _ in range(50)]
+    df = spark.createDataFrame([(a, a[: rnd.randrange(40)] + b) for a, b in sets], "x array<long>, y array<long>")
+    df = df.withColumns({c: simhash.odd_sketch(F.col(d), F.lit(8)) for c, d in (("sx", "x"), ("sy", "y"))})
+    for r in df.select("x", "y", simhash.bits_apart("sx", "sy").alias("bits")).collect():
+        n = len(set(r.x) ^ set(r.y))
+        assert r.bits <= n and r.bits >= 0.7 * n

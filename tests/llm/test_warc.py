@@ -5,7 +5,7 @@ import io
 import zlib
 
 import pytest
-from corpus import CLASH, rows
+from corpus import CLASH, WIDE, rows
 from pyspark.sql import functions as F
 
 from cadenza.llm import warc
@@ -66,3 +66,27 @@ def test_damage_is_noticed():
         warc.parse(warc.record(1, "u", b"payload", "response", None, "x") + b"more")
     fields, block = warc.parse(warc.record(1, "u", b"a\r\n\r\nb", "response", None, "x"))
     assert block.endswith(b"\r\n\r\na\r\n\r\nb") and fields["warc-type"] == "response"
+
+
+def test_wide_and_null_ids_and_repeated_rows(spark):
+    pages = [(WIDE[1], "u", "same"), (None, "u", "same"), (WIDE[2], "u", "same"), (WIDE[0], "u", "own"), (WIDE[0], "u", "own"), (None, "u", "none has an id")]
+    got = rows(warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)), "page_id", "record_type", "refers_to", "valid")
+    want = [(WIDE[1], "response", None), (None, "revisit", WIDE[1]), (WIDE[2], "revisit", WIDE[1]), (WIDE[0], "response", None), (WIDE[0], "response", None), (None, "response", None)]
+    assert got == sorted([(*w, True) for w in want], key=str)
+
+
+def test_an_archive_of_revisits_is_read_in_batches(tmp_path):
+    path = str(tmp_path / "a.warc.gz")
+    with open(path, "wb") as out:
+        for i in range(100_000):
+            z = zlib.compressobj(1, zlib.DEFLATED, 31)
+            out.write(z.compress(warc.record(str(i), "u", b"payload", "revisit", "0", "x")) + z.flush())
+    sizes = [len(b) for b in warc.read_archive(path)]
+    assert sum(sizes) == 100_000 and max(sizes) == warc.MOST_ROWS
+
+
+def test_a_hot_payload_is_planned_once(spark):
+    pages = spark.range(5000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("p"), F.col("id"))).alias("html"))
+    plan = warc.plan_records(pages)
+    assert plan.groupBy("record_type").count().collect().__len__() == 2 and plan.where("record_type = 'revisit' and refers_to = 0").count() == 1666
+    assert plan.count() == 5000 and "Aggregate" not in plan._jdf.queryExecution().executedPlan().toString()  # the table of first pages is stored: a hot digest can be split
