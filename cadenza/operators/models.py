@@ -17,10 +17,10 @@ CCA_SCHEMA = "component long, r double, wa array<double>, wb array<double>, fa a
 GCCA_SCHEMA = "view long, component long, lam double, w array<double>, f array<double>"
 
 
-def cca_fit(df: DataFrame, keys: list[str], x: str, y: str, dims_x: list[int], dims_y: list[int], components: int, shrink: bool = True, rank: int | None = None, without: str | None = None) -> DataFrame:
+def cca_fit(df: DataFrame, keys: list[str], x: str, y: str, dims_x: list[int], dims_y: list[int], components: int, shrink: bool = True, rank: int | None = None, without: str | None = None, seams: DataFrame | None = None) -> DataFrame:
     """(keys, component, r, wa, wb, fa): filters of both sides, correlation on these samples, forward model of side x.
 
-    ``dims_x`` and ``dims_y`` are the widths of stacked modalities, each shrunk by itself. ``without`` as in ``fit_by``.
+    ``dims_x`` and ``dims_y`` are the widths of stacked modalities, each shrunk by itself. ``without`` and ``seams`` as in ``fit_by``.
     """
     dx, dims = sum(dims_x), [*dims_x, *dims_y]
 
@@ -34,7 +34,8 @@ def cca_fit(df: DataFrame, keys: list[str], x: str, y: str, dims_x: list[int], d
         fa = kernels.haufe(m.cov[:dx, :dx], wa)
         return [(c + 1, abs(r[c]), wa[:, c], wb[:, c], fa[:, c]) for c in range(len(r))]
 
-    return fit_by(df.withColumn("_z", F.concat(x, y)), keys, "_z", dims, kernel, CCA_SCHEMA, without)
+    z = F.concat(x, y)
+    return fit_by(df.withColumn("_z", z), keys, "_z", dims, kernel, CCA_SCHEMA, without, None if seams is None else seams.withColumn("_z", z))
 
 
 def gcca_rows(m: Moments, components: int, shrink: bool, rho: float | None) -> list[tuple]:

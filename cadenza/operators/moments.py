@@ -134,12 +134,22 @@ class Moments:
             self.fourths.append(float(q[b] + 4 * mu @ own @ mu + self.n * m * m - 4 * mu @ cross + 2 * m * q[len(self.dims) + b] - 4 * m * mu @ s))
 
 
-def fit_by(df: DataFrame, keys: list[str], z: str, dims: list[int] | int, kernel: Kernel, schema: str, without: str | None = None) -> DataFrame:
+def times(parts: DataFrame, keys: list[str], factor: Column) -> DataFrame:
+    """Sums, each times a factor."""
+    scaled = [(F.col("n") * factor).cast("long").alias("n"), *[F.transform(c, lambda x: x * factor).alias(c) for c in SUMS[1:]]]
+    return parts.select(*keys, *scaled)
+
+
+def fit_by(df: DataFrame, keys: list[str], z: str, dims: list[int] | int, kernel: Kernel, schema: str, without: str | None = None, seams: DataFrame | None = None) -> DataFrame:
     """(keys, schema): ``kernel`` gives rows from the moments of each key. Sums are shuffled, never samples.
 
     With ``without`` there is a fit for each value of that column which is not null: on the key's rows of all other
     values, nulls included. Each row is summed once; a fit's sums are the key's total less the value's own. A value that
     all rows of a key have gets no fit. A kernel's memory is bounded by the width of ``z``.
+
+    ``seams`` (keys, without, sign, z) corrects these fits: rows that a value's fit also takes (sign 1) or does not take
+    (sign -1), such as lagged rows next to the gap that the value's own rows leave. A value with no rows of its own needs one here, of
+    sign 0 if it has no other, to get a fit.
     """
     all_keys = [*keys, without] if without else keys
     names = [*all_keys, *[c.strip().split()[0] for c in re.sub(r"<.*?>", "", schema).split(",")]]
@@ -160,6 +170,18 @@ def fit_by(df: DataFrame, keys: list[str], z: str, dims: list[int] | int, kernel
     if not without:
         return by_key(parts, keys).mapInPandas(fit, out)
     own = merged(parts, all_keys)
+    if seams is not None:
+        kept = own.where(F.col(without).isNotNull())
+        every = merged(own, keys).withColumnsRenamed({k: f"_{k}" for k in keys})
+        fix = merged(partial_moments(seams, [*all_keys, "sign"], z, dims), [*all_keys, "sign"])
+        heads = kept.select(*all_keys).unionByName(fix.select(*all_keys)).distinct()
+        total = heads.join(every, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])).select(*all_keys, *SUMS)
+        sums = total.unionByName(times(kept, all_keys, F.lit(-1))).unionByName(times(fix, all_keys, F.col("sign")))
+
+        def fit_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            return (rows_of([(k, s) for k, s in done if s[0] > 0]) for done in summed(batches, all_keys) if done)
+
+        return by_key(sums, all_keys).mapInPandas(fit_sums, out)
     whole = merged(own, keys).select(*[F.col(k).alias(f"_{k}") for k in keys], *[F.col(c).alias(f"_{c}") for c in SUMS])
     same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
     both = own.join(whole, same).where(F.col(without).isNotNull() & (F.col("_n") > F.col("n"))).drop(*[f"_{k}" for k in keys])

@@ -57,18 +57,41 @@ def bootstrap_starts(lengths: DataFrame, keys: list[str], length: int, per: int,
 
 
 def distractor_pool(df: DataFrame, keys: list[str], t: str, starts: DataFrame, length: int, margin: int) -> DataFrame:
-    """(keys, trial, pos, ...): samples outside [start - margin, start + length + margin), renumbered from 0."""
+    """(keys, trial, pos, ...): samples outside [start - margin, start + length + margin), renumbered from 0.
+
+    ``t`` numbers the samples of ``keys`` from 0 without gaps, so positions follow from the two free stretches. This gives every
+    free sample of every trial; to draw one window use ``distractor_starts``, which touches no samples.
+    """
     rest = starts.join(df, keys).where((F.col(t) < F.col("start") - margin) | (F.col(t) >= F.col("start") + length + margin))
-    order = Window.partitionBy(*keys, "trial").orderBy(t)
-    return rest.withColumn("pos", F.row_number().over(order).cast("long") - 1)
+    lead = F.greatest(F.col("start") - margin, F.lit(0))
+    return rest.withColumn("pos", F.when(F.col(t) < F.col("start"), F.col(t)).otherwise(F.col(t) - (F.col("start") + length + margin) + lead).cast("long"))
+
+
+def distractor_starts(starts: DataFrame, lengths: DataFrame, keys: list[str], length: int, margin: int, seed: int = 0) -> DataFrame:
+    """(keys, trial, start, first): where, among a trial's free samples, its distractor starts; seeded.
+
+    ``lengths`` holds (keys, len). The free samples are the two stretches beside the trial and its margin; trials with fewer than ``length``
+    free samples get none.
+    """
+    lead, tail = F.greatest(F.col("start") - margin, F.lit(0)), F.greatest(F.col("len") - (F.col("start") + length + margin), F.lit(0))
+    free = starts.join(lengths, keys).withColumn("_free", lead + tail).where(F.col("_free") >= length)
+    first = F.pmod(F.xxhash64(F.lit(seed), *keys, "trial"), F.greatest(F.col("_free") - length, F.lit(1)))
+    return free.select(*keys, "trial", "start", first.alias("first"))
+
+
+def distractor_samples(length: int, margin: int) -> Column:
+    """The sample numbers of a distractor from ``start`` and ``first``: consecutive free samples, passing over the trial and its margin."""
+    lead = F.greatest(F.col("start") - margin, F.lit(0))
+    places = F.sequence(F.col("first"), F.col("first") + (length - 1))
+    return F.transform(places, lambda i: F.when(i < lead, i).otherwise(i - lead + F.col("start") + (length + margin)))
 
 
-def draw_distractor(pool: DataFrame, keys: list[str], length: int, seed: int = 0) -> DataFrame:
-    """One window of ``length`` samples of each trial's pool, seeded; pools that are too short give none."""
-    w = Window.partitionBy(*keys, "trial")
-    cut = pool.withColumn("_n", F.count(F.lit(1)).over(w)).where(F.col("_n") >= length)
-    first = F.pmod(F.xxhash64(F.lit(seed), *keys, "trial"), F.greatest(F.col("_n") - length, F.lit(1)))
-    return cut.withColumn("_at", first).where((F.col("pos") >= F.col("_at")) & (F.col("pos") < F.col("_at") + length)).withColumn("pos", F.col("pos") - F.col("_at")).drop("_n", "_at")
+def draw_distractor(df: DataFrame, keys: list[str], t: str, starts: DataFrame, length: int, margin: int, seed: int = 0) -> DataFrame:
+    """(keys, trial, pos, ...): one window of ``length`` free samples for each trial, by an equi-join on the samples wanted."""
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("len"))
+    drawn = distractor_starts(starts, n, keys, length, margin, seed)
+    wanted = drawn.select(*keys, "trial", F.posexplode(distractor_samples(length, margin)).alias("pos", t))
+    return wanted.join(df, [*keys, t]).withColumn("pos", F.col("pos").cast("long"))
 
 
 def random_subset(items: DataFrame, keys: list[str], item: str, n: int, seed: int = 0) -> DataFrame:

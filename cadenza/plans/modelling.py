@@ -295,7 +295,7 @@ def bootstrap_trials(spark: SparkSession, d: str) -> DataFrame:
 def distractor_draw(spark: SparkSession, d: str) -> DataFrame:
     s = signal(spark, d)
     starts = s.select("u").distinct().select("u", F.lit(0).cast("long").alias("trial"), F.lit(12).cast("long").alias("start"))
-    drawn = segment.draw_distractor(segment.distractor_pool(s, K, "t", starts, 10, 3), K, 10, seed=5)
+    drawn = segment.draw_distractor(s, K, "t", starts, 10, 3, seed=5)
     return drawn.groupBy("u", "trial").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
 
 
@@ -353,8 +353,17 @@ def experiment_partial(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def experiment_decoding(spark: SparkSession, d: str) -> DataFrame:
-    acc = experiments.decoding(recordings(spark, d), SETUP, [5, 8], margin=1)
-    return acc.select("u", "task", "trial_len", "n", "n_correct", *[rounded(c).alias(c) for c in ("acc", "p_value", "acc_sig")])
+    acc = experiments.decoding(recordings(spark, d), SETUP, [5, 8], permutations=20, margin=1)
+    return acc.select("u", "task", "trial_len", "n", "n_correct", *[rounded(c).alias(c) for c in ("acc", "p_value", "acc_sig", "level")])
+
+
+@query()
+def experiment_combined(spark: SparkSession, d: str) -> DataFrame:
+    """Training on both objects' features as one side; the attended object's filters are tested."""
+    from dataclasses import replace
+
+    r = experiments.correlations(recordings(spark, d), replace(SETUP, combine=True), masked=True)
+    return r.select("u", "fold", "component", *[rounded(c).alias(c) for c in ("r_train", "att", "unatt")])
 
 
 @query()

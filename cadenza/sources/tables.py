@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,18 @@ def upsert(existing: DataFrame, new: DataFrame, keys: list[str], overwrite: bool
     return existing.unionByName(new.join(existing.select(*keys).distinct(), keys, "left_anti"))
 
 
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """``df`` computed once for all that follows: as a table in the folder that ``spark.checkpoint.dir`` names, so that a lost
+    executor costs nothing of it; without such a folder it is persisted, and what is lost is computed again."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df.persist()
+    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, in whatever store Spark reaches."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,12 +1,14 @@
 """Queries on fitted models against numpy versions that hold all samples in memory."""
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from cadenza.functions import kernels
-from cadenza.operators import models, moments
+from cadenza.operators import folds, models, moments
 from cadenza.plans import experiments, modelling
 from cadenza.sources.adapters import array_signal
 
@@ -168,6 +170,56 @@ def test_experiment_correlations(spark, small):
     assert seen == len(got)
 
 
+def by_copies(rec, s, masked):
+    """Weights with a copy of a subject's samples for each fold: lagged within (u, fold, role), then fitted."""
+    both = folds.leave_out(rec, ["u"], s.leave_out).join(experiments.marked(rec, s, masked), ["u", "vid"])
+    keys = ["u", "fold", "role"]
+    return experiments.train(experiments.lagged(both, keys, s).where("role = 'train'"), s, ["u", "fold"])
+
+
+@pytest.mark.parametrize("masked,change", [(False, {"lags_x": 4, "offset_x": 2, "lags_s": 5, "offset_s": 1}), (True, {}), (True, {"offset_x": 0, "combine": True, "after": 3}), (False, {"lags_x": 1, "offset_x": 0, "lags_s": 1})])
+def test_folds_without_copies(spark, small, masked, change):
+    """Totals less a fold's own sums, corrected at the seam, give the fits on copied training parts."""
+    s = replace(modelling.SETUP, leave_out=1, **change)
+    rec = modelling.recordings(spark, small).where("u < 12").persist()
+    got = {(r.u, r.fold, r.component): r for r in experiments.train_folds(rec, s, masked).collect()}
+    want = {(r.u, r.fold, r.component): r for r in by_copies(rec, s, masked).collect()}
+    assert set(got) == set(want) and len(want) > 30
+    for k, w in want.items():
+        assert got[k].r == pytest.approx(w.r, abs=1e-6)
+        assert abs(np.dot(got[k].wa, w.wa)) == pytest.approx(np.linalg.norm(got[k].wa) * np.linalg.norm(w.wa), rel=1e-4) or w.r < 1e-3
+    parts = experiments.fold_of(experiments.lagged(experiments.marked(rec, s, masked), ["u"], s), s)
+    assert parts.count() <= rec.count()  # no sample is copied
+
+
+def test_accuracy_permutations(spark, small):
+    """Rotated trials against plain loops: the drawn rotations lie between a quarter and three quarters."""
+    s = modelling.SETUP
+    line = experiments.test_line(modelling.recordings(spark, small).where("u < 12"), s)
+    cut = experiments.trial_rows(line, 5, bootstrap=False).persist()
+    got = {(r.u, r.perm): r.acc for r in experiments.permuted_accuracy(cut, s, 6, seed=3).collect()}
+    n = {(r.u, r.fold): r.n for r in cut.groupBy("u", "fold").agg((F.max("trial") + 1).alias("n")).collect()}
+    drawn = spark.createDataFrame([(*k, p, m) for k, m in n.items() for p in range(6)], "u long, fold long, perm long, n long")
+    quarter = F.floor(F.col("n") / 4)
+    drawn = {(r.u, r.fold, r.perm): r.by for r in drawn.withColumn("by", quarter + F.pmod(F.xxhash64(F.lit(3), "u", "fold", "perm"), 2 * quarter + 1)).collect()}
+    pdf = cut.select("u", "fold", "trial", "pos", "component", "px", "pa", "pu").toPandas().sort_values(["component", "pos"])
+    series = {k: {c: g[c].to_numpy().reshape(2, -1) for c in ("px", "pa", "pu")} for k, g in pdf.groupby(["u", "fold", "trial"])}
+    corr = lambda a, b: [np.corrcoef(x, y)[0, 1] if min(np.ptp(x), np.ptp(y)) > 0 else np.nan for x, y in zip(a, b, strict=True)]
+    for u, perm in got:
+        hits = []
+        for (v, fold), m in n.items():
+            by = drawn[v, fold, perm]
+            assert m // 4 <= by <= m // 4 * 3
+            if v == u:
+                for t in range(m):
+                    x, y = series[u, fold, (t + by) % m]["px"], series[u, fold, t]
+                    a, b = corr(x, y["pa"]), corr(x, y["pu"])
+                    if not np.isnan(a + b).any():
+                        hits.append(sum(a) > sum(b))
+        assert got[u, perm] == pytest.approx(np.mean(hits))
+    assert len(got) > 20
+
+
 def test_experiment_isc_takes_all_subjects(spark, small):
     s = modelling.SETUP
     rec = modelling.recordings(spark, small).toPandas()
