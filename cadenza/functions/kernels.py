@@ -245,14 +245,28 @@ def cubic(xs: Array, ys: Array, at: Array) -> Array:
     return (m[i] * v**3 + m[i + 1] * u**3) / (6 * h[i]) + (ys[i] / h[i] - m[i] * h[i] / 6) * v + (ys[i + 1] / h[i] - m[i + 1] * h[i] / 6) * u
 
 
-def signed_rank_p(w: float, ranks: list[float]) -> float:
-    """P(W >= w) under random signs, exact: counts of sums of doubled ranks."""
-    doubled = [round(2 * r) for r in ranks]
-    ways = np.zeros(sum(doubled) + 1)
+def tails(ways: Array, at: int) -> tuple[float, float]:
+    """P(X >= at) and P(X <= at) from the number of ways to reach each value."""
+    return float(ways[at:].sum() / ways.sum()), float(ways[: at + 1].sum() / ways.sum())
+
+
+def signed_rank_tails(twice: list[int], w: float) -> tuple[float, float]:
+    """Tails of the signed-rank statistic under random signs, exact with ties: counts of sums of doubled ranks."""
+    ways = np.zeros(sum(twice) + 1)
     ways[0] = 1
-    for r in doubled:
+    for r in twice:
         ways[r:] = ways[r:] + ways[: len(ways) - r].copy()
-    return float(ways[round(2 * w) :].sum() / ways.sum())
+    return tails(ways, round(2 * w))
+
+
+def rank_sum_tails(twice: list[int], u: float, n1: float) -> tuple[float, float]:
+    """Tails of U over all choices of ``n1`` rows, exact with ties: counts by how many are chosen and the sum of their doubled ranks."""
+    n1 = int(n1)
+    ways = np.zeros((n1 + 1, sum(twice) + 1))
+    ways[0, 0] = 1
+    for r in twice:
+        ways[1:, r:] = ways[1:, r:] + ways[:-1, : ways.shape[1] - r].copy()
+    return tails(ways[n1], round(2 * u) + n1 * (n1 + 1))
 
 
 def pearson_p(r: float, n: int) -> float:

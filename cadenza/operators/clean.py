@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from cadenza.functions.expr import dot
+from cadenza.operators.halo import over, with_known
 from cadenza.operators.segment import segments, with_length
 
 
-def fill_linear(df: DataFrame, keys: list[str], t: str, col: str, out: str | None = None) -> DataFrame:
-    """Linear interpolation of nulls; ends extrapolate from the two nearest known points; fewer than two: unchanged."""
+def fill_linear(df: DataFrame, keys: list[str], t: str, col: str, out: str | None = None, rows: int | None = None) -> DataFrame:
+    """Linear interpolation of nulls; ends extrapolate from the two nearest known points; fewer than two: unchanged.
+
+    With ``rows`` in pieces of so many numbers of ``t``, each with the two nearest known points on both sides; no task sorts a whole sequence.
+    """
+    if rows is not None:
+        pieces = with_known(df, keys, t, F.col(col).isNotNull(), 2, rows)
+        return fill_linear(pieces, [*keys, "_piece"], t, col, out).where(~F.col("_halo")).drop("_piece", "_halo")
     w = Window.partitionBy(*keys).orderBy(t)
     back, ahead = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
     point = F.when(F.col(col).isNotNull(), F.struct(F.col(t).cast("double").alias("t"), F.col(col).alias("x")))
@@ -43,15 +50,17 @@ def trim_and_center(df: DataFrame, keys: list[str], t: str, cols: list[str], edg
     return kept.withColumns({c: F.col(c) - F.avg(c).over(w) for c in cols})
 
 
-def difference(keys: list[str], t: str, col: str) -> Column:
+def difference(col: str, w: WindowSpec) -> Column:
     """First difference; 0 for the first sample."""
-    w = Window.partitionBy(*keys).orderBy(t)
     return F.col(col) - F.coalesce(F.lag(col).over(w), F.col(col))
 
 
-def velocity(df: DataFrame, keys: list[str], t: str, x: str, y: str, out: str = "vel") -> DataFrame:
-    dx, dy = difference(keys, t, x), difference(keys, t, y)
-    return df.withColumn(out, F.sqrt(dx * dx + dy * dy))
+def velocity(df: DataFrame, keys: list[str], t: str, x: str, y: str, out: str = "vel", rows: int | None = None) -> DataFrame:
+    def add(d: DataFrame, w: WindowSpec) -> DataFrame:
+        dx, dy = difference(x, w), difference(y, w)
+        return d.withColumn(out, F.sqrt(dx * dx + dy * dy))
+
+    return over(df, keys, [t], 1, 0, add, rows)
 
 
 def normalize_segments(df: DataFrame, keys: list[str], t: str, cols: list[str], length: int) -> DataFrame:

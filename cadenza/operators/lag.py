@@ -1,4 +1,7 @@
-"""Lagged (Hankel) windows. ``keys`` names the sequence that lags must not leave, and is always explicit."""
+"""Lagged (Hankel) windows. ``keys`` names the sequence that lags must not leave, and is always explicit.
+
+With ``rows`` a sequence is cut into pieces of so many rows (see ``halo``), so that no task sorts a whole one.
+"""
 
 from __future__ import annotations
 
@@ -6,24 +9,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cadenza.operators.halo import over
+
 
 def sequence_number(df: DataFrame, keys: list[str], order: list[str], out: str = "seq") -> DataFrame:
     """0-based position within the concatenation that ``keys`` and ``order`` define."""
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
 
 
-def hankel(df: DataFrame, keys: list[str], order: list[str], cols: list[str], lags: int, offset: int = 0) -> DataFrame:
+def hankel(df: DataFrame, keys: list[str], order: list[str], cols: list[str], lags: int, offset: int = 0, rows: int | None = None) -> DataFrame:
     """Adds ``{col}_{k}`` = col at position t + offset - k for k below ``lags``, 0 beyond either end."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumns({f"{c}_{k}": F.lag(c, k - offset, 0.0).over(w) for c in cols for k in range(lags)})
+    add = lambda d, w: d.withColumns({f"{c}_{k}": F.lag(c, k - offset, 0.0).over(w) for c in cols for k in range(lags)})
+    return over(df, keys, order, lags - 1 - offset, offset, add, rows)
 
 
-def block_hankel(df: DataFrame, keys: list[str], order: list[str], ch: str, width: int, lags: int, offset: int = 0, out: str = "h") -> DataFrame:
+def block_hankel(df: DataFrame, keys: list[str], order: list[str], ch: str, width: int, lags: int, offset: int = 0, out: str = "h", rows: int | None = None) -> DataFrame:
     """Adds array ``out`` of width * lags values, channel by channel: value c * lags + k is channel c at t + offset - k."""
-    w = Window.partitionBy(*keys).orderBy(*order)
     zero = F.array_repeat(F.lit(0.0), width)
     shifted = [f"_lag{k}" for k in range(lags)]
-    df = df.withColumns({n: F.coalesce(F.lag(ch, k - offset).over(w), zero) for k, n in enumerate(shifted)})
+    add = lambda d, w: d.withColumns({n: F.coalesce(F.lag(ch, k - offset).over(w), zero) for k, n in enumerate(shifted)})
+    df = over(df, keys, order, lags - 1 - offset, offset, add, rows)
     mixed = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.array(*[F.get(F.col(n), i) for n in shifted])))
     return df.withColumn(out, mixed).drop(*shifted)
 

@@ -1,22 +1,23 @@
-"""Boolean series: which samples to keep."""
+"""Boolean series: which samples to keep. With ``rows`` windows run in pieces of so many rows; see ``halo``."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from cadenza.operators.halo import over
 
-def event_mask(df: DataFrame, keys: list[str], order: list[str], event: Column, before: int, after: int, out: str = "keep") -> DataFrame:
+
+def event_mask(df: DataFrame, keys: list[str], order: list[str], event: Column, before: int, after: int, out: str = "keep", rows: int | None = None) -> DataFrame:
     """False from ``before`` samples ahead of an event to ``after`` samples past it; true everywhere without events."""
-    near = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-after, before)
-    return df.withColumn(out, ~F.coalesce(F.max(event).over(near), F.lit(False)))
+    add = lambda d, w: d.withColumn(out, ~F.coalesce(F.max(event).over(w.rowsBetween(-after, before)), F.lit(False)))
+    return over(df, keys, order, after, before, add, rows)
 
 
-def expand_mask(df: DataFrame, keys: list[str], order: list[str], mask: str, lags: int, offset: int, out: str = "keep") -> DataFrame:
+def expand_mask(df: DataFrame, keys: list[str], order: list[str], mask: str, lags: int, offset: int, out: str = "keep", rows: int | None = None) -> DataFrame:
     """False where a lagged row would read a masked sample; samples beyond the ends count as kept."""
-    span = Window.partitionBy(*keys).orderBy(*order).rowsBetween(offset - lags + 1, offset)
-    return df.withColumn(out, F.coalesce(F.min(mask).over(span), F.lit(True)))
+    add = lambda d, w: d.withColumn(out, F.coalesce(F.min(mask).over(w.rowsBetween(offset - lags + 1, offset)), F.lit(True)))
+    return over(df, keys, order, lags - 1 - offset, offset, add, rows)
 
 
 def data_loss(df: DataFrame, keys: list[str], mask: str) -> DataFrame:

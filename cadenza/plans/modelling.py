@@ -328,6 +328,16 @@ def wilcoxon_pvalue(spark: SparkSession, d: str) -> DataFrame:
     return signif.wilcoxon_p(signif.wilcoxon(s, K, "a", "b")).select("u", "n", rounded("w").alias("w"), rounded("p").alias("p"))
 
 
+@query()
+def mann_whitney_pvalue(spark: SparkSession, d: str) -> DataFrame:
+    """Samples with events against those without, per recording half: p-values of all three alternatives, values rounded so that they tie."""
+    s = signal(spark, d).select(F.col("u"), F.floor(F.col("t") / 25).alias("half"), "sacc", F.round("x", -1).alias("v"))
+    out = signif.mann_whitney(s.withColumnRenamed("u", "subject"), ["subject", "half"], F.col("sacc"), "v")
+    for name, alternative in (("above", "greater"), ("below", "less"), ("both", "two-sided")):
+        out = signif.mann_whitney_p(out, alternative).withColumnRenamed("p", name)
+    return out.select("subject", "half", "n1", "n2", "u", rounded("ties").alias("ties"), *[rounded(c).alias(c) for c in ("above", "below", "both")])
+
+
 SETUP = experiments.Setup(width=2, lags_x=2, offset_x=1, lags_s=3, components=2, before=0, after=1)
 
 

@@ -121,7 +121,7 @@ def test_cubic_is_exact_for_cubics_and_extrapolates():
 
 
 def test_signed_rank_and_pearson_tails():
-    assert k.signed_rank_p(6, [1, 2, 3]) == pytest.approx(1 / 8)
-    assert k.signed_rank_p(0, [1, 2, 3]) == pytest.approx(1)
+    assert k.signed_rank_tails([2, 4, 6], 6) == pytest.approx((1 / 8, 1))
+    assert k.signed_rank_tails([2, 4, 6], 0) == pytest.approx((1, 1 / 8))
     assert k.pearson_p(0.0, 20) == pytest.approx(1, abs=1e-6)
     assert k.pearson_p(0.8, 4) == pytest.approx(0.2, abs=1e-6)  # n = 4: p = 1 - |r|
