@@ -397,3 +397,11 @@ def experiment_isc(spark: SparkSession, d: str) -> DataFrame:
     rec = recordings(spark, d).withColumn("grp", F.floor(F.col("u") / 4))
     r = experiments.intersubject(rec, 2, SETUP, "signal", permutations=20)
     return r.select("modality", "grp", "fold", "component", *[rounded(c).alias(c) for c in ("isc", "iscov", "level")], "n_views")
+
+
+@query()
+def experiment_isc_all(spark: SparkSession, d: str) -> DataFrame:
+    """All subjects in one fit, by iteration: no kernel is wider than one subject. Samples that all subjects have count."""
+    rec = recordings(spark, d).withColumn("grp", F.lit(0).cast("long"))
+    r = experiments.intersubject(rec, 2, SETUP, "signal", iterate=True)
+    return r.select("modality", "grp", "fold", "component", *[rounded(c, 4).alias(c) for c in ("isc", "iscov")], "n_views")

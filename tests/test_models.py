@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import kernels
 from cadenza.operators import folds, models, moments
+from cadenza.operators.iterate import gcca_iterate
 from cadenza.plans import experiments, modelling
 from cadenza.sources.adapters import array_signal
 
@@ -243,6 +244,31 @@ def test_experiment_isc_takes_all_subjects(spark, small):
                 assert got[g, fold, c + 1].isc == pytest.approx(isc(views), abs=2e-6)
 
 
+@pytest.mark.parametrize("shrink", [True, False])
+def test_gcca_of_19_subjects_by_iteration(spark, shrink):
+    """All views in one fit, two keys at once, equal to the eigenproblem over all of them."""
+    rng = np.random.default_rng(2)
+    rows, data = [], {}
+    for key in (1, None):
+        latent = rng.standard_normal((600, 3)) * [1.5, 1.0, 0.7]
+        x = np.hstack([latent @ rng.standard_normal((3, 8)) + 2 * rng.standard_normal((600, 8)) + 5 for _ in range(19)])
+        data[key] = x
+        rows += [(key, r.tolist()) for r in x]
+    df = spark.createDataFrame(rows, "k long, z array<double>").repartition(4).persist()
+    got = {(r.k, r.view, r.component): r for r in gcca_iterate(df, ["k"], "z", 8, 3, shrink).collect()}
+    assert len(got) == 2 * 19 * 3
+    for key, x in data.items():
+        dims = [8] * 19
+        cov = shrunk(x, dims) if shrink else np.cov(x, rowvar=False)
+        lam, w = kernels.gcca(cov, dims, 3, len(x))
+        f = len(x) * kernels.block_diagonal(cov, dims) @ w
+        for v in range(19):
+            for c in range(3):
+                r = got[key, v, c + 1]
+                assert r.lam == pytest.approx(lam[c], rel=1e-8)
+                assert r.w == pytest.approx(w[8 * v : 8 * v + 8, c], abs=1e-6) and r.f == pytest.approx(f[8 * v : 8 * v + 8, c], abs=1e-4)
+
+
 def test_fit_without_equals_a_fit_on_the_rest(spark):
     rng = np.random.default_rng(5)
     rows = [(u, f, (10 + rng.standard_normal(3)).tolist()) for u in (1, None) for f in (0, 1, 2, None) for _ in range(12)]
