@@ -21,15 +21,17 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cadenza.llm.common import small_batches, stored
 
 WORDS = regex.compile(r"\p{L}+(?:\p{M}+\p{L}*)*")
 ASCII_WORDS = re.compile(r"[a-z]+")  # the same words, faster
 LONGEST = 5
-CACHE = 20_000  # unseen words whose votes a task remembers
+CACHE = 1 << 20  # votes of unseen words that a task remembers, words times languages
 
 
 def words(text: str | None) -> list[str]:
@@ -43,27 +45,55 @@ def grams(word: str, n: int) -> list[str]:
     return [s[i : i + n] for i in range(len(s) - n + 1)]
 
 
+def digest(term: str, size: int) -> int:
+    """What stands for a term in the model: 64 bits of a word (size 0) or of an n-gram."""
+    return xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass"), size)
+
+
 @dataclass
 class Model:
-    """Log frequencies by language, one row of ``logs`` per term: words, and n-grams by length. Bounded by the fit."""
+    """Log frequencies by language, sparse: term i, by its digest in ``terms``, has entries ``at[i]`` to ``at[i + 1]``.
+
+    An entry is a language and by how much its log frequency is above that of languages that lack the term, which is ``floors[size]``
+    for all of them. So the model's size is that of the sample's counts, however many languages there are.
+    """
 
     langs: list[str]
-    words: dict[str, int]
-    grams: dict[int, dict[str, int]]
-    logs: np.ndarray
+    terms: np.ndarray  # sorted
+    at: np.ndarray
+    lang: np.ndarray
+    above: np.ndarray
+    floors: np.ndarray
     cache: dict[str, np.ndarray | None] = field(default_factory=dict)
 
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.terms, self.at, self.lang, self.above))
+
+    def find(self, digests: list[int]) -> np.ndarray:
+        """Indexes of the terms, -1 for unknown ones."""
+        h = np.array(digests, np.uint64)
+        i = np.minimum(np.searchsorted(self.terms, h), max(0, len(self.terms) - 1))
+        return np.where(self.terms[i] == h, i, -1) if len(self.terms) else np.full(len(h), -1)
+
+    def votes(self, rows: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Per language, what the terms add above the floor."""
+        n = self.at[rows + 1] - self.at[rows]
+        where = np.repeat(self.at[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(self.lang[where], weights=self.above[where] * np.repeat(times, n), minlength=len(self.langs))
+
     def back_off(self, word: str) -> np.ndarray | None:
         """The vote of a word that training did not see."""
         if word in self.cache:
             return self.cache[word]
         found = None
         for n in range(LONGEST, 0, -1):
-            table = self.grams.get(n, {})
-            if hits := [table[g] for g in grams(word, n) if g in table]:
-                found = self.logs[hits].mean(axis=0)
+            rows = self.find([digest(g, n) for g in grams(word, n)])
+            rows = rows[rows >= 0]
+            if len(rows):
+                found = self.floors[n] + self.votes(rows, np.ones(len(rows))) / len(rows)
                 break
-        if len(self.cache) < CACHE:
+        if len(self.cache) * len(self.langs) < CACHE:
             self.cache[word] = found
         return found
 
@@ -72,38 +102,40 @@ class Model:
         found = words(text)
         if not self.langs or not found:
             return "und", 0.0
-        rows, times, total, n = [], [], np.zeros(len(self.langs)), 0
-        for w, c in Counter(found).items():
-            if (row := self.words.get(w)) is not None:
-                rows.append(row)
-                times.append(c)
-            elif (v := self.back_off(w)) is not None:
+        counts = Counter(found)
+        rows, times = self.find([digest(w, 0) for w in counts]), np.array(list(counts.values()), float)
+        known = rows >= 0
+        n = float(times[known].sum())
+        total = self.votes(rows[known], times[known]) + n * self.floors[0]
+        for w, c, seen in zip(counts, times, known, strict=True):
+            if not seen and (v := self.back_off(w)) is not None:
                 total += c * v
                 n += c
-        if rows:
-            total += np.array(times, float) @ self.logs[rows]
-            n += sum(times)
         if not n:
             return self.langs[0], 1 / len(self.langs)
         best = int(total.argmax())
         return self.langs[best], float(1 / np.exp((total - total[best]) / n).sum())
 
 
-def fit(labelled: DataFrame, docs_per_lang: int = 2000) -> Model:
+def fit(labelled: DataFrame, docs_per_lang: int = 2000, docs: int = 100_000) -> Model:
     """Learn from (doc_id, text, lang).
 
-    Counts come from a bounded sample of labelled rows: about ``docs_per_lang`` of each language, by hash of id and text,
-    all of them where there are fewer. That bound is the only one: all words and n-grams of the sample are in the model.
+    Counts come from a bounded sample of labelled rows: about ``docs_per_lang`` of each language and ``docs`` in all, by hash of id and text,
+    all rows where there are fewer. These bounds are the only ones: all words and n-grams of the sample are in the model. The model is
+    built by Spark and comes to the driver as columns of numbers, a row for each term and language that has it.
     """
     spark = labelled.sparkSession
     small_batches(spark)
     rows = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    sizes = stored(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    langs = sorted(r["lang"] for r in sizes.collect())
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = stored(sizes.withColumn("place", F.row_number().over(Window.orderBy("lang")) - 1), "sizes")  # one row a language
+    langs = [r["lang"] for r in sizes.orderBy("place").select("lang").collect()]
     if not langs:
-        return Model([], {}, {}, np.zeros((0, 0), np.float32))
-    chance = F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "text"), F.lit(1_000_000)) * F.col("n") < F.lit(docs_per_lang * 1_000_000)
-    sample = rows.join(F.broadcast(sizes), "lang").where(chance)  # one row a language
+        none = np.zeros(0)
+        return Model([], none.astype(np.uint64), np.zeros(1, np.int64), none.astype(np.int32), none.astype(np.float32), np.zeros(LONGEST + 1))
+    most = min(docs_per_lang, max(1, docs // len(langs)))
+    chance = F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "text"), F.lit(1_000_000)) * F.col("n") < F.lit(most * 1_000_000)
+    sample = rows.join(sizes, "lang").where(chance)
 
     def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -113,37 +145,35 @@ def fit(labelled: DataFrame, docs_per_lang: int = 2000) -> Model:
             if found:
                 yield pd.DataFrame([(lang, w, c) for (lang, w), c in found.items()], columns=["lang", "term", "n"])
 
-    def count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found: Counter = Counter()
             for lang, w, c in zip(b["lang"], b["term"], b["n"], strict=True):
+                found[lang, 0, w] += c
                 for size in range(1, LONGEST + 1):
                     for g in grams(w, size):
                         found[lang, size, g] += c
             if found:
-                yield pd.DataFrame([(*k, c) for k, c in found.items()], columns=["lang", "size", "term", "n"])
+                h = np.array([digest(g, size) for _, size, g in found], np.uint64).view(np.int64)
+                yield pd.DataFrame({"lang": [k[0] for k in found], "size": [k[1] for k in found], "h": h, "n": list(found.values())})
 
     seen = sample.select("text", "lang").mapInPandas(count_words, "lang string, term string, n long").groupBy("lang", "term").agg(F.sum("n").alias("n"))
-    seen = stored(seen, "words")
-    pieces = seen.mapInPandas(count_grams, "lang string, size int, term string, n long").groupBy("lang", "size", "term").agg(F.sum("n").alias("n"))
-    terms = stored(seen.select("lang", F.lit(0).alias("size"), "term", "n").unionByName(pieces), "terms")
-    totals = {(r["lang"], r["size"]): r["n"] for r in terms.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
-    wide = terms.groupBy("size", "term").agg(F.collect_list(F.struct("lang", "n")).alias("n"))  # one entry a language at most
-    wide = stored(wide, "model")
-    place = {x: i for i, x in enumerate(langs)}
-    tables: dict[int, dict[str, int]] = {n: {} for n in range(LONGEST + 1)}
-    logs = np.empty((wide.count(), len(langs)), np.float32)
-    sums = {size: np.array([totals.get((x, size), 0) + 1 for x in langs], float) for size in tables}
-    for i, r in enumerate(wide.toLocalIterator()):
-        tables[r["size"]][r["term"]] = i
-        n, seen_in = sums[r["size"]], np.zeros(len(langs))
-        seen_in[[place[x["lang"]] for x in r["n"]]] = [x["n"] for x in r["n"]]
-        logs[i] = np.log(seen_in / n + 0.1 / n.max())
-    return Model(langs, tables.pop(0), tables, logs)
+    terms = stored(seen.mapInPandas(count_terms, "lang string, size int, h long, n long").groupBy("lang", "size", "h").agg(F.sum("n").alias("n")), "terms")
+    totals = stored(terms.groupBy("lang", "size").agg((F.sum("n") + 1).alias("total")), "totals")  # six rows a language
+    largest = {r["size"]: r["total"] for r in totals.groupBy("size").agg(F.max("total").alias("total")).collect()}
+    floors = np.array([np.log(0.1 / largest.get(size, 1)) for size in range(LONGEST + 1)])
+    floor = F.get(F.array(*[F.lit(float(x)) for x in floors]), F.col("size"))
+    above = F.log(F.col("n") / F.col("total") + F.exp(floor)) - floor
+    table = terms.join(totals, ["lang", "size"]).join(sizes.select("lang", "place"), "lang").select("h", F.col("place").cast("int").alias("place"), above.cast("float").alias("above")).toArrow()
+    h, lang, above = (table[c].to_numpy() for c in ("h", "place", "above"))
+    order = np.lexsort((lang, h.view(np.uint64)))
+    h = h.view(np.uint64)[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    return Model(langs, h[first], np.append(first, len(h)), lang[order], above[order], floors)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (0 to 1) of each text; one pass, no shuffle."""
+    """``docs`` with ``lang_pred`` and ``score`` (0 to 1) of each text; one pass, no shuffle. Tasks hold the model, whose size ``fit`` bounds."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
