@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.functions.expr import dot, rounded, safe_corr
-from cadenza.operators import clean, halo, lag, masks, signif
+from cadenza.operators import clean, filters, halo, lag, masks, signif
 from cadenza.plans.registry import ORACLES, RES, query, rd
 from cadenza.plans.windows import K, T
 from cadenza.sources.adapters import array_signal, results, signal, table
@@ -83,3 +83,17 @@ def ranks_of_all(spark: SparkSession, d: str) -> DataFrame:
     t = results(spark, d).groupBy("modality", "subject").agg(F.avg(F.col("value") % 1).alias("p"))
     adj = signif.benjamini_hochberg(t, [], "p", ["modality", "subject"]).withColumn("p2", F.round("p", 2))
     return signif.mid_ranks(adj, [], "p2").select("modality", "subject", rounded("adjusted").alias("adjusted"), F.col("rank").cast("double").alias("rank"))
+
+
+@query()
+def bandpass_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """All events as one recording, band-passed in pieces of 2,000 samples."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("t"), F.col("value").alias("x"))
+    return filters.band_pass(e, [], "t", ["x"], 30.0, 1.0, 9.0, rows=2000).select("t", rounded("x", 5).alias("x"))
+
+
+@query()
+def envelope_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Envelope of the band from 5 to 10 Hz, low-passed and kept at a third of the rate, normalised by segments."""
+    out = filters.envelope(signal(spark, d), K, "t", ["x"], 30.0, 5.0, 10.0, every=3, rows=40)
+    return clean.normalize_segments(out, K, "t", ["x"], 10).select("u", "t", rounded("x", 5).alias("x"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.functions import kernels
-from cadenza.operators import clean, halo, lag, masks, signif
+from cadenza.operators import clean, filters, halo, lag, masks, signif
 
 
 @pytest.fixture(scope="module")
@@ -96,3 +96,19 @@ def test_ranks_of_a_whole_table_do_not_meet_in_one_task(spark):
     p = np.sort(v / 501)
     want = np.minimum(1, np.minimum.accumulate((p * len(p) / np.arange(1, len(p) + 1))[::-1])[::-1])
     assert [r.adjusted for r in adj.orderBy("p", "i").collect()] == pytest.approx(list(want))
+
+
+@pytest.mark.parametrize("low,high,analytic", [(1.0, 9.0, False), (None, 6.0, False), (5.0, 10.0, True)])
+def test_filters_in_pieces_equal_those_of_the_whole_series(spark, low, high, analytic):
+    h = filters.weights(30.0, low, high, analytic=analytic)
+    x = np.cumsum(np.random.default_rng(1).standard_normal((4000, 2)), axis=0)
+    df = spark.createDataFrame([(u, 3 * t + 1, *map(float, r)) for u, part in ((1, x[:2900]), (None, x[2900:])) for t, r in enumerate(part)], "u long, t long, a double, b double").repartition(3)
+    whole = {(r.u, r.t): (r.a, r.b) for r in filters.filtered(df, ["u"], "t", ["a", "b"], h, rows=10_000).collect()}
+    assert len(whole) == 4000
+    for size in (300, 1000):
+        got = {(r.u, r.t): (r.a, r.b) for r in filters.filtered(df, ["u"], "t", ["a", "b"], h, rows=size).collect()}
+        assert set(got) == set(whole) and max(abs(got[k][i] - whole[k][i]) for k in whole for i in (0, 1)) < 1e-9
+    kernel = kernels.envelope(kernels.band_pass(x[:2900], 30.0, low, high)) if analytic else kernels.band_pass(x[:2900], 30.0, low, high)
+    mid = slice(len(h) // 2 + 40, 2900 - len(h) // 2 - 40)  # ends are continued otherwise
+    got = np.array([whole[1, 3 * t + 1] for t in range(2900)])
+    assert len(h) < 2000 and np.abs(got[mid] - kernel[mid]).max() < 1e-2 * np.abs(kernel[mid]).max()
