@@ -37,6 +37,14 @@ def nested_validation(df: DataFrame, keys: list[str], t: str, folds: int) -> Dat
     return with_length(df, keys, "_len").withColumn("part", F.when(F.col(t) < F.floor(F.col("_len") / folds), "val").otherwise("train")).drop("_len")
 
 
+def check_recordings(videos: DataFrame, keys: list[str], size: int) -> None:
+    """Raises unless each of ``keys`` has a multiple of ``size`` recordings, so that all folds are of one size; a row a key is looked at."""
+    n = videos.select(*keys, "vid").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    odd = n.where(F.col("n") % size != 0).orderBy(*keys).first()
+    if odd:
+        check_divisible(odd["n"], size)
+
+
 def check_divisible(n: int, size: int) -> None:
     if n % size:
         raise ValueError(f"{n} recordings do not divide into folds of {size}")

@@ -132,6 +132,16 @@ def intersubject(df: DataFrame, by: list[str], t: str, subject: str, col: str) -
     return at.groupBy(*by).agg(F.try_divide(F.sum("_z"), pairs).alias("isc"), F.try_divide(F.sum("_c"), pairs).alias("iscov"), F.max("_n").alias("n_views"))
 
 
+def intersubject_trials(df: DataFrame, by: list[str], t: str, subject: str, col: str, length: int) -> DataFrame:
+    """(by, trial, isc, iscov, n_views): ``intersubject`` within trials of ``length`` samples of ``t``; incomplete trials are dropped.
+
+    ``t`` numbers the common samples of ``by`` from 0, the same for all subjects.
+    """
+    last = df.groupBy(*by).agg((F.max(t) + 1).alias("_len"))
+    cut = df.join(last, by).withColumn("trial", F.floor(F.col(t) / length)).where(F.col("trial") < F.floor(F.col("_len") / length))
+    return intersubject(cut.drop("_len"), [*by, "trial"], t, subject, col)
+
+
 def per_series(df: DataFrame, keys: list[str], t: str, cols: list[str], apply: Callable[[np.ndarray, int], np.ndarray], seed: int = 0) -> DataFrame:
     """Apply a kernel (samples x channels, seed) to each whole series of ``keys``; it may change the number of samples.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.functions.expr import binomial_critical, binomial_tail, rounded, safe_corr, top_sum
+from cadenza.functions.expr import binomial_critical, binomial_tail, correlation_p, rounded, safe_corr, top_sum
 from cadenza.operators import clean, decide, lag, models, moments, report, segment, signif
 from cadenza.plans.registry import EMB, NUM, RES, SIG, query, rd
 from cadenza.sources.adapters import array_signal, numbers, results, signal, table
@@ -212,6 +212,23 @@ def isc_pairwise(spark: SparkSession, d: str) -> DataFrame:
     return isc.select("vid", rounded("isc").alias("isc"), F.floor(F.col("n_views") * (F.col("n_views") - 1) / 2).alias("n_pairs"))
 
 
+@query(f"""WITH {SIG}, whole AS (SELECT *, t % 10 AS at FROM sig WHERE vid < n // 10),
+pairs AS (SELECT a.vid, a.at // 5 AS trial, a.u AS i, b.u AS j, corr(a.x, b.x) AS r FROM whole a JOIN whole b ON a.vid = b.vid AND a.t = b.t AND a.u < b.u GROUP BY ALL)
+SELECT vid, trial, {rd('avg(r)')} AS isc, count(*) AS n_pairs FROM pairs GROUP BY vid, trial""")
+def isc_trials(spark: SparkSession, d: str) -> DataFrame:
+    """Inter-subject correlation of each trial of five samples of a recording."""
+    whole = whole_videos(spark, d).withColumn("at", F.col("t") % 10)
+    isc = models.intersubject_trials(whole, ["vid"], "at", "u", "x", 5).where("n_views > 1")
+    return isc.select("vid", "trial", rounded("isc").alias("isc"), F.floor(F.col("n_views") * (F.col("n_views") - 1) / 2).alias("n_pairs"))
+
+
+@query()
+def correlation_pvalue(spark: SparkSession, d: str) -> DataFrame:
+    """Each subject's correlation of the signal with a feature and its two-sided p-value."""
+    r = signal(spark, d).groupBy("u").agg(safe_corr("x", "y").alias("r"), F.count(F.lit(1)).alias("n"))
+    return r.select("u", "n", rounded("r").alias("r"), rounded(correlation_p(F.col("r"), F.col("n"))).alias("p"))
+
+
 @query(f"WITH {WHOLE} SELECT vid, {rd('avg(c)', 4)} AS iscov FROM pairs GROUP BY vid")
 def iscov_pairwise(spark: SparkSession, d: str) -> DataFrame:
     return models.intersubject(whole_videos(spark, d), ["vid"], "t", "u", "x").where("n_views > 1").select("vid", rounded("iscov", 4).alias("iscov"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import os
 import uuid
 from collections.abc import Iterator
 
@@ -37,32 +38,89 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def save_upsert(new: DataFrame, path: str, keys: list[str], overwrite: bool = True) -> DataFrame:
-    """Upsert into the Parquet table at ``path``, as version folders: a new version is complete before readers see it.
+def commit(spark: SparkSession, path: str, version: int, folder: str) -> bool:
+    """Make ``folder`` the table's ``version``, unless another writer was first: a marker is created whole or not at all.
 
-    The newest folder with a success mark counts; earlier ones stay, so running readers are not disturbed.
+    The marker, which names the folder, is written aside and moved to its place; stores refuse that where the place is taken. On a
+    local disk, where a move would replace it, a hard link does the same.
     """
-    spark = new.sparkSession
-    last = latest(spark, path)
-    merged = upsert(spark.read.parquet(f"{path}/v={last}"), new, keys, overwrite) if last is not None else new
-    to = f"{path}/v={0 if last is None else last + 1}"
-    merged.write.parquet(to)
-    return spark.read.parquet(to)
+    aside, place = (f"{path}/_commits/{x}" for x in (f".{uuid.uuid4().hex}", version))
+    to_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = to_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(to_path(aside), False)
+    out.write(bytearray(folder.encode()))
+    out.close()
+    if fs.getUri().getScheme() == "file":
+        local = lambda p: to_path(p).toUri().getPath()
+        try:
+            os.link(local(aside), local(place))
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            fs.delete(to_path(aside), False)
+    try:
+        done = bool(fs.rename(to_path(aside), to_path(place)))
+    except Exception as e:  # some stores raise where others return false
+        if "exists" not in str(e).lower():
+            raise
+        done = False
+    if not done:
+        fs.delete(to_path(aside), False)
+    return done
+
+
+def committed(spark: SparkSession, path: str) -> tuple[int, str] | None:
+    """(version, folder) of the newest version, if there is any."""
+    if not exists(spark, f"{path}/_commits"):
+        return None
+    to_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = to_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(to_path(f"{path}/_commits"))]
+    last = max((int(n) for n in names if n.isdigit()), default=None)
+    if last is None:
+        return None
+    source = fs.open(to_path(f"{path}/_commits/{last}"))
+    try:
+        return last, spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    finally:
+        source.close()
 
 
-def latest(spark: SparkSession, path: str) -> int | None:
-    if not exists(spark, path):
-        return None
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(p)]
-    done = [int(n[2:]) for n in names if n.startswith("v=") and exists(spark, f"{path}/{n}/_SUCCESS")]
-    return max(done, default=None)
+def save_upsert(new: DataFrame, path: str, keys: list[str], overwrite: bool = True, tries: int = 50) -> DataFrame:
+    """Upsert into the Parquet table at ``path``: each version is a folder of its own, which counts once it is committed.
+
+    Writers do not wait for each other: one whose version number is taken by then merges again, into what the other wrote. Readers see
+    complete versions only, and older ones stay for those that read them.
+    """
+    spark = new.sparkSession
+    for _ in range(tries):
+        last = committed(spark, path)
+        merged = upsert(spark.read.parquet(f"{path}/{last[1]}"), new, keys, overwrite) if last else new
+        version = last[0] + 1 if last else 0
+        folder = f"v={version}-{uuid.uuid4().hex}"
+        merged.write.parquet(f"{path}/{folder}")
+        if commit(spark, path, version, folder):
+            return spark.read.parquet(f"{path}/{folder}")
+    raise RuntimeError(f"{path}: other writers were first {tries} times")
+
+
+def save_if_absent(new: DataFrame, path: str) -> DataFrame:
+    """The table at ``path``, written from ``new`` only if it has no version yet; of several writers one is first, and all get its table."""
+    spark = new.sparkSession
+    if committed(spark, path) is None:
+        folder = f"v=0-{uuid.uuid4().hex}"
+        new.write.parquet(f"{path}/{folder}")
+        commit(spark, path, 0, folder)
+    return load(spark, path)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of a table that ``save_upsert`` keeps."""
-    return spark.read.parquet(f"{path}/v={latest(spark, path)}")
+    """The newest version of a table that ``save_upsert`` or ``save_if_absent`` keeps."""
+    found = committed(spark, path)
+    if found is None:
+        raise FileNotFoundError(f"{path} has no committed version")
+    return spark.read.parquet(f"{path}/{found[1]}")
 
 
 def append_new(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:

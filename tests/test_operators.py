@@ -1,8 +1,11 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.functions.expr import binomial_critical, binomial_tail, safe_corr
+from cadenza.functions import kernels
+from cadenza.functions.expr import binomial_critical, binomial_tail, correlation_p, safe_corr
 from cadenza.operators import clean, decide, folds, lag, masks, models, moments, segment, signif
 from cadenza.sources import tables
 
@@ -164,6 +167,37 @@ def test_upsert_and_versions(spark, tmp_path):
     assert rows(tables.save_upsert(new, path, ["k"])) == rows(tables.load(spark, path)) == [(1, "a"), (2, "c"), (3, "d")]
 
 
+def test_two_writers_lose_nothing(spark, tmp_path):
+    """Writers at the same time: each retries on what the others committed, so every key is there in the end."""
+    path = f"file://{tmp_path}/t"
+    one = lambda i: tables.save_upsert(spark.createDataFrame([(i, f"w{i}"), (100, f"w{i}")], "k long, v string"), path, ["k"])
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(one, range(4)))
+    got = {r.k: r.v for r in tables.load(spark, path).collect()}
+    assert set(got) == {0, 1, 2, 3, 100} and tables.committed(spark, path)[0] == 3
+    assert not tables.commit(spark, path, 3, "late") and tables.load(spark, path).count() == 5
+    with pytest.raises(FileNotFoundError):
+        tables.load(spark, f"{tmp_path}/none")
+    a, b = (tables.save_if_absent(spark.range(n), str(tmp_path / "once")).count() for n in (2, 5))
+    assert a == b == 2
+
+
+def test_folds_that_do_not_divide_are_noticed(spark):
+    videos = spark.createDataFrame([(u, v) for u, n in ((1, 4), (2, 3)) for v in range(n)], "u long, vid long")
+    folds.check_recordings(videos.where("u = 1"), ["u"], 2)
+    with pytest.raises(ValueError):
+        folds.check_recordings(videos, ["u"], 2)
+
+
+def test_correlation_p_equals_quadrature(spark):
+    cases = [(r, n) for n in (3, 4, 5, 10, 30, 200, 5000) for r in (0.0, 0.01, 0.05, -0.3, 0.6, -0.95, 0.9999)]
+    df = spark.createDataFrame([(float(r), n) for r, n in cases], "r double, n long").withColumn("p", correlation_p(F.col("r"), F.col("n")))
+    for row in df.collect():
+        assert row.p == pytest.approx(kernels.pearson_p(row.r, row.n), abs=1e-9)
+    edge = spark.createDataFrame([(1.0, 9), (float("nan"), 9), (0.5, 2)], "r double, n long").select(correlation_p(F.col("r"), F.col("n")).alias("p")).collect()
+    assert edge[0].p == 0 and all(np.isnan(e.p) for e in edge[1:])
+
+
 def test_readers(spark, tmp_path):
     np.save(tmp_path / "g.npy", np.array([[1.0, np.nan], [3.0, 4.0]]))
     for name in ("a_b_b.set", "c.set", "other.txt"):
