@@ -9,7 +9,9 @@ from cadenza.functions.expr import dot, rounded, safe_corr
 from cadenza.operators import clean, filters, halo, lag, masks, signif
 from cadenza.plans.registry import ORACLES, RES, query, rd
 from cadenza.plans.windows import K, T
+from cadenza.sources import npy
 from cadenza.sources.adapters import array_signal, results, signal, table
+from cadenza.sources.tables import shared_folder
 
 ROWS = 8  # a subject has some dozens of samples: about eight pieces
 
@@ -97,3 +99,13 @@ def envelope_chain(spark: SparkSession, d: str) -> DataFrame:
     """Envelope of the band from 5 to 10 Hz, low-passed and kept at a third of the rate, normalised by segments."""
     out = filters.envelope(signal(spark, d), K, "t", ["x"], 30.0, 5.0, 10.0, every=3, rows=40)
     return clean.normalize_segments(out, K, "t", ["x"], 10).select("u", "t", rounded("x", 5).alias("x"))
+
+
+@query(ORACLES["gap_fill_linear"])
+def npy_gap_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Each subject's series with gaps written as a .npy file, read by ranges of 16 samples, gaps filled in pieces."""
+    folder = shared_folder(spark, "npy")
+    s = clean.blank(signal(spark, d), (F.col("y") > 60) | (F.col("t") < 2), "x")
+    npy.write_npy(s, "u", "t", ["x"], folder).count()
+    back = npy.filled(npy.read_npy(spark, folder, 16), 16)
+    return back.select(F.regexp_extract("path", r"(\d+)\.npy$", 1).cast("long").alias("u"), "t", rounded(F.get("ch", 0)).alias("x"))

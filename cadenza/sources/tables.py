@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import io
 import os
+import tempfile
 import uuid
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +29,16 @@ def settled(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder's name below ``spark.checkpoint.dir``; a local session without one gets a temporary folder, a cluster an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='cadenza-')}"
+    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, in whatever store Spark reaches."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -147,26 +154,6 @@ def parse_recording(name: Column) -> dict[str, Column]:
     return {"n_objects": F.when(F.size(parts) == 3, 2).when(F.size(parts) == 1, 1).cast("long"), "att": att, "unatt": F.get(F.array_except(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(att)), 0)}
 
 
-def read_npy(spark: SparkSession, pattern: str) -> DataFrame:
-    """(path, t, ch) of .npy files with numeric arrays (samples x channels); missing values are null inside ``ch``.
-
-    Pickled object arrays are refused: they can run code when read.
-    """
-    files = spark.read.format("binaryFile").load(pattern).select("path", "content")
-
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for path, content in zip(b["path"], b["content"], strict=True):
-                x = np.load(io.BytesIO(content), allow_pickle=False).astype(float)
-                x = x.reshape(len(x), -1)
-                for lo in range(0, len(x), 50_000):
-                    part = x[lo : lo + 50_000]
-                    rows = [[None if np.isnan(v) else float(v) for v in r] for r in part]
-                    yield pd.DataFrame({"path": path, "t": np.arange(lo, lo + len(part)), "ch": rows})
-
-    return files.mapInPandas(task, "path string, t long, ch array<double>")
-
-
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True)
 

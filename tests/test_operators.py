@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cadenza.functions import kernels
 from cadenza.functions.expr import binomial_critical, binomial_tail, correlation_p, safe_corr
 from cadenza.operators import clean, decide, folds, lag, masks, models, moments, segment, signif
-from cadenza.sources import tables
+from cadenza.sources import npy, tables
 
 
 def series(spark, values, u=0):
@@ -199,13 +199,31 @@ def test_correlation_p_equals_quadrature(spark):
 
 
 def test_readers(spark, tmp_path):
-    np.save(tmp_path / "g.npy", np.array([[1.0, np.nan], [3.0, 4.0]]))
+    np.save(tmp_path / "g.npy", np.array([[1.0, np.nan], [3.0, 4.0], [5.0, 6.0]]))
     for name in ("a_b_b.set", "c.set", "other.txt"):
         (tmp_path / name).write_bytes(b"x")
-    assert [r.ch for r in tables.read_npy(spark, f"{tmp_path}/*.npy").orderBy("t").collect()] == [[1.0, None], [3.0, 4.0]]
+    got = npy.read_npy(spark, f"file://{tmp_path}/*.npy", rows=2)
+    assert [r.ch for r in got.orderBy("t").collect()] == [[1.0, None], [3.0, 4.0], [5.0, 6.0]] and got.rdd.getNumPartitions() == 2
+    assert [r.ch for r in npy.filled(got, 2).orderBy("t").collect()] == [[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]]
     assert [(r.name, r.n_objects, r.att, r.unatt) for r in tables.list_recordings(spark, f"{tmp_path}/*").collect()] == [("a_b_b.set", 2, "b", "a"), ("c.set", 1, "c", None)]
 
 
+def test_features_of_recordings(spark, tmp_path):
+    data = {r: np.arange(n * 6, dtype=np.float32).reshape(n, 3, 2) + i for i, (r, n) in enumerate({"a": 25_000, "b": 7, "c": 3}.items())}
+    for r, x in data.items():
+        x[2, 1, 0] = np.nan
+        np.save(tmp_path / f"{r}_reweight.npy", x)
+    got = {}
+    for row in npy.read_features(spark, str(tmp_path), ["a", "b"], 5, offset=4, rows=9000).orderBy("t").collect():
+        got.setdefault(row.recording, []).append(row.ch)
+    assert set(got) == {"a", "b"} and np.array(got["a"]) == pytest.approx(data["a"][4:9].reshape(5, 6)) and len(got["b"]) == 5
+    line = npy.concatenated(npy.read_npy(spark, str(tmp_path), 9000)).orderBy("at").select("at", "t", "path").collect()
+    assert [r.at for r in line] == list(range(25_010)) and line[25_000].path.endswith("b_reweight.npy")
+    np.save(tmp_path / "o.npy", np.array([None, 1.0], object))
+    with pytest.raises(Exception, match="only arrays of numbers"):
+        npy.read_npy(spark, str(tmp_path / "o.npy")).count()
+
+
 def test_dataset_modes(spark, tmp_path):
     path = str(tmp_path / "d")
     make = lambda n: lambda: spark.range(n).withColumnRenamed("id", "u")
