@@ -172,8 +172,8 @@ def fit(labelled: DataFrame, docs_per_lang: int = 2000, docs: int = 100_000) ->
     return Model(langs, h[first], np.append(first, len(h)), lang[order], above[order], floors)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (0 to 1) of each text; one pass, no shuffle. Tasks hold the model, whose size ``fit`` bounds."""
+def identify(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with ``lang`` and ``score`` (0 to 1) of each text; one pass, no shuffle. Tasks hold the model, whose size ``fit`` bounds."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -182,4 +182,4 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang", "score"])
 
     tagged = docs.withColumn("_cz_p", predict(F.col("text")))
-    return tagged.select(*[tagged[c] for c in docs.columns], F.col("_cz_p.lang").alias("lang_pred"), F.col("_cz_p.score").alias("score"))
+    return tagged.select(*[tagged[c] for c in docs.columns], F.col("_cz_p.lang").alias(lang), F.col("_cz_p.score").alias(score))
