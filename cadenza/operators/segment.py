@@ -103,6 +103,14 @@ def random_subset(items: DataFrame, keys: list[str], item: str, n: int, seed: in
     return drawn.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n).drop("_h", "_k")
 
 
+def permute_rows(df: DataFrame, keys: list[str], t: str, cols: list[str], seed: int = 0) -> DataFrame:
+    """``df`` with the values of ``cols`` dealt anew over the samples of each of ``keys``, in a seeded random order, rows together."""
+    w = Window.partitionBy(*keys)
+    places = df.withColumn("_k", F.row_number().over(w.orderBy(t)))
+    drawn = df.withColumn("_k", F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), *keys, t), t))).select(*keys, "_k", *cols)
+    return places.drop(*cols).join(drawn, [*keys, "_k"]).select(*df.columns)
+
+
 def random_rotation(df: DataFrame, keys: list[str], t: str, least: int, seed: int = 0, out: str = "pos") -> DataFrame:
     """Circular shift of each sequence by a seeded amount of at least ``least`` samples either way, where it is long enough."""
     df = with_length(df, keys, "_n")

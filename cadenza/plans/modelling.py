@@ -144,6 +144,25 @@ def multimod_gcca(spark: SparkSession, d: str) -> DataFrame:
     return split.select("grp", "modality", "view", "component", rounded("lam").alias("lam"), rounded(F.aggregate("w", F.lit(0.0), lambda a, x: a + x * x), 4).alias("energy"))
 
 
+@query()
+def multimod_gcca_cv(spark: SparkSession, d: str) -> DataFrame:
+    """Two subjects by two modalities on held-out folds: correlation between subjects of a modality, and between modalities of a subject.
+
+    ``kind`` is isc (``of`` a modality, between subjects) or imc (``of`` a subject, between its modalities).
+    """
+    h = folded(spark, d, 3)
+    dims = [12, 12, 4, 4]
+    w = models.gcca_fit(h, G, "eeg", dims, 2, without="fold").select("grp", "fold", "view", "component", "w")
+    starts = [sum(dims[:v]) for v in range(4)]
+    views = F.array(*[F.struct(F.lit(v).cast("long").alias("view"), F.slice("eeg", starts[v] + 1, dims[v]).alias("ch")) for v in range(4)])
+    p = models.project(h.where("fold is not null").select("grp", "fold", "seq", F.inline(views)), w, ["grp", "fold", "view"], {"s": ("ch", "w")})
+    p = p.withColumns({"subject": F.concat(F.lit("s"), F.col("view") % 2), "modality": F.when(F.col("view") < 2, "eeg").otherwise("eog")})
+    keys = ["grp", "fold", "component"]
+    isc = models.intersubject(p, [*keys, "modality"], "seq", "subject", "s").select(*keys, F.lit("isc").alias("kind"), F.col("modality").alias("of"), "isc")
+    imc = models.intersubject(p, [*keys, "subject"], "seq", "modality", "s").select(*keys, F.lit("imc").alias("kind"), F.col("subject").alias("of"), "isc")
+    return isc.unionByName(imc).select(*keys, "kind", "of", rounded("isc").alias("r"))
+
+
 def folded(spark: SparkSession, d: str, n: int = 2) -> DataFrame:
     """The recordings of ``halves``, numbered, in ``n`` contiguous folds; the remainder has none and only trains."""
     return folds.contiguous(lag.sequence_number(halves(spark, d), G, ["vec"]), G, "seq", n)
@@ -391,6 +410,14 @@ def experiment_saccade(spark: SparkSession, d: str) -> DataFrame:
     return acc.select("u", "task", "trial_len", "n", "n_correct", rounded("acc").alias("acc"), rounded("loss").alias("loss"))
 
 
+@query()
+def experiment_saccade_control(spark: SparkSession, d: str) -> DataFrame:
+    """The same with each recording's event samples in a random order."""
+    rec = recordings(spark, d)
+    acc = experiments.saccade_study(rec.where("u % 2 = 0"), rec.where("u % 2 = 1"), SETUP, [5], shuffled=True, seed=7)
+    return acc.select("u", "task", "trial_len", "n", "n_correct", rounded("acc").alias("acc"), rounded("loss").alias("loss"))
+
+
 @query()
 def experiment_isc(spark: SparkSession, d: str) -> DataFrame:
     """All subjects, in groups of four: a group's width is what a kernel takes, whatever the number of subjects."""

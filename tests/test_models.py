@@ -60,6 +60,25 @@ def test_gcca_isc(spark, small):
             assert got[g, c + 1].isc == pytest.approx(isc(views), abs=2e-6)
 
 
+def test_multimod_gcca_on_held_out_folds(spark, small):
+    got = {(r.grp, r.fold, r.component, r.kind, r.of): r.r for r in modelling.multimod_gcca_cv(spark, small).collect()}
+    dims, at, n = [12, 12, 4, 4], [0, 12, 24, 28, 32], 0
+    for g, x in recording(spark, small).items():
+        x = x[:, :32]
+        size = len(x) // 3
+        for fold in (1, 2, 3):
+            test = np.zeros(len(x), bool)
+            test[(fold - 1) * size : fold * size] = True
+            _, w = kernels.gcca(shrunk(x[~test], dims), dims, 2, (~test).sum())
+            for c in range(2):
+                s = [x[test][:, at[v] : at[v + 1]] @ w[at[v] : at[v + 1], c] for v in range(4)]
+                r = np.corrcoef(np.column_stack(s), rowvar=False)
+                for (kind, of), (i, j) in {("isc", "eeg"): (0, 1), ("isc", "eog"): (2, 3), ("imc", "s0"): (0, 2), ("imc", "s1"): (1, 3)}.items():
+                    assert got[g, fold, c + 1, kind, of] == pytest.approx(r[i, j], abs=2e-6)
+                    n += 1
+    assert n == len(got)
+
+
 def test_si_gcca_solves_its_eigenproblem(spark, small):
     got = by_label(modelling.si_gcca(spark, small), "view", "component")
     for g, x in recording(spark, small).items():

@@ -239,6 +239,14 @@ def test_empty_tables(spark):
     assert signif.pooled_level(empty, ["u"], "x", 0.05).count() == 0
 
 
+def test_permuted_rows(spark):
+    df = series(spark, range(30)).unionByName(series(spark, range(100, 105), u=2))
+    got = {(r.u, r.t): r.x for r in segment.permute_rows(df, ["u"], "t", ["x"], seed=4).collect()}
+    assert sorted(v for (u, _), v in got.items() if u == 0) == list(range(30)) and [got[0, t] for t in range(30)] != list(range(30))
+    assert sorted(v for (u, _), v in got.items() if u == 2) == list(range(100, 105))
+    assert got == {(r.u, r.t): r.x for r in segment.permute_rows(df.repartition(3), ["u"], "t", ["x"], seed=4).collect()}
+
+
 def test_seeded_draws(spark):
     df = series(spark, range(40))
     a, b = (sorted(r.t for r in segment.random_subset(df, ["u"], "t", 4, seed=s).collect()) for s in (1, 1))
