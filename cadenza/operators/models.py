@@ -66,6 +66,37 @@ def gcca_sweep(df: DataFrame, keys: list[str], z: str, dims: list[int], componen
     return fit_by(df, keys, z, dims, kernel, f"rho double, {GCCA_SCHEMA}", without)
 
 
+def isc_of(m: Moments, w: np.ndarray) -> float:
+    """Mean correlation over all pairs of views on the samples that the moments sum up, for one component's filters."""
+    edges = np.cumsum([0, *m.dims])
+    p = np.zeros((len(w), len(m.dims)))
+    for v, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        p[i:j, v] = w[i:j]
+    c = p.T @ m.cov @ p
+    s = np.sqrt(np.diag(c))
+    if len(c) < 2 or (s <= 0).any():
+        return float("nan")
+    return float((c / np.outer(s, s))[np.triu_indices(len(c), 1)].mean())
+
+
+def gcca_sweep_scored(df: DataFrame, keys: list[str], z: str, dims: list[int], components: int, rhos: list[float], shrink: bool = True, without: str | None = None) -> DataFrame:
+    """(keys, rho, component, isc_train, ws): as ``gcca_sweep``, the filters of all views in one array, with their ISC in training.
+
+    That follows from the moments too, so training samples are not projected.
+    """
+
+    def kernel(m: Moments) -> list[tuple]:
+        out = []
+        for r in rhos:
+            rows = gcca_rows(m, components, shrink, r)
+            for c in sorted({x[1] for x in rows}):
+                w = np.concatenate([x[3] for x in rows if x[1] == c])
+                out.append((r, c, isc_of(m, w), w))
+        return out
+
+    return fit_by(df, keys, z, dims, kernel, "rho double, component long, isc_train double, ws array<double>", without)
+
+
 def discriminative_fit(df: DataFrame, keys: list[str], signal: str, compete: str, target: str, d: int, dy: int, components: int, without: str | None = None) -> DataFrame:
     """(keys, component, lam, ws, wy): filters that favour the signal over its competitor against one target."""
     diff = F.zip_with(F.col(signal), F.col(compete), lambda a, b: a - b)

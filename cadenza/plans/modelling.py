@@ -205,16 +205,42 @@ def si_gcca(spark: SparkSession, d: str) -> DataFrame:
 SWEEP = [10.0**i for i in range(-4, 5)]
 
 
-@query()
-def si_gcca_cv(spark: SparkSession, d: str) -> DataFrame:
-    """Per label: the stimulus weight whose filters, fitted on nine tenths, correlate best on the first tenth; the larger on ties."""
-    h = folds.nested_validation(lag.sequence_number(halves(spark, d), G, ["vec"]), G, "seq", 10)
+def stimulus_weight(h: DataFrame) -> DataFrame:
+    """(grp, rho, isc): the stimulus weight whose filters, fitted on part train, correlate best on part val; the larger on ties."""
     w = models.gcca_sweep(h.where("part = 'train'"), G, "both", [16, 16, 2], 1, SWEEP).select("grp", "rho", "view", "w")
     views = as_views("", F.slice("eeg", 1, 16), F.slice("eeg", 17, 16), F.col("stim"))
     p = models.project(h.where("part = 'val'").select("grp", "seq", F.inline(views)), w, ["grp", "view"], {"p": ("ch", "w")})
-    isc = models.intersubject(p, ["grp", "rho"], "seq", "view", "p")
-    best = report.best_of_grid(isc, G, "rho", "isc", last_wins=True)
-    return best.select("grp", "rho", rounded("isc").alias("isc"))
+    return report.best_of_grid(models.intersubject(p, ["grp", "rho"], "seq", "view", "p"), G, "rho", "isc", last_wins=True)
+
+
+def validated(spark: SparkSession, d: str) -> DataFrame:
+    return folds.nested_validation(lag.sequence_number(halves(spark, d), G, ["vec"]), G, "seq", 10)
+
+
+@query()
+def si_gcca_cv(spark: SparkSession, d: str) -> DataFrame:
+    """Per label the stimulus weight that does best on the first tenth, fitted on the rest."""
+    return stimulus_weight(validated(spark, d)).select("grp", "rho", rounded("isc").alias("isc"))
+
+
+@query()
+def si_gcca_cross_val(spark: SparkSession, d: str) -> DataFrame:
+    """Stimulus-informed GCCA over three folds of what validation leaves, with the weight that validation chose.
+
+    ISC over all views in training, from moments, and in test; the level is that of all views phase-scrambled, pooled over folds and components.
+    """
+    h = validated(spark, d)
+    best = stimulus_weight(h).select("grp", "rho")
+    rest = folds.contiguous(lag.sequence_number(h.where("part = 'train'"), G, ["seq"], "n"), G, "n", 3)
+    w = models.gcca_sweep_scored(rest, G, "both", [16, 16, 2], 2, SWEEP, without="fold").join(best, ["grp", "rho"])
+    part = lambda at, n: F.aggregate(F.zip_with(F.slice("both", at, n), F.slice("ws", at, n), lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    keys = ["grp", "fold", "component"]
+    p = rest.where("fold is not null").join(w, ["grp", "fold"]).select(*keys, "n", F.array(part(1, 16), part(17, 16), part(33, 2)).alias("ps"))
+    long = p.select(*keys, "n", F.posexplode("ps").alias("view", "p"))
+    test = models.intersubject(long, keys, "n", "view", "p").select(*keys, F.col("isc").alias("isc_test"))
+    null = models.permuted(p, keys, "n", ["ps"], kernels.mean_correlation, 20, seed=6)
+    out = w.select(*keys, "rho", "isc_train").join(test, keys).join(signif.pooled_level(null, G, "r", 0.05), "grp")
+    return out.select(*keys, "rho", *[rounded(c).alias(c) for c in ("isc_train", "isc_test", "level")])
 
 
 @query()

@@ -125,6 +125,27 @@ def test_si_gcca_cv_takes_the_weight_that_validates_best(spark, small):
         assert score[got[(g,)].rho] == pytest.approx(max(score.values()), abs=2e-6)
 
 
+def test_si_gcca_over_folds(spark, small):
+    got = {(r.grp, r.fold, r.component): r for r in modelling.si_gcca_cross_val(spark, small).collect()}
+    chosen = by_label(modelling.si_gcca_cv(spark, small))
+    dims, seen = [16, 16, 2], 0
+    for g, x in recording(spark, small).items():
+        rest = x[len(x) // 10 :, :34]
+        size = len(rest) // 3
+        for fold in (1, 2, 3):
+            test = np.zeros(len(rest), bool)
+            test[(fold - 1) * size : fold * size] = True
+            rho = chosen[(g,)].rho
+            _, w = kernels.stimulus_gcca(shrunk(rest[~test], dims), dims, rho, 2, (~test).sum())
+            for c in range(2):
+                r = got[g, fold, c + 1]
+                views = lambda rows: [rows[:, :16] @ w[:16, c], rows[:, 16:32] @ w[16:32, c], rows[:, 32:] @ w[32:, c]]  # noqa: B023, E731
+                assert r.rho == rho and r.isc_test == pytest.approx(isc(views(rest[test])), abs=2e-6) and r.isc_train == pytest.approx(isc(views(rest[~test])), abs=2e-6)
+                assert 0 < r.level < 1
+                seen += 1
+    assert seen == len(got)
+
+
 def test_dcca_on_held_out_trials(spark, small):
     got = by_label(modelling.dcca_decode(spark, small))
     for g, x in recording(spark, small).items():
