@@ -31,6 +31,7 @@ from cadenza.llm.common import small_batches, stored
 WORDS = regex.compile(r"\p{L}+(?:\p{M}+\p{L}*)*")
 ASCII_WORDS = re.compile(r"[a-z]+")  # the same words, faster
 LONGEST = 5
+KEPT = 200_000  # words whose places in the model a task remembers
 CACHE = 1 << 20  # votes of unseen words that a task remembers, words times languages
 
 
@@ -65,6 +66,7 @@ class Model:
     above: np.ndarray
     floors: np.ndarray
     cache: dict[str, np.ndarray | None] = field(default_factory=dict)
+    rows: dict[str, int] = field(default_factory=dict)  # of words met before
 
     @property
     def nbytes(self) -> int:
@@ -76,6 +78,16 @@ class Model:
         i = np.minimum(np.searchsorted(self.terms, h), max(0, len(self.terms) - 1))
         return np.where(self.terms[i] == h, i, -1) if len(self.terms) else np.full(len(h), -1)
 
+    def rows_of(self, some: list[str]) -> np.ndarray:
+        """Indexes of words; a task remembers those of frequent ones."""
+        out = np.fromiter((self.rows.get(w, -2) for w in some), np.int64, len(some))
+        new = np.flatnonzero(out == -2)
+        if len(new):
+            out[new] = self.find([digest(some[i], 0) for i in new])
+            if len(self.rows) < KEPT:
+                self.rows.update((some[i], int(out[i])) for i in new)
+        return out
+
     def votes(self, rows: np.ndarray, times: np.ndarray) -> np.ndarray:
         """Per language, what the terms add above the floor."""
         n = self.at[rows + 1] - self.at[rows]
@@ -103,14 +115,15 @@ class Model:
         if not self.langs or not found:
             return "und", 0.0
         counts = Counter(found)
-        rows, times = self.find([digest(w, 0) for w in counts]), np.array(list(counts.values()), float)
+        some = list(counts)
+        rows, times = self.rows_of(some), np.fromiter(counts.values(), float, len(some))
         known = rows >= 0
         n = float(times[known].sum())
         total = self.votes(rows[known], times[known]) + n * self.floors[0]
-        for w, c, seen in zip(counts, times, known, strict=True):
-            if not seen and (v := self.back_off(w)) is not None:
-                total += c * v
-                n += c
+        for i in np.flatnonzero(~known):
+            if (v := self.back_off(some[i])) is not None:
+                total += times[i] * v
+                n += times[i]
         if not n:
             return self.langs[0], 1 / len(self.langs)
         best = int(total.argmax())
