@@ -2,11 +2,12 @@
 
 ``near_duplicates`` links 64-bit fingerprints of word shingles within two bits, exactly.
 
-``similar_groups`` finds texts with a Jaccard similarity of 0.8 and more over their sets of five-word shingles. At 0.8,
-five-word SimHashes differ in about 10 of 64 bits whatever the edit, and two-word ones do so for appended, cut or
-replaced passages: too many for small balls. So its candidates come from tables of minima: equal least hashes of the set
-in all four places of any of 20 bands. A pair at 0.8 meets with a chance of 1 - (1 - 0.8^4)^20, or 99.997 %, whatever was
-edited. Each link is then verified by the exact similarity of the whole sets before components are built.
+``similar_groups`` finds texts with a Jaccard similarity of 0.8 and more over their sets of five-word shingles. Its first
+candidates are those of the same index: every text has its fingerprint, and texts that links of two bits join are compared. At
+0.8, five-word SimHashes differ in about 10 of 64 bits whatever the edit, and two-word ones do so for appended, cut or
+replaced passages: too many for small balls. Pairs beyond the balls come from tables of minima: equal least hashes of the
+set in all four places of any of 20 bands. A pair at 0.8 meets with a chance of 1 - (1 - 0.8^4)^20, or 99.997 %, whatever
+was edited. Each link of either is then verified by the exact similarity of the whole sets before components are built.
 
 Edge cases: null and empty texts have no words and share fingerprint zero, so they form one group. Rows that repeat a
 doc_id are rows of their own, whose group may differ if their texts do. A null doc_id never becomes a component's label
@@ -142,7 +143,7 @@ def five_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def wide_prints(docs: DataFrame) -> DataFrame:
-    """(doc_id, rid, f1, f2, f5, keys): a row's shingle set by 128 bits and its size, all zero without words, and its keys.
+    """(doc_id, rid, f1, f2, f5, keys, fp): a row's shingle set by 128 bits and its size, all zero without words, its keys and SimHash.
 
     Equal ``f1``, ``f2`` (order-free hashes of the set) and ``f5`` (its number of five-word shingles) are equal sets. Only texts
     go to Python, so ids stay exact whatever nulls stand beside them.
@@ -164,12 +165,13 @@ def wide_prints(docs: DataFrame) -> DataFrame:
                     key = mix(key * BASE + np.minimum.reduceat(h * m, at))
                 keys[some, i] = key
         rows = [k if c else k[:0] for k, c in zip(keys.view(np.int64), n, strict=True)]
-        return pd.DataFrame({"f1": out["f1"].view(np.int64), "f2": out["f2"].view(np.int64), "f5": n, "keys": rows})
+        fp = np.array([_fingerprint(t, 3) for t in texts], np.int64)
+        return pd.DataFrame({"f1": out["f1"].view(np.int64), "f2": out["f2"].view(np.int64), "f5": n, "keys": rows, "fp": fp})
 
-    @F.pandas_udf("f1 long, f2 long, f5 long, keys array<long>")
+    @F.pandas_udf("f1 long, f2 long, f5 long, keys array<long>, fp long")
     def udf(texts: pd.Series) -> pd.DataFrame:
         every = list(texts)
-        return pd.concat([prints([]), *(prints(every[lo:hi]) for lo, hi in slices(every, 250_000))], ignore_index=True).astype({"f1": "int64", "f2": "int64", "f5": "int64"})
+        return pd.concat([prints([]), *(prints(every[lo:hi]) for lo, hi in slices(every, 250_000))], ignore_index=True).astype({"f1": "int64", "f2": "int64", "f5": "int64", "fp": "int64"})
 
     return docs.select("doc_id", row_id().alias("rid"), udf("text").alias("_p")).select("doc_id", "rid", "_p.*")
 
@@ -227,20 +229,33 @@ def joined_classes(classes: DataFrame, links: DataFrame, cls: str, out: str) ->
     return stored(relabelled(classes, cls, edges, out), out)
 
 
-def first_classes(fps: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(nodes, sets, members)``: a class ``c1`` for every node, the sets of those that share a bucket of the first bands.
+def ball_members(marks: DataFrame) -> DataFrame:
+    """(node, f5, lo), stored: the nodes that share a component of fingerprints (node, f5, fp) with others, and the smallest of it.
 
-    Each member of a bucket is compared with the smallest of it alone, which makes one class of most of a group of copies.
+    Links are those of two bits and less, from the segment tables. A node has as many fingerprints as different texts.
+    """
+    found = stored(relabelled(marks, "fp", ball_links(stored(marks.select("fp").distinct(), "fps")), "ball"), "balls")
+    shared = found.groupBy("ball").agg(F.min(F.struct("node", "f5")).alias("lo"), F.max("node").alias("hi")).where("lo.node <> hi").select("ball", "lo")
+    return stored(found.join(stored(shared, "shared"), "ball").select("node", "f5", "lo").distinct(), "members")
+
+
+def first_classes(fps: DataFrame, marks: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(nodes, sets, members)``: a class ``c1`` for every node, the sets of those in a component of SimHashes or a bucket of the first bands.
+
+    Each member of a component or bucket is compared with the smallest of it alone, which makes one class of most of a group of
+    copies. Others of its pairs are left to the bands.
     """
     body = F.struct("node", "f5")
+    near = ball_members(marks)
     opening = dealt(fps, 50_000).select("node", "rid", "f5", F.explode(F.slice("keys", 1, FIRST)).alias("key"))
     shared = opening.groupBy("key").agg(F.min(body).alias("lo"), F.max("node").alias("hi")).where("lo.node <> hi").select("key", "lo")
     members = stored(opening.join(stored(shared, "shared"), "key"), "members")
-    sets = shingle_sets(docs, members.select("rid", "node").distinct())
-    star = members.select(F.col("node").alias("a"), F.col("lo.node").alias("b"), F.col("f5").alias("na"), F.col("lo.f5").alias("nb"))
+    seen = stored(members.select("node").unionByName(near.select("node")).distinct(), "seen")
+    sets = shingle_sets(docs, fps.select("rid", "node").join(seen, "node", "left_semi"))
+    star = members.select("node", "f5", "lo").unionByName(near).select(F.col("node").alias("a"), F.col("lo.node").alias("b"), F.col("f5").alias("na"), F.col("lo.f5").alias("nb"))
     star = stored(star.where(f"a <> b and {NEAR}").select("a", "b").distinct(), "star")
     nodes = stored(relabelled(fps, "node", overlaps(star, sets).where("linked").select("a", "b"), "c1"), "nodes")
-    return nodes, sets, members.select("node").distinct()
+    return nodes, sets, seen
 
 
 def mixed_buckets(nodes: DataFrame) -> DataFrame:
@@ -345,14 +360,15 @@ def doubtful_pairs(known: DataFrame) -> DataFrame:
     return stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
 
-def band_classes(fps: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, comp): classes of shingle sets (node, rid, f5, keys) that links join; a link shares a key and has 0.8.
+def set_classes(fps: DataFrame, marks: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, comp): classes of shingle sets (node, rid, f5, keys) that links join; a link has 0.8, and its sets share a component of
+    their SimHashes ``marks`` (node, f5, fp) or a key.
 
     Buckets are joined to their members only where that can add a link, and no bucket is paired with itself: members are
     compared with the smallest of their bucket, then, where buckets still mix classes, with the pivot of a group; what two members
     share beyond that decides which few pairs are left. Those are verified on the whole sets. No link is lost.
     """
-    nodes, sets, seen = first_classes(fps, docs)
+    nodes, sets, seen = first_classes(fps, marks, docs)
     mixed = mixed_buckets(nodes)
     more = mixed.select("rid", "node").distinct().join(seen, "node", "left_anti")
     sets = sets.unionByName(shingle_sets(docs, stored(more, "more")))
@@ -371,7 +387,7 @@ def band_classes(fps: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(prints, groups)``: (doc_id, rid, f1, f2, f5) of every row, and (f1, f2, f5, component_id, best, group_rows).
+    """``(prints, groups)``: (doc_id, rid, f1, f2, f5, fp) of every row, and (f1, f2, f5, component_id, best, group_rows).
 
     ``best`` is the rid of the component's first row: the smallest doc_id, nulls last, then the smallest rid.
     """
@@ -381,7 +397,8 @@ def similar_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     fps = prints.groupBy("f1", "f2", "f5").agg(first, F.count(F.lit(1)).alias("n"))
     fps = stored(fps.withColumn("node", F.xxhash64("f1", "f2", "f5")), "fps")
     named = prints.select("rid", "f5", "keys").join(fps.select("node", F.col("first.rid").alias("rid")), "rid").dropDuplicates(["node"])
-    comps = stored(band_classes(stored(named, "named"), docs), "comps")
+    marks = stored(prints.select(F.xxhash64("f1", "f2", "f5").alias("node"), "f5", "fp").distinct(), "marks")
+    comps = stored(set_classes(stored(named, "named"), marks, docs), "comps")
     groups = labelled(fps, "node", comps)
     return prints, groups.select("f1", "f2", "f5", F.col("component_id.doc_id").alias("component_id"), F.col("component_id.rid").alias("best"), "group_rows")
 

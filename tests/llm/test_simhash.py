@@ -258,3 +258,19 @@ def test_sketches_differ_in_no_more_bits_than_sets(spark):
     for r in df.select("x", "y", simhash.bits_apart("sx", "sy").alias("bits")).collect():
         n = len(set(r.x) ^ set(r.y))
         assert r.bits <= n and r.bits >= 0.7 * n
+
+
+def test_similar_groups_come_from_the_simhash_index_too(spark, monkeypatch):
+    """Without bands, texts within two bits are grouped if their similarity is 0.8, and no others."""
+    monkeypatch.setattr(simhash, "BANDS", 0)
+    rnd = random.Random(12)
+    line = "a line that is in it time and again "
+    pairs = [edited(rnd, 900, "scattered", 0.002) for _ in range(30)] + [(line * 400 + "one two three four five", line * 400 + "six seven eight nine ten eleven twelve")]
+    pairs.append(tuple(t.replace(" ", p, 9) for t, p in ((pairs[0][0], ". "), (pairs[0][1], " - "))))  # sets as before, other words for the index
+    texts = [t for p in pairs for t in p]
+    comp = brute_components({i: brute_print(t) for i, t in enumerate(texts)})
+    got = similar(spark, texts)
+    linked = [i for i, p in enumerate(pairs) if comp[2 * i] == comp[2 * i + 1]]
+    assert 5 < len(linked) < 31 and jaccard(*pairs[30]) < 0.8 and comp[60] == comp[61] and got[60] != got[61]
+    assert all((got[2 * i] == got[2 * i + 1]) == (i in linked) for i in range(1, 30))
+    assert got[62] == got[0] and got[63] == got[1]
