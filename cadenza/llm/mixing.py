@@ -17,7 +17,6 @@ results are joined back under reserved names. Empty tables give empty results.
 from __future__ import annotations
 
 import warnings
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,62 +53,60 @@ def cells(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_cz_src": F.coalesce("source", F.lit("?")), "_cz_lng": F.coalesce("lang", F.lit("?")), "_cz_top": topic(F.col("text")), "_cz_tok": tokens(F.col("text")), "_cz_rid": row_id()})
 
 
-def marginal(table: DataFrame, axis: str, targets: dict[str, float] | None, flatten: float, keep: float) -> DataFrame:
-    """(axis, target, full), stored: shares over the categories present, each within what the sample can hold of it.
+def marginals(table: DataFrame, total: int, targets: dict[str, dict[str, float] | None], flatten: float, keep: float) -> DataFrame:
+    """(axis, category, target, full), stored: shares over the categories present, each within what the sample can hold of it.
 
     Given shares, or with None the present ones to the power ``flatten``. Shares above capacity are cut to it and the
-    rest is scaled up, until none is above. ``full`` are those that the sample takes whole.
+    rest is scaled up, until none is above. ``full`` are those that the sample takes whole. All axes are done at once.
     """
-    present = table.groupBy(axis).agg(F.sum("tok").alias("t")).where("t > 0")
-    total = present.agg(F.sum("t")).first()[0] or 0
-    if targets is None:
-        raw = F.pow(F.col("t") / F.lit(float(max(1, total))), F.lit(flatten))
-    else:
-        given = F.create_map(*[F.lit(x) for kv in targets.items() for x in kv])[F.col(axis)] if targets else F.lit(None).cast("double")
-        other = present.where(given.isNull()).agg(F.sum("t")).first()[0] or 1
-        raw = F.coalesce(given, F.lit(max(0.0, 1.0 - sum(targets.values())) / other) * F.col("t"))
-    held = stored(present.select(axis, raw.alias("raw"), (F.col("t") / F.lit(keep * max(1, total))).alias("cap")), "marginal")
-    scale, full = 1.0, F.lit(False)
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("category")) for a in AXES])).alias("x")
+    present = table.select(each, "tok").groupBy("x.axis", "x.category").agg(F.sum("tok").alias("t")).where("t > 0")
+    raw = F.pow(F.col("t") / F.lit(float(max(1, total))), F.lit(flatten))
+    for a, shares in targets.items():
+        if shares is not None:
+            given = F.create_map(*[F.lit(x) for kv in shares.items() for x in kv])[F.col("category")] if shares else F.lit(None).cast("double")
+            other = present.where((F.col("axis") == a) & given.isNull()).agg(F.sum("t")).first()[0] or 1
+            raw = F.when(F.col("axis") == a, F.coalesce(given, F.lit(max(0.0, 1.0 - sum(shares.values())) / other) * F.col("t"))).otherwise(raw)
+    held = stored(present.select("axis", "category", raw.alias("raw"), (F.col("t") / F.lit(keep * max(1, total))).alias("cap")), "marginals")
+    scale, full, before = dict.fromkeys(AXES, 1.0), F.lit(False), F.lit(True)
     while True:
-        sums = held.agg(F.sum(F.when(full, F.col("cap"))).alias("c"), F.sum(F.when(~full, F.col("raw"))).alias("r")).first()
-        scale = (1.0 - (sums["c"] or 0.0)) / sums["r"] if sums["r"] else scale
-        above = held.where(~full & (F.col("raw") * scale > F.col("cap") * (1 + 1e-12))).agg(F.count(F.lit(1))).first()[0]
-        full = full | (F.col("raw") * scale > F.col("cap") * (1 + 1e-12))
-        if not above:
-            return stored(held.select(axis, F.when(full, F.col("cap")).otherwise(F.col("raw") * scale).alias("target"), full.alias("full")), "target")
-
-
-def rake(table: DataFrame, targets: dict[str, dict[str, float] | None], flatten: float = 0.5, keep: float = 0.9, tolerance: float = 5e-4) -> tuple[DataFrame, float]:
-    """``((src, lng, top, tok, w), error)``: shares ``w`` of the cells, raked over every axis, and the largest error of a marginal.
-
-    ``w`` is the present share times one factor an axis, or the cell's capacity tok / (keep * total) where that is less. Only
-    factors are kept between steps, one row a category; sums combine before the shuffle, so no task meets all cells. Ends once
-    sums meet targets or, with targets that no weights can meet, once three passes gain less than a tenth.
+        c, r, more = F.sum(F.when(full, F.col("cap"))).alias("c"), F.sum(F.when(~full, F.col("raw"))).alias("r"), F.max(full != before).alias("more")
+        sums = held.groupBy("axis").agg(c, r, more).collect()  # a row an axis
+        scale |= {x["axis"]: (1.0 - (x["c"] or 0.0)) / x["r"] for x in sums if x["r"]}
+        scaled = F.col("raw") * F.create_map(*[F.lit(x) for kv in scale.items() for x in kv])[F.col("axis")]
+        if not any(x["more"] for x in sums):
+            return stored(held.select("axis", "category", F.when(full, F.col("cap")).otherwise(scaled).alias("target"), full.alias("full")), "targets")
+        before, full = full, full | (scaled > F.col("cap") * (1 + 1e-12))
+
+
+def rake(table: DataFrame, targets: dict[str, dict[str, float] | None], flatten: float = 0.5, keep: float = 0.9, tolerance: float = 5e-4) -> tuple[DataFrame, float, int]:
+    """``((src, lng, top, tok, w), error, total)``: shares ``w`` of the cells, raked over every axis, the largest error of a marginal, and all tokens.
+
+    ``w`` is the present share times one factor an axis, or the cell's capacity tok / (keep * total) where that is less. Cells
+    bring their factors along, and a pass over all axes is one query: a pass has few jobs, whose plans and broadcasts the driver
+    has to hold. Sums combine before the shuffle, so no task meets all cells. Ends once sums meet targets or, with targets that no
+    weights can meet, once three passes gain less than a tenth.
     """
     table = stored(table, "cells")
     total = table.agg(F.sum("tok")).first()[0] or 0
-    aims = {a: marginal(table, a, targets.get(a), flatten, keep) for a in AXES}
-    factors = {a: aims[a].select(a, F.col("target").alias(f"to_{a}"), F.when(F.col("full"), WHOLE).otherwise(1.0).alias(f"f_{a}")) for a in AXES}
-
-    def weighted() -> DataFrame:
-        out = table
-        for a in AXES:
-            out = out.join(factors[a].select(a, f"to_{a}", f"f_{a}"), a)
-        free = F.col("tok") / F.lit(float(max(1, total)))
-        return out.withColumn("w", F.least(free * F.col("f_src") * F.col("f_lng") * F.col("f_top"), free / F.lit(keep)))
-
+    aims, now = marginals(table, total, targets, flatten, keep), table
+    for a in AXES:
+        now = now.join(aims.where(F.col("axis") == a).select(F.col("category").alias(a), F.col("target").alias(f"to_{a}"), F.when(F.col("full"), WHOLE).otherwise(1.0).alias(f"f_{a}")), a)
+    now = stored(now, "factors")
+    free = F.col("tok") / F.lit(float(max(1, total)))
+    w = F.least(free * F.col("f_src") * F.col("f_lng") * F.col("f_top"), free / F.lit(keep))
     errors: list[float] = []
     while total:
         for a in AXES:
-            f, to = F.first(f"f_{a}"), F.first(f"to_{a}")  # one value a category
-            step = weighted().groupBy(a).agg(to.alias(f"to_{a}"), f.alias("f"), F.sum("w").alias("s"))
-            step = step.select(a, f"to_{a}", F.when(F.col("s") > 0, F.col("f") * F.col(f"to_{a}") / F.col("s")).otherwise(0.0).alias(f"f_{a}"), F.abs(F.col("s") - F.col(f"to_{a}")).alias("off"))
-            factors[a] = stored(step, "factors")
-        error = reduce(DataFrame.unionByName, [factors[a].select("off") for a in AXES]).agg(F.max("off")).first()[0] or 0.0
+            f, to, s = F.col(f"f_{a}"), F.col(f"to_{a}"), F.col("s")
+            now = now.join(now.groupBy(a).agg(F.sum(w).alias("s")), a)
+            now = now.withColumns({f"f_{a}": F.when(s > 0, f * to / s).otherwise(0.0), f"off_{a}": F.abs(s - to)}).drop("s")
+        now = stored(now, "factors")
+        error = now.agg(F.max(F.greatest(*[f"off_{a}" for a in AXES]))).first()[0] or 0.0
         errors.append(error)
         if error <= tolerance or (len(errors) > 3 and error > 0.9 * errors[-4]):
             break
-    return weighted().select(*AXES, "tok", "w"), errors[-1] if errors else 0.0
+    return now.select(*AXES, "tok", w.alias("w")), errors[-1] if errors else 0.0, total
 
 
 def weigh(tagged: DataFrame, source: dict[str, float] | None = None, lang: dict[str, float] | None = None, topics: dict[str, float] | None = None, keep: float = 0.9, seed: int = 7, flatten: float = 0.5) -> DataFrame:
@@ -119,12 +116,10 @@ def weigh(tagged: DataFrame, source: dict[str, float] | None = None, lang: dict[
     ``keep`` is the share of all tokens wanted in the sample.
     """
     table = tagged.where("_cz_tok > 0").groupBy(F.col("_cz_src").alias("src"), F.col("_cz_lng").alias("lng"), F.col("_cz_top").alias("top")).agg(F.sum("_cz_tok").alias("tok"))
-    raked, error = rake(table, {"src": source, "lng": lang, "top": topics}, flatten, keep)
+    raked, error, total = rake(table, {"src": source, "lng": lang, "top": topics}, flatten, keep)
     if error > 0.01:
         warnings.warn(f"no weights meet all targets: the largest error of a share is {error:.4f}", stacklevel=2)
-    raked = stored(raked, "raked")
-    total = float(max(1, raked.agg(F.sum("tok")).first()[0] or 0))
-    p = raked.select(F.col("src").alias("_cz_a"), F.col("lng").alias("_cz_b"), F.col("top").alias("_cz_c"), F.col("w").alias("_cz_w"), F.col("tok").alias("_cz_all"), F.least(F.lit(1.0), F.col("w") * keep * total / F.col("tok")).alias("_cz_p"))
+    p = raked.select(F.col("src").alias("_cz_a"), F.col("lng").alias("_cz_b"), F.col("top").alias("_cz_c"), F.col("w").alias("_cz_w"), F.col("tok").alias("_cz_all"), F.least(F.lit(1.0), F.col("w") * keep * float(max(1, total)) / F.col("tok")).alias("_cz_p"))
     out = tagged.join(p, (F.col("_cz_src") == F.col("_cz_a")) & (F.col("_cz_lng") == F.col("_cz_b")) & (F.col("_cz_top") == F.col("_cz_c")), "left")
     draw = F.pmod(F.xxhash64(F.lit(seed), "_cz_rid"), F.lit(1 << 52)) / float(1 << 52)
     p_doc = F.when(F.col("_cz_tok") == 0, F.lit(1.0)).otherwise(F.coalesce("_cz_p", F.lit(0.0)))

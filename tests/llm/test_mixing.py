@@ -68,3 +68,13 @@ def test_odd_rows(spark):
     out = mixing.mix(df)
     assert out.count() == n and {r[0] for r in out.where("_cz_tok = 0").select("_cz_kept").collect()} == {True}
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_a_pass_of_raking_has_few_jobs(spark, monkeypatch):
+    """The driver keeps the plans and broadcasts of what it ran a while, so raking of some cells may not take hundreds of jobs."""
+    d, jobs = stored(corpus(spark), "corpus"), spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    passes, real = [], mixing.stored
+    monkeypatch.setattr(mixing, "stored", lambda df, label: passes.append(label) or real(df, label))
+    before = jobs()
+    mixing.mix(d, source={"a": 0.6, "b": 0.4}, keep=0.4)
+    assert 1 < passes.count("factors") < 10 and jobs() - before <= 40 + 10 * passes.count("factors")
