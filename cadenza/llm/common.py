@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -82,22 +82,23 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     ``comp`` is the smallest node of the component. Each step is one grouped minimum (combined before the shuffle)
     and one join; tables are written between steps. Only nodes with an edge appear.
+
+    Edges are settled once they are stars: a node with a smaller neighbour has no other one. That is counted while the minima
+    are written, so neither the end nor a step takes a query of its own.
     """
     edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    state = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    now = state(edges)
-    for _ in range(rounds if now[0] else 0):
+    for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "low")  # so that the join can split a hub
+        low, seen = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), Observation()
+        low = low.observe(seen, F.count_if(F.expr("m < a and n > 1")).alias("open")).select("a", F.least("m", "a").alias("m"))
+        low = stored(low, "low")  # so that the join can split a hub
+        if not seen.get.get("open"):
+            break
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         edges = stored(small, "edges")
-        last, now = now, state(edges)
-        if now == last:
-            break
     else:
-        if now[0]:
-            raise RuntimeError(f"components did not settle in {rounds} rounds")
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     tops = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("comp"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(tops)

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import row_id, stored
@@ -83,9 +83,10 @@ def rake(table: DataFrame, targets: dict[str, dict[str, float] | None], flatten:
     """``((src, lng, top, tok, w), error, total)``: shares ``w`` of the cells, raked over every axis, the largest error of a marginal, and all tokens.
 
     ``w`` is the present share times one factor an axis, or the cell's capacity tok / (keep * total) where that is less. Cells
-    bring their factors along, and a pass over all axes is one query: a pass has few jobs, whose plans and broadcasts the driver
-    has to hold. Sums combine before the shuffle, so no task meets all cells. Ends once sums meet targets or, with targets that no
-    weights can meet, once three passes gain less than a tenth.
+    bring their factors along. An axis is one query with one join, whose error is observed as it is written: plans that nest the
+    axes of a pass join seven times, and the driver has to hold them and their broadcasts. Sums combine before the shuffle, so no
+    task meets all cells. Ends once sums meet targets or, with targets that no weights can meet, once three passes gain less
+    than a tenth.
     """
     table = stored(table, "cells")
     total = table.agg(F.sum("tok")).first()[0] or 0
@@ -97,12 +98,13 @@ def rake(table: DataFrame, targets: dict[str, dict[str, float] | None], flatten:
     w = F.least(free * F.col("f_src") * F.col("f_lng") * F.col("f_top"), free / F.lit(keep))
     errors: list[float] = []
     while total:
+        error = 0.0
         for a in AXES:
-            f, to, s = F.col(f"f_{a}"), F.col(f"to_{a}"), F.col("s")
-            now = now.join(now.groupBy(a).agg(F.sum(w).alias("s")), a)
-            now = now.withColumns({f"f_{a}": F.when(s > 0, f * to / s).otherwise(0.0), f"off_{a}": F.abs(s - to)}).drop("s")
-        now = stored(now, "factors")
-        error = now.agg(F.max(F.greatest(*[f"off_{a}" for a in AXES]))).first()[0] or 0.0
+            f, to, s, seen = F.col(f"f_{a}"), F.col(f"to_{a}"), F.col("s"), Observation()
+            step = now.join(now.groupBy(a).agg(F.sum(w).alias("s")), a).observe(seen, F.max(F.abs(s - to)).alias("off"))
+            step = step.withColumn(f"f_{a}", F.when(s > 0, f * to / s).otherwise(0.0)).drop("s")
+            now = stored(step, "factors" if a == AXES[-1] else f"factors_{a}")
+            error = max(error, seen.get.get("off") or 0.0)
         errors.append(error)
         if error <= tolerance or (len(errors) > 3 and error > 0.9 * errors[-4]):
             break

@@ -78,3 +78,12 @@ def test_a_pass_of_raking_has_few_jobs(spark, monkeypatch):
     before = jobs()
     mixing.mix(d, source={"a": 0.6, "b": 0.4}, keep=0.4)
     assert 1 < passes.count("factors") < 10 and jobs() - before <= 40 + 10 * passes.count("factors")
+
+
+def test_an_axis_of_raking_is_one_join(spark, monkeypatch):
+    """Plans that nest the axes of a pass double with each, and so do the broadcasts that the driver holds at once."""
+    joins, real = [], mixing.stored
+    monkeypatch.setattr(mixing, "stored", lambda df, label: joins.append((label, df._jdf.queryExecution().optimizedPlan().toString().count("Join "))) or real(df, label))
+    mixing.mix(stored(corpus(spark), "corpus"), source={"a": 0.6, "b": 0.4}, keep=0.4)
+    passes = [n for label, n in joins if label.startswith("factors")][1:]  # the first brings the targets of all axes
+    assert passes and set(passes) == {1}

@@ -6,7 +6,7 @@ from corpus import WIDE, docs, odd, rows
 from pyspark.sql import functions as F
 
 from cadenza.llm import simhash
-from cadenza.llm.common import components
+from cadenza.llm.common import components, stored
 from cadenza.llm.queries import op10_simhash
 
 SPACE = b" \t\n\x0b\x0c\r"
@@ -75,6 +75,25 @@ def test_components_of_a_long_chain(spark):
     assert components(edges.limit(0)).count() == 0
 
 
+def test_components_of_random_edges(spark):
+    """Chains, stars, cycles and cliques, repeated and turned edges, loops: the same components as by hand, in few jobs."""
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    rng = random.Random(3)
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 100 + (i + 1) % 9) for i in range(9)] + [(200, x) for x in range(201, 260)] + [(7, 7), (-5, 300), (300, -5)]
+    comp = {x: x for p in pairs for x in p}
+    for _ in comp:
+        for a, b in pairs:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    edges = stored(spark.createDataFrame(pairs, "a long, b long"), "pairs")
+    alone = {x for x in comp if all(a == b for a, b in pairs if x in (a, b))}
+    assert {r.node: r.comp for r in components(edges).collect()} == {x: c for x, c in comp.items() if x not in alone}
+    star = stored(edges.where("a = 200"), "star")
+    before = jobs()
+    found = components(star)
+    assert jobs() - before <= 6
+    assert {r.comp for r in found.collect()} == {200}
+
+
 def similar(spark, texts):
     p, g = simhash.similar_groups(docs(spark, texts))
     return [r[1] for r in rows(p.join(g, ["f1", "f2", "f5"]), "doc_id", "component_id")] if len(texts) < 10 else {r.doc_id: r.component_id for r in p.join(g, ["f1", "f2", "f5"]).collect()}
