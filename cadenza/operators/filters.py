@@ -6,6 +6,8 @@ its neighbours as the weights reach. Beyond both ends of a recording the series
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,9 +17,11 @@ from pyspark.sql.window import WindowSpec
 from cadenza.functions import kernels
 from cadenza.operators.halo import ROWS, positions, windowed
 from cadenza.operators.moments import head_of
+from cadenza.operators.runs import alike, in_order, whole_runs
 
 Array = np.ndarray
 LEAST = 1e-12  # of the largest weight: what is left out
+MOST = 1 << 18  # samples that are filtered at once, where pieces are short
 
 
 def weights(fs: float, low: float | None, high: float | None, order: int = 5, analytic: bool = False) -> Array:
@@ -44,24 +48,58 @@ def weights(fs: float, low: float | None, high: float | None, order: int = 5, an
 
 
 def extended(x: Array, before: int, after: int) -> Array:
-    """``x`` with its odd mirror image at the ends, as far as it goes, then zeros."""
-    out = [x]
+    """Series of one length (series x samples x channels) with their odd mirror images at the ends, as far as these go, then zeros."""
+    out, zeros = [x], lambda n: np.zeros((len(x), n, x.shape[2]))
     if before:
-        m = min(before, len(x) - 1)
-        out.insert(0, np.concatenate([np.zeros((before - m, x.shape[1])), 2 * x[0] - x[m:0:-1]]))
+        m = min(before, x.shape[1] - 1)
+        out = [zeros(before - m), 2 * x[:, :1] - x[:, m:0:-1], *out]
     if after:
-        m = min(after, len(x) - 1)
-        out.append(np.concatenate([2 * x[-1] - x[::-1][1 : m + 1], np.zeros((after - m, x.shape[1]))]))
-    return np.concatenate(out)
+        m = min(after, x.shape[1] - 1)
+        out += [2 * x[:, -1:] - x[:, ::-1][:, 1 : m + 1], zeros(after - m)]
+    return np.concatenate(out, axis=1)
 
 
 def convolve(x: Array, h: Array) -> Array:
-    """The samples of ``x`` (samples x channels) that the centred weights reach on both sides."""
-    n = 1 << (len(x) - 1).bit_length()
+    """The samples of ``x`` (series x samples x channels) that the centred weights reach on both sides."""
+    n = 1 << (x.shape[1] - 1).bit_length()
     back = np.fft.ifft if np.iscomplexobj(h) else np.fft.irfft
     ahead = np.fft.fft if np.iscomplexobj(h) else np.fft.rfft
-    y = back(ahead(x, n=n, axis=0) * ahead(h, n=n)[:, None], n=n, axis=0)
-    return y[len(h) - 1 : len(x)]
+    y = back(ahead(x, n=n, axis=1) * ahead(h, n=n)[:, None], n=n, axis=1)
+    return y[:, len(h) - 1 : x.shape[1]]
+
+
+def numbered(df: DataFrame, keys: list[str], t: str, cols: list[str], rows: int) -> DataFrame:
+    """(keys, t, cols, _seq, _total): what ``filtered_line`` takes."""
+    return positions(df.select(*keys, t, *cols), keys, [t], "_seq", rows, "_total")
+
+
+def filtered_line(line: DataFrame, keys: list[str], t: str, cols: list[str], h: Array, rows: int) -> DataFrame:
+    """(keys, t, cols, _seq, _total): ``filtered`` on rows that are numbered already, whose numbers stay. Pieces of one form are filtered together."""
+    reach = len(h) // 2
+    heads = [*keys, t, "_seq", "_total", "_piece"]
+    schema = f"{head_of(line, heads[:-1])}, _piece long, " + ", ".join(f"`{c}` double" for c in cols)
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, starts in whole_runs(batches):
+            own = (frame["_seq"] // rows == frame["_piece"]).to_numpy()
+            size, kept = np.diff([*starts, len(frame)]), np.add.reduceat(own.astype(np.int64), starts)
+            before = np.add.reduceat((frame["_seq"] // rows < frame["_piece"]).to_numpy().astype(np.int64), starts)
+            x, out = frame[cols].to_numpy(float), np.zeros((len(frame), len(cols)))
+            for same in alike(size, kept, before):
+                n, k, lead = size[same[0]], kept[same[0]], before[same[0]]
+                step = max(1, MOST // (int(k) + 2 * reach))
+                for some in (same[i : i + step] for i in range(0, len(same), step)):
+                    pad = max(0, reach - lead)
+                    wide = extended(x[starts[some][:, None] + np.arange(n)], pad, max(0, reach - (n - lead - k)))
+                    y = convolve(wide[:, pad + lead - reach : pad + lead + k + reach], h)
+                    out[starts[some][:, None] + lead + np.arange(k)] = np.abs(y) if np.iscomplexobj(y) else y
+            done = frame.loc[own, heads]
+            yield done.assign(**{c: out[own, i] for i, c in enumerate(cols)})
+
+    def add(d: DataFrame, _: WindowSpec) -> DataFrame:
+        return in_order(d, [*keys, "_piece"], ["_seq"]).select(*heads, "_at", *cols).mapInPandas(task, schema)
+
+    return windowed(line, keys, "_seq", reach, reach, add, rows, "_total")
 
 
 def filtered(df: DataFrame, keys: list[str], t: str, cols: list[str], h: Array, rows: int = ROWS) -> DataFrame:
@@ -70,29 +108,7 @@ def filtered(df: DataFrame, keys: list[str], t: str, cols: list[str], h: Array,
     ``t`` is a whole number that grows with time. A task holds ``rows`` samples of one key and, on both sides, as many as the weights reach. A piece
     at an end of its recording mirrors what it has, so ``rows`` should be more than the weights reach.
     """
-    reach = len(h) // 2
-    line = positions(df.select(*keys, t, *cols), keys, [t], "_seq", rows)
-    schema = f"{head_of(line, [*keys, t, '_seq'])}, _piece long, " + ", ".join(f"`{c}` double" for c in cols)
-
-    def task(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_seq")
-        seq, piece = pdf["_seq"].to_numpy(), int(pdf["_piece"].iloc[0])
-        own = (seq >= piece * rows) & (seq < (piece + 1) * rows)
-        if not own.any():  # the piece after the last one
-            return pdf.iloc[:0][[*keys, t, "_seq", "_piece", *cols]]
-        first, last = seq[own][0], seq[own][-1]
-        x = extended(pdf[cols].to_numpy(float), max(0, reach - (first - seq[0])), max(0, reach - (seq[-1] - last)))
-        at = max(0, reach - (first - seq[0])) + int(np.flatnonzero(own)[0])
-        y = convolve(x[at - reach : at + own.sum() + reach], h)
-        out = pdf.loc[own, [*keys, t, "_seq", "_piece"]].copy()
-        for i, c in enumerate(cols):
-            out[c] = np.abs(y[:, i]) if np.iscomplexobj(y) else y[:, i]
-        return out
-
-    def add(d: DataFrame, _: WindowSpec) -> DataFrame:
-        return d.groupBy(*keys, "_piece").applyInPandas(task, schema)
-
-    return windowed(line, keys, "_seq", reach, reach, add, rows).drop("_seq")
+    return filtered_line(numbered(df, keys, t, cols, rows), keys, t, cols, h, rows).drop("_seq", "_total")
 
 
 def band_pass(df: DataFrame, keys: list[str], t: str, cols: list[str], fs: float, low: float | None, high: float | None, order: int = 5, rows: int = ROWS) -> DataFrame:
@@ -101,8 +117,8 @@ def band_pass(df: DataFrame, keys: list[str], t: str, cols: list[str], fs: float
 
 def envelope(df: DataFrame, keys: list[str], t: str, cols: list[str], fs: float, low: float, high: float, every: int = 1, rows: int = ROWS) -> DataFrame:
     """(keys, t, cols): the envelope of a band; with ``every`` it is low-passed and one sample in so many is kept, numbered from 0."""
-    out = filtered(df, keys, t, cols, weights(fs, low, high, analytic=True), rows)
+    out = filtered_line(numbered(df, keys, t, cols, rows), keys, t, cols, weights(fs, low, high, analytic=True), rows)
     if every == 1:
-        return out
-    smooth = positions(band_pass(out, keys, t, cols, fs, None, 0.4 * fs / every, rows=rows), keys, [t], "_at", rows)
-    return smooth.where(F.col("_at") % every == 0).withColumn(t, F.floor(F.col("_at") / every)).drop("_at")
+        return out.drop("_seq", "_total")
+    smooth = filtered_line(out, keys, t, cols, weights(fs, None, 0.4 * fs / every), rows)
+    return smooth.where(F.col("_seq") % every == 0).withColumn(t, F.floor(F.col("_seq") / every)).drop("_seq", "_total")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.functions import kernels
-from cadenza.operators import models, runs, signif
+from cadenza.operators import filters, halo, models, runs, signif
 
 
 def plan(df):
@@ -60,3 +60,26 @@ def test_runs_are_cut_only_between_series(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted((r.k, r.n) for r in got) == [(k, min(2 * k + 1, 1000 - k * k)) for k in range(32)]
+
+
+def test_filters_of_many_short_series(spark):
+    """Series shorter than the weights reach, in pieces, as each by itself; a row goes to no piece beyond the last and the chain is computed once."""
+    rng = np.random.default_rng(4)
+    data = {u: rng.standard_normal(1 + u % 23) for u in range(60)}
+    df = spark.createDataFrame([(u, t, float(v)) for u, x in data.items() for t, v in enumerate(x)], "u long, t long, x double").repartition(3)
+    h = filters.weights(30.0, 5.0, 10.0, analytic=True)
+    got = {(r.u, r.t): r.x for r in filters.filtered(df, ["u"], "t", ["x"], h, rows=100).collect()}
+    reach = len(h) // 2
+    for u, x in data.items():
+        m = min(reach, len(x) - 1)
+        wide = np.concatenate([np.zeros(reach - m), 2 * x[0] - x[m:0:-1], x, 2 * x[-1] - x[::-1][1 : m + 1], np.zeros(reach - m)])
+        want = np.abs(np.convolve(wide, h, "valid"))
+        assert [got[u, t] for t in range(len(x))] == pytest.approx(list(want), abs=1e-9)
+    line = halo.positions(df, ["u"], ["t"], "seq", 10, "n")
+    assert halo.windowed(line, ["u"], "seq", 500, 500, lambda d, w: d.withColumn("_k", F.lit(1)), 10, "n").count() == sum(map(len, data.values()))
+    spread = line.withColumn("p", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 10)))).count()
+    pieces = []
+    halo.windowed(line, ["u"], "seq", 500, 500, lambda d, w: pieces.append(d) or d, 10, "n")
+    assert pieces[0].count() == spread
+    text = plan(filters.envelope(df, ["u"], "t", ["x"], 30.0, 5.0, 10.0, every=3, rows=40)).split("== Physical")[1]
+    assert text.count("MapInPandas") == 2 and "FlatMapGroupsInPandas" not in text
