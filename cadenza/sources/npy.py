@@ -1,4 +1,4 @@
-"""Recordings in .npy files as a Spark data source: each task reads a range of samples, not a file.
+"""Recordings in .npy files as a Spark data source: each task reads a range of samples, not a file, or many small files.
 
 A file holds an array of numbers, samples first; further axes are channels. Only its header is read to plan, and a task seeks to its own
 rows. Pickled object arrays are refused, as reading them can run code; so are arrays in column order, whose samples lie apart.
@@ -22,10 +22,14 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from cadenza.operators import clean
 from cadenza.operators.halo import positions
+from cadenza.operators.runs import in_order, whole_runs
 
 SCHEMA = "path string, t long, ch array<double>"
 ROWS = 100_000
 BATCH = 10_000
+FEW = 100  # files, or ranges, up to which each range has a task of its own
+PACKED = 16 << 20  # bytes of small files, or of small ranges, that one task reads
+OPENED = 64 << 10  # bytes that opening a file counts for
 
 
 def open_store(path: str) -> tuple[arrow_fs.FileSystem, str]:
@@ -47,51 +51,93 @@ def header(store: arrow_fs.FileSystem, path: str) -> tuple[tuple[int, ...], np.d
 
 @dataclass
 class Samples(InputPartition):
-    """Samples ``first`` to ``last`` of a file."""
+    """Ranges (path, first, last) of samples that a task reads; ``last`` is none for a whole file."""
 
-    path: str
-    first: int
-    last: int
+    ranges: list[tuple[str, int, int | None]]
 
 
 class NpyReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.rows = options["path"], int(options.get("rows", ROWS))
 
-    def files(self) -> list[str]:
-        """The files that the path names: a file, all .npy files of a folder, or those that a pattern in its last part matches."""
+    def files(self) -> list[tuple[str, int]]:
+        """(path, bytes) of the files that the path names: a file, all .npy files of a folder, or those that a pattern in its last part matches."""
         store, inner = open_store(self.path)
         base, last = posixpath.split(inner)
         if "*" in last:
-            found = [f.path for f in store.get_file_info(arrow_fs.FileSelector(base)) if fnmatch.fnmatch(posixpath.basename(f.path), last)]
-        elif store.get_file_info(inner).type == arrow_fs.FileType.Directory:
-            found = [f.path for f in store.get_file_info(arrow_fs.FileSelector(inner)) if f.path.endswith(".npy")]
+            found = [f for f in store.get_file_info(arrow_fs.FileSelector(base)) if fnmatch.fnmatch(posixpath.basename(f.path), last)]
+        elif (own := store.get_file_info(inner)).type == arrow_fs.FileType.Directory:
+            found = [f for f in store.get_file_info(arrow_fs.FileSelector(inner)) if f.path.endswith(".npy")]
         else:
-            found = [inner]
-        return sorted(found)
+            found = [own]
+        return sorted((f.path, f.size or 0) for f in found)
 
     def partitions(self) -> list[Samples]:
+        """``rows`` samples a task; of many files the small ones are read whole, and many small ranges by one task.
+
+        Only headers of other files are read here, as opening each file and a task for each would take longer than reading them.
+        """
         store, _ = open_store(self.path)
-        out = []
-        for f in self.files():
-            n = header(store, f)[0][0]
-            out += [Samples(f, lo, min(lo + self.rows, n)) for lo in range(0, n, self.rows)]
-        return out or [Samples("", 0, 0)]
+        files = self.files()
+        many = len(files) > FEW
+        whole, cut = [], []  # ranges with their bytes: of small files, and of others
+        for f, size in files:
+            if many and size <= PACKED:
+                whole.append(((f, 0, None), size))
+                continue
+            shape, kind, _ = header(store, f)
+            width = int(np.prod(shape[1:], dtype=np.int64)) * kind.itemsize
+            for lo in range(0, shape[0], self.rows):
+                hi = min(lo + self.rows, shape[0])
+                cut.append(((f, lo, hi), (hi - lo) * width))
+        out = [Samples([r]) for r, _ in cut] if len(cut) <= FEW else packed(cut)
+        out += packed(whole)
+        return out or [Samples([])]
 
     def read(self, part: Samples) -> Iterator[pa.RecordBatch]:
-        if part.first == part.last:
-            return
         store, _ = open_store(self.path)
-        shape, kind, begin = header(store, part.path)
-        width = int(np.prod(shape[1:], dtype=np.int64))
-        with store.open_input_file(part.path) as source:
-            for lo in range(part.first, part.last, BATCH):
-                n = min(BATCH, part.last - lo)
-                source.seek(begin + lo * width * kind.itemsize)
-                x = np.frombuffer(source.read(n * width * kind.itemsize), kind).astype(float)
-                values = pa.array(x, mask=np.isnan(x))
-                ch = pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, width), pa.int32()), values)
-                yield pa.RecordBatch.from_arrays([pa.array([part.path] * n), pa.array(np.arange(lo, lo + n)), ch], names=["path", "t", "ch"])
+        held: list[tuple[str, int, np.ndarray]] = []
+        for path, first, last in part.ranges:
+            for lo, x in chunks(store, path, first, last):
+                if sum(len(h[2]) for h in held) + len(x) > BATCH:
+                    yield batch(held)
+                    held = []
+                held.append((path, lo, x))
+        if held:
+            yield batch(held)
+
+
+def packed(ranges: list[tuple[tuple[str, int, int | None], int]]) -> list[Samples]:
+    """Neighbouring ranges in tasks of ``PACKED`` bytes; a larger one has a task of its own."""
+    out, room = [], 0
+    for r, size in ranges:
+        size = max(size, OPENED)
+        if size > room:
+            out.append(Samples([]))
+            room = PACKED
+        out[-1].ranges.append(r)
+        room -= size
+    return out
+
+
+def chunks(store: arrow_fs.FileSystem, path: str, first: int, last: int | None) -> Iterator[tuple[int, np.ndarray]]:
+    """(sample number, samples x channels) of a range, up to ``BATCH`` samples at a time."""
+    shape, kind, begin = header(store, path)
+    width = int(np.prod(shape[1:], dtype=np.int64))
+    last = shape[0] if last is None else last
+    with store.open_input_file(path) as source:
+        for lo in range(first, last, BATCH):
+            n = min(BATCH, last - lo)
+            source.seek(begin + lo * width * kind.itemsize)
+            yield lo, np.frombuffer(source.read(n * width * kind.itemsize), kind).astype(float).reshape(n, width)
+
+
+def batch(held: list[tuple[str, int, np.ndarray]]) -> pa.RecordBatch:
+    x = np.concatenate([h[2].ravel() for h in held])
+    edges = np.cumsum([0, *np.repeat([h[2].shape[1] for h in held], [len(h[2]) for h in held])])
+    ch = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(x, mask=np.isnan(x)))
+    paths = pa.DictionaryArray.from_arrays(pa.array(np.repeat(np.arange(len(held)), [len(h[2]) for h in held]), pa.int32()), pa.array([h[0] for h in held], pa.string()))
+    return pa.RecordBatch.from_arrays([paths.cast(pa.string()), pa.array(np.concatenate([h[1] + np.arange(len(h[2])) for h in held])), ch], names=["path", "t", "ch"])
 
 
 class Npy(DataSource):
@@ -139,14 +185,17 @@ def read_features(spark: SparkSession, folder: str, recordings: list[str], lengt
 def write_npy(df: DataFrame, key: str, t: str, cols: list[str], folder: str, suffix: str = ".npy") -> DataFrame:
     """Write each series of ``key`` as one file of ``folder``, samples by ``t``; returns (path, n). One series has to fit a task."""
 
-    def task(pdf: pd.DataFrame) -> pd.DataFrame:
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, inner = open_store(folder)
         store.create_dir(inner, recursive=True)
-        out = io.BytesIO()
-        np.save(out, pdf.sort_values(t)[cols].to_numpy(float))
-        path = f"{inner}/{pdf[key].iloc[0]}{suffix}"
-        with store.open_output_stream(path, compression=None) as sink:
-            sink.write(out.getvalue())
-        return pd.DataFrame({"path": [path], "n": [len(pdf)]})
-
-    return df.select(key, t, *cols).groupBy(key).applyInPandas(task, "path string, n long")
+        for frame, starts in whole_runs(batches):
+            names = [f"{inner}/{k}{suffix}" for k in frame[key].iloc[starts]]
+            series = np.split(frame[cols].to_numpy(float), starts[1:])
+            for path, x in zip(names, series, strict=True):
+                out = io.BytesIO()
+                np.save(out, x)
+                with store.open_output_stream(path, compression=None) as sink:
+                    sink.write(out.getvalue())
+            yield pd.DataFrame({"path": names, "n": [len(x) for x in series]})
+
+    return in_order(df.select(F.col(key).cast("string").alias(key), t, *cols), [key], [t]).mapInPandas(task, "path string, n long")

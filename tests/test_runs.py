@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import kernels
 from cadenza.operators import filters, halo, models, runs, signif
+from cadenza.sources import npy
 
 
 def plan(df):
@@ -83,3 +84,21 @@ def test_filters_of_many_short_series(spark):
     assert pieces[0].count() == spread
     text = plan(filters.envelope(df, ["u"], "t", ["x"], 30.0, 5.0, 10.0, every=3, rows=40)).split("== Physical")[1]
     assert text.count("MapInPandas") == 2 and "FlatMapGroupsInPandas" not in text
+
+
+def test_many_small_npy_files_are_read_by_few_tasks(spark, tmp_path):
+    data = {k: np.arange(3.0 * (1 + k % 70)).reshape(-1, 3) for k in range(300)}
+    for k, x in data.items():
+        np.save(tmp_path / f"{k}.npy", x)
+    big = np.arange(3 << 20, dtype=float)
+    np.save(tmp_path / "big.npy", big)
+    got = npy.read_npy(spark, str(tmp_path), rows=500_000)
+    assert 7 <= got.rdd.getNumPartitions() <= 12  # 45,000 tasks for 9,000 files before
+    names = got.withColumn("k", F.regexp_extract("path", r"([^/]+)\.npy$", 1))
+    few = {(r.k, r.t): r.ch for r in names.where("k <> 'big'").collect()}
+    assert few == {(str(k), t): list(row) for k, x in data.items() for t, row in enumerate(x)}
+    assert names.where("k = 'big'").agg(F.count("t"), F.count_distinct("t"), F.sum((F.get("ch", 0) != F.col("t")).cast("int"))).first()[:] == (len(big), len(big), 0)
+    df = spark.createDataFrame([(k, t, *map(float, row)) for k, x in data.items() for t, row in enumerate(x)], "u long, t long, a double, b double, c double").repartition(5)
+    out = npy.write_npy(df, "u", "t", ["a", "b", "c"], f"file://{tmp_path}/out")
+    assert "FlatMapGroupsInPandas" not in plan(out) and sorted(r.n for r in out.collect()) == sorted(len(x) for x in data.values())
+    assert all((np.load(tmp_path / "out" / f"{k}.npy") == x).all() for k, x in data.items())
