@@ -26,9 +26,13 @@ def accuracy(labelled: DataFrame, keys: list[str], correct: str = "correct", tra
     """
     hits = F.sum(F.col(correct).cast("long"))
     n = F.count(F.lit(1))
-    out = labelled.groupBy(*keys).agg(n.alias("n"), (hits if trained_on_attended else n - hits).alias("n_correct"))
+    return rated(labelled.groupBy(*keys).agg(n.alias("n"), (hits if trained_on_attended else n - hits).alias("n_correct")), p)
+
+
+def rated(counts: DataFrame, p: float = 0.05) -> DataFrame:
+    """``accuracy`` from counts (n, n_correct)."""
     k, m = F.col("n_correct"), F.col("n")
-    return out.where("n > 0").withColumns({"acc": k / m, "p_value": binomial_tail(k, m), "acc_sig": (binomial_critical(m, p) + 1) / m})
+    return counts.where("n > 0").withColumns({"acc": k / m, "p_value": binomial_tail(k, m), "acc_sig": (binomial_critical(m, p) + 1) / m})
 
 
 def threshold_curve(labelled: DataFrame, keys: list[str], similarity: str, tie: list[str], correct: str = "correct") -> DataFrame:

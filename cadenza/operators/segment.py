@@ -56,6 +56,27 @@ def bootstrap_starts(lengths: DataFrame, keys: list[str], length: int, per: int,
     return drawn.withColumn("start", start).withColumn("trial", F.row_number().over(order).cast("long") - 1).select(*keys, "trial", "start")
 
 
+def start_array(n: Column, keys: list[str], length: int, per: int | None, most: int = 1000, seed: int = 0) -> Column:
+    """The starts of ``bootstrap_starts`` for a sequence of ``n`` samples as one array, in order; without ``per`` those of trials side by side."""
+    none = F.array().cast("array<bigint>")
+    if per is None:
+        side = F.transform(F.sequence(F.lit(0).cast("long"), F.floor(n / length) - 1), lambda i: i * length)
+        return F.when(n >= length, side).otherwise(none)
+    count = F.greatest(F.least(F.floor(n / per), F.lit(most)).cast("int"), F.lit(1))
+    drawn = F.transform(F.sequence(F.lit(1), count), lambda i: F.pmod(F.xxhash64(F.lit(seed), *keys, i), F.greatest(n - length, F.lit(1))))
+    return F.when(n >= length, F.array_sort(drawn)).otherwise(none)
+
+
+def distractor_array(starts: Column, n: Column, keys: list[str], length: int, margin: int, seed: int = 0) -> Column:
+    """``first`` of ``distractor_starts`` for each of an array of starts; null where a trial gets none."""
+
+    def first(start: Column, k: Column) -> Column:
+        free = F.greatest(start - margin, F.lit(0)) + F.greatest(n - (start + length + margin), F.lit(0))
+        return F.when(free >= length, F.pmod(F.xxhash64(F.lit(seed), *keys, k.cast("long")), F.greatest(free - length, F.lit(1))))
+
+    return F.transform(starts, first)
+
+
 def distractor_pool(df: DataFrame, keys: list[str], t: str, starts: DataFrame, length: int, margin: int) -> DataFrame:
     """(keys, trial, pos, ...): samples outside [start - margin, start + length + margin), renumbered from 0.
 

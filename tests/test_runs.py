@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.functions import kernels
-from cadenza.operators import filters, halo, models, runs, signif
+from cadenza.operators import decide, filters, halo, models, runs, signif
+from cadenza.plans import experiments, modelling
 from cadenza.sources import npy
 
 
@@ -90,15 +91,40 @@ def test_many_small_npy_files_are_read_by_few_tasks(spark, tmp_path):
     data = {k: np.arange(3.0 * (1 + k % 70)).reshape(-1, 3) for k in range(300)}
     for k, x in data.items():
         np.save(tmp_path / f"{k}.npy", x)
-    big = np.arange(3 << 20, dtype=float)
-    np.save(tmp_path / "big.npy", big)
-    got = npy.read_npy(spark, str(tmp_path), rows=500_000)
-    assert 7 <= got.rdd.getNumPartitions() <= 12  # 45,000 tasks for 9,000 files before
-    names = got.withColumn("k", F.regexp_extract("path", r"([^/]+)\.npy$", 1))
-    few = {(r.k, r.t): r.ch for r in names.where("k <> 'big'").collect()}
-    assert few == {(str(k), t): list(row) for k, x in data.items() for t, row in enumerate(x)}
-    assert names.where("k = 'big'").agg(F.count("t"), F.count_distinct("t"), F.sum((F.get("ch", 0) != F.col("t")).cast("int"))).first()[:] == (len(big), len(big), 0)
+    reader = npy.NpyReader({"path": str(tmp_path), "rows": "16"})
+    parts = reader.partitions()
+    assert len(parts) == 2 and sum(len(p.ranges) for p in parts) == 300  # 600 tasks before
+    got = npy.read_npy(spark, str(tmp_path), rows=16).withColumn("k", F.regexp_extract("path", r"([^/]+)\.npy$", 1))
+    assert {(r.k, r.t): r.ch for r in got.collect()} == {(str(k), t): list(row) for k, x in data.items() for t, row in enumerate(x)}
+    np.save(tmp_path / "big.npy", np.arange(3 << 20, dtype=float))
+    parts = npy.NpyReader({"path": str(tmp_path), "rows": "500000"}).partitions()
+    assert len(parts) == 2 + 7 and [p.ranges[0][1:] for p in parts[:2]] == [(0, 500_000), (500_000, 1_000_000)]
+    assert [x[0] for b in reader.read(npy.Samples([(str(tmp_path / "big.npy"), 499_990, 510_005)])) for x in b["ch"].to_pylist()] == list(range(499_990, 510_005))
     df = spark.createDataFrame([(k, t, *map(float, row)) for k, x in data.items() for t, row in enumerate(x)], "u long, t long, a double, b double, c double").repartition(5)
     out = npy.write_npy(df, "u", "t", ["a", "b", "c"], f"file://{tmp_path}/out")
     assert "FlatMapGroupsInPandas" not in plan(out) and sorted(r.n for r in out.collect()) == sorted(len(x) for x in data.values())
     assert all((np.load(tmp_path / "out" / f"{k}.npy") == x).all() for k, x in data.items())
+
+
+@pytest.mark.parametrize("bootstrap", [True, False])
+def test_decoding_copies_no_samples(spark, small, bootstrap):
+    """Counts from whole test parts equal those of trials cut by joins, for every fold, distractor and rotation; nothing is exploded."""
+    s = modelling.SETUP
+    rec = modelling.recordings(spark, small).where("u < 9")
+    line = experiments.test_line(rec, s).persist()
+    got = experiments.fold_scores(experiments.test_parts(rec, s), s, [5, 6], 7, seed=3, bootstrap=bootstrap, margin=1).persist()
+    text = plan(got).split("== Physical")[1].split("MapInPandas")[0]
+    assert "Generate" not in text and "SortMergeJoin" not in text
+    seen = 0
+    for length in (5, 6):
+        cut = experiments.trial_rows(line, length, bootstrap, seed=3, margin=1).persist()
+        t = experiments.by_trial(cut, ["u", "fold", "trial"], {"att": ("px", "pa"), "unatt": ("px", "pu"), "mismatch": ("px", "pd")})
+        own = got.where(F.col("trial_len") == length)
+        for rival, c in (("unatt", "att"), ("mismatch", "match")):
+            want = {(r.u, r.fold): (r.n, r.n_correct) for r in decide.accuracy(decide.label(decide.drop_undefined(t, rival), "att", rival, s.used), ["u", "fold"]).collect()}
+            assert {(r.u, r.fold): (r[f"n_{c}"], r[f"hits_{c}"]) for r in own.where(f"n_{c} > 0").collect()} == want
+            seen += len(want)
+        want = {(r.u, r.perm): r.acc for r in experiments.permuted_accuracy(cut, s, 7, seed=3).collect()}
+        sums = own.select("u", F.posexplode(F.arrays_zip("ns", "hits")).alias("perm", "c")).groupBy("u", "perm").agg((F.sum("c.hits") / F.sum("c.ns")).alias("acc"))
+        assert {(r.u, r.perm): r.acc for r in sums.where("acc is not null").collect()} == pytest.approx(want)
+    assert seen > 60
