@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.functions import kernels
-from cadenza.operators import decide, filters, halo, models, runs, signif
+from cadenza.operators import decide, filters, halo, models, moments, runs, signif
 from cadenza.plans import experiments, modelling
 from cadenza.sources import npy
 
@@ -128,3 +128,41 @@ def test_decoding_copies_no_samples(spark, small, bootstrap):
         sums = own.select("u", F.posexplode(F.arrays_zip("ns", "hits")).alias("perm", "c")).groupBy("u", "perm").agg((F.sum("c.hits") / F.sum("c.ns")).alias("acc"))
         assert {(r.u, r.perm): r.acc for r in sums.where("acc is not null").collect()} == pytest.approx(want)
     assert seen > 60
+
+
+def test_sums_and_fits_of_many_small_keys_together():
+    rng = np.random.default_rng(6)
+    dims, starts = [3, 4], np.array([0, 5, 6, 40, 60])
+    x = rng.standard_normal((100, 7)) + 3
+    parts = np.split(x, starts[1:])
+    rows = moments.sums_by_group(x, dims, starts)
+    flat = [np.concatenate(list(map(np.atleast_1d, moments.sums_of(p, dims)))) for p in parts]
+    assert np.allclose(rows, flat) and moments.values_in(rows.shape[1], dims) == 7
+    sums = [moments.sums_of(p, dims) for p in parts if len(p) > 10]
+    many, single = moments.Stack(sums, dims), [moments.Moments(s, dims) for s in sums]
+    for i, m in enumerate(single):
+        assert np.allclose(many.cov[i], m.cov) and np.allclose([f[i] for f in many.fourths], m.fourths) and many.dims == m.dims
+    cov = kernels.shrink_blocks(many.cov, many.n, dims, many.fourths)
+    for got, f in ((kernels.cca(cov, 3, 2), lambda i: kernels.cca(cov[i], 3, 2)), (kernels.gcca(cov, dims, 2, many.n), lambda i: kernels.gcca(cov[i], dims, 2, many.n[i]))):
+        for i, m in enumerate(single):
+            assert np.allclose(cov[i], kernels.shrink_blocks(m.cov, m.n, dims, m.fourths))
+            assert all(np.allclose(g[i], w) for g, w in zip(got, f(i), strict=True))
+
+
+def test_fits_of_a_stack_with_a_singular_member(spark):
+    """A key with too few samples for all components is fitted by itself; the others' fits stay."""
+    rng = np.random.default_rng(7)
+    rows = [(k, rng.standard_normal(4).tolist()) for k in range(12) for _ in range(30)] + [(12, [1.0, 2.0, 3.0, 4.0])] * 3
+    df = spark.createDataFrame(rows, "k long, z array<double>").repartition(2)
+    got = models.gcca_fit(df, ["k"], "z", 2, 3, shrink=False).collect()
+    assert {k: len({r.component for r in got if r.k == k}) for k in range(13)} == {**dict.fromkeys(range(12), 3), 12: 0}
+    for k in range(12):
+        x = np.array([z for j, z in rows if j == k])
+        lam, w = kernels.gcca(np.cov(x, rowvar=False), [2, 2], 3, 30)
+        for r in (r for r in got if r.k == k):
+            assert r.lam == pytest.approx(lam[r.component - 1]) and np.allclose(r.w, w[2 * r.view : 2 * r.view + 2, r.component - 1])
+
+
+def test_experiment_isc_calls_no_python_for_each_group(spark, small):
+    text = plan(modelling.experiment_isc(spark, small)).split("== Physical")[1]
+    assert "FlatMapGroupsInPandas" not in text and text.count("MapInPandas") == 1  # the permutations, once; the fits are settled
